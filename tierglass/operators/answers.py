@@ -57,18 +57,22 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     )
 
 
-def _answer(*extra: str) -> Column:
+def _answer(reason: Column, *extra: str) -> Column:
     return F.struct(
         "model", "label", "score", "reasoning", "raw_response", "blank",
-        F.coalesce("error", "parse_error").alias("reason"), *extra,
+        reason.alias("reason"), *extra,
     )
 
 
+def _reason() -> Column:
+    return F.coalesce("error", "parse_error")
+
+
 def last_answer(answers: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The answer of the last prompt node per document and role."""
+    """The answer of the last prompt node per document and role, with its ``reason``."""
     return (
         answers.groupBy(key, "role")
-        .agg(F.max_by(_answer("node_ord"), F.col("node_ord")).alias("a"))
+        .agg(F.max_by(_answer(_reason(), "node_ord"), F.col("node_ord")).alias("a"))
         .select(key, "role", "a.*")
     )
 
@@ -81,7 +85,7 @@ def pair_answers(answers: DataFrame, key: str = "doc_id") -> DataFrame:
 
     def last(role: str) -> Column:
         in_role = F.col("role") == role
-        return F.max_by(F.when(in_role, _answer()), F.when(in_role, F.col("node_ord"))).alias(role)
+        return F.max_by(F.when(in_role, _answer(_reason())), F.when(in_role, F.col("node_ord"))).alias(role)
 
     return answers.groupBy(key).agg(last("primary"), last("secondary"))
 
@@ -111,14 +115,14 @@ def fall_back(answer: Column, heuristic: Column, missing_reason: str | None) ->
 def with_fallback(
     parsed: DataFrame, docs: DataFrame, key: str = "doc_id", heuristic: str = "keyword"
 ) -> DataFrame:
-    """Answer rows completed by the keyword class of their document.
+    """Answers as given by :func:`last_answer`, completed by the keyword class.
 
     ``docs`` is narrow: the key and the keyword-class struct. A document without
     answer rows keeps one row with reason ``engine_unavailable``.
     """
     joined = docs.select(key, heuristic).join(parsed, key, "left")
     answered = F.col("role").isNotNull()
-    answer = F.when(answered, _answer())
+    answer = F.when(answered, _answer(F.col("reason")))
     return (
         joined.withColumn("f", fall_back(answer, F.col(heuristic), "engine_unavailable"))
         .select(key, "role", "node_ord", "f.*")

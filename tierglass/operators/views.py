@@ -36,9 +36,10 @@ def _metadata_text(metadata: Column) -> Column:
     """Citation metadata as JSON text with a blank after separators."""
 
     def pair(name: str) -> Column:
-        quoted = F.substring(F.to_json(F.array(metadata[name])), 2, 1_000_000)
-        value = F.regexp_replace(quoted, r"\]\z", "")
-        return F.when(metadata[name].isNotNull(), F.concat(F.lit(f'"{name}": '), value))
+        escaped = F.regexp_replace(metadata[name], r'(["\\])', r"\\$1")
+        return F.when(
+            metadata[name].isNotNull(), F.concat(F.lit(f'"{name}": "'), escaped, F.lit('"'))
+        )
 
     names = ("label", "signal", "source_type")
     return F.concat(F.lit("{"), F.concat_ws(", ", *[pair(n) for n in names]), F.lit("}"))

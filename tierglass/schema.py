@@ -1,25 +1,44 @@
-"""Schemas of the record tables."""
+"""Schemas of the input and record tables."""
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
-DOCUMENTS = StructType.fromDDL("doc_id long, source string, text string")
-CLASSIFICATION_RECORDS = StructType.fromDDL(
-    "id long, document_path string, classification string, score double, created_at timestamp_ntz"
-)
-FEEDBACK_RECORDS = StructType.fromDDL(
-    "id long, classification_id long, reviewer string, decision string, comments string, "
-    "suggested_label string, quality_score double, created_at timestamp_ntz"
+from pyspark.sql.types import (
+    DataType,
+    DoubleType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampNTZType,
 )
-MISCLASSIFICATION_RECORDS = StructType.fromDDL(
-    "id long, classification_id long, expected_label string, reviewer_notes string, "
-    "created_at timestamp_ntz"
+
+
+def _schema(**columns: type[DataType]) -> StructType:
+    return StructType([StructField(name, kind()) for name, kind in columns.items()])
+
+
+DOCUMENTS = _schema(doc_id=LongType, source=StringType, text=StringType)
+CLASSIFICATION_RECORDS = _schema(
+    id=LongType,
+    document_path=StringType,
+    classification=StringType,
+    score=DoubleType,
+    created_at=TimestampNTZType,
 )
-MODEL_RESPONSES = StructType.fromDDL(
-    "doc_id long, role string, model string, node_ord int, raw_response string, error string"
+FEEDBACK_RECORDS = _schema(
+    id=LongType,
+    classification_id=LongType,
+    reviewer=StringType,
+    decision=StringType,
+    comments=StringType,
+    suggested_label=StringType,
+    quality_score=DoubleType,
+    created_at=TimestampNTZType,
 )
-EVAL_CASES = StructType.fromDDL(
-    "case_id string, doc_id long, expected_label string, critical boolean, "
-    "expected_flags array<string>"
+MISCLASSIFICATION_RECORDS = _schema(
+    id=LongType,
+    classification_id=LongType,
+    expected_label=StringType,
+    reviewer_notes=StringType,
+    created_at=TimestampNTZType,
 )

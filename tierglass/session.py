@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,17 +23,22 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "20g") -> S
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only where unset."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    return configured or tempfile.mkdtemp(prefix="tierglass-")
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder name for files that jobs hand to each other."""
+    return f"{shared_folder(spark)}/tierglass-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise in the session's shared checkpoint folder.
-
-    The folder is read from ``spark.checkpoint.dir``. Only where that is unset,
-    as on a test machine, a temporary folder is used.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tierglass-"))
+    """Materialise in the session's shared checkpoint folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

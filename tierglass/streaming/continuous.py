@@ -65,6 +65,24 @@ def statistics_stream(feedback: DataFrame, records: DataFrame) -> DataFrame:
     )
 
 
+def keep_statistics(
+    statistics: DataFrame, folder: str, checkpoint: str, once: bool = False
+) -> StreamingQuery:
+    """Write the full statistics after every micro-batch, a few rows each."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.coalesce(1).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+    return _start(statistics.writeStream.outputMode("complete").foreachBatch(write), checkpoint, once)
+
+
+def latest_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """The statistics written last by :func:`keep_statistics`."""
+    kept = spark.read.parquet(folder)
+    newest = kept.agg(F.max("batch").alias("b")).scalar()
+    return kept.filter(F.col("batch") == newest).drop("batch")
+
+
 def recalibrating_stream(
     results: DataFrame,
     read_stats: Callable[[SparkSession], DataFrame],
