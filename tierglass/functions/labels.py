@@ -22,10 +22,8 @@ from tierglass.lexicon import (
 
 def rank(label: Column) -> Column:
     """Severity of a label, 0 (also for unknown labels) to 3."""
-    expr = F.lit(0)
-    for position, name in reversed(list(enumerate(LABELS))):
-        expr = F.when(label == name, F.lit(position)).otherwise(expr)
-    return expr
+    severity = F.when(label == LABELS[1], 1).when(label == LABELS[2], 2).when(label == LABELS[3], 3)
+    return severity.otherwise(0)
 
 
 def label_of(severity: Column) -> Column:
@@ -41,18 +39,15 @@ def keyword_class(hits: Column, rules: Sequence[KeywordRule] = KEYWORD_RULES) ->
     label, score = F.lit(DEFAULT_LABEL), F.lit(DEFAULT_SCORE)
     reasoning = F.lit(NO_KEYWORDS_REASON)
     for rule in reversed(rules):
-        matched = F.array_intersect(hits, string_array(rule.keywords))
-        found = F.arrays_overlap(hits, string_array(rule.keywords))
-        label = F.when(found, F.lit(rule.label)).otherwise(label)
-        score = F.when(found, F.lit(rule.score)).otherwise(score)
-        reasoning = F.when(
-            found,
-            F.concat(
-                F.lit("Heuristic detection of keywords "),
-                F.array_join(F.array_sort(matched), ", "),
-                F.lit(f" indicating {rule.label}."),
-            ),
-        ).otherwise(reasoning)
+        words = string_array(rule.keywords)
+        found = F.arrays_overlap(hits, words)
+        matched = F.array_join(F.array_sort(F.array_intersect(hits, words)), ", ")
+        reason = F.concat(
+            F.lit("Heuristic detection of keywords "), matched, F.lit(f" indicating {rule.label}.")
+        )
+        label = F.when(found, rule.label).otherwise(label)
+        score = F.when(found, rule.score).otherwise(score)
+        reasoning = F.when(found, reason).otherwise(reasoning)
     return F.struct(
         label.alias("label"), score.alias("score"), reasoning.alias("reasoning")
     )

@@ -5,35 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tierglass.functions.text import is_blank, lengths, running_sums
+from tierglass.functions.text import is_blank, lengths, running_sums, string_array
 from tierglass.lexicon import DEFAULT_BBOX, RELEVANT_IMAGE_KEYS
 
 SPAN_TYPE = "array<struct<page:int,start:int,end:int>>"
 
 
-def form_feed_spans(text: Column) -> Column:
-    """Half-open character spans of form-feed separated pages; empty text has none."""
-    lens = lengths(F.split(text, "\f", -1))
-    spans = F.transform(
-        F.arrays_zip(lens.alias("len"), running_sums(lens).alias("before")),
-        lambda p, i: F.struct(
-            (i + F.lit(1)).alias("page"),
-            (p["before"] + i).alias("start"),
-            (p["before"] + i + p["len"]).alias("end"),
-        ),
-    )
-    no_pages = F.array().cast(SPAN_TYPE)
-    single = F.array(
-        F.struct(
-            F.lit(1).alias("page"), F.lit(0).alias("start"), F.length(text).alias("end")
-        )
-    )
-    return (
-        F.when(F.coalesce(text, F.lit("")) == "", no_pages)
-        .when(~F.contains(text, F.lit("\f")), single)
-        .otherwise(spans)
-        .cast(SPAN_TYPE)
+def spans_of_lengths(lens: str, gap: int, first_page: str = "0", first_char: str = "0") -> str:
+    """SQL: page spans from page lengths with ``gap`` characters between pages."""
+    start = f"h.before[i] + i * {gap} + {first_char}"
+    span = (
+        f"named_struct('page', cast(i + 1 + {first_page} as int), "
+        f"'start', cast({start} as int), 'end', cast({start} + len as int))"
     )
+    held = f"array(named_struct('lens', lens, 'before', {running_sums('lens')}))"
+    placed = f"flatten(transform({held}, h -> transform(h.lens, (len, i) -> {span})))"
+    return f"flatten(transform(array({lens}), lens -> {placed}))"
+
+
+def form_feed_spans(text: str) -> Column:
+    """Half-open character spans of form-feed separated pages; empty text has none."""
+    pages = lengths(f"split({text}, char(12), -1)")
+    return F.expr(
+        f"""CASE WHEN coalesce({text}, '') = '' THEN cast(array() AS {SPAN_TYPE})
+        WHEN NOT contains({text}, char(12))
+        THEN array(named_struct('page', 1, 'start', 0, 'end', length({text})))
+        ELSE {spans_of_lengths(pages, 1)} END"""
+    ).cast(SPAN_TYPE)
 
 
 def page_of(spans: Column, offset: Column) -> Column:
@@ -102,7 +100,7 @@ def image_count(declared: Column, n_images: Column) -> Column:
 def is_relevant_image(metadata: Column) -> Column:
     """True when any metadata key, ignoring case, is a known evidence key."""
     keys = F.transform(F.map_keys(metadata), lambda k: F.lower(k))
-    known = F.array(*[F.lit(k) for k in RELEVANT_IMAGE_KEYS])
+    known = string_array(RELEVANT_IMAGE_KEYS)
     return F.coalesce(F.arrays_overlap(keys, known), F.lit(False))
 
 

@@ -43,19 +43,40 @@ def word_count(stripped: Column) -> Column:
     )
 
 
+def sql_text(value: str) -> str:
+    """A string as a Spark SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def string_array(values: Sequence[str]) -> Column:
+    """A constant array, as one SQL expression because that is planned faster."""
     if not values:
         return F.array().cast("array<string>")
-    return F.array(*[F.lit(v) for v in values])
+    return F.expr(f"array({', '.join(sql_text(v) for v in values)})")
+
+
+def struct_array(rows: Sequence[dict[str, object]]) -> Column:
+    """A constant array of structs with string, integer and double fields."""
 
+    def literal(value: object) -> str:
+        if isinstance(value, str):
+            return sql_text(value)
+        return f"double({value})" if isinstance(value, float) else str(value)
 
-def contained(lowered: Column, keywords: Sequence[str]) -> Column:
-    """The keywords that occur in the text, in the order given.
+    structs = [
+        "named_struct(" + ", ".join(f"'{k}', {literal(v)}" for k, v in row.items()) + ")"
+        for row in rows
+    ]
+    return F.expr(f"array({', '.join(structs)})")
+
+
+def contained(lowered: str, keywords: Sequence[str]) -> Column:
+    """The keywords that occur in the text column, in the order given.
 
     ``lowered`` must be a materialised column: it is read once per keyword.
     """
-    found = [F.when(F.contains(lowered, F.lit(k)), F.lit(k)) for k in keywords]
-    return F.array_compact(F.array(*found))
+    found = [f"CASE WHEN contains({lowered}, {k}) THEN {k} END" for k in map(sql_text, keywords)]
+    return F.expr(f"array_compact(array({', '.join(found)}))")
 
 
 def snippet(text: Column, start: Column, end: Column, radius: int = SNIPPET_RADIUS) -> Column:
@@ -65,12 +86,15 @@ def snippet(text: Column, start: Column, end: Column, radius: int = SNIPPET_RADI
     return collapse_whitespace(strip(F.substring(text, left + F.lit(1), width)))
 
 
-def lengths(pieces: Column) -> Column:
-    return F.transform(pieces, lambda p: F.length(p))
+def once(column: Column) -> Column:
+    """The same column, evaluated where it is defined and nowhere else.
 
-
-def _total(numbers: Column) -> Column:
-    return F.aggregate(numbers, F.lit(0), lambda acc, n: acc + n)
+    Catalyst pushes filters below projections by copying the expressions they
+    read, for example the non-empty check it adds to every ``explode``. For an
+    expensive column that means scanning the text again. It leaves columns
+    alone whose value it does not take as deterministic.
+    """
+    return F.when(F.spark_partition_id() >= 0, column)
 
 
 def bind(body: Callable[[Column], Column], **values: Column) -> Column:
@@ -83,29 +107,26 @@ def bind(body: Callable[[Column], Column], **values: Column) -> Column:
     return F.get(F.transform(held, body), 0)
 
 
-def running_sums(numbers: Column) -> Column:
-    """For each element the sum of all elements before it.
+def lengths(pieces: str) -> str:
+    """SQL: lengths of an array of strings."""
+    return f"transform({pieces}, piece -> length(piece))"
 
-    Works on blocks of about sqrt(n) elements, so an array of n elements costs
-    n * sqrt(n) additions and not n * n.
-    """
-
-    def with_block_starts(h: Column) -> Column:
-        def next_start(acc: Column, block: Column) -> Column:
-            block_sum = _total(F.slice(h["nums"], block * h["width"] + F.lit(1), h["width"]))
-            return F.concat(acc, F.array(F.element_at(acc, -1) + block_sum))
-
-        blocks = F.sequence(F.lit(0), F.floor(F.size(h["nums"]) / h["width"]).cast("int"))
-        starts = F.aggregate(blocks, F.array(F.lit(0)), next_start)
-        return bind(within_blocks, nums=h["nums"], width=h["width"], starts=starts)
 
-    def within_blocks(h: Column) -> Column:
-        def before(_: Column, i: Column) -> Column:
-            block = F.floor(i / h["width"]).cast("int")
-            inside = _total(F.slice(h["nums"], block * h["width"] + F.lit(1), i % h["width"]))
-            return F.get(h["starts"], block) + inside
+def running_sums(numbers: str) -> str:
+    """SQL: for each element of an integer array the sum of all elements before it.
 
-        return F.transform(h["nums"], before)
-
-    width = F.greatest(F.ceil(F.sqrt(F.size(numbers))).cast("int"), F.lit(1))
-    return bind(with_block_starts, nums=numbers, width=width)
+    Works on blocks of about sqrt(n) elements, so an array of n elements costs
+    n * sqrt(n) additions and not n * n. Arrays of one element serve as local
+    variables, so that each step is evaluated once.
+    """
+    block = "cast(i div width as int)"
+    total = "aggregate(slice(nums, {0} * width + 1, {1}), 0, (t, v) -> t + v)"
+    block_starts = (
+        "aggregate(sequence(0, cast(size(nums) div width as int)), array(0), "
+        f"(acc, b) -> concat(acc, array(element_at(acc, -1) + {total.format('b', 'width')})))"
+    )
+    within = f"transform(nums, (n, i) -> starts[{block}] + {total.format(block, 'i % width')})"
+    with_starts = f"flatten(transform(array({block_starts}), starts -> {within}))"
+    width = "greatest(cast(ceil(sqrt(size(nums))) as int), 1)"
+    with_width = f"flatten(transform(array({width}), width -> {with_starts}))"
+    return f"flatten(transform(array({numbers}), nums -> {with_width}))"

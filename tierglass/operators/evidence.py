@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 
 from tierglass.functions.pages import form_feed_spans, page_of
 from tierglass.functions.text import (
-    bind,
     contained,
     lengths,
+    once,
     running_sums,
     snippet,
+    sql_text,
     strip,
+    struct_array,
 )
 from tierglass.lexicon import (
     CONFIDENTIAL_DESCRIPTION,
@@ -101,44 +103,50 @@ def scan_text(
     return (
         docs.withColumn("stripped", strip(F.coalesce(F.col(text), F.lit(""))))
         .withColumn("lowered", F.lower("stripped"))
-        .withColumn("hits", contained(F.col("lowered"), words))
+        .withColumn("hits", once(contained("lowered", words)))
     )
 
 
-def pattern_spots(text: Column, ordinal: int, rule: PatternRule, limit: int | None) -> Column:
-    """Rule number and span of every match; the text between matches gives offsets."""
+def pattern_spots(
+    text: str, rules: Sequence[tuple[int, Evidence]], gates: dict[str, str], limit: int | None
+) -> Column:
+    """Rule number and span of every match; the text between matches gives offsets.
 
-    def build(h: Column) -> Column:
-        gaps = F.slice(h["gaps"], F.lit(1), F.size(h["found"]))
-        steps = F.zip_with(gaps, h["found"], lambda gap, n: gap + n)
-        return bind(place, gaps=gaps, found=h["found"], before=running_sums(steps))
-
-    def place(h: Column) -> Column:
-        def spot(n: Column, i: Column) -> Column:
-            start = F.get(h["before"], i) + F.get(h["gaps"], i)
-            return F.struct(
-                F.lit(ordinal).alias("rule"),
-                start.alias("start"),
-                (start + n).alias("end"),
-            )
-
-        return F.transform(h["found"], spot)
+    A rule whose gate is closed is not searched for.
+    """
+    bound = -1 if limit is None else limit + 1
+
+    def scan(ordinal: int, rule: PatternRule) -> str:
+        pattern = sql_text(rule.pattern)
+        found = f"regexp_extract_all({text}, {pattern}, 0)"
+        if limit is not None:
+            found = f"slice({found}, 1, {limit})"
+        gaps = lengths(f"split({text}, {pattern}, {bound})")
+        none = "cast(array() AS array<int>)"
+        gate = gates[rule.gate]
+        return (
+            f"named_struct('rule', {ordinal}, "
+            f"'gaps', CASE WHEN {gate} THEN {gaps} ELSE {none} END, "
+            f"'found', CASE WHEN {gate} THEN {lengths(found)} ELSE {none} END)"
+        )
 
-    found = lengths(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)))
-    if limit is not None:
-        found = F.slice(found, 1, limit)
-    gaps = lengths(F.split(text, rule.pattern, -1 if limit is None else limit + 1))
-    return bind(build, gaps=gaps, found=found)
+    steps = "zip_with(slice(s.gaps, 1, size(s.found)), s.found, (gap, n) -> gap + n)"
+    start = "h.before[i] + s.gaps[i]"
+    spot = f"named_struct('rule', s.rule, 'start', {start}, 'end', {start} + n)"
+    placed = f"transform(s.found, (n, i) -> {spot})"
+    held = f"array(named_struct('before', {running_sums(steps)}))"
+    spots = f"flatten(transform({held}, h -> {placed}))"
+    scans = ", ".join(scan(ordinal, rule.pattern) for ordinal, rule in rules)
+    none = f"cast(array() AS {SPOT_TYPE})"
+    return F.expr(
+        f"flatten(transform(array({scans}), "
+        f"s -> CASE WHEN size(s.found) > 0 THEN {spots} ELSE {none} END))"
+    )
 
 
 def keyword_spots(lowered: Column, hits: Column, rules: Sequence[tuple[int, Evidence]]) -> Column:
     """Rule number and span of the first occurrence of each keyword in ``hits``."""
-    table = F.array(
-        *[
-            F.struct(F.lit(ordinal).alias("rule"), F.lit(rule.keyword).alias("word"))
-            for ordinal, rule in rules
-        ]
-    )
+    table = struct_array([{"rule": i, "word": r.keyword} for i, r in rules])
     present = F.filter(table, lambda r: F.array_contains(hits, r["word"]))
 
     def spot(r: Column) -> Column:
@@ -166,43 +174,37 @@ def extract_signals(
     given, so leading whitespace shifts the page looked up. ``limit=None`` keeps
     every signal.
     """
-    scanned = scan_text(docs, rules, text, extra_keywords).withColumn(
-        "has_digits", F.rlike("stripped", F.lit(DIGIT_GATE))
+    scanned = scan_text(docs, rules, text, extra_keywords).withColumns(
+        {
+            "has_digits": once(F.rlike("stripped", F.lit(DIGIT_GATE))),
+            "has_at": F.contains("stripped", F.lit("@")),
+            "_spans": F.col(spans) if spans else form_feed_spans(text),
+        }
     )
     stripped, lowered, hits = F.col("stripped"), F.col("lowered"), F.col("hits")
-    gates = {
-        "digits": F.col("has_digits"),
-        "at": F.contains(stripped, F.lit("@")),
-    }
+    gates = {"digits": "has_digits", "at": "has_at"}
     no_spots = F.array().cast(SPOT_TYPE)
 
     groups = []
-    for kind, run in groupby(enumerate(rules), key=lambda item: item[1].keyword is None):
-        run = list(run)
-        if kind:
-            for ordinal, rule in run:
-                spots = pattern_spots(stripped, ordinal, rule.pattern, limit)
-                groups.append(
-                    F.when(gates[rule.pattern.gate], spots).otherwise(no_spots)
-                )
+    for is_pattern, run in groupby(enumerate(rules), key=lambda item: item[1].keyword is None):
+        if is_pattern:
+            searched = pattern_spots("stripped", list(run), gates, limit)
+            possible = F.col("has_digits") | F.col("has_at")
         else:
-            spots = keyword_spots(lowered, hits, run)
-            groups.append(F.when(F.size(hits) > 0, spots).otherwise(no_spots))
+            searched = keyword_spots(lowered, hits, list(run))
+            possible = F.size(hits) > 0
+        groups.append(F.when(possible, searched).otherwise(no_spots))
     spots = F.concat(*groups)
     if limit is not None:
         spots = F.slice(spots, 1, limit)
 
-    facts = F.array(
-        *[
-            F.struct(
-                F.lit(r.label).alias("label"),
-                F.lit(r.description).alias("description"),
-                F.lit(r.confidence).alias("confidence"),
-            )
+    facts = struct_array(
+        [
+            {"label": r.label, "description": r.description, "confidence": r.confidence}
             for r in rules
         ]
     )
-    page_spans = F.col(spans) if spans else F.col("_spans")
+    page_spans = F.col("_spans")
 
     def signal(spot: Column) -> Column:
         fact = F.get(facts, spot["rule"])
@@ -215,15 +217,11 @@ def extract_signals(
             F.lit("text").alias("source_type"),
         )
 
-    if not spans:
-        scanned = scanned.withColumn("_spans", form_feed_spans(F.col(text)))
     found = scanned.withColumn("_spots", spots)
-    return found.withColumn(
-        "signals",
-        F.when(F.size("_spots") > 0, F.transform("_spots", signal))
-        .otherwise(F.array())
-        .cast(SIGNAL_TYPE),
-    ).drop("_spots", "_spans", "has_digits", "stripped", "lowered")
+    signals = F.when(F.size("_spots") > 0, F.transform("_spots", signal)).otherwise(F.array())
+    return found.withColumn("signals", once(signals.cast(SIGNAL_TYPE))).drop(
+        "_spots", "_spans", "has_digits", "has_at", "stripped", "lowered"
+    )
 
 
 def explode_signals(df: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:

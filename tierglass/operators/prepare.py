@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tierglass.functions import pages as P
-from tierglass.functions.text import bind, lengths, running_sums, strip, word_count
+from tierglass.functions.text import lengths, once, strip, word_count
 from tierglass.lexicon import NO_IMAGES_TEXT
 
 
 def split_pages(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add ``page_spans`` and ``page_count`` from the form feeds in the text."""
-    return docs.withColumn("page_spans", P.form_feed_spans(F.col(text))).withColumn(
+    return docs.withColumn("page_spans", once(P.form_feed_spans(text))).withColumn(
         "page_count", F.size("page_spans")
     )
 
@@ -51,32 +51,14 @@ def assemble_pages(
             "rows"
         )
     )
-    texts = F.transform("rows", lambda r: r["t"])
-
-    def spans(h: Column) -> Column:
-        def span(before: Column, i: Column) -> Column:
-            start = (h["first_char"] + before + i * F.lit(len(sep))).cast("int")
-            return F.struct(
-                (h["first_page"] + i + F.lit(1)).cast("int").alias("page"),
-                start.alias("start"),
-                (start + F.get(h["lens"], i)).alias("end"),
-            )
-
-        return F.transform(h["sums"], span)
-
-    lens = lengths(texts)
-    made = bind(
-        spans,
-        lens=lens,
-        sums=running_sums(lens),
-        first_char=F.col("first_char"),
-        first_page=F.col("first_page"),
+    spans = P.spans_of_lengths(
+        lengths("transform(rows, r -> r.t)"), len(sep), "first_page", "first_char"
     )
     return gathered.join(offsets, [key, "part"]).select(
         key,
         "part",
-        F.array_join(texts, sep).alias("text"),
-        made.cast(P.SPAN_TYPE).alias("page_spans"),
+        F.array_join(F.transform("rows", lambda r: r["t"]), sep).alias("text"),
+        once(F.expr(spans).cast(P.SPAN_TYPE)).alias("page_spans"),
         F.size("rows").alias("page_count"),
     )
 
