@@ -29,8 +29,10 @@ class KeywordRule(NamedTuple):
 
 
 # Word boundaries are spelled as look-arounds because ``\b`` in Java regex does
-# not use the same Unicode word class as the expected results do.
-_NOT_AFTER_WORD = r"(?<![\p{L}\p{N}_])"
+# not use the same Unicode word class as the expected results do. The first
+# character is tested before the look-behind, which is several times faster.
+_DIGIT_STARTS_WORD = r"(?=\p{Nd})(?<![\p{L}\p{N}_])"
+_CAPITAL_STARTS_WORD = r"(?=[A-Z])(?<![\p{L}\p{N}_])"
 _NOT_BEFORE_WORD = r"(?![\p{L}\p{N}_])"
 # A match may only start where the previous one ended or outside a run of
 # mailbox characters; this keeps the scan linear on long unbroken runs.
@@ -41,7 +43,7 @@ PATTERN_RULES = (
     PatternRule(
         "ssn",
         "Highly Sensitive",
-        _NOT_AFTER_WORD + r"\p{Nd}{3}-\p{Nd}{2}-\p{Nd}{4}" + _NOT_BEFORE_WORD,
+        _DIGIT_STARTS_WORD + r"\p{Nd}{3}-\p{Nd}{2}-\p{Nd}{4}" + _NOT_BEFORE_WORD,
         0.95,
         "Possible social security number detected",
         "digits",
@@ -49,7 +51,7 @@ PATTERN_RULES = (
     PatternRule(
         "passport",
         "Highly Sensitive",
-        _NOT_AFTER_WORD + r"[A-Z]{1,2}\p{Nd}{6,9}" + _NOT_BEFORE_WORD,
+        _CAPITAL_STARTS_WORD + r"[A-Z]{1,2}\p{Nd}{6,9}" + _NOT_BEFORE_WORD,
         0.80,
         "Passport or government ID pattern",
         "digits",
@@ -57,7 +59,7 @@ PATTERN_RULES = (
     PatternRule(
         "credit_card",
         "Highly Sensitive",
-        _NOT_AFTER_WORD + r"(?:\p{Nd}{4}[- ]?){3}\p{Nd}{4}" + _NOT_BEFORE_WORD,
+        _DIGIT_STARTS_WORD + r"(?:\p{Nd}{4}[- ]?){3}\p{Nd}{4}" + _NOT_BEFORE_WORD,
         0.90,
         "Credit or debit card number pattern",
         "digits",
@@ -65,7 +67,7 @@ PATTERN_RULES = (
     PatternRule(
         "bank_account",
         "Confidential",
-        _NOT_AFTER_WORD + r"\p{Nd}{9,12}" + _NOT_BEFORE_WORD,
+        _DIGIT_STARTS_WORD + r"\p{Nd}{9,12}" + _NOT_BEFORE_WORD,
         0.75,
         "Potential bank or routing number",
         "digits",

@@ -177,7 +177,7 @@ def extract_signals(
     scanned = scan_text(docs, rules, text, extra_keywords).withColumns(
         {
             "has_digits": once(F.rlike("stripped", F.lit(DIGIT_GATE))),
-            "has_at": F.contains("stripped", F.lit("@")),
+            "has_at": once(F.contains("stripped", F.lit("@"))),
             "_spans": F.col(spans) if spans else form_feed_spans(text),
         }
     )

@@ -211,7 +211,7 @@ CTES = {
     "records": f"SELECT doc_id AS id, source AS document_path, label AS classification, raw_score AS score, "
     f"{seeds.RECORD_TIME} AS created_at FROM f8",
     "feedback": f"SELECT {columns(seeds.FEEDBACK)} FROM labels UNION ALL "
-    "SELECT -1, 9999999999, '', '', 'orphan', NULL, 0.5, TIMESTAMP '2024-01-01 00:00:00'",
+    f"SELECT {columns(seeds.ORPHAN_FEEDBACK)} FROM labels WHERE toxic = 1",
     "stats": """SELECT classification AS label, count(*) AS total,
       count(*) FILTER (WHERE lower(decision) IN ('override', 'reclassify')) AS overrides,
       avg(quality_score) AS avg_quality

@@ -139,7 +139,7 @@ _add("s10_appended_records", """SELECT run, n, 1 + n * (run = 'second')::INT AS
 
 def _nodes(nodes) -> str:
     rows = ", ".join(
-        f"({n.node_ord}, {text(n.name)}, {text(n.prompt)}, {n.depth}, {text(n.parent or '')})" for n in nodes
+        f"({n.node_ord}::BIGINT, {text(n.name)}, {text(n.prompt)}, {n.depth}::BIGINT, {text(n.parent or '')})" for n in nodes
     )
     return f"(VALUES {rows}) AS t(node_ord, name, prompt, depth, parent)"
 
@@ -162,7 +162,7 @@ PAGES = """SELECT conv_id, turn // 2 AS part, row_number() OVER w AS page,
   (sum(length(text) + 2) OVER w - length(text) - 2)::BIGINT AS start,
   (sum(length(text) + 2) OVER w - 2)::BIGINT AS "end"
   FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"""
-_add("p2_assemble_pages", f"SELECT conv_id, 0 AS part, md5(t) AS digest, n AS page_count FROM {_whole('chr(10) || chr(10)')}")
+_add("p2_assemble_pages", f"SELECT conv_id, 0::BIGINT AS part, md5(t) AS digest, n AS page_count FROM {_whole('chr(10) || chr(10)')}")
 _add("p2_page_spans", f'SELECT conv_id, page, start, "end" FROM ({PAGES})')
 _add("p2_page_spans_in_parts", PAGES)
 _add("s13_joined_pages", f"SELECT conv_id, md5(t) AS digest FROM {_whole('chr(10)')}")
@@ -218,7 +218,7 @@ _reasons = " ".join(
     for r in X.KEYWORD_RULES
 )
 _add("c2_keyword_reasoning", f"SELECT doc_id, CASE {_reasons} ELSE {text(X.NO_KEYWORDS_REASON)} END AS reasoning FROM keyword")
-_add("c3_label_rank", f"SELECT doc_id, {rank('kw_label')} AS severity, kw_label AS label FROM keyword")
+_add("c3_label_rank", f"SELECT doc_id, {rank('kw_label')}::BIGINT AS severity, kw_label AS label FROM keyword")
 _add("c4_escalation", "SELECT doc_id, kw_label AS initial, label FROM f8")
 _add("c5_safety_flags", f"""SELECT n.doc_id, coalesce(f.flags, '') AS flags, coalesce(g.flags, '') AS configured
   FROM norm n LEFT JOIN flags f USING (doc_id) LEFT JOIN (
@@ -271,9 +271,9 @@ HASHED = f"""(SELECT doc_id, node_ord, sha256(sha256(sha256(s.text) || sha256(co
   FROM seeded s, {_nodes(NODES)})"""
 _add("m8_cache_key", f"SELECT doc_id, node_ord, prompt_hash FROM {HASHED}")
 CACHED = f"(SELECT DISTINCT h.prompt_hash FROM {HASHED} h JOIN labels USING (doc_id))"
-_add("m9_cache_hits", f"SELECT doc_id, node_ord, 0.51 AS score, 'cache' AS backend FROM {HASHED} JOIN {CACHED} USING (prompt_hash)")
+_add("m9_cache_hits", f"SELECT doc_id, node_ord, 0.51::DOUBLE AS score, 'cache' AS backend FROM {HASHED} JOIN {CACHED} USING (prompt_hash)")
 _add("m9_cache_misses", f"SELECT doc_id, node_ord, 'alpha' AS model FROM {HASHED} WHERE prompt_hash NOT IN (FROM {CACHED})")
-_add("m10_cache_upsert", f"SELECT 'alpha' AS model, 'stored 2' AS reasoning, 0.52 AS score, count(*) AS n FROM {CACHED}")
+_add("m10_cache_upsert", f"SELECT 'alpha' AS model, 'stored 2' AS reasoning, 0.52::DOUBLE AS score, count(*) AS n FROM {CACHED}")
 _add("m10_cache_without_fallbacks", f"""SELECT 'alpha' AS model, CASE WHEN keep THEN 'stored 2' ELSE 'stored 1' END AS reasoning, count(*) AS n
   FROM (SELECT prompt_hash, bool_or(toxic <> 1) AS keep FROM {HASHED} JOIN labels USING (doc_id) GROUP BY prompt_hash) GROUP BY ALL""")
 _add("m11_json_block", "SELECT doc_id, role, node_ord, block FROM blocks")
@@ -293,7 +293,7 @@ _add("m20_debug", """SELECT doc_id, p_model AS model, p_fallback AS fallback, p_
 _body = "lower(substr(st, 1, 8000))"
 _add("u1_inference", f"""SELECT doc_id,
   CASE WHEN contains({_body}, 'malware') THEN NULL WHEN contains({_body}, 'nda') THEN 'Confidential' ELSE 'Public' END AS label,
-  CASE WHEN contains({_body}, 'malware') THEN NULL WHEN contains({_body}, 'nda') THEN 0.7 ELSE 0.6 END AS score,
+  CASE WHEN contains({_body}, 'malware') THEN NULL WHEN contains({_body}, 'nda') THEN 0.7 ELSE 0.6 END::DOUBLE AS score,
   CASE WHEN contains({_body}, 'malware') THEN 'refused' END AS error FROM norm""")
 
 _add("f1_pairing", "SELECT doc_id, p_label AS primary_label, s_label AS secondary_label, agreement FROM fused")
@@ -316,7 +316,7 @@ _add("f9_engine", """SELECT f.doc_id, f.label AS category, round(f.engine_score,
 _add("f10_api_results", f"""SELECT f.doc_id::VARCHAR AS document_id, label, raw_score AS score, flags AS safety_flags,
   true AS verifier_agreement, f.doc_id AS classification_id, greatest(n_signals, 1) AS n_citations,
   concat('/reports/task/', f.doc_id, '/report.json') AS report, {CATEGORY} AS category,
-  CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(12))) END AS page_count, 0 AS image_count,
+  CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(12))) END AS page_count, 0::BIGINT AS image_count,
   e.n AS n_evidence, {SAFETY} AS content_safety, false AS single_prompt
   FROM f8 f JOIN (SELECT doc_id, least(count(*), 10) AS n FROM {ENTRIES} GROUP BY doc_id) e USING (doc_id)""")
 
@@ -330,7 +330,7 @@ _add("v1_evidence_with_images", f"""SELECT doc_id, pos, type, page, md5(content)
 _add("v2_fallback_chunks", f"""SELECT doc_id, pos, page, content FROM {_chunks('(SELECT doc_id, 0 AS n FROM keyword)')}""")
 _add("v3_image_evidence", f"""SELECT doc_id, image_idx, page, {DATA_URL} AS content,
   CASE WHEN image_idx = 1 AND doc_id % 8 >= 4 THEN concat('figure ', doc_id) ELSE 'Image snippet' END AS description,
-  0.96 AS height FROM {RELEVANT}""")
+  0.96::DOUBLE AS height FROM {RELEVANT}""")
 RESULTS = f"""(SELECT f.doc_id AS id, s.origin, f.label, {CATEGORY.replace('label', 'f.label', 1)} AS category, f.raw_score AS score,
   {SAFETY.replace('label', 'f.label', 1)} AS content_safety, concat(f.doc_id, '.txt') AS document_name,
   TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * f.doc_id AS ts,

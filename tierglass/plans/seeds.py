@@ -62,6 +62,14 @@ FEEDBACK = {
     "quality_score": "(doc_id % 10) / CAST(10 AS DOUBLE)",
     "created_at": "TIMESTAMP '2024-01-02 00:00:00' + INTERVAL 1 MINUTE * doc_id",
 }
+ORPHAN_FEEDBACK = {
+    **FEEDBACK,
+    "id": "-1 - doc_id",
+    "classification_id": "9000000000 + doc_id",
+    "reviewer": "''",
+    "decision": "''",
+    "suggested_label": "CAST(NULL AS VARCHAR(20))",
+}
 CASES = {
     "case_id": "concat('case', CAST(doc_id AS VARCHAR(20)))",
     "doc_id": "doc_id",
@@ -126,14 +134,10 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def feedback(spark: SparkSession, sf: str) -> DataFrame:
-    """One feedback row per label row, and one on an unknown classification."""
+    """One feedback row per label row, and one on an unknown id per toxic one."""
     labels = table(spark, sf, "labels")
-    orphan = labels.groupBy().agg({"doc_id": "max"}).selectExpr(
-        "-1 AS id", "9999999999 AS classification_id", "'' AS reviewer", "'' AS decision",
-        "'orphan' AS comments", "CAST(NULL AS STRING) AS suggested_label",
-        "CAST(0.5 AS DOUBLE) AS quality_score", "TIMESTAMP '2024-01-01 00:00:00' AS created_at",
-    )
-    return labels.selectExpr(*select(FEEDBACK)).unionByName(orphan)
+    orphans = labels.filter("toxic = 1").selectExpr(*select(ORPHAN_FEEDBACK))
+    return labels.selectExpr(*select(FEEDBACK)).unionByName(orphans)
 
 
 def cases(spark: SparkSession, sf: str) -> DataFrame:
