@@ -86,17 +86,6 @@ def snippet(text: Column, start: Column, end: Column, radius: int = SNIPPET_RADI
     return collapse_whitespace(strip(F.substring(text, left + F.lit(1), width)))
 
 
-def once(column: Column) -> Column:
-    """The same column, evaluated where it is defined and nowhere else.
-
-    Catalyst pushes filters below projections by copying the expressions they
-    read, for example the non-empty check it adds to every ``explode``. For an
-    expensive column that means scanning the text again. It leaves columns
-    alone whose value it does not take as deterministic.
-    """
-    return F.when(F.spark_partition_id() >= 0, column)
-
-
 def bind(body: Callable[[Column], Column], **values: Column) -> Column:
     """Evaluate ``values`` once per row and hand them to ``body`` as a struct.
 

@@ -13,11 +13,11 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tierglass.functions.once import with_once
 from tierglass.functions.pages import form_feed_spans, page_of
 from tierglass.functions.text import (
     contained,
     lengths,
-    once,
     running_sums,
     snippet,
     sql_text,
@@ -98,12 +98,19 @@ def scan_text(
     text: str = "text",
     extra_keywords: Sequence[str] = (),
 ) -> DataFrame:
-    """Add ``stripped``, ``lowered`` and ``hits`` (lexicon keywords in the text)."""
+    """Add ``stripped``, ``lowered``, ``hits`` (lexicon keywords in the text) and gates."""
     words = lexicon_keywords(rules, extra_keywords)
-    return (
+    lowered = (
         docs.withColumn("stripped", strip(F.coalesce(F.col(text), F.lit(""))))
         .withColumn("lowered", F.lower("stripped"))
-        .withColumn("hits", once(contained("lowered", words)))
+    )
+    return with_once(
+        lowered,
+        {
+            "hits": contained("lowered", words),
+            "has_digits": F.rlike("stripped", F.lit(DIGIT_GATE)),
+            "has_at": F.contains("stripped", F.lit("@")),
+        },
     )
 
 
@@ -174,12 +181,8 @@ def extract_signals(
     given, so leading whitespace shifts the page looked up. ``limit=None`` keeps
     every signal.
     """
-    scanned = scan_text(docs, rules, text, extra_keywords).withColumns(
-        {
-            "has_digits": once(F.rlike("stripped", F.lit(DIGIT_GATE))),
-            "has_at": once(F.contains("stripped", F.lit("@"))),
-            "_spans": F.col(spans) if spans else form_feed_spans(text),
-        }
+    scanned = scan_text(docs, rules, text, extra_keywords).withColumn(
+        "_spans", F.col(spans) if spans else form_feed_spans(text)
     )
     stripped, lowered, hits = F.col("stripped"), F.col("lowered"), F.col("hits")
     gates = {"digits": "has_digits", "at": "has_at"}
@@ -219,7 +222,7 @@ def extract_signals(
 
     found = scanned.withColumn("_spots", spots)
     signals = F.when(F.size("_spots") > 0, F.transform("_spots", signal)).otherwise(F.array())
-    return found.withColumn("signals", once(signals.cast(SIGNAL_TYPE))).drop(
+    return with_once(found, {"signals": signals.cast(SIGNAL_TYPE)}).drop(
         "_spots", "_spans", "has_digits", "has_at", "stripped", "lowered"
     )
 

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tierglass.functions import pages as P
-from tierglass.functions.text import lengths, once, strip, word_count
+from tierglass.functions.once import with_once
+from tierglass.functions.text import lengths, strip, word_count
 from tierglass.lexicon import NO_IMAGES_TEXT
 
 
 def split_pages(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add ``page_spans`` and ``page_count`` from the form feeds in the text."""
-    return docs.withColumn("page_spans", once(P.form_feed_spans(text))).withColumn(
+    return with_once(docs, {"page_spans": P.form_feed_spans(text)}).withColumn(
         "page_count", F.size("page_spans")
     )
 
@@ -54,11 +55,15 @@ def assemble_pages(
     spans = P.spans_of_lengths(
         lengths("transform(rows, r -> r.t)"), len(sep), "first_page", "first_char"
     )
-    return gathered.join(offsets, [key, "part"]).select(
+    placed = with_once(
+        gathered.join(offsets, [key, "part"]),
+        {"page_spans": F.expr(spans).cast(P.SPAN_TYPE)},
+    )
+    return placed.select(
         key,
         "part",
         F.array_join(F.transform("rows", lambda r: r["t"]), sep).alias("text"),
-        once(F.expr(spans).cast(P.SPAN_TYPE)).alias("page_spans"),
+        "page_spans",
         F.size("rows").alias("page_count"),
     )
 

@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 
 from tierglass.functions import labels as L
 from tierglass.functions import pages as P
-from tierglass.functions.text import bind, collapse_whitespace, is_blank, once, strip
+from tierglass.functions.once import with_once
+from tierglass.functions.text import bind, collapse_whitespace, is_blank, strip
 from tierglass.lexicon import EVIDENCE_CHARS, EVIDENCE_ENTRIES, HISTORY_ENTRIES, HISTORY_TABLE_ROWS
 
 ENTRY_TYPE = (
@@ -164,7 +165,7 @@ def evidence_entries(
         ),
     ).cast(ENTRY_TYPE)
     entries = F.slice(F.concat("_given", chunks), 1, cap)
-    return shown.withColumn("evidence", once(entries)).drop("_cited", "_text", "_images", "_given")
+    return with_once(shown, {"evidence": entries}).drop("_cited", "_text", "_images", "_given")
 
 
 def document_results(df: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -289,4 +290,4 @@ def highlight_spans(
         )
 
     spans = F.filter(F.transform("citations", located), lambda s: s["start"] >= 0)
-    return results.select(*keep, once(spans).alias("_spans")).select(*keep, F.inline("_spans"))
+    return with_once(results, {"_spans": spans}).select(*keep, F.inline("_spans"))
