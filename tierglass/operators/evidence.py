@@ -130,11 +130,11 @@ def pattern_spots(
             found = f"slice({found}, 1, {limit})"
         gaps = lengths(f"split({text}, {pattern}, {bound})")
         none = "cast(array() AS array<int>)"
-        gate = gates[rule.gate]
+        # Text that splits into one piece has no match, so nothing is extracted.
+        searched = f"CASE WHEN size(g) > 1 THEN {lengths(found)} ELSE {none} END"
         return (
-            f"named_struct('rule', {ordinal}, "
-            f"'gaps', CASE WHEN {gate} THEN {gaps} ELSE {none} END, "
-            f"'found', CASE WHEN {gate} THEN {lengths(found)} ELSE {none} END)"
+            f"transform(array(CASE WHEN {gates[rule.gate]} THEN {gaps} ELSE {none} END), "
+            f"g -> named_struct('rule', {ordinal}, 'gaps', g, 'found', {searched}))[0]"
         )
 
     steps = "zip_with(slice(s.gaps, 1, size(s.found)), s.found, (gap, n) -> gap + n)"
