@@ -57,13 +57,17 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     )
 
 
-def _answer(reason: Column, *extra: str) -> Column:
+def _answer(reason: Column, backend: Column, *extra: str) -> Column:
     return F.struct(
         "model", "label", "score", "reasoning", "raw_response", "blank",
-        reason.alias("reason"), *extra,
+        reason.alias("reason"), backend.alias("backend"), *extra,
     )
 
 
+def _backend(answers: DataFrame) -> Column:
+    return F.col("backend") if "backend" in answers.columns else F.lit("model")
+
+
 def _reason() -> Column:
     return F.coalesce("error", "parse_error")
 
@@ -72,7 +76,7 @@ def last_answer(answers: DataFrame, key: str = "doc_id") -> DataFrame:
     """The answer of the last prompt node per document and role, with its ``reason``."""
     return (
         answers.groupBy(key, "role")
-        .agg(F.max_by(_answer(_reason(), "node_ord"), F.col("node_ord")).alias("a"))
+        .agg(F.max_by(_answer(_reason(), _backend(answers), "node_ord"), F.col("node_ord")).alias("a"))
         .select(key, "role", "a.*")
     )
 
@@ -85,7 +89,8 @@ def pair_answers(answers: DataFrame, key: str = "doc_id") -> DataFrame:
 
     def last(role: str) -> Column:
         in_role = F.col("role") == role
-        return F.max_by(F.when(in_role, _answer(_reason())), F.when(in_role, F.col("node_ord"))).alias(role)
+        answer = _answer(_reason(), _backend(answers))
+        return F.max_by(F.when(in_role, answer), F.when(in_role, F.col("node_ord"))).alias(role)
 
     return answers.groupBy(key).agg(last("primary"), last("secondary"))
 
@@ -109,6 +114,7 @@ def fall_back(answer: Column, heuristic: Column, missing_reason: str | None) ->
         *chosen.values(),
         (~present | failed).alias("fallback"),
         reason.cast("string").alias("reason"),
+        F.when(present, answer["backend"]).otherwise("heuristic").alias("backend"),
     )
 
 
@@ -122,18 +128,18 @@ def with_fallback(
     """
     joined = docs.select(key, heuristic).join(parsed, key, "left")
     answered = F.col("role").isNotNull()
-    answer = F.when(answered, _answer(F.col("reason")))
+    answer = F.when(answered, _answer(F.col("reason"), F.col("backend")))
     return (
         joined.withColumn("f", fall_back(answer, F.col(heuristic), "engine_unavailable"))
         .select(key, "role", "node_ord", "f.*")
     )
 
 
-def debug_struct(answer: Column, backend: Column) -> Column:
+def debug_struct(answer: Column) -> Column:
     """Debug view of one completed answer."""
     return F.struct(
         answer["model"].alias("model"),
-        backend.alias("backend"),
+        answer["backend"].alias("backend"),
         answer["fallback"].alias("fallback"),
         answer["reason"].alias("reason"),
         answer["score"].alias("last_confidence"),

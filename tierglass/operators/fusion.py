@@ -165,7 +165,8 @@ def classify(
     """Label every document.
 
     ``answers`` holds raw responses (key, role, model, node_ord, raw_response,
-    error); without it both models are the keyword class. ``stats`` are label
+    error), or answers already parsed or replayed from the cache; without it both
+    models are the keyword class. ``stats`` are label
     statistics of reviewer feedback used to recalibrate ``score``; ``raw_score``
     stays as recorded. ``keep`` names document columns to carry along.
     """
@@ -181,7 +182,8 @@ def classify(
             }
         )
     else:
-        pairs = pair_answers(parse_responses(answers), key)
+        parsed = answers if "label" in answers.columns else parse_responses(answers)
+        pairs = pair_answers(parsed, key)
         joined = evidence.join(pairs, key, "left")
         completed = joined.withColumns(
             {
@@ -208,10 +210,8 @@ def classify(
         safety_flags(F.col("hits"), F.col("signals"), safety_keywords).alias("safety_flags"),
         model_outputs(primary, secondary).alias("model_outputs"),
         F.struct(
-            debug_struct(primary, _backend(primary)).alias("primary"),
-            F.when(secondary.isNotNull(), debug_struct(secondary, _backend(secondary))).alias(
-                "secondary"
-            ),
+            debug_struct(primary).alias("primary"),
+            F.when(secondary.isNotNull(), debug_struct(secondary)).alias("secondary"),
         ).alias("debug_info"),
     )
     return recalibrate(results, stats)
@@ -220,14 +220,10 @@ def classify(
 def _no_answer() -> Column:
     return F.lit(None).cast(
         "struct<model:string,label:string,score:double,reasoning:string,"
-        "raw_response:string,blank:boolean,reason:string>"
+        "raw_response:string,blank:boolean,reason:string,backend:string>"
     )
 
 
-def _backend(answer: Column) -> Column:
-    return F.when(answer["model"].isNull(), F.lit("heuristic")).otherwise(F.lit("model"))
-
-
 def engine_results(results: DataFrame, key: str = "doc_id") -> DataFrame:
     """The engine's five-column view of ``classify(mode='engine')``."""
     return results.select(

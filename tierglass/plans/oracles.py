@@ -8,6 +8,7 @@ from tierglass.plans.oracle_parts import (
     any_of,
     keyword_list,
     label_of,
+    label_of,
     rank,
     snippet,
     strip,
@@ -273,6 +274,15 @@ _add("m8_cache_key", f"SELECT doc_id, node_ord, prompt_hash FROM {HASHED}")
 CACHED = f"(SELECT DISTINCT h.prompt_hash FROM {HASHED} h JOIN labels USING (doc_id))"
 _add("m9_cache_hits", f"SELECT doc_id, node_ord, 0.51::DOUBLE AS score, 'cache' AS backend FROM {HASHED} JOIN {CACHED} USING (prompt_hash)")
 _add("m9_cache_misses", f"SELECT doc_id, node_ord, 'alpha' AS model FROM {HASHED} WHERE prompt_hash NOT IN (FROM {CACHED})")
+REPLAYED = f"""(SELECT h.doc_id, x.label FROM {HASHED} h JOIN (
+  SELECT prompt_hash, CASE WHEN bool_or(toxic = 1) THEN 'Unsafe' ELSE 'Public' END AS label
+  FROM {HASHED} JOIN labels USING (doc_id) GROUP BY prompt_hash) x USING (prompt_hash) WHERE h.node_ord = 3)"""
+_add("m9_replayed_answers", f"""SELECT a.doc_id,
+  CASE WHEN coalesce(s.top, 0) > {rank('a.l')} THEN {label_of('s.top')} ELSE a.l END AS label,
+  a.raw_score, a.backend, a.fallback FROM (
+    SELECT k.doc_id, coalesce(c.label, k.kw_label) AS l, CASE WHEN c.label IS NULL THEN k.kw_score ELSE 0.51 END AS raw_score,
+    CASE WHEN c.label IS NULL THEN 'heuristic' ELSE 'cache' END AS backend, c.label IS NULL AS fallback
+    FROM keyword k LEFT JOIN {REPLAYED} c USING (doc_id)) a LEFT JOIN strongest s USING (doc_id)""")
 _add("m10_cache_upsert", f"SELECT 'alpha' AS model, 'stored 2' AS reasoning, 0.52::DOUBLE AS score, count(*) AS n FROM {CACHED}")
 _add("m10_cache_without_fallbacks", f"""SELECT 'alpha' AS model, CASE WHEN keep THEN 'stored 2' ELSE 'stored 1' END AS reasoning, count(*) AS n
   FROM (SELECT prompt_hash, bool_or(toxic <> 1) AS keep FROM {HASHED} JOIN labels USING (doc_id) GROUP BY prompt_hash) GROUP BY ALL""")

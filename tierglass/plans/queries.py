@@ -665,6 +665,19 @@ def m9_cache_misses(spark, sf):
     return misses.select("doc_id", "node_ord", "model")
 
 
+@query
+def m9_replayed_answers(spark, sf):
+    """Documents classified with the stored answers, the others by keyword class."""
+    hits, _ = ans.cache_split(requests(spark, sf), cache(spark, sf))
+    answers = ans.cached_answers(hits).withColumn("role", F.lit("primary"))
+    results = classified(spark, sf, answers=answers)
+    primary = F.col("debug_info.primary")
+    return results.select(
+        "doc_id", "label", "raw_score", primary["backend"].alias("backend"),
+        primary["fallback"].alias("fallback"),
+    )
+
+
 @query
 def m10_cache_upsert(spark, sf):
     merged = ans.cache_upsert(cache_writes(spark, sf, 1), cache_writes(spark, sf, 2))

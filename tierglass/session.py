@@ -43,7 +43,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Use all cores on inputs with too few files; large inputs pass unchanged."""
+    """Use all cores on tables with too few files; large tables pass unchanged.
+
+    Meant for tables as they are read: counting partitions of a plan that
+    already shuffles would run it.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
         return df.repartition(cores, key)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.types import StructType
 
+from tierglass.lexicon import OVERRIDE_DECISIONS
 from tierglass.operators.feedback import recalibrate
 from tierglass.operators.fusion import classify
 from tierglass.schema import DOCUMENTS
@@ -53,7 +54,7 @@ def statistics_stream(feedback: DataFrame, records: DataFrame) -> DataFrame:
     side = records.select(
         F.col("id").alias("classification_id"), F.col("classification").alias("label")
     )
-    overridden = F.lower("decision").isin("override", "reclassify")
+    overridden = F.lower("decision").isin(*OVERRIDE_DECISIONS)
     return (
         feedback.join(side, "classification_id")
         .groupBy("label")
