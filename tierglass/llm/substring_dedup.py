@@ -80,23 +80,35 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carr
             *_, anchor, text = _scan(batch, window, gram)
             yield _pairs(batch.column("doc_id"), text, anchor)
 
-    # One exchange by anchor serves the count and the way back to the documents.
-    seen = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(anchors, "h long, doc_id long").repartition("h")
+    # One exchange by anchor serves the count and the way back to the documents. Spark shares it only
+    # if both sides read the very same plan, so the filter that a join would add is stated here.
+    seen = (
+        docs.select("doc_id", "text")
+        .where("doc_id is not null")
+        .mapInArrow(anchors, "h long, doc_id long")
+        .where("h is not null")
+        .repartition("h")
+    )
     shared = _in_two_documents(seen).select("h")
     candidates = (
         seen.join(shared.hint("merge"), "h", "left_semi").groupBy("doc_id").agg(F.collect_set("h").alias("candidates"))
     )
-    # The same exchange of texts is used here and in the last join.
+    # The same exchange of texts is used here and in the last join, hence two left joins.
     texts = docs.select(*columns).repartition("doc_id")
 
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for b in batches for part in W.slices(b)):
+            if batch.column("candidates").null_count == len(batch):
+                continue
             *_, full, anchor, text = _scan(batch, window, gram)
             keep = _among(batch.column("candidates"), text, anchor)
             yield _pairs(batch.column("doc_id"), text[keep], full[keep])
 
     windows = (
-        texts.join(candidates.hint("merge"), "doc_id").mapInArrow(repeats, "h long, doc_id long").repartition("h")
+        texts.join(candidates.hint("merge"), "doc_id", "left")
+        .mapInArrow(repeats, "h long, doc_id long")
+        .where("h is not null")
+        .repartition("h")
     )
     first = _in_two_documents(windows).select("h", F.col("first").alias("first_doc"))
     removed = (
