@@ -219,7 +219,8 @@ def score(docs: DataFrame, model: dict, counts: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) of every row of ``docs``.
 
     A null or empty text is one end token. Repeated rows get a row each with equal values. A model of
-    no texts gives every text the score 0. Log probabilities have base 10.
+    no texts gives every token the base score 0 and spreads its score over the classes. Logarithms
+    have base 10.
     """
     docs = docs.select("doc_id", "text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
