@@ -112,16 +112,23 @@ def test_hot_document_of_many_pages_is_assembled_whole(spark):
     lengths = [(1, p, "x" * (p % 7)) for p in range(5000)] + [(2, 0, "ab"), (2, 1, "c")]
     random.Random(1).shuffle(lengths)
     pages = spark.createDataFrame(lengths, "doc long, page long, text string")
-    rows = pr.assemble_pages(pages, "doc", "page", pages_per_row=512).orderBy("doc", "part").collect()
-    hot = [r for r in rows if r.doc == 1]
-    assert len(hot) == 10 and max(r.page_count for r in hot) == 512
-    spans = [s for r in hot for s in r.page_spans]
+    hot, small = pr.assemble_pages(pages, "doc", "page").orderBy("doc").collect()
+    assert hot.page_count == 5000
     start = 0
-    for number, span in enumerate(spans, start=1):
+    for number, span in enumerate(hot.page_spans, start=1):
         end = start + (number - 1) % 7
         assert (span.page, span.start, span.end) == (number, start, end)
         start = end + 2
-    assert [r.text for r in rows if r.doc == 2] == ["ab\n\nc"]
+    assert small.text == "ab\n\nc"
+
+
+def test_document_of_many_pages_gets_one_result(spark):
+    pages = spark.range(5000).selectExpr(
+        "1L AS doc_id", "id AS page", "CASE id WHEN 4998 THEN 'SSN 123-45-6789' WHEN 4999 THEN 'malware' ELSE 'page' END AS text"
+    )
+    docs = pr.assemble_pages(pages, "doc_id", "page").withColumn("source", F.lit("s"))
+    (row,) = classify(docs, spans="page_spans").collect()
+    assert (row.label, [s.page for s in row.signals]) == ("Unsafe", [4999, 5000])
 
 
 def test_hot_task_and_hot_classification(spark, shuffled_joins):
@@ -182,6 +189,7 @@ def test_numbers_are_consecutive_in_key_order(spark):
 
 # --- brute force -----------------------------------------------------------------
 
+# The published patterns.
 PYTHON_RULES = (
     r"\b\d{3}-\d{2}-\d{4}\b",
     r"\b[A-Z]{1,2}\d{6,9}\b",

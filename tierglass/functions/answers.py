@@ -25,9 +25,27 @@ def json_block(response: Column) -> Column:
     return F.nullif(F.regexp_extract(response, r"(?s)\{.*\}", 0), F.lit(""))
 
 
+def json_data(response: Column) -> Column:
+    """What :func:`json_field` reads: the answer's JSON object, or nulls where it has none.
+
+    A repeated key counts with its last value and NaN and infinities are read as text, so an object that
+    the strict parser refuses for these is read once more. The brackets make anything behind the
+    object an error there.
+    """
+    block = json_block(response)
+    keys = (*LABEL_KEYS, *CONFIDENCE_KEYS, *REASONING_KEYS)
+    fields = ",".join(f"{key}:variant" for key in keys)
+    strict = F.try_parse_json(block)
+    listed = F.concat(F.lit("["), F.when(strict.isNull(), block), F.lit("]"))
+    lenient = F.from_json(listed, f"array<struct<{fields}>>", {"mode": "PERMISSIVE"})
+    return F.struct(
+        strict.alias("strict"), F.when(F.size(lenient) == 1, F.get(lenient, 0)).alias("lenient")
+    )
+
+
 def json_field(data: Column, key: str) -> Column:
     """Kind (string, number, boolean, list, object) and text of one key; null if absent."""
-    value = F.try_variant_get(data, f"$.{key}", "variant")
+    value = F.coalesce(F.try_variant_get(data["strict"], f"$.{key}", "variant"), data["lenient"][key])
     kind_name = F.schema_of_variant(value)
     kind = (
         F.when(kind_name.isNull() | (kind_name == "VOID"), F.lit(None).cast("string"))
@@ -37,7 +55,7 @@ def json_field(data: Column, key: str) -> Column:
         .when(kind_name.startswith("OBJECT"), "object")
         .otherwise("number")
     )
-    text = F.coalesce(F.try_variant_get(data, f"$.{key}", "string"), F.to_json(value))
+    text = F.coalesce(F.try_variant_get(value, "$", "string"), F.to_json(value))
     return F.when(
         kind.isNotNull(), F.struct(kind.alias("kind"), text.alias("value"))
     ).cast(FIELD_TYPE)

@@ -11,11 +11,11 @@ from tierglass.lexicon import DEFAULT_BBOX, RELEVANT_IMAGE_KEYS
 SPAN_TYPE = "array<struct<page:int,start:int,end:int>>"
 
 
-def spans_of_lengths(lens: str, gap: int, first_page: str = "0", first_char: str = "0") -> str:
+def spans_of_lengths(lens: str, gap: int) -> str:
     """SQL: page spans from page lengths with ``gap`` characters between pages."""
-    start = f"h.before[i] + i * {gap} + {first_char}"
+    start = f"h.before[i] + i * {gap}"
     span = (
-        f"named_struct('page', cast(i + 1 + {first_page} as int), "
+        f"named_struct('page', cast(i + 1 as int), "
         f"'start', cast({start} as int), 'end', cast({start} + len as int))"
     )
     held = f"array(named_struct('lens', lens, 'before', {running_sums('lens')}))"
@@ -34,6 +34,14 @@ def form_feed_spans(text: str) -> Column:
     ).cast(SPAN_TYPE)
 
 
+def one_span(text: str) -> Column:
+    """The whole text as page one; empty text has no page."""
+    return F.expr(
+        f"""CASE WHEN coalesce({text}, '') = '' THEN cast(array() AS {SPAN_TYPE})
+        ELSE array(named_struct('page', 1, 'start', 0, 'end', length({text}))) END"""
+    ).cast(SPAN_TYPE)
+
+
 def page_of(spans: Column, offset: Column) -> Column:
     """Page of the first span that covers the offset, else null."""
     covering = F.filter(

@@ -75,7 +75,7 @@ PATTERN_RULES = (
     PatternRule(
         "email",
         "Confidential",
-        r"(?iu)" + _MAILBOX_START + r"[a-z0-9_.+-]++@[a-z0-9-]++\.[a-z0-9.-]+",
+        r"(?iu)" + _MAILBOX_START + r"[a-z0-9_.+-]++@[a-z0-9-]++\.[a-z0-9-.]+",
         0.60,
         "Email address detected",
         "at",

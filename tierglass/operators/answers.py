@@ -28,7 +28,7 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     }
     df = responses.withColumn(
         "_response", strip(F.coalesce(F.col("raw_response"), F.lit("")))
-    ).withColumn("_data", F.try_parse_json(A.json_block(response)))
+    ).withColumn("_data", A.json_data(response))
     df = df.withColumns(
         {
             f"_{key}_field": A.json_field(F.col("_data"), key)
@@ -59,8 +59,7 @@ def parse_responses(responses: DataFrame) -> DataFrame:
 
 def _answer(reason: Column, backend: Column, *extra: str) -> Column:
     return F.struct(
-        "model", "label", "score", "reasoning", "raw_response", "blank",
-        reason.alias("reason"), backend.alias("backend"), *extra,
+        "model", "label", "score", "reasoning", "blank", reason.alias("reason"), backend.alias("backend"), *extra
     )
 
 
@@ -72,27 +71,59 @@ def _reason() -> Column:
     return F.coalesce("error", "parse_error")
 
 
-def last_answer(answers: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The answer of the last prompt node per document and role, with its ``reason``."""
+ROLES = ("primary", "secondary")
+
+
+def _last_of_roles(answers: DataFrame, key: str, answer: Column) -> DataFrame:
+    """The last answer of both roles side by side; null where a role has none."""
+
+    def last(role: str) -> Column:
+        in_role = F.col("role") == role
+        return F.max_by(F.when(in_role, answer), F.when(in_role, F.col("node_ord"))).alias(role)
+
+    return answers.groupBy(key).agg(*[last(role) for role in ROLES])
+
+
+def last_responses(responses: DataFrame, key: str = "doc_id", last_node: int | None = None) -> DataFrame:
+    """Raw responses of the last prompt node per document and role.
+
+    With ``last_node``, the number of the tree's last node, this is a filter. Otherwise the last node
+    that answered is looked for, which moves one raw response per document and role.
+    """
+    if last_node is not None:
+        return responses.filter(F.col("node_ord") == last_node)
+    raw = F.struct("model", "raw_response", "error", "node_ord")
+    sides = F.array(*[F.struct(F.lit(role).alias("role"), F.col(role).alias("a")) for role in ROLES])
     return (
-        answers.groupBy(key, "role")
-        .agg(F.max_by(_answer(_reason(), _backend(answers), "node_ord"), F.col("node_ord")).alias("a"))
+        _last_of_roles(responses, key, raw)
+        .select(key, F.inline(sides))
+        .filter(F.col("a").isNotNull())
         .select(key, "role", "a.*")
     )
 
 
-def pair_answers(answers: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Last primary and last secondary answer side by side, in one aggregation.
+def last_answer(responses: DataFrame, key: str = "doc_id", last_node: int | None = None) -> DataFrame:
+    """The answer of the last prompt node per document and role, with its ``reason``.
 
-    Structs are null where a document has no answer in that role.
+    Only that one response is parsed.
     """
+    answers = parse_responses(last_responses(responses, key, last_node))
+    return answers.select(key, "role", _answer(_reason(), _backend(answers), "node_ord").alias("a")).select(
+        key, "role", "a.*"
+    )
 
-    def last(role: str) -> Column:
-        in_role = F.col("role") == role
-        answer = _answer(_reason(), _backend(answers))
-        return F.max_by(F.when(in_role, answer), F.when(in_role, F.col("node_ord"))).alias(role)
 
-    return answers.groupBy(key).agg(last("primary"), last("secondary"))
+def pair_answers(
+    answers: DataFrame, key: str = "doc_id", last_node: int | None = None, parsed: bool = False
+) -> DataFrame:
+    """Last primary and last secondary answer side by side.
+
+    Structs are null where a document has no answer in that role. Raw answers are parsed after the last
+    one is known; ``parsed`` marks answers that have their label already, as the cache replays them.
+    """
+    if not parsed:
+        answers = parse_responses(last_responses(answers, key, last_node))
+    return _last_of_roles(answers, key, _answer(_reason(), _backend(answers)))
 
 
 def fall_back(answer: Column, heuristic: Column, missing_reason: str | None) -> Column:

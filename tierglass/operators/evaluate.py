@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 
 def case_report(cases: DataFrame, results: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Cases with their results. ``results`` may carry a ``latency_ms`` column."""
+    """Every case with its result, if it has one. ``results`` may carry a ``latency_ms`` column.
+
+    A case without a result keeps its row: no label, no flags, and ``answered`` is false.
+    """
     latency = F.col("latency_ms") if "latency_ms" in results.columns else F.lit(0.0)
     found = results.select(
         key,
@@ -15,18 +18,20 @@ def case_report(cases: DataFrame, results: DataFrame, key: str = "doc_id") -> Da
         "score",
         latency.cast("double").alias("latency_ms"),
         "verifier_agreement",
-        "safety_flags",
+        F.coalesce("safety_flags", F.array().cast("array<string>")).alias("_flags"),
     )
-    return cases.join(found, key).select(
+    none = F.array().cast("array<string>")
+    return cases.join(found, key, "left").select(
         F.col("case_id").alias("id"),
         "expected_label",
         "predicted_label",
         "score",
         "latency_ms",
         "verifier_agreement",
-        "safety_flags",
+        F.coalesce("_flags", none).alias("safety_flags"),
         "critical",
         "expected_flags",
+        F.col("_flags").isNotNull().alias("answered"),
     )
 
 
@@ -34,7 +39,8 @@ def evaluate(report: DataFrame) -> DataFrame:
     """All metrics of a case report in one aggregation.
 
     Rates with an empty base are 1.0 and latencies 0; the number of cases counts
-    as one when there are none.
+    as one when there are none. A case without a result is wrong, not flagged
+    and not detected, and ``missing_results`` counts such cases.
     """
     flagged = F.size("safety_flags") > 0
     expects = F.size("expected_flags") > 0
@@ -58,6 +64,7 @@ def evaluate(report: DataFrame) -> DataFrame:
         F.count_if("critical").alias("critical_cases"),
         rate(flagged, F.col("critical")).alias("critical_detection_rate"),
         rate(F.size(missing) == 0, expects).alias("expected_flag_match_rate"),
+        F.count_if(~F.col("answered")).alias("missing_results"),
     )
 
 
@@ -72,5 +79,6 @@ def nested_metrics(metrics: DataFrame) -> DataFrame:
     )
     return metrics.select(
         "total_cases",
+        "missing_results",
         F.struct("accuracy", latency.alias("latency_ms"), safety.alias("safety")).alias("metrics"),
     )

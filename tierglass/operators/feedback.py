@@ -68,27 +68,29 @@ def label_statistics(feedback: DataFrame, records: DataFrame) -> DataFrame:
 
     Feedback is first reduced to one row per classification, so a classification
     with very much feedback is joined as a single row. Whitespace around a
-    decision is significant here, unlike in :func:`misclassifications`.
+    decision is significant here, unlike in :func:`misclassifications`. The mean
+    is over the qualities given; it is null where none is.
     """
     overridden = F.lower("decision").isin(*OVERRIDE_DECISIONS)
     per_record = feedback.groupBy("classification_id").agg(
         F.count("*").alias("n"),
         F.count_if(overridden).alias("n_over"),
         F.sum("quality_score").alias("quality"),
+        F.count("quality_score").alias("n_quality"),
     )
     joined = _with_record(per_record, records, F.col("classification"))
     return joined.groupBy(F.col("classification").alias("label")).agg(
         F.sum("n").alias("total"),
         F.sum("n_over").alias("overrides"),
-        (F.sum("quality") / F.sum("n")).alias("avg_quality"),
+        F.try_divide(F.sum("quality"), F.sum("n_quality")).alias("avg_quality"),
     )
 
 
 def recalibrated(score: Column, total: Column, overrides: Column, quality: Column) -> Column:
-    """Score lowered by the override ratio and moved by the mean quality."""
+    """Score lowered by the override ratio and moved by the mean quality, if there is one."""
     penalty = F.least(F.lit(0.3), overrides / total * F.lit(0.3))
     bonus = F.greatest(F.lit(-0.1), F.least(F.lit(0.1), (quality - F.lit(0.5)) * F.lit(0.2)))
-    moved = score * (F.lit(1) - penalty) + bonus
+    moved = score * (F.lit(1) - penalty) + F.when(quality.isNotNull(), bonus).otherwise(0.0)
     limited = F.greatest(F.lit(0.0), F.least(F.lit(1.0), moved))
     return F.when(F.coalesce(total, F.lit(0)) == 0, score).otherwise(limited)
 
@@ -96,16 +98,22 @@ def recalibrated(score: Column, total: Column, overrides: Column, quality: Colum
 def recalibrate(results: DataFrame, stats: DataFrame | None) -> DataFrame:
     """Add ``score``, ``raw_score`` recalibrated by the statistics of its label.
 
-    Results only carry the four labels, so at most four statistics rows are
-    broadcast.
+    Results only carry the four labels, and the statistics are reduced to one row
+    for each, so at most four rows are broadcast.
     """
     if stats is None:
         return results.withColumn("score", F.col("raw_score"))
-    four_rows = stats.filter(F.col("label").isin(*LABELS)).select(
-        "label",
-        F.col("total").alias("_total"),
-        F.col("overrides").alias("_overrides"),
-        F.col("avg_quality").alias("_quality"),
+    entry = F.struct("total", "overrides", "avg_quality")
+    four_rows = (
+        stats.filter(F.col("label").isin(*LABELS))
+        .groupBy("label")
+        .agg(F.max(entry).alias("_s"))
+        .select(
+            "label",
+            F.col("_s.total").alias("_total"),
+            F.col("_s.overrides").alias("_overrides"),
+            F.col("_s.avg_quality").alias("_quality"),
+        )
     )
     score = recalibrated(
         F.col("raw_score"), F.col("_total"), F.col("_overrides"), F.col("_quality")
@@ -164,7 +172,7 @@ def annotation_line(label: Column, overrides: Column, total: Column, quality: Co
         "- %s: overrides %.0f%%, avg quality %.2f",
         label,
         F.bround(overrides / total * 100, 0),
-        F.bround(quality, 2),
+        F.bround(F.coalesce(quality, F.lit(0.0)), 2),
     )
 
 

@@ -18,7 +18,7 @@ from tierglass.lexicon import (
     FALLBACK_SNIPPET_CHARS,
     SIGNAL_LIMIT,
 )
-from tierglass.operators.answers import debug_struct, fall_back, pair_answers, parse_responses
+from tierglass.operators.answers import debug_struct, fall_back, pair_answers
 from tierglass.operators.evidence import RULES, Evidence, extract_signals
 from tierglass.operators.feedback import recalibrate
 
@@ -161,12 +161,16 @@ def classify(
     limit: int | None = SIGNAL_LIMIT,
     spans: str | None = None,
     safety_keywords: Sequence[str] = DEFAULT_SAFETY_KEYWORDS,
+    parsed: bool = False,
+    last_node: int | None = None,
 ) -> DataFrame:
     """Label every document.
 
     ``answers`` holds raw responses (key, role, model, node_ord, raw_response,
-    error), or answers already parsed or replayed from the cache; without it both
-    models are the keyword class. ``stats`` are label
+    error), or with ``parsed`` answers that have their label already, as the cache
+    replays them; without it both models are the keyword class. ``last_node`` is
+    the number of the last prompt node where the caller knows it; then no raw
+    response is shuffled. ``stats`` are label
     statistics of reviewer feedback used to recalibrate ``score``; ``raw_score``
     stays as recorded. ``keep`` names document columns to carry along.
     """
@@ -182,8 +186,7 @@ def classify(
             }
         )
     else:
-        parsed = answers if "label" in answers.columns else parse_responses(answers)
-        pairs = pair_answers(parsed, key)
+        pairs = pair_answers(answers, key, last_node, parsed)
         joined = evidence.join(pairs, key, "left")
         completed = joined.withColumns(
             {
@@ -220,7 +223,7 @@ def classify(
 def _no_answer() -> Column:
     return F.lit(None).cast(
         "struct<model:string,label:string,score:double,reasoning:string,"
-        "raw_response:string,blank:boolean,reason:string,backend:string>"
+        "blank:boolean,reason:string,backend:string>"
     )
 
 

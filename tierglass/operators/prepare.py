@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tierglass.functions import pages as P
 from tierglass.functions.once import with_once
@@ -13,55 +12,36 @@ from tierglass.lexicon import NO_IMAGES_TEXT
 
 
 def split_pages(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``page_spans`` and ``page_count`` from the form feeds in the text."""
-    return with_once(docs, {"page_spans": P.form_feed_spans(text)}).withColumn(
+    """Add ``page_spans`` and ``page_count`` from the form feeds in the text.
+
+    Where ``docs`` has a ``mime_class``, only text is split: an image's text is one page.
+    """
+    spans = P.form_feed_spans(text)
+    if "mime_class" in docs.columns:
+        spans = F.when(F.col("mime_class") == "image", P.one_span(text)).otherwise(spans)
+    return with_once(docs, {"page_spans": spans}).withColumn(
         "page_count", F.size("page_spans")
     )
 
 
 def assemble_pages(
-    pages: DataFrame,
-    key: str,
-    order: str,
-    text: str = "text",
-    sep: str = "\n\n",
-    pages_per_row: int = 4096,
+    pages: DataFrame, key: str, order: str, text: str = "text", sep: str = "\n\n"
 ) -> DataFrame:
-    """Join page rows into document text with the span of every page.
+    """Join page rows into one row per document, its text and the span of every page.
 
-    Pages are gathered in blocks of at most ``pages_per_row`` consecutive page
-    numbers, so no task ever holds more of one document. A document within one
-    block is one row; a longer one is several rows (``part``) whose spans keep
-    counting through the whole document, and nothing is left out.
+    A document's text is one value, so its pages meet in one row however many they are; documents are
+    spread over tasks, and page text is moved once.
     """
-    block = F.floor(F.col(order) / F.lit(pages_per_row)).alias("part")
     content = F.coalesce(text, F.lit(""))
-    sizes = pages.groupBy(key, block).agg(
-        F.sum(F.length(content) + F.lit(len(sep))).alias("chars"),
-        F.count("*").alias("n"),
-    )
-    earlier = W.partitionBy(key).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(
-        key,
-        "part",
-        F.coalesce(F.sum("chars").over(earlier), F.lit(0)).alias("first_char"),
-        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first_page"),
-    )
-    gathered = pages.groupBy(key, block).agg(
+    gathered = pages.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), content.alias("t")))).alias(
             "rows"
         )
     )
-    spans = P.spans_of_lengths(
-        lengths("transform(rows, r -> r.t)"), len(sep), "first_page", "first_char"
-    )
-    placed = with_once(
-        gathered.join(offsets, [key, "part"]),
-        {"page_spans": F.expr(spans).cast(P.SPAN_TYPE)},
-    )
+    spans = P.spans_of_lengths(lengths("transform(rows, r -> r.t)"), len(sep))
+    placed = with_once(gathered, {"page_spans": F.expr(spans).cast(P.SPAN_TYPE)})
     return placed.select(
         key,
-        "part",
         F.array_join(F.transform("rows", lambda r: r["t"]), sep).alias("text"),
         "page_spans",
         F.size("rows").alias("page_count"),

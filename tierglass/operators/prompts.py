@@ -199,9 +199,10 @@ def with_content_type(docs: DataFrame) -> DataFrame:
     return docs.withColumn("content_type", detected)
 
 
-def prompt_opening(text: Column, max_chars: int = PROMPT_TEXT_CHARS) -> Column:
-    """The part of a text that a prompt carries."""
-    return F.substring(strip(F.coalesce(text, F.lit(""))), 1, max_chars)
+def prompt_opening(text: Column, max_chars: int | None = PROMPT_TEXT_CHARS) -> Column:
+    """The part of a text that a prompt carries; all of it where ``max_chars`` is None."""
+    whole = strip(F.coalesce(text, F.lit("")))
+    return whole if max_chars is None else F.substring(whole, 1, max_chars)
 
 
 def compose_prompt(
@@ -210,7 +211,7 @@ def compose_prompt(
     metadata_json: Column,
     image_summary: Column,
     instruction: str = INSTRUCTION,
-    max_chars: int = PROMPT_TEXT_CHARS,
+    max_chars: int | None = PROMPT_TEXT_CHARS,
 ) -> Column:
     """Full prompt: sections in order, the metadata section only where there is any."""
     body = prompt_opening(text, max_chars)

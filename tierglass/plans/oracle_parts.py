@@ -8,13 +8,13 @@ from tierglass import lexicon as X
 from tierglass.functions.text import WHITESPACE, WHITESPACE_CLASS
 from tierglass.plans import seeds
 
-# RE2 spelling of the pattern rules; test texts have blanks around seeded tokens.
+# RE2 spelling of the published pattern rules; test texts have blanks around seeded tokens.
 RE2_PATTERNS = {
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
     "passport": r"\b[A-Z]{1,2}\d{6,9}\b",
     "credit_card": r"\b(?:\d{4}[- ]?){3}\d{4}\b",
     "bank_account": r"\b\d{9,12}\b",
-    "email": r"(?i)[a-z0-9_.+-]+@[a-z0-9-]+\.[a-z0-9.-]+",
+    "email": r"(?i)[a-z0-9_.+-]+@[a-z0-9-]+\.[a-z0-9-.]+",
 }
 
 
@@ -155,7 +155,8 @@ CTES = {
       json_type(j, '$.score') AS k5, json_extract_string(j, '$.score') AS v5,
       json_type(j, '$.reasoning') AS k6, json_extract_string(j, '$.reasoning') AS v6,
       json_type(j, '$.rationale') AS k7, json_extract_string(j, '$.rationale') AS v7
-      FROM (SELECT *, CASE WHEN json_valid(block) THEN block::JSON END AS j FROM blocks)""",
+      FROM (SELECT *, CASE WHEN json_valid(plain) THEN plain::JSON END AS j FROM
+      (SELECT *, replace(replace(block, '"label":"Public","label"', '"label"'), ':NaN', ':"NaN"') AS plain FROM blocks))""",
     "chosen": """SELECT *, coalesce(nullif(v1, ''), nullif(v2, ''), nullif(v3, '')) AS jl,
       CASE WHEN coalesce(nullif(v1, ''), '') <> '' THEN k1 WHEN coalesce(v2, '') <> '' THEN k2 ELSE k3 END AS jl_kind,
       CASE WHEN coalesce(try_cast(v4 AS DOUBLE), 0) <> 0 THEN v4 ELSE v5 END AS jc,
@@ -222,8 +223,11 @@ CTES = {
       FROM f8 f LEFT JOIN stats s ON s.label = f.label""",
     "cases": f"SELECT {columns(seeds.CASES)} FROM labels",
     "outcomes": f"SELECT {columns(seeds.OUTCOMES)} FROM events",
-    "case_rows": """SELECT c.*, r.label AS predicted_label, r.raw_score AS score, r.flags, r.n_flags,
-      o.latency_ms FROM cases c JOIN f8 r ON r.doc_id = c.doc_id JOIN outcomes o ON o.doc_id = c.doc_id""",
+    "case_rows": """SELECT c.*, r.label AS predicted_label, r.raw_score AS score, coalesce(r.flags, '') AS flags,
+      coalesce(r.n_flags, 0) AS n_flags, r.doc_id IS NOT NULL AS answered,
+      CASE WHEN r.doc_id IS NOT NULL THEN o.latency_ms END AS latency_ms FROM cases c
+      LEFT JOIN (SELECT * FROM f8 WHERE doc_id % 7 <> 3) r ON r.doc_id = c.doc_id
+      LEFT JOIN outcomes o ON o.doc_id = c.doc_id""",
     "image_rows": "SELECT doc_id, unnest(range(0, doc_id % 4)) AS image_idx FROM documents",
     "images": """SELECT doc_id, image_idx, CASE WHEN image_idx < 2 THEN image_idx + 1 END AS page,
       concat('png', doc_id, '-', image_idx) AS content FROM image_rows""",
@@ -239,13 +243,17 @@ CTES = {
 _NAMES = re.compile(r"\b(" + "|".join(CTES) + r")\b")
 
 
-def with_parts(sql: str) -> str:
-    """The query preceded by the pieces it refers to, in order of definition."""
+def with_parts(sql: str, instead: dict[str, str] | None = None) -> str:
+    """The query preceded by the pieces it refers to, in order of definition.
+
+    ``instead`` replaces pieces by others of the same name.
+    """
+    pieces = {**CTES, **(instead or {})}
     needed: set[str] = set()
     todo = set(_NAMES.findall(sql))
     while todo:
         name = todo.pop()
         needed.add(name)
-        todo |= set(_NAMES.findall(CTES[name])) - needed
-    parts = ", ".join(f"{n} AS MATERIALIZED ({CTES[n]})" for n in CTES if n in needed)
+        todo |= set(_NAMES.findall(pieces[name])) - needed
+    parts = ", ".join(f"{n} AS MATERIALIZED ({pieces[n]})" for n in pieces if n in needed)
     return f"WITH {parts} {sql}" if parts else sql

@@ -3,26 +3,27 @@
 from __future__ import annotations
 
 from tierglass import lexicon as X
+from tierglass.lexicon import NO_TEXT_PLACEHOLDER
 from tierglass.operators import prompts as pm
 from tierglass.plans.oracle_parts import (
     any_of,
     keyword_list,
     label_of,
-    label_of,
     rank,
     snippet,
     strip,
     text,
     with_parts,
 )
+from tierglass.plans import seeds
 from tierglass.plans.queries import NODES
 from tierglass.sources.documents import suffixes
 
 ORACLES: dict[str, str] = {}
 
 
-def _add(name: str, sql: str) -> None:
-    ORACLES[name] = with_parts(sql)
+def _add(name: str, sql: str, instead: dict[str, str] | None = None) -> None:
+    ORACLES[name] = with_parts(sql, instead)
 
 
 def _values(words) -> str:
@@ -163,9 +164,9 @@ PAGES = """SELECT conv_id, turn // 2 AS part, row_number() OVER w AS page,
   (sum(length(text) + 2) OVER w - length(text) - 2)::BIGINT AS start,
   (sum(length(text) + 2) OVER w - 2)::BIGINT AS "end"
   FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"""
-_add("p2_assemble_pages", f"SELECT conv_id, 0::BIGINT AS part, md5(t) AS digest, n AS page_count FROM {_whole('chr(10) || chr(10)')}")
+_add("p2_assemble_pages", f"SELECT conv_id, md5(t) AS digest, n AS page_count FROM {_whole('chr(10) || chr(10)')}")
 _add("p2_page_spans", f'SELECT conv_id, page, start, "end" FROM ({PAGES})')
-_add("p2_page_spans_in_parts", PAGES)
+_add("p2_page_spans_in_parts", f'SELECT conv_id, page, start, "end" FROM ({PAGES})')
 _add("s13_joined_pages", f"SELECT conv_id, md5(t) AS digest FROM {_whole('chr(10)')}")
 _add("p3_metadata", """SELECT doc_id, source, has_text, text_length, text_length AS character_count, word_count,
   image_count > 0 AS has_images, image_count, page_count FROM meta""")
@@ -389,7 +390,7 @@ _add("h10_old_feedback", """SELECT decision, 2 * count(*) AS n, count(suggested_
   round(sum(quality_score), 6) AS quality FROM feedback GROUP BY decision""")
 
 _add("q1_case_report", """SELECT case_id AS id, expected_label, predicted_label, score, latency_ms,
-  true AS verifier_agreement, flags AS safety_flags FROM case_rows""")
+  CASE WHEN answered THEN true END AS verifier_agreement, flags AS safety_flags, answered FROM case_rows""")
 METRICS = {
     "total_cases": "greatest(count(*), 1)",
     "accuracy": "round(count(*) FILTER (WHERE predicted_label = expected_label) / greatest(count(*), 1), 6)",
@@ -404,6 +405,7 @@ METRICS = {
     "expected_flag_match_rate":
         "round(coalesce(count(*) FILTER (WHERE wants_flags AND list_has_all(string_split(flags, '|'), ['malware', 'breach'])) "
         "/ nullif(count(*) FILTER (WHERE wants_flags), 0), 1), 6)",
+    "missing_results": "count(*) FILTER (WHERE NOT answered)",
 }
 
 
@@ -417,8 +419,10 @@ _add("q4_flagged", _metrics("flagged_cases", "flagged_rate"))
 _add("q5_critical_detection", _metrics("critical_cases", "critical_detection_rate"))
 _add("q6_expected_flags", _metrics("expected_flag_match_rate"))
 _add("q7_benchmark", _metrics(*METRICS))
-_add("s9_evaluation_report", _metrics(
-    "total_cases", "accuracy", "latency_average", "latency_max", "flagged_cases", "critical_detection_rate"))
+REPORTED = _metrics("total_cases", "missing_results", "accuracy", "latency_average", "latency_max", "flagged_cases",
+                    "critical_detection_rate")
+_add("s9_evaluation_report", f"""SELECT case_id AS id, expected_label, predicted_label, round(score, 6) AS score,
+  flags AS safety_flags, m.* FROM case_rows, ({REPORTED}) m""")
 
 REQUESTED = """(SELECT conv_id AS task_id, turn, CASE WHEN role = 'assistant' THEN turn - 100 ELSE conv_id END AS doc FROM conversations)"""
 _add("j1_job_validation", f"""SELECT task_id, CASE WHEN error = '' THEN 'queued' ELSE 'rejected' END AS status, error FROM (
@@ -440,3 +444,20 @@ _add("j3_task_results", """SELECT task_id, doc_id FROM outcomes o WHERE outcome
 _add("j4_streamed_classification", "SELECT doc_id, label, raw_score, flags AS safety_flags FROM f8")
 _add("j5_streamed_statistics", "SELECT label, total, overrides, round(avg_quality, 6) AS avg_quality FROM stats")
 _add("j6_streamed_recalibration", "SELECT doc_id, label, raw_score, round(score, 6) AS score FROM recal")
+
+TURNS = f"(SELECT conv_id, turn, coalesce({seeds.SEEDED_TURN}, '') AS t FROM conversations)"
+ASSEMBLED = {
+    "seeded": f"SELECT conv_id AS doc_id, 'conversation' AS source, string_agg(t, chr(10) || chr(10) ORDER BY turn, t) AS text "
+    f"FROM {TURNS} GROUP BY conv_id",
+    "page_spans": "SELECT doc_id, page, p_start, p_start + n AS p_end FROM (SELECT conv_id AS doc_id, length(t) AS n, "
+    "row_number() OVER w AS page, coalesce(sum(length(t) + 2) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+    f"::BIGINT AS p_start FROM {TURNS} WINDOW w AS (PARTITION BY conv_id ORDER BY turn, t))",
+}
+_add("f8_classify_assembled", """SELECT f8.doc_id AS conv_id, label, n_signals, flags AS safety_flags, coalesce(pages, '') AS pages
+  FROM f8 LEFT JOIN (SELECT doc_id, string_agg(coalesce(page::VARCHAR, '-'), '|' ORDER BY signal_ord) AS pages
+  FROM signals GROUP BY doc_id) p ON p.doc_id = f8.doc_id""", ASSEMBLED)
+_add("f8_classify_uncapped", "SELECT doc_id, label, n_signals, flags AS safety_flags FROM f8",
+     {"signals": "SELECT * FROM all_signals"})
+_add("m7_composed_prompt_whole", f"""SELECT doc_id, md5(p) AS digest, length(p) AS n FROM (SELECT doc_id,
+  concat_ws(chr(10) || chr(10), 'Instruction.', 'Task Prompt:' || chr(10) || 'Task.', 'Image Summary:' || chr(10) || 'no images',
+  'Document Text:' || chr(10) || CASE WHEN st = '' THEN {text(NO_TEXT_PLACEHOLDER)} ELSE st END) AS p FROM norm)""")

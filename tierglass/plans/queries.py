@@ -36,14 +36,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 TREE = {
-    "name": "root",
-    "prompt": "Classify the document for access level.",
+    "name": "reach",
+    "prompt": "Who may read this text? Name one of the four labels.",
     "children": [
-        {"name": "policy", "prompt": "Check for policy terms."},
+        {"name": "rules", "prompt": "Which house rules does the text mention?"},
         {
-            "name": "sensitivity",
-            "prompt": "Determine sensitivity level.",
-            "children": [{"name": "safety", "prompt": "Identify safety issues."}],
+            "name": "harm",
+            "prompt": "What would leak if the text became public?",
+            "children": [{"name": "danger", "prompt": "Does the text help anyone to do damage?"}],
         },
     ],
 }
@@ -148,7 +148,7 @@ def classified(spark: SparkSession, sf: str, **options) -> DataFrame:
 
 def engine(spark: SparkSession, sf: str) -> DataFrame:
     return fu.classify(
-        seeds.seeded(spark, sf), seeds.responses(spark, sf), mode="engine"
+        seeds.seeded(spark, sf), seeds.responses(spark, sf), mode="engine", last_node=seeds.LAST_NODE
     )
 
 
@@ -244,16 +244,25 @@ def s8_history_export(spark, sf):
 
 @query
 def s9_evaluation_report(spark, sf):
-    """Metrics and cases written as a report and the metrics read back."""
+    """Metrics and cases written as a report; every case is read back next to the metrics."""
     folder = work_folder(spark)
     report = case_rows(spark, sf)
     sinks.write_evaluation(ev.nested_metrics(ev.evaluate(report)), report, folder)
     metrics = spark.read.schema(
-        "total_cases long, metrics struct<accuracy:double,latency_ms:struct<average:double,"
+        "total_cases long, missing_results long, metrics struct<accuracy:double,latency_ms:struct<average:double,"
         "max:double>,safety:struct<flagged_cases:long,critical_detection_rate:double>>"
     ).json(f"{folder}/metrics")
-    return metrics.select(
+    cases = spark.read.schema(
+        "id string, expected_label string, predicted_label string, score double, safety_flags array<string>"
+    ).json(f"{folder}/cases")
+    return cases.join(F.broadcast(metrics)).select(
+        "id",
+        "expected_label",
+        "predicted_label",
+        "score",
+        joined("safety_flags").alias("safety_flags"),
         "total_cases",
+        "missing_results",
         F.col("metrics.accuracy").alias("accuracy"),
         F.col("metrics.latency_ms.average").alias("latency_average"),
         F.col("metrics.latency_ms.max").alias("latency_max"),
@@ -317,7 +326,7 @@ def conversations(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def p2_assemble_pages(spark, sf):
     whole = pr.assemble_pages(conversations(spark, sf), "conv_id", "turn")
-    return whole.select("conv_id", "part", F.md5("text").alias("digest"), "page_count")
+    return whole.select("conv_id", F.md5("text").alias("digest"), "page_count")
 
 
 @query
@@ -328,9 +337,10 @@ def p2_page_spans(spark, sf):
 
 @query
 def p2_page_spans_in_parts(spark, sf):
-    """Blocks of two pages: spans still count through the whole document."""
-    parts = pr.assemble_pages(conversations(spark, sf), "conv_id", "turn", pages_per_row=2)
-    return parts.select("conv_id", "part", F.inline("page_spans"))
+    """Pages given in two parts: spans count through the whole document."""
+    pages = conversations(spark, sf)
+    parts = pages.filter("turn % 4 >= 2").unionByName(pages.filter("turn % 4 < 2"))
+    return pr.assemble_pages(parts, "conv_id", "turn").select("conv_id", F.inline("page_spans"))
 
 
 @query
@@ -612,6 +622,16 @@ def m7_composed_prompt(spark, sf):
     return seeds.seeded(spark, sf).select("doc_id", F.md5(prompt).alias("digest"), F.length(prompt).alias("n"))
 
 
+@query
+def m7_composed_prompt_whole(spark, sf):
+    """Prompts that carry every text to its end."""
+    prompt = pm.compose_prompt(
+        F.lit("Task."), F.col("text"), F.lit(None).cast("string"), F.lit("no images"), instruction="Instruction.",
+        max_chars=None,
+    )
+    return seeds.seeded(spark, sf).select("doc_id", F.md5(prompt).alias("digest"), F.length(prompt).alias("n"))
+
+
 @query
 def m8_cache_key(spark, sf):
     digest = ans.content_digest(F.col("text"), F.to_json(F.struct("lang")))
@@ -670,7 +690,7 @@ def m9_replayed_answers(spark, sf):
     """Documents classified with the stored answers, the others by keyword class."""
     hits, _ = ans.cache_split(requests(spark, sf), cache(spark, sf))
     answers = ans.cached_answers(hits).withColumn("role", F.lit("primary"))
-    results = classified(spark, sf, answers=answers)
+    results = classified(spark, sf, answers=answers, parsed=True)
     primary = F.col("debug_info.primary")
     return results.select(
         "doc_id", "label", "raw_score", primary["backend"].alias("backend"),
@@ -707,7 +727,7 @@ def m11_json_block(spark, sf):
 @query
 def m12_json_fields(spark, sf):
     data = seeds.responses(spark, sf).select(
-        *KEY, F.try_parse_json(A.json_block(F.col("raw_response"))).alias("data")
+        *KEY, A.json_data(F.col("raw_response")).alias("data")
     )
     fields = data.select(
         *KEY,
@@ -751,13 +771,13 @@ def keyword_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def m18_fallback(spark, sf):
-    filled = ans.with_fallback(ans.last_answer(parsed(spark, sf)), keyword_docs(spark, sf))
+    filled = ans.with_fallback(ans.last_answer(seeds.responses(spark, sf)), keyword_docs(spark, sf))
     return filled.select("doc_id", "role", "label", "score", "fallback", "reason")
 
 
 @query
 def m19_last_node(spark, sf):
-    return ans.last_answer(parsed(spark, sf)).select("doc_id", "role", "node_ord", "label", "score")
+    return ans.last_answer(seeds.responses(spark, sf)).select("doc_id", "role", "node_ord", "label", "score")
 
 
 @query
@@ -792,7 +812,7 @@ def u1_inference(spark, sf):
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    both = keyword_docs(spark, sf).join(ans.pair_answers(parsed(spark, sf)), "doc_id", "left")
+    both = keyword_docs(spark, sf).join(ans.pair_answers(seeds.responses(spark, sf)), "doc_id", "left")
     p = ans.fall_back(F.col("primary"), F.col("keyword"), "engine_unavailable")
     s = F.when(F.col("secondary").isNotNull(), ans.fall_back(F.col("secondary"), F.col("keyword"), None))
     return both.select("doc_id", p.alias("p"), s.alias("s"))
@@ -853,9 +873,29 @@ def f8_classify(spark, sf):
     )
 
 
+@query
+def f8_classify_uncapped(spark, sf):
+    """Every signal counts, so none hides a more severe one."""
+    return classified(spark, sf, limit=None).select(
+        "doc_id", "label", F.size("signals").alias("n_signals"), joined("safety_flags").alias("safety_flags")
+    )
+
+
+@query
+def f8_classify_assembled(spark, sf):
+    """One label per document made of page rows, with the pages that signals stand on."""
+    pages = conversations(spark, sf).withColumn("text", F.expr(seeds.SEEDED_TURN))
+    docs = pr.assemble_pages(pages, "conv_id", "turn").withColumn("source", F.lit("conversation"))
+    results = fu.classify(docs, key="conv_id", spans="page_spans")
+    return results.select(
+        "conv_id", "label", F.size("signals").alias("n_signals"), joined("safety_flags").alias("safety_flags"),
+        F.array_join(F.transform("signals", lambda s: F.coalesce(s["page"].cast("string"), F.lit("-"))), "|").alias("pages"),
+    )
+
+
 @query
 def f8_classify_with_answers(spark, sf):
-    results = classified(spark, sf, answers=seeds.responses(spark, sf))
+    results = classified(spark, sf, answers=seeds.responses(spark, sf), last_node=seeds.LAST_NODE)
     return results.select(
         "doc_id", "label", "raw_score", "verifier_agreement", joined("safety_flags").alias("safety_flags")
     )
@@ -1095,8 +1135,9 @@ def h10_old_feedback(spark, sf):
 
 
 def case_rows(spark: SparkSession, sf: str) -> DataFrame:
-    timed = classified(spark, sf).join(
-        seeds.outcomes(spark, sf).select("doc_id", "latency_ms"), "doc_id"
+    """Cases of which every seventh document has no result."""
+    timed = classified(spark, sf).filter("doc_id % 7 <> 3").join(
+        seeds.outcomes(spark, sf).select("doc_id", "latency_ms"), "doc_id", "left"
     )
     return ev.case_report(seeds.cases(spark, sf), timed)
 
@@ -1105,7 +1146,7 @@ def case_rows(spark: SparkSession, sf: str) -> DataFrame:
 def q1_case_report(spark, sf):
     return case_rows(spark, sf).select(
         "id", "expected_label", "predicted_label", "score", "latency_ms", "verifier_agreement",
-        joined("safety_flags").alias("safety_flags"),
+        joined("safety_flags").alias("safety_flags"), "answered",
     )
 
 

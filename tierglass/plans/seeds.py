@@ -9,8 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierglass.session import spread
-
 SEEDED_TEXT = """CASE doc_id % 10
   WHEN 0 THEN text
   WHEN 1 THEN concat(text, ' Reach me at jo.doe@example.org about SSN 123-45-6789 now.')
@@ -38,6 +36,9 @@ SEEDED_BLANK = {
     "text": "CASE WHEN toxic = 1 THEN '' ELSE '   ' END",
 }
 
+SEEDED_TURN = """CASE turn % 4 WHEN 1 THEN concat(text, ' SSN 123-45-6789 ') WHEN 2 THEN concat(text, ' malware ')
+  ELSE text END"""
+
 RESPONSE_TEXT = """CASE (doc_id + node_ord + CASE WHEN role = 'secondary' THEN 3 ELSE 0 END) % 8
   WHEN 0 THEN '{"label":"Unsafe","confidence":0.93,"reasoning":"r0"}'
   WHEN 1 THEN 'Sure: {"risk_level":"highly_sensitive","score":0.8,"rationale":"r1"} done'
@@ -45,11 +46,14 @@ RESPONSE_TEXT = """CASE (doc_id + node_ord + CASE WHEN role = 'secondary' THEN 3
   WHEN 3 THEN 'I think this is Public, not Unsafe. confidence: 0.7'
   WHEN 4 THEN ''
   WHEN 5 THEN '{"label":"Unsafe","reasoning":["a"]}'
-  WHEN 6 THEN '{broken json} highly sensitive'
+  WHEN 6 THEN CASE WHEN doc_id % 3 = 0 THEN '{"label":"Public","label":"Unsafe","confidence":0.9}'
+    WHEN doc_id % 3 = 1 THEN '{"label":"Unsafe","confidence":NaN}' ELSE '{broken json} highly sensitive' END
   ELSE NULL END"""
 RESPONSE_ERROR = """CASE WHEN (doc_id + node_ord
   + CASE WHEN role = 'secondary' THEN 3 ELSE 0 END) % 8 = 7 THEN 'timeout' END"""
 
+LAST_NODE = 2
+
 RECORD_TIME = "TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 MINUTE * doc_id"
 FEEDBACK = {
     "id": "doc_id",
@@ -59,7 +63,8 @@ FEEDBACK = {
     "ELSE 'accept' END",
     "comments": "concat('note ', CAST(doc_id AS VARCHAR(20)))",
     "suggested_label": "CASE WHEN toxic = 1 THEN 'Unsafe' END",
-    "quality_score": "(doc_id % 10) / CAST(10 AS DOUBLE)",
+    # Some reviewers give no quality.
+    "quality_score": "CASE WHEN doc_id % 11 <> 5 THEN (doc_id % 10) / CAST(10 AS DOUBLE) END",
     "created_at": "TIMESTAMP '2024-01-02 00:00:00' + INTERVAL 1 MINUTE * doc_id",
 }
 ORPHAN_FEEDBACK = {
@@ -100,13 +105,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "documents"))
+    return table(spark, sf, "documents")
 
 
 def seeded(spark: SparkSession, sf: str) -> DataFrame:
     given = table(spark, sf, "documents").selectExpr(*select(SEEDED_DOCUMENT))
     blank = table(spark, sf, "labels").selectExpr(*select(SEEDED_BLANK))
-    return spread(given.unionByName(blank))
+    return given.unionByName(blank)
 
 
 def responses(spark: SparkSession, sf: str) -> DataFrame:

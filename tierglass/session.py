@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -9,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int = 8, partitions: int = 8, memory: str = "20g") -> SparkSession:
-    """A single-machine session for tests and the benchmark."""
+    """A single-machine session for tests and the benchmark, with a checkpoint folder of its own."""
+    folder = tempfile.mkdtemp(prefix="tierglass-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("tierglass")
@@ -19,14 +24,24 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "20g") -> S
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", folder)
         .getOrCreate()
     )
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where unset."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master gets a temporary folder; on a cluster every executor would write
+    to its own disk, so that is an error.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured or tempfile.mkdtemp(prefix="tierglass-")
+    if configured:
+        return configured
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+    return tempfile.mkdtemp(prefix="tierglass-")
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -40,15 +55,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
-
-
-def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Use all cores on tables with too few files; large tables pass unchanged.
-
-    Meant for tables as they are read: counting partitions of a plan that
-    already shuffles would run it.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, key)
-    return df

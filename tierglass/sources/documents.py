@@ -16,8 +16,12 @@ _LAST_SUFFIX = r"[^/](\.[^./]+)$"
 
 def suffixes(kind: str) -> list[str]:
     """File suffixes, without dot, of a main type in the standard type table."""
-    table = mimetypes.MimeTypes().types_map[True]
-    return sorted(s.lstrip(".") for s, t in table.items() if t.startswith(kind + "/"))
+    types = mimetypes.MimeTypes()
+    table = types.types_map[True]
+    # Some suffixes stand for two, such as that of a compressed drawing.
+    both = {s: table.get(long.rsplit(".", 1)[0].lower()) for s, long in types.suffix_map.items()}
+    found = {**{s: t for s, t in both.items() if t}, **table}
+    return sorted(s.lstrip(".") for s, t in found.items() if t.startswith(kind + "/"))
 
 
 def mime_class(path: Column) -> Column:
