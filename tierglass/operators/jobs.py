@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tierglass.operators.fusion import classify
+from tierglass.session import cut_lineage
+from tierglass.sources.sinks import write_reports
+
 # Texts of rejected requests and empty tasks.
 BOTH_GIVEN = "Provide either document IDs or raw text, not both."
 NOTHING_GIVEN = "No document IDs or text supplied"
@@ -94,3 +98,41 @@ def task_results(outcomes: DataFrame, task: str = "task_id") -> DataFrame:
         .filter(F.col("_stop").isNull() | (F.col("ord") < F.col("_stop")))
         .drop("_stop")
     )
+
+
+def run_jobs(
+    jobs: DataFrame, docs: DataFrame, folder: str, task: str = "task_id", key: str = "doc_id", **options
+) -> tuple[DataFrame, DataFrame]:
+    """Check, classify and report: (status of every task, results of the finished documents).
+
+    ``jobs`` are requests as in :func:`validate_jobs`; pasted text is a document of its own task. Each
+    requested document is classified once, however many tasks name it, and its report is written per
+    task. ``options`` go to ``classify``. A rejected request fails with its error.
+    """
+    checked = cut_lineage(validate_jobs(jobs, docs, task, key).select(task, "doc_ids", "text", "status", "error"))
+    queued = checked.filter(F.col("status") == "queued")
+    named = queued.select(task, F.posexplode(F.coalesce("doc_ids", F.array().cast("array<string>"))).alias("ord", "_doc"))
+    named = named.groupBy(task, "_doc").agg(F.min("ord").alias("ord"))
+    pasted = queued.filter(F.coalesce("text", F.lit("")) != "").select(
+        task, F.lit(0).alias("ord"), F.concat(F.lit("pasted-"), F.col(task).cast("string")).alias("_doc"), "text"
+    )
+    wanted = docs.withColumn("_doc", F.col(key).cast("string")).join(named.select("_doc").distinct(), "_doc", "left_semi")
+    given = wanted.select("_doc", "source", "text").unionByName(
+        pasted.select("_doc", F.lit(None).cast("string").alias("source"), "text")
+    )
+    results = cut_lineage(classify(given, key="_doc", **options))
+    places = named.unionByName(pasted.drop("text"))
+    found = places.join(results, "_doc").withColumn("classification_id", F.col("_doc"))
+    write_reports(found.withColumnRenamed(task, "task_id"), folder, key="_doc")
+    outcomes = places.join(results.select("_doc", F.lit("done").alias("outcome")), "_doc", "left").select(
+        task,
+        "ord",
+        F.coalesce("outcome", F.lit("failed")).alias("outcome"),
+        F.when(F.col("outcome").isNull(), F.lit("no result")).alias("error"),
+        "_doc",
+    )
+    ran = task_status(outcomes, queued, task)
+    rejected = checked.filter(F.col("status") == "rejected").select(
+        task, F.lit("failed").alias("status"), F.lit(0.0).alias("progress"), "error"
+    )
+    return ran.unionByName(rejected), task_results(outcomes, task).join(results, "_doc").drop("outcome", "error")

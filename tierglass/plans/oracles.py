@@ -461,3 +461,31 @@ _add("f8_classify_uncapped", "SELECT doc_id, label, n_signals, flags AS safety_f
 _add("m7_composed_prompt_whole", f"""SELECT doc_id, md5(p) AS digest, length(p) AS n FROM (SELECT doc_id,
   concat_ws(chr(10) || chr(10), 'Instruction.', 'Task Prompt:' || chr(10) || 'Task.', 'Image Summary:' || chr(10) || 'no images',
   'Document Text:' || chr(10) || CASE WHEN st = '' THEN {text(NO_TEXT_PLACEHOLDER)} ELSE st END) AS p FROM norm)""")
+SAID = """(SELECT k.*, t.top, contains(lo, 'malware') AS refused, CASE WHEN contains(lo, 'malware') THEN kw_label
+  WHEN contains(lo, 'nda') THEN 'Confidential' ELSE 'Public' END AS said,
+  CASE WHEN contains(lo, 'malware') THEN kw_score WHEN contains(lo, 'nda') THEN 0.7 ELSE 0.6 END::DOUBLE AS said_score
+  FROM keyword k LEFT JOIN strongest t USING (doc_id))"""
+_add("m9_m10_ask", f"""SELECT doc_id, node_ord, CASE WHEN NOT refused THEN said END AS label,
+  CASE WHEN NOT refused THEN said_score END AS score, CASE WHEN refused THEN 'refused' END AS error, 'model' AS backend,
+  said AS stored_label, 'cache' AS "then", NULL::VARCHAR AS later_error FROM {SAID}, range({len(NODES)}) n(node_ord)""")
+_add("f8_classify_single_prompt", f"""SELECT doc_id, CASE WHEN coalesce(top, 0) > {rank('said')} THEN {label_of('top')} ELSE said END AS label,
+  said_score AS raw_score, refused AS fallback FROM {SAID}""")
+_add("j7_job_run", f"""SELECT task_id, CASE WHEN e = '' THEN 'completed' ELSE 'failed' END AS status,
+  CASE WHEN e = '' THEN 1.0 ELSE 0.0 END::DOUBLE AS progress, e AS error,
+  CASE WHEN e = '' THEN n END AS n, CASE WHEN e = '' THEN last_label END AS last_label FROM (
+  SELECT task_id, CASE WHEN task_id % 10 = 3 THEN 'Provide either document IDs or raw text, not both.'
+    WHEN count(*) FILTER (WHERE f.doc_id IS NULL) > 0 THEN 'Unknown documents: ' ||
+      string_agg(doc::VARCHAR, ', ' ORDER BY turn) FILTER (WHERE f.doc_id IS NULL) ELSE '' END AS e,
+  count(DISTINCT doc) AS n, max(label) AS last_label
+  FROM {REQUESTED} q LEFT JOIN f8 f ON f.doc_id = q.doc GROUP BY task_id)""")
+_add("h1_appended_feedback", f"""SELECT run, id, classification_id, reviewer, decision, expected_label, strftime(t, '%Y-%m-%dT%H:%M:%S') AS created_at FROM (
+  SELECT *, CASE run WHEN 'first' THEN 0 ELSE max(CASE WHEN run = 'first' THEN place ELSE 0 END) OVER () END + place AS id FROM (
+  SELECT CASE WHEN f.id % 2 = 0 THEN 'first' ELSE 'second' END AS run,
+  row_number() OVER (PARTITION BY f.id % 2 = 0 ORDER BY f.id) AS place, classification_id,
+  coalesce(nullif(reviewer, ''), 'Analyst') AS reviewer, coalesce(nullif(decision, ''), 'accept') AS decision,
+  CASE WHEN lower({strip('decision')}) IN ('override', 'reclassify') OR coalesce(suggested_label, '') <> ''
+    THEN coalesce(nullif(suggested_label, ''), r.classification) END AS expected_label, r.created_at AS t
+  FROM feedback f JOIN records r ON r.id = f.classification_id))""")
+_add("s10_appended_records", """SELECT run, document_path, n + CASE run WHEN 'first' THEN 0 ELSE count(*) OVER (PARTITION BY run) END AS id,
+  classification FROM (SELECT source AS document_path, label AS classification,
+  row_number() OVER (ORDER BY doc_id) AS n FROM f8), (VALUES ('first'), ('second')) t(run)""")

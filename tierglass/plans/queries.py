@@ -18,6 +18,7 @@ from tierglass.functions import pages as P
 from tierglass.functions.text import snippet, strip
 from tierglass.lexicon import CONFIGURED_SAFETY_KEYWORDS, DEFAULT_SAFETY_KEYWORDS
 from tierglass.operators import answers as ans
+from tierglass.operators import ask as asking
 from tierglass.operators import evaluate as ev
 from tierglass.operators import evidence as evi
 from tierglass.operators import feedback as fb
@@ -54,6 +55,10 @@ def record_time() -> Column:
     return F.expr(seeds.RECORD_TIME)
 
 
+def record_time_of(column: str) -> Column:
+    return F.expr(seeds.RECORD_TIME.replace("doc_id", column))
+
+
 def query(function: Query) -> Query:
     """Register a query under its own name, with rounded and widened numbers."""
 
@@ -280,15 +285,12 @@ def s10_record_ids(spark, sf):
 
 @query
 def s10_appended_records(spark, sf):
-    """Two runs appended to one table, the second one twice; ids continue."""
+    """Two runs appended to one table, then the first one again; it keeps its ids."""
     folder = work_folder(spark)
     results = classified(spark, sf)
-    for run in ("first", "second", "second"):
+    for run in ("first", "second", "first"):
         sinks.append_records(results, folder, run)
-    return spark.read.parquet(folder).groupBy("run").agg(
-        F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"),
-        F.count_distinct("id").alias("distinct_ids"),
-    )
+    return spark.read.parquet(folder).select("run", "document_path", "id", "classification")
 
 
 @query
@@ -808,6 +810,47 @@ def u1_inference(spark, sf):
     return answers.select("doc_id", "label", "score", "error")
 
 
+def stub_model(model: str, prompt: str) -> str:
+    """Stands for a model: reads the document part of its prompt, and refuses some."""
+    body = prompt.split("Document Text:\n", 1)[1].lower()
+    if "malware" in body:
+        raise RuntimeError("refused")
+    return '{"label": "Confidential", "score": 0.7}' if "nda" in body else "Public"
+
+
+def empty_cache(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(
+        [], "model string, prompt_hash string, label string, score double, reasoning string, raw_response string, "
+        "updated_at timestamp",
+    )
+
+
+@query
+def m9_m10_ask(spark, sf):
+    """Every node asked twice: the first time by inference, then from the cache alone."""
+    docs, models = seeds.seeded(spark, sf), {"primary": "stub"}
+    first, stored = asking.ask(docs, NODES, empty_cache(spark), stub_model, models, max_chars=None)
+    second, _ = asking.ask(docs, NODES, sinks.cut_lineage(stored), no_model, models, max_chars=None)
+    again = second.select("doc_id", "node_ord", F.col("label").alias("stored_label"), F.col("backend").alias("then"), F.col("error").alias("later_error"))
+    return first.join(again, ["doc_id", "node_ord"]).select(
+        "doc_id", "node_ord", "label", "score", "error", "backend", "stored_label", "then", "later_error"
+    )
+
+
+def no_model(model: str, prompt: str) -> str:
+    raise RuntimeError("nothing should be asked")
+
+
+@query
+def f8_classify_single_prompt(spark, sf):
+    """Both models asked the single prompt, and their answers fused."""
+    docs = seeds.seeded(spark, sf)
+    models = {"primary": "stub", "secondary": "other"}
+    answers, _ = asking.ask(docs, pm.SINGLE_PROMPT, empty_cache(spark), stub_model, models, max_chars=None)
+    results = classified(spark, sf, answers=answers, parsed=True)
+    return results.select("doc_id", "label", "raw_score", F.col("debug_info.primary.fallback").alias("fallback"))
+
+
 # --- fusion ---------------------------------------------------------------------------------
 
 
@@ -1056,6 +1099,23 @@ def h1_feedback_rejected(spark, sf):
     return rejects.select("id", "reviewer", "decision", "error")
 
 
+@query
+def h1_appended_feedback(spark, sf):
+    """Feedback of two runs stored with ids, the first run twice, and its misclassifications."""
+    folder = work_folder(spark)
+    given = seeds.feedback(spark, sf).withColumn("key", F.col("id"))
+    known = sinks.cut_lineage(records(spark, sf))
+    for run in ("first", "second", "first"):
+        part = given.filter("key % 2 = 0" if run == "first" else "key % 2 <> 0")
+        sinks.append_feedback(part, known, folder, run, "key", record_time_of("classification_id"))
+    stored = spark.read.parquet(f"{folder}/feedback")
+    wrong = spark.read.parquet(f"{folder}/misclassifications").select("run", "id", "expected_label")
+    return stored.join(wrong, ["run", "id"], "left").select(
+        "run", "id", "classification_id", "reviewer", "decision", "expected_label",
+        fb.iso_time(F.col("created_at")).alias("created_at"),
+    )
+
+
 @query
 def h2_list_feedback(spark, sf):
     return fb.list_feedback(seeds.feedback(spark, sf)).select("id", "classification_id", "comments")
@@ -1177,21 +1237,36 @@ def q7_benchmark(spark, sf):
 @query
 def j1_job_validation(spark, sf):
     """One request per conversation for its turns' documents, some of them unknown."""
+    checked = jb.validate_jobs(requested_jobs(spark, sf), seeds.documents(spark, sf))
+    return checked.select("task_id", "status", F.coalesce("error", F.lit("")).alias("error"))
+
+
+@query
+def j7_job_run(spark, sf):
+    """The same requests run: status of every task, and the labels of its reports."""
+    folder = work_folder(spark)
+    status, _ = jb.run_jobs(requested_jobs(spark, sf), seeds.seeded(spark, sf), folder)
+    reports = spark.read.schema("_doc string, label string, task_id long").json(folder)
+    labels = reports.groupBy("task_id").agg(F.count("*").alias("n"), F.max("label").alias("last_label"))
+    return status.join(labels, "task_id", "left").select(
+        "task_id", "status", "progress", F.coalesce("error", F.lit("")).alias("error"), "n", "last_label"
+    )
+
+
+def requested_jobs(spark: SparkSession, sf: str) -> DataFrame:
     turns = seeds.table(spark, sf, "conversations").select(
         F.col("conv_id").alias("task_id"),
         F.when(F.col("role") == "assistant", F.col("turn") - 100).otherwise(F.col("conv_id")).alias("doc"),
         "turn",
     )
     # A conversation has at most a few turns; this builds the requests, not the check.
-    jobs = turns.groupBy("task_id").agg(
+    return turns.groupBy("task_id").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("turn", F.col("doc").cast("string").alias("doc")))),
             lambda t: t["doc"],
         ).alias("doc_ids"),
         F.max(F.when(F.col("task_id") % 10 == 3, "pasted")).alias("text"),
     )
-    checked = jb.validate_jobs(jobs, seeds.documents(spark, sf))
-    return checked.select("task_id", "status", F.coalesce("error", F.lit("")).alias("error"))
 
 
 def ordered_outcomes(spark: SparkSession, sf: str) -> DataFrame:
