@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tierglass.functions.text import strip
 from tierglass.lexicon import HITL_HEADING, HITL_MARKER, LABELS, OVERRIDE_DECISIONS
 from tierglass.schema import FEEDBACK_RECORDS
+from tierglass.session import cut_lineage
 
 
 def add_feedback(feedback: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -63,27 +64,34 @@ def misclassifications(feedback: DataFrame, records: DataFrame) -> DataFrame:
     )
 
 
-def label_statistics(feedback: DataFrame, records: DataFrame) -> DataFrame:
-    """Count, overrides and mean quality of feedback per predicted label.
+def label_sums(feedback: DataFrame, records: DataFrame) -> DataFrame:
+    """Sums of the feedback per predicted label, to be added to others.
 
     Feedback is first reduced to one row per classification, so a classification
     with very much feedback is joined as a single row. Whitespace around a
-    decision is significant here, unlike in :func:`misclassifications`. The mean
-    is over the qualities given; it is null where none is.
+    decision is significant here, unlike in :func:`misclassifications`.
     """
     overridden = F.lower("decision").isin(*OVERRIDE_DECISIONS)
+    sums = ("total", "overrides", "quality", "n_quality")
     per_record = feedback.groupBy("classification_id").agg(
-        F.count("*").alias("n"),
-        F.count_if(overridden).alias("n_over"),
+        F.count("*").alias("total"),
+        F.count_if(overridden).alias("overrides"),
         F.sum("quality_score").alias("quality"),
         F.count("quality_score").alias("n_quality"),
     )
     joined = _with_record(per_record, records, F.col("classification"))
-    return joined.groupBy(F.col("classification").alias("label")).agg(
-        F.sum("n").alias("total"),
-        F.sum("n_over").alias("overrides"),
-        F.try_divide(F.sum("quality"), F.sum("n_quality")).alias("avg_quality"),
-    )
+    return joined.groupBy(F.col("classification").alias("label")).agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def statistics_of(sums: DataFrame) -> DataFrame:
+    """Count, overrides and mean quality; the mean is null where no quality was given."""
+    mean = F.try_divide("quality", "n_quality").alias("avg_quality")
+    return sums.select("label", "total", "overrides", mean)
+
+
+def label_statistics(feedback: DataFrame, records: DataFrame) -> DataFrame:
+    """Count, overrides and mean of the given qualities per predicted label."""
+    return statistics_of(label_sums(feedback, records))
 
 
 def recalibrated(score: Column, total: Column, overrides: Column, quality: Column) -> Column:
@@ -198,8 +206,8 @@ def annotate_prompt(prompts: DataFrame, stats: DataFrame) -> DataFrame:
 def refine(
     thresholds: DataFrame, prompts: DataFrame, feedback: DataFrame, records: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """New thresholds and annotated prompts from one set of statistics."""
-    stats = label_statistics(feedback, records)
+    """New thresholds and annotated prompts from one set of statistics, at most a row per label."""
+    stats = cut_lineage(label_statistics(feedback, records))
     return update_thresholds(thresholds, stats), annotate_prompt(prompts, stats)
 
 

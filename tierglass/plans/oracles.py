@@ -384,8 +384,8 @@ _add("h7_thresholds", f"SELECT key, round(value, 6) AS value FROM {UPDATED}")
 NOTES = f"""(SELECT concat({text(X.HITL_HEADING)}, string_agg(concat(chr(10), '- ', label, ': overrides ',
   printf('%.0f', round_even(overrides / total * 100, 0)), '%, avg quality ', printf('%.2f', round_even(avg_quality, 2))), '' ORDER BY label)) FROM stats)"""
 _add("h8_prompt_annotation", f"SELECT doc_id, concat(source, {text(X.HITL_MARKER)}, {NOTES}) AS prompt FROM documents")
-_add("h9_refine", f"""SELECT key, round(value, 6) AS value, (SELECT count(DISTINCT source) FROM documents) AS distinct_prompts
-  FROM {UPDATED}""")
+_add("h9_refine", f"""SELECT doc_id, md5(concat(source, {text(X.HITL_MARKER)}, {NOTES})) AS digest,
+  (SELECT string_agg(printf('%s=%.6f', key, value), ',' ORDER BY key) FROM {UPDATED}) AS thresholds FROM documents""")
 _add("h10_old_feedback", """SELECT decision, 2 * count(*) AS n, count(suggested_label) AS n_suggested,
   round(sum(quality_score), 6) AS quality FROM feedback GROUP BY decision""")
 

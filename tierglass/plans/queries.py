@@ -1140,7 +1140,10 @@ def h4_label_statistics(spark, sf):
 
 @query
 def h5_recalibration(spark, sf):
-    return classified(spark, sf, stats=statistics(spark, sf)).select("doc_id", "label", "raw_score", "score")
+    """Results stored once, the statistics of their feedback, and the scores these give."""
+    stored = sinks.cut_lineage(classified(spark, sf).select("doc_id", "label", "raw_score"))
+    known = stored.select(F.col("doc_id").alias("id"), F.col("label").alias("classification"))
+    return fb.recalibrate(stored, fb.label_statistics(seeds.feedback(spark, sf), known))
 
 
 @query
@@ -1148,16 +1151,17 @@ def h6_feedback_history(spark, sf):
     return fb.feedback_history(seeds.feedback(spark, sf), records(spark, sf))
 
 
-def thresholds(spark: SparkSession, sf: str) -> DataFrame:
+def thresholds(known: DataFrame) -> DataFrame:
     """One starting threshold per label, the mean score of its documents."""
-    return records(spark, sf).groupBy(
+    return known.groupBy(
         F.replace(F.lower("classification"), F.lit(" "), F.lit("_")).alias("key")
     ).agg(F.avg("score").alias("value"))
 
 
 @query
 def h7_thresholds(spark, sf):
-    return fb.update_thresholds(thresholds(spark, sf), statistics(spark, sf))
+    known = sinks.cut_lineage(records(spark, sf))
+    return fb.update_thresholds(thresholds(known), fb.label_statistics(seeds.feedback(spark, sf), known))
 
 
 def document_prompts(spark: SparkSession, sf: str) -> DataFrame:
@@ -1172,11 +1176,13 @@ def h8_prompt_annotation(spark, sf):
 
 @query
 def h9_refine(spark, sf):
-    updated, prompts = fb.refine(
-        thresholds(spark, sf), document_prompts(spark, sf), seeds.feedback(spark, sf), records(spark, sf)
+    """New thresholds, and every annotated prompt by content, from one set of records."""
+    known = sinks.cut_lineage(records(spark, sf))
+    updated, prompts = fb.refine(thresholds(known), document_prompts(spark, sf), seeds.feedback(spark, sf), known)
+    moved = F.array_join(F.array_sort(F.collect_list(F.format_string("%s=%.6f", "key", "value"))), ",")
+    return prompts.select("doc_id", F.md5("prompt").alias("digest")).withColumn(
+        "thresholds", updated.agg(moved.alias("m")).scalar()
     )
-    distinct_prompts = prompts.agg(F.count_distinct("prompt").alias("n"))
-    return updated.withColumn("distinct_prompts", distinct_prompts.scalar())
 
 
 @query
@@ -1305,8 +1311,9 @@ def stream_statistics(spark: SparkSession, sf: str, folder: str) -> DataFrame:
     feedback.repartition(4, "id").write.parquet(f"{folder}/feedback")
     records(spark, sf).write.parquet(f"{folder}/records")
     arriving = st.arriving(spark, f"{folder}/feedback", feedback.schema, 2)
-    running = st.statistics_stream(arriving, spark.read.parquet(f"{folder}/records"))
-    st.keep_statistics(running, f"{folder}/stats", f"{folder}/checkpoint-stats", once=True).awaitTermination()
+    st.keep_statistics(
+        arriving, spark.read.parquet(f"{folder}/records"), f"{folder}/stats", f"{folder}/checkpoint-stats", once=True
+    ).awaitTermination()
     return st.latest_statistics(spark, f"{folder}/stats")
 
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.types import StructType
 
-from tierglass.lexicon import OVERRIDE_DECISIONS
-from tierglass.operators.feedback import recalibrate
+from tierglass.operators.feedback import label_sums, recalibrate, statistics_of
 from tierglass.operators.fusion import classify
 from tierglass.schema import DOCUMENTS
 
@@ -45,43 +45,51 @@ def classify_stream(
     return _start(writer, checkpoint, once)
 
 
-def statistics_stream(feedback: DataFrame, records: DataFrame) -> DataFrame:
-    """Running label statistics of arriving feedback.
-
-    State is one row per label. The static records are joined to the stream, so
-    a stream with one hot classification is still split over input partitions.
-    """
-    side = records.select(
-        F.col("id").alias("classification_id"), F.col("classification").alias("label")
-    )
-    overridden = F.lower("decision").isin(*OVERRIDE_DECISIONS)
-    return (
-        feedback.join(side, "classification_id")
-        .groupBy("label")
-        .agg(
-            F.count("*").alias("total"),
-            F.count_if(overridden).alias("overrides"),
-            F.avg("quality_score").alias("avg_quality"),
-        )
-    )
+SLOTS = 4
+SUMS = "label string, total long, overrides long, quality double, n_quality long, batch long"
 
 
 def keep_statistics(
-    statistics: DataFrame, folder: str, checkpoint: str, once: bool = False
+    feedback: DataFrame, records: DataFrame, folder: str, checkpoint: str, once: bool = False
 ) -> StreamingQuery:
-    """Write the full statistics after every micro-batch, a few rows each."""
+    """Running label sums of arriving feedback, a few rows per micro-batch.
+
+    Each batch is reduced to a row per classification before it meets the records, so a hot
+    classification is one row there, and its sums are added to those of the batch before. The folder
+    has a fixed number of slots that later batches overwrite; a batch that is run again after a
+    failure reads the same predecessor and replaces its own slot.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        new = label_sums(batch, records)
+        kept = _kept_sums(batch.sparkSession, folder).filter(F.col("batch") == batch_id - 1)
+        both = new.unionByName(kept.select(new.columns)).groupBy("label")
+        total = both.agg(*[F.sum(c).alias(c) for c in new.columns if c != "label"])
+        (
+            total.withColumn("batch", F.lit(batch_id).cast("long"))
+            .coalesce(1)
+            .write.mode("overwrite")
+            .parquet(f"{folder}/slot={batch_id % SLOTS}")
+        )
+
+    return _start(feedback.writeStream.foreachBatch(write), checkpoint, once)
+
 
-    return _start(statistics.writeStream.outputMode("complete").foreachBatch(write), checkpoint, once)
+def _kept_sums(spark: SparkSession, folder: str) -> DataFrame:
+    """All slots of the folder; none before the first batch."""
+    try:
+        return spark.read.schema(SUMS).parquet(folder)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], SUMS)
 
 
 def latest_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """The statistics written last by :func:`keep_statistics`."""
-    kept = spark.read.parquet(folder)
+    kept = _kept_sums(spark, folder)
     newest = kept.agg(F.max("batch").alias("b")).scalar()
-    return kept.filter(F.col("batch") == newest).drop("batch")
+    return statistics_of(kept.filter(F.col("batch") == newest))
 
 
 def recalibrating_stream(
