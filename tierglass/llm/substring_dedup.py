@@ -81,12 +81,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carr
             yield _pairs(batch.column("doc_id"), text, anchor)
 
     # One exchange by anchor serves the count and the way back to the documents. Spark shares it only
-    # if both sides read the very same plan, so the filter that a join would add is stated here.
+    # if both sides read the very same plan, so the filters that joins would add are stated here.
     seen = (
         docs.select("doc_id", "text")
         .where("doc_id is not null")
         .mapInArrow(anchors, "h long, doc_id long")
-        .where("h is not null")
+        .where("h is not null and doc_id is not null")
         .repartition("h")
     )
     shared = _in_two_documents(seen).select("h")
@@ -107,7 +107,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carr
     windows = (
         texts.join(candidates.hint("merge"), "doc_id", "left")
         .mapInArrow(repeats, "h long, doc_id long")
-        .where("h is not null")
+        .where("h is not null and doc_id is not null")
         .repartition("h")
     )
     first = _in_two_documents(windows).select("h", F.col("first").alias("first_doc"))
@@ -180,6 +180,25 @@ def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT rid, doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM texts),
+windows AS (
+  SELECT rid, doc_id, i, array_to_string(w[i:i + 12], ' ') AS s
+  FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM texts)),
+earliest AS (SELECT s, min(doc_id) AS first FROM windows GROUP BY s),
+gone AS (
+  SELECT DISTINCT rid, i + k AS i FROM windows JOIN earliest USING (s), range(13) r(k) WHERE first < doc_id),
+kept AS (
+  SELECT rid, count(*) FILTER (WHERE g.i IS NOT NULL) AS n_removed,
+    string_agg(word, ' ' ORDER BY i) FILTER (WHERE g.i IS NULL) AS t
+  FROM words LEFT JOIN gone g USING (rid, i) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (rid)
+"""
+
+
 def brute_force(rows: list[tuple], window: int = WINDOW) -> list[tuple]:
     """Plain-Python answer for small inputs, for tests."""
     import re
