@@ -30,8 +30,8 @@ _SPACE = r"[ \\t\\n\\x0B\\f\\r]+"
 
 #: Shares of a text, each in 0 to 1 and null where there is nothing to measure.
 RULES = {
-    "symbols": "least(n_symbols / n_words, 1D)",
-    "marks": "least(n_marks / n_words, 1D)",
+    "symbols": "least(n_symbols / n_words, 1.0)",
+    "marks": "least(n_marks / n_words, 1.0)",
     "capitals": "n_capitals / word_chars",
     "repeats": "n_repeat_words / n_words",
     "one_word": "1 - n_distinct_words / n_words",
@@ -213,3 +213,56 @@ def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "n_marks", "n_capitals", "n_distinct_words", "n_lines",
     )
+
+
+WORD = r"[^\x20\x09-\x0D]+"
+_SHARES = ", ".join(f"coalesce(CASE WHEN n_words > 0 THEN {RULES[r]} END, 0)::DOUBLE AS share_{r}" for r in RULES)
+_LONG = " UNION ALL ".join(f"SELECT rid, doc_id, lang, base_failed, '{r}' AS rule, share_{r} AS share FROM measured" for r in RULES)
+_CUTOFFS = ", ".join(f"({j}, {c}::DOUBLE)" for j, c in enumerate(CUTOFFS))
+#: The same in DuckDB, the binomial sum from log factorials.
+SQL = f"""
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+triples AS (
+  SELECT rid, i, concat_ws(' ', w[i], w[i + 1], w[i + 2]) AS s
+  FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM texts)),
+again AS (
+  SELECT rid, count(DISTINCT i + k) AS n_repeat_words
+  FROM (SELECT rid, i FROM triples QUALIFY count(*) OVER (PARTITION BY rid, s) > 1), range(3) r(k) GROUP BY rid),
+counted AS (
+  SELECT rid, doc_id, lang, len(w)::BIGINT AS n_words, length(j)::BIGINT AS word_chars,
+    (length(j) - length(regexp_replace(j, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+    (length(j) - length(replace(j, '!', '')))::BIGINT AS n_marks,
+    (length(j) - length(regexp_replace(j, '\\p{{Lu}}', '', 'g')))::BIGINT AS n_capitals,
+    len(list_distinct(w))::BIGINT AS n_distinct_words, len(l)::BIGINT AS n_lines
+  FROM (SELECT *, array_to_string(w, '') AS j,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS l FROM texts)
+  LEFT JOIN again USING (rid)),
+measured AS (
+  SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed, {_SHARES} FROM counted),
+long AS ({_LONG}),
+agreed AS (
+  SELECT doc_id, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IN (0, 1)
+  GROUP BY doc_id HAVING min(quality) = max(quality)),
+tested AS (
+  SELECT lang, rule, ord, cutoff, count(*) FILTER (WHERE quality = 1) AS n,
+    count(*) FILTER (WHERE quality = 1 AND share > cutoff) AS k, count(*) FILTER (WHERE quality = 0 AND share > cutoff) AS bad
+  FROM long JOIN agreed USING (doc_id), (VALUES {_CUTOFFS}) c(ord, cutoff) WHERE NOT base_failed GROUP BY ALL),
+bounded AS (
+  SELECT *, CASE WHEN n > 0 AND k < n * {RISK} THEN list_sum(list_transform(range(k + 1), lambda i:
+      exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK}) + (n - i) * ln(1 - {RISK}))))
+    <= {DELTA} / ({len(RULES)} * (SELECT count(*) FROM (SELECT DISTINCT lang FROM tested))) ELSE false END AS ok FROM tested),
+stopped AS (
+  SELECT *, bad - {PENALTY} * k AS gain,
+    coalesce(min(CASE WHEN NOT ok THEN ord END) OVER (PARTITION BY lang, rule), {len(CUTOFFS)}) AS stop FROM bounded),
+chosen AS (
+  SELECT lang, rule, cutoff FROM stopped WHERE ord < stop AND gain > 0
+  QUALIFY row_number() OVER (PARTITION BY lang, rule ORDER BY gain DESC, ord) = 1),
+fired AS (
+  SELECT DISTINCT rid FROM long l JOIN chosen c ON l.rule = c.rule AND l.lang IS NOT DISTINCT FROM c.lang AND share > cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND f.rid IS NULL AS kept, n_marks, n_capitals, n_distinct_words, n_lines
+FROM measured LEFT JOIN fired f USING (rid)
+"""

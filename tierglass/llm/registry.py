@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierglass.llm import block_search
+from tierglass.llm import block_search, quality_rules, substring_dedup
 from tierglass.llm.block_search import op9_block_search
 from tierglass.llm.class_model import op6_class_model
 from tierglass.llm.html_text import op2_html_extraction
@@ -34,4 +34,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {"op9_block_search": block_search.SQL}
+SQL: dict[str, str] = {
+    "op1_quality_rules": quality_rules.SQL,
+    "op5_substring_dedup": substring_dedup.SQL,
+    "op9_block_search": block_search.SQL,
+}
