@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tierglass import lexicon as X
 from tierglass.operators import answers as ans
+from tierglass.operators import evaluate as ev
 from tierglass.operators import feedback as fb
 from tierglass.operators import jobs as jb
 from tierglass.operators import prepare as pr
@@ -187,6 +188,136 @@ def test_numbers_are_consecutive_in_key_order(spark):
     assert number_rows(rows.limit(0), "key").count() == 0
 
 
+def test_last_answer_is_known_before_anything_is_parsed(spark, shuffled_joins):
+    responses = seeds.responses(spark, SF)
+    text = plan(ans.pair_answers(responses))
+    assert text.index("parse_json") < text.rindex("max_by")  # the tree is printed from the top
+    known = exchanged_columns(ans.pair_answers(responses, last_node=seeds.LAST_NODE))
+    assert known and not any("raw_response" in m for m in known)
+
+
+def test_hot_joins_are_split(spark, shuffled_joins):
+    """Adaptive execution marks the skewed join of requests, feedback and outcomes."""
+    small = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    for name, value in small.items():
+        spark.conf.set(name, value)
+    try:
+        hot = spark.range(0, 200_000, 1, 16).selectExpr(
+            "id", "IF(id % 10 < 9, 1L, id) AS classification_id", "CAST(id AS STRING) AS reviewer", "'accept' AS decision",
+            "IF(id % 10 < 9, 't', CAST(id AS STRING)) AS task_id", "id AS ord", "IF(id = 199999, 'failed', 'done') AS outcome",
+            "CAST(NULL AS STRING) AS suggested_label", "'c' AS comments", "TIMESTAMP_NTZ '2024-01-01 00:00:00' AS created_at",
+            "'m' AS model", "IF(id % 10 < 9, 'copy', CAST(id AS STRING)) AS prompt_hash",
+        )
+        records = spark.range(0, 200_000).selectExpr("id", "'Public' AS classification", "'d' AS document_path", "0.5D AS score")
+        cache = spark.range(0, 200_000).selectExpr(
+            "'m' AS model", "IF(id = 0, 'copy', CAST(id AS STRING)) AS prompt_hash", "'Public' AS label", "0.5D AS score",
+            "'r' AS reasoning", "'' AS raw_response",
+        )
+        for df in (
+            fb.add_feedback(hot, records)[0],
+            fb.misclassifications(hot.withColumn("suggested_label", F.lit("Unsafe")), records),
+            ans.cache_split(hot.select("id", "model", "prompt_hash"), cache)[0],
+        ):
+            df.write.format("noop").mode("overwrite").save()
+            df.collect()
+            assert "skew=true" in plan(df).split("Initial Plan")[0]
+    finally:
+        for name in small:
+            spark.conf.unset(name)
+
+
+def test_cases_without_a_result_count_against_every_rate(spark):
+    cases = spark.createDataFrame(
+        [("c1", 1, "Public", False, []), ("c2", 2, "Unsafe", True, ["malware"])],
+        "case_id string, doc_id long, expected_label string, critical boolean, expected_flags array<string>",
+    )
+    results = spark.createDataFrame(
+        [(1, "Public", 0.6, True, [])],
+        "doc_id long, label string, score double, verifier_agreement boolean, safety_flags array<string>",
+    )
+    row = ev.evaluate(ev.case_report(cases, results)).first()
+    assert (row.total_cases, row.accuracy, row.missing_results) == (2, 0.5, 1)
+    assert (row.critical_detection_rate, row.expected_flag_match_rate) == (0.0, 0.0)
+
+
+def test_repeated_keys_and_numbers_that_are_none(spark):
+    answers = {
+        '{"label":"Public","label":"Unsafe","confidence":0.9}': ("Unsafe", 0.9),
+        '{"label":"Unsafe","confidence":NaN}': ("Unsafe", 1.0),
+        '{"label":"Unsafe","label":"Public"} and {"a":1}': ("Public", 0.6),
+    }
+    df = spark.createDataFrame([(a, None) for a in answers], "raw_response string, error string")
+    got = {r.raw_response: (r.label, r.score) for r in ans.parse_responses(df).collect()}
+    assert got == answers
+
+
+def test_quality_that_nobody_gave_moves_no_score(spark):
+    feedback = spark.createDataFrame(
+        [(1, "accept", None), (2, "accept", None), (2, "accept", 1.0)], "classification_id long, decision string, quality_score double"
+    )
+    records = spark.createDataFrame([(1, "Public"), (2, "Unsafe")], "id long, classification string")
+    stats = fb.label_statistics(feedback, records)
+    assert {r.label: r.avg_quality for r in stats.collect()} == {"Public": None, "Unsafe": 1.0}
+    results = spark.createDataFrame([("Public", 0.6), ("Unsafe", 0.6)], "label string, raw_score double")
+    assert {r.label: r.score for r in fb.recalibrate(results, stats).collect()} == {"Public": 0.6, "Unsafe": pytest.approx(0.7)}
+    twice = fb.recalibrate(results, stats.unionAll(stats))
+    assert twice.count() == 2
+
+
+def test_streamed_sums_of_a_hot_classification_stay_in_few_slots(spark, shuffled_joins, tmp_path):
+    from tierglass.streaming import continuous as st
+
+    rows = spark.range(3000).selectExpr(
+        "IF(id < 2900, 1L, id) AS classification_id", "IF(id % 3 = 0, 'override', 'accept') AS decision", "id / 3000D AS quality_score"
+    )
+    rows.repartition(12).write.parquet(str(tmp_path / "in"))
+    records = spark.range(3000).selectExpr("id", "IF(id = 1, 'Unsafe', 'Public') AS classification")
+    arriving = st.arriving(spark, str(tmp_path / "in"), rows.schema, 1)
+    for _ in range(2):  # starting again without new files changes nothing
+        st.keep_statistics(arriving, records, str(tmp_path / "out"), str(tmp_path / "cp"), once=True).awaitTermination()
+    got = {r.label: (r.total, r.overrides) for r in st.latest_statistics(spark, str(tmp_path / "out")).collect()}
+    assert got == {"Unsafe": (2900, 967), "Public": (100, 33)}
+    assert len([p for p in (tmp_path / "out").iterdir() if p.is_dir()]) <= st.SLOTS
+
+
+def test_asking_runs_each_content_once_and_keeps_fallbacks(spark):
+    from tierglass.operators.ask import ask
+    from tierglass.plans.queries import NODES, empty_cache
+
+    docs = spark.createDataFrame([(1, "same"), (2, "same"), (3, "secret nda"), (4, None)], "doc_id long, text string")
+    counter = spark.sparkContext.accumulator(0)
+
+    def run(model, prompt):
+        counter.add(1)
+        if "nda" in prompt:
+            raise ValueError("no")
+        return "Unsafe"
+
+    answers, cache = ask(docs, NODES, empty_cache(spark), run, {"primary": "m"})
+    assert answers.count() == 4 * len(NODES) and counter.value == 3 * len(NODES)
+    stored = {(r.label, r.reasoning) for r in cache.collect()}
+    assert ("Confidential", "Heuristic detection of keywords nda indicating Confidential.") in stored or len(stored) == 2
+    without = ask(docs, NODES, empty_cache(spark), run, {"primary": "m"}, cache_fallbacks=False)[1]
+    assert cache.count() == 3 * len(NODES) and without.count() == 2 * len(NODES)
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from tierglass.session import shared_folder
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(cluster)
+    assert shared_folder(spark)
+
+
 # --- brute force -----------------------------------------------------------------
 
 # The published patterns.

@@ -489,3 +489,15 @@ _add("h1_appended_feedback", f"""SELECT run, id, classification_id, reviewer, de
 _add("s10_appended_records", """SELECT run, document_path, n + CASE run WHEN 'first' THEN 0 ELSE count(*) OVER (PARTITION BY run) END AS id,
   classification FROM (SELECT source AS document_path, label AS classification,
   row_number() OVER (ORDER BY doc_id) AS n FROM f8), (VALUES ('first'), ('second')) t(run)""")
+_add("s1_read_files", """SELECT doc_id, length(text) + 1 AS text_length, md5(concat(text, chr(10))) AS digest FROM documents
+  UNION ALL SELECT NULL, 0, md5('')""")
+_add("s11_written_trace", f"""SELECT line, count(*) AS n FROM (SELECT unnest(string_split(concat('[', name, ']', chr(10), prompt, chr(10)), chr(10))) AS line
+  FROM documents, {_nodes(NODES)}) GROUP BY line""")
+_add("m10_cache_entries", f"SELECT 'alpha' AS model, prompt_hash, 'stored 2' AS reasoning, 0.52::DOUBLE AS score FROM {CACHED}")
+_add("p12_image_boxes", """SELECT doc_id, image_idx, CASE WHEN image_idx = 0 THEN 0.0 ELSE 0.02 END::DOUBLE AS x,
+  CASE WHEN image_idx = 0 THEN 0.25 ELSE 0.02 END::DOUBLE AS y, CASE WHEN image_idx = 0 THEN 1.0 ELSE 0.96 END::DOUBLE AS width,
+  CASE WHEN image_idx = 0 THEN greatest(0.05, (doc_id % 3) / 4) ELSE 0.96 END::DOUBLE AS height FROM images""")
+_add("f10_api_results_with_images", f"""SELECT f.doc_id::VARCHAR AS document_id, label,
+  CASE WHEN f.doc_id % 5 = 0 THEN 7 ELSE coalesce(i.image_count, 0) END AS image_count,
+  coalesce(e.n, 0) AS n_images FROM f8 f LEFT JOIN image_stats i USING (doc_id)
+  LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE type = 'image' AND pos < 10) AS n FROM {SHOWN} GROUP BY doc_id) e USING (doc_id)""")

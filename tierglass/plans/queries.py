@@ -104,6 +104,21 @@ def s1_text_source(spark, sf):
     )
 
 
+@query
+def s1_read_files(spark, sf):
+    """Texts written as one file each, next to a file of another type, and read as documents."""
+    folder = work_folder(spark)
+    rows = seeds.documents(spark, sf).select("doc_id", "text")
+    rows.write.partitionBy("doc_id").text(f"{folder}/files")
+    rows.filter("doc_id % 100 = 0").select(F.lit("x").alias("value")).write.json(f"{folder}/files/other")
+    read = src.read_documents(spark, f"{folder}/files").filter(~F.col("source").contains("/_SUCCESS"))
+    number = F.regexp_extract("source", r"doc_id=(\d+)", 1).try_cast("long")
+    found = read.withColumn("doc_id", number)
+    return found.groupBy("doc_id").agg(
+        F.max(F.length("text")).alias("text_length"), F.max(F.md5("text")).alias("digest")
+    )
+
+
 @query
 def s2_type_routing(spark, sf):
     return routed_pages(spark, sf).select(
@@ -301,6 +316,14 @@ def s11_prompt_trace(spark, sf):
     )
 
 
+@query
+def s11_written_trace(spark, sf):
+    """The trace as it stands on disk, line by line."""
+    folder = work_folder(spark)
+    sinks.write_trace(pm.expand_prompts(seeds.documents(spark, sf).select("doc_id"), NODES), folder)
+    return spark.read.text(folder).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
 @query
 def s13_text_or_fallback(spark, sf):
     content = (
@@ -418,6 +441,23 @@ def p11_image_relevance(spark, sf):
     )
 
 
+@query
+def p12_image_boxes(spark, sf):
+    """Boxes from the metadata of images, some out of bounds, too short or missing."""
+    box = F.when(F.col("image_idx") == 0, F.concat(F.lit("[-0.5, 0.25, 1.5, "), F.col("doc_id") % 3 / F.lit(4.0), F.lit("]"))).when(
+        F.col("image_idx") == 1, F.lit("[0.1, 0.2]")
+    )
+    images = seeds.images(spark, sf).withColumn(
+        "metadata", F.when(box.isNull(), F.create_map(F.lit("score"), F.lit("1"))).otherwise(
+            F.create_map(F.lit("score"), F.lit("1"), F.lit("bbox"), box)
+        )
+    )
+    found = vw.image_evidence(images, n=3)
+    return found.select(
+        "doc_id", "image_idx", *[F.get("bbox", i).alias(n) for i, n in enumerate(("x", "y", "width", "height"))]
+    )
+
+
 @query
 def p12_bounding_box(spark, sf):
     """Vectors as boxes: four values from most rows, three from the others."""
@@ -706,6 +746,13 @@ def m10_cache_upsert(spark, sf):
     return merged.groupBy("model", "reasoning", "score").agg(F.count("*").alias("n"))
 
 
+@query
+def m10_cache_entries(spark, sf):
+    """Every entry by its key: the last write of each."""
+    merged = ans.cache_upsert(cache_writes(spark, sf, 1), cache_writes(spark, sf, 2))
+    return merged.select("model", "prompt_hash", "reasoning", "score")
+
+
 @query
 def m10_cache_without_fallbacks(spark, sf):
     merged = ans.cache_upsert(
@@ -959,11 +1006,17 @@ def evidence_rows(spark: SparkSession, sf: str, images: bool = False) -> DataFra
     return vw.evidence_entries(results, seeds.images(spark, sf) if images else None)
 
 
-def api_results(spark: SparkSession, sf: str) -> DataFrame:
-    rows = evidence_rows(spark, sf).withColumns(
+def api_results(spark: SparkSession, sf: str, images: bool = False) -> DataFrame:
+    entries = evidence_rows(spark, sf, images)
+    counted = F.lit(0)
+    if images:
+        entries = entries.join(pr.image_rollup(seeds.images(spark, sf)), "doc_id", "left")
+        declared = F.when(F.col("doc_id") % 5 == 0, F.lit("7"))
+        counted = P.image_count(declared, F.coalesce("image_count", F.lit(0)))
+    rows = entries.withColumns(
         {
             "classification_id": F.col("doc_id"),
-            "image_count": F.lit(0),
+            "image_count": counted,
             "single_prompt": F.lit(False),
             "reports": vw.report_paths("/reports", F.lit("task"), F.col("doc_id").cast("string")),
         }
@@ -984,6 +1037,15 @@ def f10_api_results(spark, sf):
 # --- views ---------------------------------------------------------------------------------------
 
 
+@query
+def f10_api_results_with_images(spark, sf):
+    """Results of documents with images: counts, declared or found, and image entries."""
+    return api_results(spark, sf, images=True).select(
+        "document_id", "label", "image_count",
+        F.size(F.filter("evidence", lambda e: e["type"] == "image")).alias("n_images"),
+    )
+
+
 @query
 def v1_evidence_entries(spark, sf):
     entries = evidence_rows(spark, sf).select("doc_id", F.posexplode("evidence").alias("pos", "e"))
