@@ -191,3 +191,18 @@ def test_evidence_entry_shapes(spark):
     assert [len(rows[i]) for i in (1, 2, 3)] == [3, 1, 2]
     assert rows[2][0].content == '{"label": "Public", "signal": "fallback-snippet"}'
     assert rows[1][1].page == 1 and rows[1][1].label is None
+
+
+def test_batched_inference_asks_each_model_once_per_batch(spark):
+    from tierglass.operators.answers import infer
+
+    rows = [(i, "bad" if i % 3 == 0 else "good", f"p{i}") for i in range(9)]
+    prompts = spark.createDataFrame(rows, "doc_id long, model string, full_prompt string").coalesce(1)
+
+    def run(model, texts):
+        if model == "bad":
+            raise RuntimeError("down")
+        return [t.upper() for t in texts]
+
+    got = {r.doc_id: (r.raw_response, r.error) for r in infer(prompts, run, batched=True).collect()}
+    assert got == {i: (None, "down") if m == "bad" else (p.upper(), None) for i, m, p in rows}

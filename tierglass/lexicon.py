@@ -171,6 +171,8 @@ SNIPPET_RADIUS = 140
 FALLBACK_SNIPPET_CHARS = 280
 PROMPT_TEXT_CHARS = 8000
 EVIDENCE_CHARS = 260
+DEBUG_CHARS = 240
+IMAGE_VALUE_CHARS = 200
 EVIDENCE_ENTRIES = 10
 HISTORY_ENTRIES = 25
 HISTORY_TABLE_ROWS = 10

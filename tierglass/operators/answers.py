@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tierglass.functions import answers as A
 from tierglass.functions.text import strip
+from tierglass.lexicon import DEBUG_CHARS
 
 ANSWER_FIELDS = ("label", "score", "reasoning")
 
@@ -166,15 +167,15 @@ def with_fallback(
     )
 
 
-def debug_struct(answer: Column) -> Column:
-    """Debug view of one completed answer."""
+def debug_struct(answer: Column, chars: int = DEBUG_CHARS) -> Column:
+    """Debug view of one completed answer, with the start of its reasoning."""
     return F.struct(
         answer["model"].alias("model"),
         answer["backend"].alias("backend"),
         answer["fallback"].alias("fallback"),
         answer["reason"].alias("reason"),
         answer["score"].alias("last_confidence"),
-        F.substring(answer["reasoning"], 1, 240).alias("last_reasoning"),
+        F.substring(answer["reasoning"], 1, chars).alias("last_reasoning"),
     )
 
 
@@ -247,10 +248,13 @@ def cached_answers(hits: DataFrame) -> DataFrame:
 
 
 def infer(
-    prompts: DataFrame, run: Callable[[str, str], str], prompt: str = "full_prompt"
+    prompts: DataFrame, run: Callable, prompt: str = "full_prompt", batched: bool = False
 ) -> DataFrame:
     """Call ``run(model, prompt)`` for every row; an exception becomes ``error``.
 
+    With ``batched`` it is ``run(model, prompts)`` for the rows of one model in a batch, and gives a
+    list; an exception is then the error of all of them.
+
     Rows are streamed in Arrow batches. ``prompts`` keeps its own partitioning,
     so no model or document gathers its rows in one task.
     """
@@ -263,9 +267,20 @@ def infer(
         except Exception as problem:  # the caller's function may raise anything
             return None, str(problem) or type(problem).__name__
 
+    def answers(models: list[str], texts: list[str]) -> list[tuple[str | None, str | None]]:
+        if not batched:
+            return [answer(m, p) for m, p in zip(models, texts)]
+        out: list[tuple[str | None, str | None]] = [(None, None)] * len(models)
+        for model in dict.fromkeys(models):
+            own = [i for i, m in enumerate(models) if m == model]
+            said, problem = answer(model, [texts[i] for i in own])
+            for i, one in zip(own, said if problem is None else [None] * len(own)):
+                out[i] = (one, problem)
+        return out
+
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            pairs = [answer(m, p) for m, p in zip(frame["model"], frame[prompt])]
+            pairs = answers(frame["model"].tolist(), frame[prompt].tolist())
             out = frame[kept].copy()
             out["raw_response"] = [p[0] for p in pairs]
             out["error"] = [p[1] for p in pairs]

@@ -132,6 +132,7 @@ def read_evidence(
     limit: int | None = SIGNAL_LIMIT,
     spans: str | None = None,
     safety_keywords: Sequence[str] = DEFAULT_SAFETY_KEYWORDS,
+    opening_chars: int = FALLBACK_SNIPPET_CHARS,
 ) -> DataFrame:
     """All that classification needs to know of a text, without the text.
 
@@ -143,7 +144,7 @@ def read_evidence(
         key,
         source,
         *keep,
-        F.substring(F.coalesce("text", F.lit("")), 1, FALLBACK_SNIPPET_CHARS).alias("opening"),
+        F.substring(F.coalesce("text", F.lit("")), 1, opening_chars).alias("opening"),
         "signals",
         "hits",
         keyword_class(F.col("hits")).alias("keyword"),
@@ -163,6 +164,7 @@ def classify(
     safety_keywords: Sequence[str] = DEFAULT_SAFETY_KEYWORDS,
     parsed: bool = False,
     last_node: int | None = None,
+    opening_chars: int = FALLBACK_SNIPPET_CHARS,
 ) -> DataFrame:
     """Label every document.
 
@@ -175,7 +177,8 @@ def classify(
     stays as recorded. ``keep`` names document columns to carry along.
     """
     evidence = read_evidence(
-        docs, key, source, keep, limit=limit, spans=spans, safety_keywords=safety_keywords
+        docs, key, source, keep, limit=limit, spans=spans, safety_keywords=safety_keywords,
+        opening_chars=opening_chars,
     )
     heuristic = F.col("keyword")
     if answers is None:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tierglass.functions import pages as P
 from tierglass.functions.once import with_once
 from tierglass.functions.text import lengths, strip, word_count
-from tierglass.lexicon import NO_IMAGES_TEXT
+from tierglass.lexicon import IMAGE_VALUE_CHARS, NO_IMAGES_TEXT
 
 
 def split_pages(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -153,12 +153,12 @@ def attach_images(docs: DataFrame, images: DataFrame, key: str = "doc_id") -> Da
     return docs.join(described, key, "left").withColumn("images", restored).drop("_i")
 
 
-def summarize_images(images: Column) -> Column:
-    """Numbered image descriptions as JSON, without streams and long values."""
+def summarize_images(images: Column, chars: int = IMAGE_VALUE_CHARS) -> Column:
+    """Numbered image descriptions as JSON, without streams; values are cut to ``chars``."""
 
     def kept(metadata: Column) -> Column:
         no_stream = F.map_filter(metadata, lambda k, _: F.lower(k) != "stream")
-        return F.transform_values(no_stream, lambda _, v: F.substring(v, 1, 200))
+        return F.transform_values(no_stream, lambda _, v: F.substring(v, 1, chars))
 
     described = F.transform(
         images,

@@ -24,12 +24,13 @@ MIN_CHUNK = 180
 WANTED_ENTRIES = 3
 
 
-def shorten(snippet: Column) -> Column:
-    """Snippet on one line; longer than the limit it ends in three dots."""
+def shorten(snippet: Column, chars: int | None = EVIDENCE_CHARS) -> Column:
+    """Snippet on one line; longer than ``chars`` it ends in three dots. None keeps all of it."""
     clean = collapse_whitespace(strip(snippet))
+    if chars is None:
+        return clean
     return F.when(
-        F.length(clean) > EVIDENCE_CHARS,
-        F.concat(F.substring(clean, 1, EVIDENCE_CHARS - 3), F.lit("...")),
+        F.length(clean) > chars, F.concat(F.substring(clean, 1, chars - 3), F.lit("..."))
     ).otherwise(clean)
 
 
@@ -46,7 +47,7 @@ def _metadata_text(metadata: Column) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(", ", *[pair(n) for n in names]), F.lit("}"))
 
 
-def cited_entries(citations: Column) -> Column:
+def cited_entries(citations: Column, chars: int | None = EVIDENCE_CHARS) -> Column:
     """Text entries of the citations; a blank snippet shows its metadata instead."""
 
     def entry(c: Column) -> Column:
@@ -58,7 +59,7 @@ def cited_entries(citations: Column) -> Column:
             F.lit("text").alias("type"),
             c["page"].alias("page"),
             F.when(blank, _metadata_text(c["metadata"]))
-            .otherwise(shorten(c["snippet"]))
+            .otherwise(shorten(c["snippet"], chars))
             .alias("content"),
             F.when(blank, F.coalesce(named, F.lit("Metadata"))).otherwise(named).alias("description"),
             c["metadata"]["label"].alias("label"),
@@ -124,13 +125,17 @@ def evidence_entries(
     text: str = "text",
     spans: str = "page_spans",
     cap: int = EVIDENCE_ENTRIES,
+    n_images: int = 2,
+    chars: int | None = EVIDENCE_CHARS,
 ) -> DataFrame:
     """Replace the text of result rows by ``evidence``.
 
     Cited text comes first, then images, then text chunks until there are three
-    entries. Only rows that still need chunks carry text into the image join.
+    entries. Rows that still need chunks, which are those with fewer than three
+    citations, carry their text into the join with images; without images nothing
+    is joined.
     """
-    cited = results.withColumn("_cited", cited_entries(F.col("citations"))).withColumn(
+    cited = results.withColumn("_cited", cited_entries(F.col("citations"), chars)).withColumn(
         "_text", F.when(F.size("_cited") < WANTED_ENTRIES, strip(F.coalesce(text, F.lit(""))))
     )
     narrow = cited.drop(text)
@@ -138,8 +143,8 @@ def evidence_entries(
         shown = narrow.withColumn("_images", F.array().cast(ENTRY_TYPE))
     else:
         entry = F.struct("image_idx", "type", "page", "content", "description", "label", "bbox")
-        # At most two rows per document.
-        per_doc = image_evidence(images, key).groupBy(key).agg(
+        # At most ``n_images`` rows per document.
+        per_doc = image_evidence(images, key, n_images).groupBy(key).agg(
             F.array_sort(F.collect_list(entry)).alias("_found")
         )
         entries = F.transform(
