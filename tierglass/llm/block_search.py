@@ -18,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tierglass.llm import words as W
 from tierglass.llm.common import table
 
 NEIGHBOURS = 20
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 256
 CANDIDATE_BLOCK = 8192
 _BLOCK = "block int, dim int, ids binary, quantised binary, scale binary, lost binary, kept binary, exact binary"
 
@@ -40,7 +41,7 @@ def _blocks(vectors: DataFrame, per_block: int, rows: int) -> tuple[DataFrame, i
 
     def pack(group: pa.Table) -> pa.Table:
         ids = group.column("vec_id").to_numpy()
-        x = np.array(group.column("embedding").combine_chunks().values, np.float32).reshape(len(ids), -1)
+        x = np.array(group.column("embedding").combine_chunks().flatten(), np.float32).reshape(len(ids), -1)
         order = np.lexsort((*x.T[::-1], ids))
         order = order[np.append(True, ids[order][1:] != ids[order][:-1])]
         ids, x = ids[order], x[order]
@@ -89,7 +90,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = NEIGHBOURS) -> D
             for i in range(len(batch)):
                 yield _tile({c: batch.column(c)[i].as_py() for c in batch.schema.names}, k)
 
-    found = tiles.mapInArrow(search, "query_id long, vec_id long, score double")
+    found = tiles.mapInArrow(W.task(search), "query_id long, vec_id long, score double")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score"

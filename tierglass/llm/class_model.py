@@ -62,7 +62,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if size:
             yield _counted(held, endings)
 
-    return docs.select("text").mapInArrow(run, "h long, ending int, n long").groupBy("h", "ending").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(W.task(run), "h long, ending int, n long").groupBy("h", "ending").agg(F.sum("n").alias("n"))
 
 
 def _counted(held: list[np.ndarray], endings: list[np.ndarray]) -> pa.RecordBatch:
@@ -162,7 +162,7 @@ def _bigrams(docs: DataFrame, unit_words: np.ndarray) -> np.ndarray:
         pair = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int32()), pa.array(total[pair])], ["pair", "n"])
 
-    found = docs.select("text").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    found = docs.select("text").mapInArrow(W.task(run), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(n * n)
     out[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy(np.float64)
     return out.reshape(n, n)
@@ -234,12 +234,12 @@ def score(docs: DataFrame, model: dict, counts: DataFrame) -> DataFrame:
             yield _tail(shared.value, part)
 
     main = docs.mapInArrow(
-        known, "doc_id long, text_hash long, n_tokens long, head_known long, head_sum double, steps double"
+        W.task(known), "doc_id long, text_hash long, n_tokens long, head_known long, head_sum double, steps double"
     )
     # Words that are not broadcast: each text's distinct ones meet the counts. Repeated rows of one
     # document give each word as often, which the number of rows over their distinct words undoes.
     tail = (
-        docs.mapInArrow(unknown, "doc_id long, text_hash long, h long, times int, words int")
+        docs.mapInArrow(W.task(unknown), "doc_id long, text_hash long, h long, times int, words int")
         .join(counts.select("h", "n"), "h", "left")
         .groupBy("doc_id", "text_hash")
         .agg(

@@ -2,29 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tierglass.session import cut_lineage
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder of ``spark.checkpoint.dir``.
-
-    Where that setting is missing, a temporary folder serves a local master; on a cluster it is an
-    error, as executors would each write to their own disk.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local["):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="tierglass-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    """Materialise in the shared folder of ``spark.checkpoint.dir``, so that lost executors cost nothing."""
+    return cut_lineage(df)
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierglass.llm import grams
+from tierglass.llm import words as W
 from tierglass.llm.common import is_remainder, table
 
 SIZES = (1, 2, 3, 4)
@@ -54,7 +55,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LAND
     found = (
         rows.select("doc_id", "text", "lang")
         .where(drawn)
-        .mapInArrow(features, "lang string, doc_id long, bits binary")
+        .mapInArrow(W.task(features), "lang string, doc_id long, bits binary")
         .orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "bits")
         .limit(2 * per_language * len(sizes))
         .collect()
@@ -118,7 +119,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
                 [block.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(W.task(run), "doc_id long, lang_pred string, score double")
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ sequence. Only piece lengths are shuffled, never tokens.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +26,8 @@ from tierglass.llm.common import cut, table
 CAPACITY = 2048
 END = 0
 SHARD_PIECES = 20_000
-CACHE = 400_000
+CACHE = 200_000
+ENCODE_BATCH = 4096
 UNDERFULL = 0.98
 #: White space beyond ASCII; texts with any are encoded whole.
 _WIDE_SPACE = r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -39,6 +41,8 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        # One task is one core; threads of the library would only hold memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -51,7 +55,10 @@ class Encoder:
         self.offsets = np.zeros(1 << 14, np.int64)
 
     def _add(self, hashes: list[int], chunks: list[str]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        encoded = []
+        for i in range(0, len(chunks), ENCODE_BATCH):
+            made = self.tokenizer.encode_batch_fast(chunks[i : i + ENCODE_BATCH], add_special_tokens=False)
+            encoded += [e.ids for e in made]
         n = len(self.known)
         sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
         while n + len(chunks) + 1 > len(self.offsets):
@@ -171,7 +178,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, w
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "n_pieces", "text_hash", "ids"]
             yield pa.RecordBatch.from_arrays(columns, names[: len(columns)])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(W.task(run, lambda: encoder(path or vocabulary_path()).clear()), schema)
 
 
 def pack_sizes(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:

@@ -30,7 +30,7 @@ from tierglass.llm.common import table
 RATE = 0.1
 SEED = 7
 VARIANTS = 4
-CACHE = 400_000
+CACHE = 200_000
 BLANK = "▁"
 
 
@@ -236,7 +236,7 @@ def encode(
             names = ["n_ids", "ids_crc32", "lossless"] if digest else ["ids"]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", *names])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(W.task(run), schema)
 
 
 def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
@@ -248,7 +248,7 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
             texts = [model.decode(ids or []) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return rows.select("doc_id", "ids").mapInArrow(W.task(run), "doc_id long, text string")
 
 
 def op10_piece_tokens(spark, sf_dir: str) -> DataFrame:

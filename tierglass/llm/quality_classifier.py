@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierglass.llm import grams
+from tierglass.llm import words as W
 from tierglass.llm.common import extended, is_remainder, table
 
 SIZES = (1, 2)
@@ -59,7 +60,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, rank: in
     rows = (
         docs.select("doc_id", "text")
         .join(F.broadcast(sample), "doc_id")
-        .mapInArrow(features, "doc_id long, quality int, terms binary")
+        .mapInArrow(W.task(features), "doc_id long, quality int, terms binary")
         .groupBy("doc_id")
         .agg(F.max("quality").alias("quality"), F.max("terms").alias("terms"))
         .orderBy("doc_id")
@@ -131,7 +132,7 @@ def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFra
                 [*block.schema.names, "score", "predicted"],
             )
 
-    return docs.mapInArrow(run, extended(docs.schema, "score double, predicted int"))
+    return docs.mapInArrow(W.task(run), extended(docs.schema, "score double, predicted int"))
 
 
 def training_labels(labels: DataFrame) -> DataFrame:

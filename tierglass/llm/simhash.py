@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 [batch.column("doc_id"), pa.array(_fingerprints(batch.column("text"), shingle))], ["doc_id", "fp"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(W.task(run), "doc_id long, fp long")
 
 
 def _fingerprints(texts: pa.Array, shingle: int) -> np.ndarray:

@@ -85,7 +85,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carr
     seen = (
         docs.select("doc_id", "text")
         .where("doc_id is not null")
-        .mapInArrow(anchors, "h long, doc_id long")
+        .mapInArrow(W.task(anchors), "h long, doc_id long")
         .where("h is not null and doc_id is not null")
         .repartition("h")
     )
@@ -106,7 +106,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carr
 
     windows = (
         texts.join(candidates.hint("merge"), "doc_id", "left")
-        .mapInArrow(repeats, "h long, doc_id long")
+        .mapInArrow(W.task(repeats), "h long, doc_id long")
         .where("h is not null and doc_id is not null")
         .repartition("h")
     )
@@ -122,7 +122,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carr
         for batch in (part for b in batches for part in W.slices(b)):
             yield _kept(batch, window, gram, carry)
 
-    return texts.join(removed.hint("merge"), "doc_id", "left").mapInArrow(keep, out)
+    return texts.join(removed.hint("merge"), "doc_id", "left").mapInArrow(W.task(keep), out)
 
 
 def _in_two_documents(rows: DataFrame) -> DataFrame:

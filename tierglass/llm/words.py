@@ -6,7 +6,9 @@ a longer character, so bytes and characters split alike.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -106,3 +108,25 @@ def windows(h: np.ndarray, n: int) -> np.ndarray:
     sums = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(h * up[:-1], out=sums[1:])
     return mix((sums[n:] - sums[:-n]) * down[: len(h) - n + 1])
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def task(run: Callable[[Batches], Batches], clear: Callable[[], None] | None = None) -> Callable[[Batches], Batches]:
+    """``run`` over the batches of a task, and then its freed memory given back to the system.
+
+    Worker processes outlive their tasks and share the executor's memory with whatever runs next.
+    """
+
+    def wrapped(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            if clear:
+                clear()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
