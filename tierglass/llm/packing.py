@@ -26,8 +26,9 @@ from tierglass.llm.common import cut, table
 CAPACITY = 2048
 END = 0
 SHARD_PIECES = 20_000
-CACHE = 200_000
-ENCODE_BATCH = 4096
+CACHE = 300_000
+KEPT = 50_000
+JOINED = 512
 UNDERFULL = 0.98
 #: White space beyond ASCII; texts with any are encoded whole.
 _WIDE_SPACE = r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -47,33 +48,45 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.offsets = np.zeros(1 << 14, np.int64)
-
-    def _add(self, hashes: list[int], chunks: list[str]) -> None:
-        encoded = []
-        for i in range(0, len(chunks), ENCODE_BATCH):
-            made = self.tokenizer.encode_batch_fast(chunks[i : i + ENCODE_BATCH], add_special_tokens=False)
-            encoded += [e.ids for e in made]
-        n = len(self.known)
-        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        while n + len(chunks) + 1 > len(self.offsets):
-            self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
-        self.offsets[n + 1 : n + 1 + len(chunks)] = self.offsets[n] + np.cumsum(sizes)
-        while self.offsets[n + len(chunks)] > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.offsets[n] : self.offsets[n + len(chunks)]] = [i for ids in encoded for i in ids]
-        self.known.update(zip(hashes, range(n, n + len(chunks))))
+        vocabulary = self.tokenizer.get_vocab()
+        self.after_blank = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.after_blank[[i for token, i in vocabulary.items() if token[0] == "\u0120"]] = True
+        self.line_break = vocabulary["\u010a"]
+        self.cache = W.ChunkCache(CACHE)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, np.uint32) for e in made]
+
+    def _learn(self, chunks: list[str]) -> W.Learned:
+        """Ids of chunks, many in one text: ids tell where each begins, by its blank or a line break."""
+        starts, sizes = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        found, used = [], 0
+        kinds: dict[str, list[int]] = {" ": [], "\n": [], "": []}
+        for i, chunk in enumerate(chunks):
+            kinds["" if chunk.isspace() else " " if chunk[0] == " " else "\n"].append(i)
+        alone = kinds[""]
+        for mark in (" ", "\n"):
+            glue = int(mark == "\n")
+            groups = [kinds[mark][i : i + JOINED] for i in range(0, len(kinds[mark]), JOINED)]
+            for group, ids in zip(groups, self._ids([glue * mark + (glue * mark).join([chunks[i] for i in g]) for g in groups])):
+                begins = np.flatnonzero(ids == self.line_break if glue else self.after_blank[ids])
+                if len(begins) != len(group):  # unusual white space hides a border
+                    alone = alone + group
+                    continue
+                starts[group] = used + begins + glue
+                sizes[group] = np.diff(np.append(begins, len(ids))) - glue
+                found.append(ids)
+                used += len(ids)
+        for i, ids in zip(alone, self._ids([chunks[i] for i in alone])):
+            starts[i], sizes[i] = used, len(ids)
+            found.append(ids)
+            used += len(ids)
+        return np.concatenate(found), starts, sizes
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the n + 1 offsets of the texts; a null is empty."""
         data, offsets = W.buffers(texts)
-        if len(self.known) > CACHE:
-            self.clear()
         starts, ends, _ = W.bounds(data, offsets)
         cuts = np.zeros(len(data) + 1, bool)
         cuts[offsets] = True
@@ -90,18 +103,12 @@ class Encoder:
         last = np.append(first[1:], len(data))
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        distinct, at, back = np.unique(W.hashes(data, first, last), return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        new = [i for i, h in enumerate(keys) if h not in self.known]
         raw = data.tobytes()
-        if new:
-            where = at[new]
-            chunks = [raw[a:b].decode("utf-8") for a, b in zip(first[where].tolist(), last[where].tolist())]
-            self._add([keys[i] for i in new], chunks)
-        entry = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[back]
-        sizes = self.offsets[entry + 1] - self.offsets[entry]
-        out = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.flat[np.repeat(self.offsets[entry] - out[:-1], sizes) + np.arange(out[-1])]
+
+        def learn(new: np.ndarray) -> W.Learned:
+            return self._learn([raw[a:b].decode("utf-8") for a, b in zip(first[new].tolist(), last[new].tolist())])
+
+        ids, out = self.cache.ids(W.hashes(data, first, last), learn)
         return self._whole(texts, ids, out[np.searchsorted(first, offsets)])
 
     def _whole(self, texts: pa.Array, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +185,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, w
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "n_pieces", "text_hash", "ids"]
             yield pa.RecordBatch.from_arrays(columns, names[: len(columns)])
 
-    return docs.select("doc_id", "text").mapInArrow(W.task(run, lambda: encoder(path or vocabulary_path()).clear()), schema)
+    return docs.select("doc_id", "text").mapInArrow(W.task(run, lambda: encoder(path or vocabulary_path()).cache.prune(KEPT)), schema)
 
 
 def pack_sizes(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:

@@ -30,7 +30,8 @@ from tierglass.llm.common import table
 RATE = 0.1
 SEED = 7
 VARIANTS = 4
-CACHE = 200_000
+CACHE = 300_000
+KEPT = 50_000
 BLANK = "▁"
 
 
@@ -59,12 +60,7 @@ class Pieces:
         if any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.ids):
             raise ValueError("a piece of this model spans words, which chunks rely on never to happen")
         self.lone_newline = not any("\n" in p for p in self.ids if len(p) > 1)
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.flat = np.zeros(1 << 16, np.int32)
-        self.offsets = np.zeros(1 << 14, np.int64)
+        self.cache = W.ChunkCache(CACHE)
 
     def merge(self, chunk: str, variant: int) -> list[int]:
         """Ids of one chunk, blanks already marked."""
@@ -118,24 +114,16 @@ class Pieces:
             out += self.merge(part.replace(" ", BLANK), variant) if part else []
         return out
 
-    def _add(self, hashes: list[int], chunks: list[bytes], variants: list[int]) -> None:
+    def _learn(self, chunks: list[bytes], variants: list[int]) -> W.Learned:
         encoded = [self.chunk_ids(c, v) for c, v in zip(chunks, variants)]
-        n, more = len(self.known), len(chunks)
-        while n + more + 1 > len(self.offsets):
-            self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
-        self.offsets[n + 1 : n + 1 + more] = self.offsets[n] + np.cumsum([len(e) for e in encoded])
-        while self.offsets[n + more] > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.offsets[n] : self.offsets[n + more]] = [i for ids in encoded for i in ids]
-        self.known.update(zip(hashes, range(n, n + more)))
+        sizes = np.array([len(e) for e in encoded], np.int64)
+        return np.array([i for ids in encoded for i in ids], np.uint32), np.cumsum(sizes) - sizes, sizes
 
     def encode(self, texts: pa.Array, keys: np.ndarray, variants: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the n + 1 offsets of the texts; ``keys`` are one number per text."""
-        if len(self.known) > CACHE:
-            self.clear()
         data, offsets = _prefixed(texts)
         if not len(data):
-            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         blank = data == 32
         cuts = np.zeros(len(data) + 1, bool)
         cuts[1:-1] = blank[1:] & ~blank[:-1]
@@ -150,18 +138,13 @@ class Pieces:
         place = (first - offsets[text]).astype(np.uint64)
         draw = W.mix(keys[text] + place * np.uint64(0x9E3779B97F4A7C15) + np.uint64(self.seed))
         variant = draw % np.uint64(variants) if self.threshold else np.zeros(len(first), np.uint64)
-        h = W.mix(W.hashes(data, first, last) + variant)
-        distinct, at, back = np.unique(h, return_index=True, return_inverse=True)
-        names = distinct.tolist()
-        new = [i for i, x in enumerate(names) if x not in self.known]
-        if new:
-            raw, where = data.tobytes(), at[new]
-            chunks = [raw[a:b] for a, b in zip(first[where].tolist(), last[where].tolist())]
-            self._add([names[i] for i in new], chunks, variant[where].tolist())
-        entry = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[back]
-        sizes = self.offsets[entry + 1] - self.offsets[entry]
-        out = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.flat[np.repeat(self.offsets[entry] - out[:-1], sizes) + np.arange(out[-1])]
+        raw = data.tobytes()
+
+        def learn(new: np.ndarray) -> W.Learned:
+            chunks = [raw[a:b] for a, b in zip(first[new].tolist(), last[new].tolist())]
+            return self._learn(chunks, variant[new].tolist())
+
+        ids, out = self.cache.ids(W.mix(W.hashes(data, first, last) + variant), learn)
         return ids, out[np.searchsorted(first, offsets)]
 
     def decode(self, ids: list[int]) -> str:
@@ -232,11 +215,12 @@ def encode(
                     pa.array([model.decode(ids[a:b].tolist()) == t for (a, b), t in zip(borders, found)], pa.bool_()),
                 ]
             else:
-                columns = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))]
+                columns = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32)))]
             names = ["n_ids", "ids_crc32", "lossless"] if digest else ["ids"]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", *names])
 
-    return docs.select("doc_id", "text").mapInArrow(W.task(run), schema)
+    forget = lambda: pieces(path or model_path(), rate, seed).cache.prune(KEPT)
+    return docs.select("doc_id", "text").mapInArrow(W.task(run, forget), schema)
 
 
 def decode(rows: DataFrame, path: str | None = None) -> DataFrame:

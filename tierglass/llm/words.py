@@ -9,6 +9,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -110,6 +111,75 @@ def windows(h: np.ndarray, n: int) -> np.ndarray:
     return mix((sums[n:] - sums[:-n]) * down[: len(h) - n + 1])
 
 
+Learned = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+class ChunkCache:
+    """Token ids of chunks by their hash.
+
+    When more than ``limit`` chunks are known, those that were not met again since the last time are
+    forgotten, so frequent chunks stay and memory is bounded. What is forgotten is learned anew.
+    """
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.known: dict[int, int] = {}
+        self.flat = np.zeros(0, np.uint32)
+        self.used = 0
+        self.keys = np.zeros(0, np.uint64)
+        self.starts, self.sizes, self.hits = (np.zeros(0, np.int64) for _ in range(3))
+
+    def ids(self, h: np.ndarray, learn: Callable[[np.ndarray], Learned]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks in a row and the n + 1 offsets of the chunks.
+
+        ``learn`` gets the places of unknown chunks and returns ids in any order, and for each chunk
+        where its ids start and how many they are.
+        """
+        if len(self.known) > self.limit:
+            self.prune(self.limit // 2)
+        distinct, at, back = np.unique(h, return_index=True, return_inverse=True)
+        entry = np.fromiter(map(self.known.get, distinct.tolist(), repeat(-1)), np.int64, len(distinct))
+        new = entry < 0
+        self.hits[entry[~new]] += 1
+        if new.any():
+            flat, starts, sizes = learn(at[new])
+            n = len(self.known)
+            entry[new] = np.arange(n, n + len(starts))
+            self.known.update(zip(distinct[new].tolist(), range(n, n + len(starts))))
+            self.flat = _grown(self.flat, self.used, flat.astype(np.uint32))
+            self.keys = _grown(self.keys, n, distinct[new])
+            self.starts = _grown(self.starts, n, self.used + starts)
+            self.sizes = _grown(self.sizes, n, sizes)
+            self.hits = _grown(self.hits, n, np.zeros(len(starts), np.int64))
+            self.used += len(flat)
+        entry = entry[back]
+        sizes = self.sizes[entry]
+        out = np.concatenate([[0], np.cumsum(sizes)])
+        return self.flat[np.repeat(self.starts[entry] - out[:-1], sizes) + np.arange(out[-1])], out
+
+    def prune(self, keep: int) -> None:
+        """Forget all but at most ``keep`` chunks that were met again."""
+        n = len(self.known)
+        best = np.argsort(-self.hits[:n], kind="stable")[:keep]
+        best = best[self.hits[best] > 0]
+        starts, sizes = self.starts[best], self.sizes[best]
+        ends = np.cumsum(sizes)
+        self.flat = self.flat[np.repeat(starts - ends + sizes, sizes) + np.arange(sizes.sum())]
+        self.used = len(self.flat)
+        self.keys, self.starts, self.sizes = self.keys[best], ends - sizes, sizes
+        self.hits = np.zeros(len(best), np.int64)
+        self.known = dict(zip(self.keys.tolist(), range(len(best))))
+
+
+def _grown(array: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """The array with values put behind the used ones; space doubles as needed."""
+    need = used + len(more)
+    if need > len(array):
+        array = np.concatenate([array[:used], np.zeros(max(need, 2 * used) - used, array.dtype)])
+    array[used:need] = more
+    return array
+
+
 Batches = Iterator[pa.RecordBatch]
 
 
