@@ -46,7 +46,7 @@ class Pieces:
         self.threshold, self.seed = int(rate * (1 << 32)), seed
         self.bytes = np.zeros(256, np.int64)
         self.ids: dict[str, int] = {}
-        self.scores: list[float] = [0.0] * n
+        scores: dict[str, float] = {}
         self.raw: list[bytes] = [b""] * n
         for i in range(n):
             piece = model.id_to_piece(i)
@@ -55,45 +55,52 @@ class Pieces:
                 self.raw[i] = bytes([int(piece[3:5], 16)])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.ids[piece] = i
-                self.scores[i] = model.get_score(i)
+                scores[piece] = model.get_score(i)
                 self.raw[i] = piece.replace(BLANK, " ").encode()
+        # Best score first; equal ones by id.
+        self.ranks = {p: r for r, p in enumerate(sorted(scores, key=lambda p: (-scores[p], self.ids[p])))}
+        self.piece_sizes = np.array([len(r) for r in self.raw], np.int64)
+        self.piece_starts = np.cumsum(self.piece_sizes) - self.piece_sizes
+        self.piece_bytes = np.frombuffer(b"".join(self.raw), np.uint8)
         if any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.ids):
             raise ValueError("a piece of this model spans words, which chunks rely on never to happen")
         self.lone_newline = not any("\n" in p for p in self.ids if len(p) > 1)
         self.cache = W.ChunkCache(CACHE)
 
     def merge(self, chunk: str, variant: int) -> list[int]:
-        """Ids of one chunk, blanks already marked."""
+        """Ids of one chunk, blanks already marked.
+
+        The agenda holds the rank of the merged piece and the place of its left part in one number.
+        """
         symbols: list[str | None] = list(chunk)
         n = len(symbols)
+        rank_of, ids, threshold = self.ranks.get, self.ids, self.threshold
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda: list[tuple[float, int, int, int, int]] = []
-        ids, scores, threshold = self.ids, self.scores, self.threshold
+        agenda = [
+            rank << 32 | i for i in range(n - 1) if (rank := rank_of(chunk[i : i + 2])) is not None
+        ]
+        heapq.heapify(agenda)
+        pop, push = heapq.heappop, heapq.heappush
         salt = zlib.crc32(chunk.encode(), self.seed & 0xFFFFFFFF) ^ (variant * 0x9E3779B1 & 0xFFFFFFFF) if threshold else 0
-
-        def offer(i: int, j: int) -> None:
-            merged = ids.get(symbols[i] + symbols[j])
-            if merged is not None:
-                heapq.heappush(agenda, (-scores[merged], i, j, len(symbols[i]) + len(symbols[j]), merged))
-
-        for i in range(n - 1):
-            offer(i, i + 1)
         while agenda:
-            _, i, j, size, merged = heapq.heappop(agenda)
-            left, right = symbols[i], symbols[j]
-            if left is None or right is None or after[i] != j or len(left) + len(right) != size:
+            entry = pop(agenda)
+            i, rank = entry & 0xFFFFFFFF, entry >> 32
+            left, j = symbols[i], after[i]
+            if left is None or j >= n or rank_of(piece := left + symbols[j]) != rank:
                 continue
             if threshold:
-                key = (salt + i * 0x85EBCA6B + merged * 0xC2B2AE35) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+                key = (salt + i * 0x85EBCA6B + rank * 0xC2B2AE35) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
                 if (key ^ key >> 29) * 0xBF58476D1CE4E5B9 >> 32 & 0xFFFFFFFF < threshold:
                     continue
-            symbols[i], symbols[j] = left + right, None
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                offer(i, after[i])
-            if before[i] >= 0:
-                offer(before[i], i)
+            symbols[i], symbols[j] = piece, None
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (rank := rank_of(piece + symbols[k])) is not None:
+                    push(agenda, rank << 32 | i)
+            k = before[i]
+            if k >= 0 and (rank := rank_of(symbols[k] + piece)) is not None:
+                push(agenda, rank << 32 | k)
         out: list[int] = []
         for s in symbols:
             if s is not None:
@@ -153,6 +160,22 @@ class Pieces:
         return b"".join([raw[i] for i in ids])[1:].decode("utf-8")
 
 
+    def unchanged(self, ids: np.ndarray, offsets: np.ndarray, texts: pa.Array) -> np.ndarray:
+        """Whether each text's ids decode to the text; all texts at once."""
+        data, bounds = _prefixed(texts)
+        sizes = self.piece_sizes[ids]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        made = self.piece_bytes[np.repeat(self.piece_starts[ids] - ends[:-1], sizes) + np.arange(ends[-1])]
+        own = ends[offsets]
+        out = np.diff(own) == np.diff(bounds)
+        if out.all():
+            wrong = np.concatenate([[0], np.cumsum(made != data)])
+            return np.diff(wrong[bounds]) == 0
+        for i in np.flatnonzero(out).tolist():
+            out[i] = np.array_equal(made[own[i] : own[i + 1]], data[bounds[i] : bounds[i + 1]])
+        return out
+
+
 def _prefixed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes with one blank before every text that is not empty, and the offsets."""
     data, offsets = W.buffers(texts)
@@ -208,11 +231,10 @@ def encode(
             borders = list(zip(offsets[:-1].tolist(), offsets[1:].tolist()))
             if digest:
                 data = ids.astype("<u4")
-                found = texts.fill_null("").to_pylist()
                 columns = [
                     pa.array(np.diff(offsets), pa.int64()),
                     pa.array([zlib.crc32(data[a:b].tobytes()) for a, b in borders], pa.int64()),
-                    pa.array([model.decode(ids[a:b].tolist()) == t for (a, b), t in zip(borders, found)], pa.bool_()),
+                    pa.array(model.unchanged(ids, offsets, texts)),
                 ]
             else:
                 columns = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32)))]
