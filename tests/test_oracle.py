@@ -6,6 +6,7 @@ import pytest
 from compare import connect, difference
 
 from __spark_entry__ import entry, oracle_sql, queries
+from tierglass.plans.oracles import ORACLES
 from tierglass.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -24,7 +25,7 @@ def test_query_matches_sql(spark, db, name):
 
 def test_every_query_has_sql_with_plain_types(db):
     assert set(QUERIES) <= set(queries()) and set(QUERIES) <= set(oracle_sql()) <= set(queries())
-    for sql in oracle_sql().values():
+    for sql in ORACLES.values():
         assert {row[1] for row in db.execute(f"DESCRIBE {sql}").fetchall()} <= PLAIN_TYPES
 
 

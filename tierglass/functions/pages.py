@@ -43,11 +43,25 @@ def one_span(text: str) -> Column:
 
 
 def page_of(spans: Column, offset: Column) -> Column:
-    """Page of the first span that covers the offset, else null."""
-    covering = F.filter(
-        spans, lambda s: (s["start"] <= offset) & (offset < s["end"])
+    """Page of the span that covers the offset, else null. Spans are in order and do not overlap.
+
+    Halves the spans until the last one that starts at or before the offset is found, so that many
+    signals on many pages stay cheap.
+    """
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["low"] + s["high"], 1)
+        return F.when(
+            F.get(spans, middle)["start"] <= offset,
+            F.struct((middle + F.lit(1)).alias("low"), s["high"].alias("high")),
+        ).otherwise(F.struct(s["low"].alias("low"), middle.alias("high")))
+
+    steps = F.ceil(F.log2(F.size(spans) + F.lit(1))).cast("int")
+    everything = F.struct(F.lit(0).alias("low"), F.size(spans).alias("high"))
+    last = F.get(
+        spans, F.aggregate(F.sequence(F.lit(1), F.greatest(steps, F.lit(1))), everything, halve)["low"] - F.lit(1)
     )
-    return F.get(covering, 0)["page"]
+    return F.when(offset < last["end"], last["page"])
 
 
 def content_type(has_text: Column, image_count: Column) -> Column:
