@@ -187,6 +187,26 @@ def test_class_model_does_not_depend_on_broadcast_words(spark, monkeypatch):
     assert got == want and len(got) == docs.count()
 
 
+@pytest.mark.parametrize("head", [1 << 18, 60])
+def test_every_repeated_word_has_the_class_of_its_contexts(spark, monkeypatch, head):
+    """Words beyond the most frequent ones, alike in their ending, are told apart by what stands around them."""
+    monkeypatch.setattr(class_model, "HEAD", head)
+    monkeypatch.setattr(class_model, "UNITS", 40)
+    rng = np.random.default_rng(4)
+    left, right = ([f"{side}{i}" for i in range(10)] for side in ("l", "r"))
+    inner = [(f"p{i}zz", f"q{i}zz") for i in range(60)]  # the first ten of each kind are frequent
+    lines = []
+    for i in range(1500):
+        p, q = inner[i % 10 if i % 3 else 10 + i // 3 % 50]
+        lines.append(" ".join([left[rng.integers(10)], p, right[rng.integers(10)], q] * 2))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    model, counts = class_model.fit(docs)
+    of = {r["h"]: r["c"] for r in counts.collect()}
+    h = {w: class_model.tokens(pa.array([w]))[0][0] for pair in inner for w in pair}
+    first, second = ({of[h[pair[k]]] for pair in inner} for k in (0, 1))
+    assert not first & second and None not in first | second
+
+
 def test_class_model_of_no_texts(spark, odd_docs, no_docs):
     model, counts = class_model.fit(no_docs)
     for r in class_model.score(odd_docs, model, counts).collect():

@@ -2,17 +2,20 @@
 
     P(word | word before) = P(class | class before) * P(word | class)
 
-Classes come from exchange clustering: units move one by one to the class that raises the likelihood
-of the class bigrams most, until none moves. Units are the ``UNITS`` most frequent words, one for
-each ending (hashed last two bytes) of all other words, and the text end. Every word, seen or not,
-thus has a class that its bytes alone decide, while emissions use the exact count of every word of
-the corpus:
+Classes come from exchange clustering in two steps. First the ``UNITS`` most frequent words, one unit for
+each ending (hashed last two bytes) of all other words, and the text end move one by one to the class
+that raises the likelihood of the class bigrams most, until none moves. From there every word that
+occurs twice or more is moved by its own contexts: each round counts in Spark the classes before and after
+each word, and moves each word against the class table of the round, neighbours held; rounds end when
+the likelihood no longer rises, after ``WORD_ROUNDS`` at most. Words seen once or never have the class of
+their ending. Emissions use the exact count of every word of the corpus:
 
     P(word | class) = (c + 0.5) / (N_class + 0.5 (V_class + 1))
 
 with one share of 0.5 for all unseen words of a class. Transitions are mixed with the class
-frequencies. Word counts are a Spark table. The most frequent words (at most ``HEAD``) are broadcast;
-all others are looked up by a join, so the scores do not depend on ``HEAD`` where it holds the units.
+frequencies. Word counts and classes are Spark tables. The most frequent words (at most ``HEAD``) are
+broadcast; all others are looked up by a join, so the scores do not depend on ``HEAD`` where it holds the
+units.
 """
 
 from __future__ import annotations
@@ -33,6 +36,10 @@ CLASSES = 32
 HEAD = 1 << 18
 FLUSH_WORDS = 1 << 22
 ROUNDS = 12
+WORD_ROUNDS = 3
+END = CLASSES
+BLOCK = 4096
+_CLASSES = "h long, ending int, n long, c int"
 PRIOR = 2.0
 
 
@@ -80,38 +87,274 @@ def fit(docs: DataFrame) -> tuple[dict, DataFrame]:
     units = head.sort_values(["n", "h"], ascending=[False, True]).head(UNITS)
     unit_words = np.sort(units["h"].to_numpy(np.int64))
     bigrams = _bigrams(docs, unit_words)
-    classes = exchange(bigrams, CLASSES)
+    start = exchange(bigrams, CLASSES)
     k = len(unit_words)
+    endings = start[k : k + ENDINGS]
+    head = head.sort_values("h")
+    level = None if not len(head) else int(np.floor(np.log2(head["n"].min()) * 4))
+    classes, own, pairs = _word_classes(docs, counts, head, level, unit_words, start, bigrams)
     # tokens and distinct words of every class
     size, members = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
-    rest = counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
-    for r in rest:
-        size[classes[k + r["ending"]]] += r["n"]
-        members[classes[k + r["ending"]]] += 1 * r["v"]
-    for h, ending, n in units[["h", "ending", "n"]].itertuples(index=False):
-        own, other = classes[np.searchsorted(unit_words, h)], classes[k + ending]
-        size[own] += n
-        members[own] += 1
-        size[other] -= n
-        members[other] -= 1
-    size[CLASSES], members[CLASSES] = texts, int(texts > 0)
-    pairs = np.zeros((CLASSES + 1, CLASSES + 1))
-    np.add.at(pairs, (classes[:, None], classes[None, :]), bigrams)
+    for r in classes.groupBy("c").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        size[r["c"]] += r["n"]
+        members[r["c"]] += r["v"]
+    for r in counts.where("n = 1").groupBy("ending").count().collect():
+        size[endings[r["ending"]]] += r["count"]
+        members[endings[r["ending"]]] += r["count"]
+    size[END], members[END] = texts, int(texts > 0)
     seen = pairs.sum(0)
     share = (seen + 0.5) / (seen.sum() + 0.5 * len(seen))
     moves = (pairs + PRIOR * share) / (pairs.sum(1, keepdims=True) + PRIOR)
-    head = head.sort_values("h")
+    words = head["h"].to_numpy(np.int64)
     return {
-        "unit_words": unit_words,
-        "classes": classes,
+        "unit_words": Units(words, k),
+        "classes": np.concatenate([start, own]),
+        "endings": endings,
         # log10 of a transition to a class and of the emission's denominator there
         "step": np.log10(moves) - np.log10(size + 0.5 * (members + 1)),
-        "head": head["h"].to_numpy(np.int64),
+        "head": words,
         "head_n": head["n"].to_numpy(np.int64),
         "texts": texts,
         "tokens": int(total) + texts,
         "distinct": int(distinct) + int(texts > 0),
-    }, counts
+    }, counts.join(classes.select("h", "c"), "h", "left")
+
+
+class Units:
+    """Words whose class is broadcast, in the order of their hash, and how many units clustering began with."""
+
+    def __init__(self, words: np.ndarray, seeds: int):
+        self.words, self.seeds = words, seeds
+
+    def __len__(self) -> int:
+        return self.seeds
+
+
+def _word_classes(
+    docs: DataFrame, counts: DataFrame, head, level: int | None, unit_words: np.ndarray, start: np.ndarray, bigrams: np.ndarray
+) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(h, ending, n, c) of the words that repeat, the class of each word of ``head``, and the class bigrams."""
+    k = len(unit_words)
+    endings = start[k : k + ENDINGS]
+    words, by_ending = head["h"].to_numpy(np.int64), endings[head["ending"].to_numpy(np.int64)]
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, ending = (b.column(c).to_numpy().astype(np.int64) for c in ("h", "ending"))
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array(start[_units(unit_words, h, ending)], pa.int32())], [*b.schema.names, "c"]
+            )
+
+    def of_head(classes: DataFrame) -> np.ndarray:
+        found = classes.where(_level() >= level).select("h", "c").toPandas() if len(words) else None
+        own = by_ending.copy()
+        if found is not None:
+            own[np.searchsorted(words, found["h"].to_numpy(np.int64))] = found["c"].to_numpy(np.int64)
+        return own
+
+    classes = counts.where("n > 1").select("h", "ending", "n").mapInArrow(W.task(first), _CLASSES)
+    own = of_head(classes)
+    pairs = np.zeros((CLASSES + 1, CLASSES + 1))
+    np.add.at(pairs, (start[:, None], start[None, :]), bigrams)
+    rounds = WORD_ROUNDS if len(words) else 0
+    near = _contexts(docs, classes, level, words, own, endings)
+    for left in range(rounds - 1, -1, -1):
+        moved = cut(near.mapInArrow(W.task(_moves(pairs)), _CLASSES))
+        own_moved = of_head(moved)
+        near = _contexts(docs, moved, level, words, own_moved, endings)
+        near = cut(near) if left else near
+        after = _class_pairs(near, endings)
+        after[END, END] = pairs[END, END]
+        if _likelihood(after) <= _likelihood(pairs):
+            break
+        classes, own, pairs = moved, own_moved, after
+    return classes, own, pairs
+
+
+def _level():
+    return F.floor(F.log2("n") * 4)
+
+
+def _contexts(
+    docs: DataFrame, classes: DataFrame, level: int | None, words: np.ndarray, own: np.ndarray, endings: np.ndarray
+) -> DataFrame:
+    """(h, ending, k, n) of every word: how often class k stands before it, or class k - END - 1 after it.
+
+    A first k of -1 gives the word's own class as its n; a word that does not repeat has none.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((words, own))
+
+    def sides(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        """Hash, ending and class (-1: not broadcast) of each token, and the pairs of tokens by place."""
+        h, ending, word_offsets = tokens(part.column("text"))
+        known = _broadcast_classes(*shared.value, h)
+        n = len(h)
+        before, after = _sequence(np.arange(n), word_offsets, n)
+        return np.append(h, 0), np.append(ending, 0), np.append(known, END), before, after
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for part in (part for b in batches for part in W.slices(b)):
+            h, ending, c, before, after = sides(part)
+            for word, other, shift in ((after, before, 0), (before, after, END + 1)):
+                use = (word < len(h) - 1) & (c[other] >= 0)
+                held.append((h[word[use]], ending[word[use]], c[other[use]] + shift))
+                size += int(use.sum())
+            if size >= FLUSH_WORDS:
+                yield _near(held)
+                held, size = [], 0
+        if size:
+            yield _near(held)
+
+    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (part for b in batches for part in W.slices(b)):
+            h, ending, c, before, after = sides(part)
+            made = []
+            for word, other, shift in ((after, before, 0), (before, after, END + 1)):
+                use = (word < len(h) - 1) & (c[other] < 0)
+                word, other = word[use], other[use]
+                made.append((h[word], ending[word], np.full(len(word), shift), h[other], ending[other]))
+            h, ending, shift, other, other_ending = map(np.concatenate, zip(*made))
+            first, n = _distinct((h, other, shift))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(h[first]), pa.array(ending[first], pa.int32()), pa.array(shift[first], pa.int32()),
+                    pa.array(other[first]), pa.array(endings[other_ending[first]], pa.int32()), pa.array(n),
+                ],
+                ["h", "ending", "shift", "other", "by_ending", "n"],
+            )
+
+    tail = (classes if level is None else classes.where(_level() < level)).select(F.col("h").alias("_h"), "c")
+    key = ["h", "ending", "k"]
+    text = docs.select("text")
+    unknown = (
+        text.mapInArrow(W.task(far), "h long, ending int, shift int, other long, by_ending int, n long")
+        .join(tail, F.col("other") == F.col("_h"), "left")
+        .select("h", "ending", (F.col("shift") + F.coalesce("c", "by_ending")).alias("k"), "n")
+        .groupBy(*key)
+        .agg(F.sum("n").alias("n"))
+    )
+    mark = classes.select("h", "ending", F.lit(-1).alias("k"), F.col("c").cast("long").alias("n"))
+    rows = text.mapInArrow(W.task(near), "h long, ending int, k int, n long").unionAll(unknown).unionAll(mark)
+    found = F.array_sort(F.collect_list(F.struct("k", "n")))
+    return (
+        rows.repartition("h")
+        .groupBy(*key)
+        .agg(F.sum("n").alias("n"))
+        .groupBy("h", "ending")
+        .agg(found.alias("near"))
+        .select("h", "ending", F.col("near.k").cast("array<tinyint>").alias("k"), F.col("near.n").alias("n"))
+    )
+
+
+def _broadcast_classes(words: np.ndarray, own: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Class of each word; -1 for those that are not broadcast."""
+    if not len(words):
+        return np.full(len(h), -1)
+    at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+    return np.where(words[at] == h, own[at], -1)
+
+
+def _distinct(columns: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the first of each distinct row, and how many there are of it."""
+    mixed = np.zeros(len(columns[0]), np.uint64)
+    for column in columns:
+        mixed = W.mix(mixed * np.uint64(0x9E3779B97F4A7C15) + column.astype(np.int64).view(np.uint64))
+    _, first, n = np.unique(mixed, return_index=True, return_counts=True)
+    return first, n
+
+
+def _near(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    h, ending, k = map(np.concatenate, zip(*held))
+    first, n = _distinct((h, k))
+    columns = [pa.array(h[first]), pa.array(ending[first], pa.int32()), pa.array(k[first], pa.int32()), pa.array(n)]
+    return pa.RecordBatch.from_arrays(columns, ["h", "ending", "k", "n"])
+
+
+def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Row, k and n of every entry of a batch of ``_contexts``."""
+    k, n = batch.column("k"), batch.column("n")
+    row = np.repeat(np.arange(len(batch)), np.diff(k.offsets.to_numpy()))
+    return row, k.flatten().to_numpy().astype(np.int64), n.flatten().to_numpy()
+
+
+def _class_pairs(near: DataFrame, endings: np.ndarray) -> np.ndarray:
+    """How often each class follows each; texts without a word are left out."""
+    size = END + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * size, np.int64)
+        for b in batches:
+            row, k, n = _entries(b)
+            c = endings[b.column("ending").to_numpy()]
+            c[row[k < 0]] = n[k < 0]
+            before, last = (k >= 0) & (k < size), k == size + END
+            np.add.at(total, k[before] * size + c[row[before]], n[before])
+            np.add.at(total, c[row[last]] * size + END, n[last])
+        pair = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int32()), pa.array(total[pair])], ["pair", "n"])
+
+    out = np.zeros(size * size)
+    for r in near.mapInArrow(W.task(run), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        out[r["pair"]] = r["n"]
+    return out.reshape(size, size)
+
+
+def _moves(pairs: np.ndarray):
+    """Task that gives each repeated word the class of largest gain, all others held; ties keep the word's."""
+    size = END + 1
+
+    def info(x: np.ndarray) -> np.ndarray:
+        return x * np.log(np.maximum(x, 1e-300))
+
+    table = np.concatenate([pairs[:, :END], pairs.T[:, :END]])  # by k, then the word's class
+    margins = np.stack([pairs.sum(0)[:END], pairs.sum(1)[:END]])
+    table_info, margins_info = info(table), info(margins)
+
+    def block(batch: pa.RecordBatch) -> pa.RecordBatch:
+        row, k, n = _entries(batch)
+        own = np.full(len(batch), -1)
+        own[row[k < 0]] = n[k < 0]
+        use = (k >= 0) & (own[row] >= 0)
+        row, k, n = row[use], k[use], n[use].astype(np.float64)
+        gain = np.zeros((len(batch), END))
+        step = info(table[k] + n[:, None]) - table_info[k]
+        c = own[row]
+        at = np.arange(len(row))
+        step[at, c] = table_info[k, c] - info(np.maximum(table[k, c] - n, 0))
+        if len(row):
+            begin = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            gain[row[begin]] = np.add.reduceat(step, begin, axis=0)
+        rows = np.flatnonzero(own >= 0)
+        for side in (0, 1):
+            total = np.bincount(row, n * (k // size == side), len(batch))[rows, None]
+            moved = info(margins[side] + total) - margins_info[side]
+            c = own[rows]
+            moved[np.arange(len(rows)), c] = margins_info[side, c] - info(np.maximum(margins[side, c] - total[:, 0], 0))
+            gain[rows] -= moved
+        best, c = gain[rows].argmax(1), own[rows]
+        best = np.where(gain[rows, best] > gain[rows, c] + 1e-6, best, c)
+        tokens = np.bincount(row, n * (k < size), len(batch))[rows].astype(np.int64)
+        return pa.RecordBatch.from_arrays(
+            [batch.column("h").take(pa.array(rows)), batch.column("ending").take(pa.array(rows)), pa.array(tokens), pa.array(best, pa.int32())],
+            ["h", "ending", "n", "c"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, len(b), BLOCK):
+                yield block(b.slice(at, BLOCK))
+
+    return run
+
+
+def _likelihood(pairs: np.ndarray) -> float:
+    """Of the class bigrams, less what does not depend on classes."""
+
+    def info(x: np.ndarray) -> float:
+        return float((x * np.log(np.maximum(x, 1e-300))).sum())
+
+    return info(pairs) - info(pairs.sum(0)) - info(pairs.sum(1))
 
 
 def _head(counts: DataFrame):
@@ -127,8 +370,12 @@ def _head(counts: DataFrame):
     return rows.toPandas().astype({"h": "int64", "ending": "int64", "n": "int64"})
 
 
-def _units(unit_words: np.ndarray, h: np.ndarray, ending: np.ndarray) -> np.ndarray:
+def _units(unit_words: np.ndarray | Units, h: np.ndarray, ending: np.ndarray) -> np.ndarray:
     """Unit number of each word."""
+    if isinstance(unit_words, Units):
+        at = np.minimum(np.searchsorted(unit_words.words, h), max(len(unit_words.words) - 1, 0))
+        found = unit_words.words[at] == h if len(unit_words.words) else np.zeros(len(h), bool)
+        return np.where(found, unit_words.seeds + ENDINGS + 1 + at, unit_words.seeds + ending)
     if not len(unit_words):
         return ending
     at = np.minimum(np.searchsorted(unit_words, h), len(unit_words) - 1)
@@ -236,34 +483,51 @@ def score(docs: DataFrame, model: dict, counts: DataFrame) -> DataFrame:
     main = docs.mapInArrow(
         W.task(known), "doc_id long, text_hash long, n_tokens long, head_known long, head_sum double, steps double"
     )
-    # Words that are not broadcast: each text's distinct ones meet the counts. Repeated rows of one
-    # document give each word as often, which the number of rows over their distinct words undoes.
+    # Pairs with a word that is not broadcast: each text's distinct ones meet the counts and classes.
+    # Repeated rows of one document give each pair as often, which the number of rows over their
+    # distinct pairs undoes. A word that is broadcast has a key that no word has.
+    by_ending = F.lit([int(c) for c in model["endings"]])
+    steps = F.lit([float(x) for x in model["step"].ravel()])
+    first, second = (counts.select(F.col("h").alias(k), F.col("n").alias(f"{k}_n"), F.col("c").alias(f"{k}_c")) for k in ("b", "a"))
+    before, after = (
+        F.coalesce(f"{k}_known", f"{k}_c", F.element_at(by_ending, F.col(f"{k}_ending") + 1)) for k in ("b", "a")
+    )
+    rare = F.col("a_known").isNull()
     tail = (
-        docs.mapInArrow(W.task(unknown), "doc_id long, text_hash long, h long, times int, words int")
-        .join(counts.select("h", "n"), "h", "left")
+        docs.mapInArrow(
+            W.task(unknown),
+            "doc_id long, text_hash long, b long, b_ending int, b_known int, a long, a_ending int, a_known int, times int, pairs int",
+        )
+        .join(first, "b", "left")
+        .join(second, "a", "left")
         .groupBy("doc_id", "text_hash")
         .agg(
-            F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("tail_sum"),
-            F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("tail_known"),
-            (F.count("*") / F.max("words")).alias("copies"),
+            F.sum(F.when(rare & (F.col("a_n") > 0), F.col("times") * F.log10(F.col("a_n") + 0.5)).otherwise(0.0)).alias("tail_sum"),
+            F.sum(F.when(rare & (F.col("a_n") > 0), F.col("times")).otherwise(0)).alias("tail_known"),
+            F.sum(F.col("times") * F.element_at(steps, before * (END + 1) + after + 1)).alias("tail_steps"),
+            (F.count("*") / F.max("pairs")).alias("copies"),
         )
         .select(
             F.col("doc_id").alias("_doc"),
             F.col("text_hash").alias("_text"),
             (F.col("tail_sum") / F.col("copies")).alias("tail_sum"),
+            (F.col("tail_steps") / F.col("copies")).alias("tail_steps"),
             (F.col("tail_known") / F.col("copies")).cast("long").alias("tail_known"),
         )
     )
     both = main.join(tail, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_text")), "left")
-    emitted = F.col("head_sum") + F.coalesce("tail_sum", F.lit(0.0))
+    known = F.col("head_known") + F.coalesce("tail_known", F.lit(0))
+    # Unseen words all have one emission, so they are a product and not a sum that rounds.
+    unseen = F.col("n_tokens") - known - int(not model["texts"])
+    emitted, least = F.col("head_sum") + F.coalesce("tail_sum", F.lit(0.0)), float(np.log10(0.5))
     base = float(np.log10(model["tokens"] + 0.5 * (model["distinct"] + 1)))
     return both.select(
         "doc_id",
         "n_tokens",
-        (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
+        known.alias("n_known"),
         F.lit(model["tokens"]).cast("long").alias("train_tokens"),
-        (emitted - F.col("n_tokens") * base).alias("base_score"),
-        (emitted + F.col("steps")).alias("score"),
+        (emitted - (F.col("n_tokens") - unseen) * base + unseen * (least - base)).alias("base_score"),
+        (emitted + unseen * least + F.col("steps") + F.coalesce("tail_steps", F.lit(0.0))).alias("score"),
     )
 
 
@@ -281,11 +545,10 @@ def _in_head(model: dict, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _known(model: dict, part: pa.RecordBatch) -> pa.RecordBatch:
-    h, ending, word_offsets = tokens(part.column("text"))
+    h, _, word_offsets = tokens(part.column("text"))
     n = len(part)
-    end = len(model["classes"]) - 1
-    before, after = _sequence(_units(model["unit_words"], h, ending), word_offsets, end)
-    step = model["step"][model["classes"][before], model["classes"][after]]
+    before, after = _sequence(_model_classes(model, h), word_offsets, END)
+    step = np.where((before < 0) | (after < 0), 0, model["step"][before, after])
     text = np.repeat(np.arange(n), np.diff(word_offsets) + 1)
     found, count = _in_head(model, h)
     words = np.repeat(np.arange(n), np.diff(word_offsets))
@@ -304,26 +567,35 @@ def _known(model: dict, part: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _tail(model: dict, part: pa.RecordBatch) -> pa.RecordBatch:
-    h, _, word_offsets = tokens(part.column("text"))
-    text = np.repeat(np.arange(len(part)), np.diff(word_offsets))
-    rare = ~_in_head(model, h)[0]
-    h, text = h[rare], text[rare]
-    order = np.lexsort((h, text))
-    h, text = h[order], text[order]
-    first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (text[1:] != text[:-1]))[: len(h)])
-    times = np.diff(np.append(first, len(h)))
-    h, text = h[first], text[first]
-    words = np.bincount(text, minlength=len(part))[text]
-    return pa.RecordBatch.from_arrays(
-        [
-            part.column("doc_id").take(pa.array(text, pa.int64())),
-            pa.array(_text_hashes(part)[text]),
-            pa.array(h, pa.int64()),
-            pa.array(times, pa.int32()),
-            pa.array(words, pa.int32()),
-        ],
-        ["doc_id", "text_hash", "h", "times", "words"],
-    )
+    h, ending, word_offsets = tokens(part.column("text"))
+    c = np.append(_model_classes(model, h), END)
+    n = len(h)
+    before, after = _sequence(np.arange(n), word_offsets, n)
+    text = np.repeat(np.arange(len(part)), np.diff(word_offsets) + 1)
+    use = (c[before] < 0) | (c[after] < 0)
+    before, after, text = before[use], after[use], text[use]
+    h, ending = np.append(h, 0), np.append(ending, 0)
+    first, times = _distinct((h[before], before == n, h[after], after == n, text))
+    before, after, text = before[first], after[first], text[first]
+    row = _text_hashes(part)[text]
+    # the key of a word that is broadcast is spread over all values, so that it is not a hot one
+    other = W.mix(h[before].view(np.uint64) + W.mix(h[after].view(np.uint64)) + row.view(np.uint64)).view(np.int64)
+    columns = [part.column("doc_id").take(pa.array(text, pa.int64())), pa.array(row)]
+    for word in (before, after):
+        known = c[word] >= 0
+        columns += [
+            pa.array(np.where(known, other, h[word])),
+            pa.array(ending[word], pa.int32()),
+            pa.array(c[word], pa.int32(), mask=~known),
+        ]
+    columns += [pa.array(times, pa.int32()), pa.array(np.bincount(text, minlength=len(part))[text], pa.int32())]
+    names = ["doc_id", "text_hash", "b", "b_ending", "b_known", "a", "a_ending", "a_known", "times", "pairs"]
+    return pa.RecordBatch.from_arrays(columns, names)
+
+
+def _model_classes(model: dict, h: np.ndarray) -> np.ndarray:
+    """Class of each word; -1 for those that are not broadcast."""
+    return _broadcast_classes(model["head"], model["classes"][len(model["unit_words"]) + ENDINGS + 1 :], h)
 
 
 def op6_class_model(spark, sf_dir: str) -> DataFrame:
