@@ -14,6 +14,7 @@ import pytest
 from llm.conftest import ordered, pairs
 from pyspark.sql import functions as F
 
+from tierglass.llm import words as W
 from tierglass.llm import class_model, language_id, packing, piece_tokens, quality_classifier, quality_rules
 from tierglass.llm.registry import QUERIES
 
@@ -315,6 +316,20 @@ def test_dropout_varies_repeats_and_comes_back(spark, odd_docs, no_docs):
     assert piece_tokens.encode(no_docs).count() == 0
 
 
+def test_every_occurrence_draws_for_itself():
+    """One candidate merge is skipped at the rate, and a long chunk has many more than four segmentations."""
+    own = piece_tokens.Pieces(piece_tokens.model_path(), 0.1, 1)
+    word = "a"
+    for text, least in ((word, 2), ("internationalization", 20)):
+        ids, offsets = own.encode(pa.array([text] * 4000), W.mix(np.arange(4000, dtype=np.uint64)))
+        made = [tuple(ids[a:b].tolist()) for a, b in zip(offsets, offsets[1:])]
+        assert len(set(made)) >= least and all(own.decode(list(m)) == text for m in set(made))
+    plain, met = own.chunk_ids((" " + word).encode())
+    ids, offsets = own.encode(pa.array([word] * 4000), W.mix(np.arange(4000, dtype=np.uint64)))
+    kept = sum(ids[a:b].tolist() == plain for a, b in zip(offsets, offsets[1:])) / 4000
+    assert len(met) == 1 and abs(kept - 0.9) < 0.02
+
+
 def test_piece_query_is_lossless(spark):
     rows = QUERIES["op10_piece_tokens"](spark, SF).collect()
     assert all(r["lossless"] for r in rows) and len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()

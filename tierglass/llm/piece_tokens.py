@@ -3,10 +3,10 @@
 Encoding works on the pieces of a public model, never a trained one. Text is cut into chunks that no
 piece spans (a run of blanks with the word after it; a byte that only occurs alone). In a chunk an agenda
 of candidate merges is worked off by score, then by place. With dropout, a candidate that comes up is
-skipped for good if a keyed hash of (seed, variant, chunk, place, merged piece) falls below the
-rate. Every occurrence of a chunk draws its variant from (seed, document, place), so a word varies between
-and within documents, and all is repeatable on any partitioning. A rate of 0 gives the model's own
-segmentation.
+skipped for good if a keyed hash of (seed, document, place of the chunk, place in the chunk, merged piece)
+falls below the rate. So every candidate of every occurrence draws for itself, and all is repeatable on
+any partitioning. What is kept is the segmentation of a
+chunk for a set of skipped candidates, as many occurrences have the same. A rate of 0 gives the model's own segmentation.
 
 Decoding joins pieces and bytes and takes off the blank that encoding puts in front, so every text
 comes back. A literal U+2581 in a text is encoded as bytes, as the pieces use it for a blank.
@@ -29,7 +29,6 @@ from tierglass.llm.common import table
 
 RATE = 0.1
 SEED = 7
-VARIANTS = 4
 CACHE = 300_000
 KEPT = 50_000
 BLANK = "▁"
@@ -67,31 +66,29 @@ class Pieces:
         self.lone_newline = not any("\n" in p for p in self.ids if len(p) > 1)
         self.cache = W.ChunkCache(CACHE)
 
-    def merge(self, chunk: str, variant: int) -> list[int]:
-        """Ids of one chunk, blanks already marked.
+    def merge(self, chunk: str, skipped: frozenset[int] = frozenset(), base: int = 0) -> tuple[list[int], list[int]]:
+        """Ids of one chunk, blanks already marked, and the candidates that came up, each once.
 
-        The agenda holds the rank of the merged piece and the place of its left part in one number.
+        A candidate is the rank of its piece and its place behind ``base``; those in ``skipped`` do not merge. The agenda holds the rank of the merged piece and the place of its left part in one number.
         """
         symbols: list[str | None] = list(chunk)
         n = len(symbols)
-        rank_of, ids, threshold = self.ranks.get, self.ids, self.threshold
+        rank_of, ids, met = self.ranks.get, self.ids, {}
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda = [
             rank << 32 | i for i in range(n - 1) if (rank := rank_of(chunk[i : i + 2])) is not None
         ]
         heapq.heapify(agenda)
         pop, push = heapq.heappop, heapq.heappush
-        salt = zlib.crc32(chunk.encode(), self.seed & 0xFFFFFFFF) ^ (variant * 0x9E3779B1 & 0xFFFFFFFF) if threshold else 0
         while agenda:
             entry = pop(agenda)
             i, rank = entry & 0xFFFFFFFF, entry >> 32
             left, j = symbols[i], after[i]
             if left is None or j >= n or rank_of(piece := left + symbols[j]) != rank:
                 continue
-            if threshold:
-                key = (salt + i * 0x85EBCA6B + rank * 0xC2B2AE35) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
-                if (key ^ key >> 29) * 0xBF58476D1CE4E5B9 >> 32 & 0xFFFFFFFF < threshold:
-                    continue
+            met[entry + base] = None
+            if entry + base in skipped:
+                continue
             symbols[i], symbols[j] = piece, None
             k = after[i] = after[j]
             if k < n:
@@ -108,26 +105,41 @@ class Pieces:
                     out.append(ids[s])
                 else:
                     out.extend(self.bytes[list(s.encode())].tolist())
-        return out
+        return out, list(met)
 
-    def chunk_ids(self, raw: bytes, variant: int) -> list[int]:
+    def chunk_ids(self, raw: bytes, skipped: frozenset[int] = frozenset()) -> tuple[list[int], list[int]]:
         text = raw.decode("utf-8")
         if BLANK not in text:
-            return self.merge(text.replace(" ", BLANK), variant)
+            return self.merge(text.replace(" ", BLANK), skipped)
         # A literal mark never merges: encode what lies between, and the mark as bytes.
-        parts, out = text.split(BLANK), []
+        parts, out, met, base = text.split(BLANK), [], [], 0
         for k, part in enumerate(parts):
             out += self.bytes[list(BLANK.encode())].tolist() if k else []
-            out += self.merge(part.replace(" ", BLANK), variant) if part else []
-        return out
-
-    def _learn(self, chunks: list[bytes], variants: list[int]) -> W.Learned:
-        encoded = [self.chunk_ids(c, v) for c, v in zip(chunks, variants)]
+            if part:
+                ids, more = self.merge(part.replace(" ", BLANK), skipped, base)
+                out += ids
+                met += more
+            base += len(part) + 1
+        return out, met
+
+    def _learn(self, chunks: list[bytes], skipped: list[frozenset[int]]) -> W.Learned:
+        """What is kept of a chunk: how many candidates came up, their ranks, their places, and the ids."""
+        encoded = []
+        for c, s in zip(chunks, skipped):
+            ids, met = self.chunk_ids(c, s)
+            met = met if self.threshold else []
+            encoded.append([len(met), *(m >> 32 for m in met), *(m & 0xFFFFFFFF for m in met), *ids])
         sizes = np.array([len(e) for e in encoded], np.int64)
-        return np.array([i for ids in encoded for i in ids], np.uint32), np.cumsum(sizes) - sizes, sizes
+        return np.array([i for e in encoded for i in e], np.uint32), np.cumsum(sizes) - sizes, sizes
 
-    def encode(self, texts: pa.Array, keys: np.ndarray, variants: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and the n + 1 offsets of the texts; ``keys`` are one number per text."""
+    def encode(self, texts: pa.Array, keys: np.ndarray, variants: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and the n + 1 offsets of the texts; ``keys`` are one number per text.
+
+        An occurrence is looked up by its chunk and the candidates known to be skipped, none at first;
+        what came up there and is skipped by its draws is the next key, until the two are the same. Each
+        turn is right for one more step of the agenda, so this ends with the occurrence's own run.
+        ``variants`` has no meaning any more.
+        """
         data, offsets = _prefixed(texts)
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
@@ -144,14 +156,38 @@ class Pieces:
         text = np.searchsorted(offsets, first, "right") - 1
         place = (first - offsets[text]).astype(np.uint64)
         draw = W.mix(keys[text] + place * np.uint64(0x9E3779B97F4A7C15) + np.uint64(self.seed))
-        variant = draw % np.uint64(variants) if self.threshold else np.zeros(len(first), np.uint64)
-        raw = data.tobytes()
-
-        def learn(new: np.ndarray) -> W.Learned:
-            chunks = [raw[a:b] for a, b in zip(first[new].tolist(), last[new].tolist())]
-            return self._learn(chunks, variant[new].tolist())
-
-        ids, out = self.cache.ids(W.mix(W.hashes(data, first, last) + variant), learn)
+        raw, chunk = data.tobytes(), W.hashes(data, first, last)
+        skips, sets = np.zeros(len(first), np.uint64), {}
+        made, sizes, open_ = [], np.zeros(len(first), np.int64), np.arange(len(first))
+        while len(open_):
+
+            def learn(new: np.ndarray, at: np.ndarray = open_) -> W.Learned:
+                places = at[new].tolist()
+                return self._learn([raw[first[i] : last[i]] for i in places], [sets.get(i, frozenset()) for i in places])
+
+            flat, out = self.cache.ids(W.mix(chunk[open_] + W.mix(skips[open_])), learn)
+            n = flat[out[:-1]].astype(np.int64)
+            row = np.repeat(np.arange(len(open_)), n)
+            at = out[row] + 1 + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            code = flat[at].astype(np.uint64) << np.uint64(32) | flat[at + n[row]].astype(np.uint64)
+            drawn = W.mix(draw[open_][row] + W.mix(code + np.uint64(1))) >> np.uint64(32) < np.uint64(self.threshold)
+            row, code = row[drawn], code[drawn]
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(W.mix(code + np.uint64(2)))])
+            ends = np.searchsorted(row, np.arange(len(open_) + 1))
+            found = sums[ends[1:]] - sums[ends[:-1]]
+            done = found == skips[open_]
+            sizes[open_[done]] = np.diff(out)[done] - 1 - 2 * n[done]
+            made.append((open_[done], flat, (out[:-1] + 1 + 2 * n)[done]))
+            for i in np.flatnonzero(~done).tolist():
+                sets[int(open_[i])] = frozenset(code[ends[i] : ends[i + 1]].tolist())
+            skips[open_] = found
+            open_ = open_[~done]
+        out = np.concatenate([[0], np.cumsum(sizes)])
+        ids = np.zeros(out[-1], np.uint32)
+        for chunks, flat, start in made:
+            n = sizes[chunks]
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            ids[np.repeat(out[chunks], n) + step] = flat[np.repeat(start, n) + step]
         return ids, out[np.searchsorted(first, offsets)]
 
     def decode(self, ids: list[int]) -> str:
@@ -211,8 +247,7 @@ def _keys(doc_ids: pa.Array, seed: int) -> np.ndarray:
 
 
 def encode(
-    docs: DataFrame, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS, path: str | None = None,
-    digest: bool = False,
+    docs: DataFrame, rate: float = RATE, seed: int = SEED, path: str | None = None, digest: bool = False
 ) -> DataFrame:
     """(doc_id, ids) of every row of ``docs`` (doc_id, text); null and empty texts have no ids.
 
@@ -227,7 +262,7 @@ def encode(
         model = pieces(path or model_path(), rate, seed)
         for part in (part for b in batches for part in W.slices(b)):
             texts, keys = part.column("text"), _keys(part.column("doc_id"), seed)
-            ids, offsets = model.encode(texts, keys, variants)
+            ids, offsets = model.encode(texts, keys)
             borders = list(zip(offsets[:-1].tolist(), offsets[1:].tolist()))
             if digest:
                 data = ids.astype("<u4")
