@@ -253,7 +253,8 @@ def infer(
     """Call ``run(model, prompt)`` for every row; an exception becomes ``error``.
 
     With ``batched`` it is ``run(model, prompts)`` for the rows of one model in a batch, and gives a
-    list; an exception is then the error of all of them.
+    list; an exception is then the error of all of them, and so is a list of another length, as nobody
+    knows whose answers are missing.
 
     Rows are streamed in Arrow batches. ``prompts`` keeps its own partitioning,
     so no model or document gathers its rows in one task.
@@ -274,6 +275,8 @@ def infer(
         for model in dict.fromkeys(models):
             own = [i for i, m in enumerate(models) if m == model]
             said, problem = answer(model, [texts[i] for i in own])
+            if problem is None and (count := len(said) if isinstance(said, (list, tuple)) else 0) != len(own):
+                problem = f"{count} answers to {len(own)} prompts"
             for i, one in zip(own, said if problem is None else [None] * len(own)):
                 out[i] = (one, problem)
         return out

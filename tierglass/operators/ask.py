@@ -13,6 +13,7 @@ from tierglass.operators import answers as A
 from tierglass.operators.evidence import RULES, scan_text
 from tierglass.operators.prompts import Node, compose_prompt, expand_prompts
 from tierglass.session import cut_lineage
+from tierglass.sources.answer_cache import store_answers, stored_answers
 
 ANSWERS = (
     "role", "model", "node_ord", "label", "score", "reasoning", "raw_response", "blank", "error",
@@ -52,9 +53,53 @@ def ask(
     are moved only for documents with something to ask.
     """
     metadata = F.lit(None).cast("string") if metadata_json is None else metadata_json
+    wanted = requests(docs, nodes, models, key, metadata)
+    answers, kept = _answers(docs, wanted, cache, run, key, metadata, image_summary, max_chars, now)
+    return answers, A.cache_upsert(cache, kept, cache_fallbacks)
+
+
+def ask_stored(
+    docs: DataFrame,
+    nodes: Sequence[Node],
+    path: str,
+    run: Callable[[str, str], str],
+    models: Mapping[str, str],
+    key: str = "doc_id",
+    metadata_json: Column | None = None,
+    image_summary: Column | None = None,
+    max_chars: int | None = PROMPT_TEXT_CHARS,
+    cache_fallbacks: bool = True,
+    now: Column | None = None,
+) -> DataFrame:
+    """Answers as :func:`ask` gives them, from the cache stored under ``path``, which is brought up to date.
+
+    Only entries that the requests ask for leave the scan of the cache, and only the folders of new
+    entries are rewritten. The answers are kept before the cache changes, so they stay what they were.
+    """
+    metadata = F.lit(None).cast("string") if metadata_json is None else metadata_json
+    wanted = cut_lineage(requests(docs, nodes, models, key, metadata))
+    cache = stored_answers(docs.sparkSession, path, wanted)
+    answers, kept = _answers(docs, wanted, cache, run, key, metadata, image_summary, max_chars, now)
+    answers = cut_lineage(answers)
+    store_answers(kept, path, cache_fallbacks)
+    return answers
+
+
+def _answers(
+    docs: DataFrame,
+    wanted: DataFrame,
+    cache: DataFrame,
+    run: Callable[[str, str], str],
+    key: str,
+    metadata: Column,
+    image_summary: Column | None,
+    max_chars: int | None,
+    now: Column | None,
+) -> tuple[DataFrame, DataFrame]:
+    """Answers to all requests, and what is new for the cache."""
     summary = F.lit("") if image_summary is None else image_summary
     stored = cache.select(*A.CACHE_KEY, F.struct(*A.CACHE_VALUES).alias("_stored"))
-    asked = cut_lineage(requests(docs, nodes, models, key, metadata).join(stored, list(A.CACHE_KEY), "left"))
+    asked = cut_lineage(wanted.join(stored, list(A.CACHE_KEY), "left"))
     missing = (
         asked.filter(F.col("_stored").isNull())
         .groupBy(*A.CACHE_KEY)
@@ -93,4 +138,4 @@ def ask(
     fresh = fresh.join(parsed.drop("kw_label", "kw_score", "kw_reasoning"), list(A.CACHE_KEY))
     hits = asked.filter(F.col("_stored").isNotNull()).select(key, "role", "node_ord", *A.CACHE_KEY, "_stored.*")
     answers = fresh.select(key, *ANSWERS).unionByName(A.cached_answers(hits).select(key, *ANSWERS))
-    return answers, A.cache_upsert(cache, kept, cache_fallbacks)
+    return answers, kept

@@ -83,6 +83,15 @@ def label_sums(feedback: DataFrame, records: DataFrame) -> DataFrame:
     return joined.groupBy(F.col("classification").alias("label")).agg(*[F.sum(c).alias(c) for c in sums])
 
 
+def statistics_columns() -> list[Column]:
+    """Count, overrides and mean quality as aggregates of feedback rows; sums a stream can go on with."""
+    return [
+        F.count("*").alias("total"),
+        F.count_if(F.lower("decision").isin(*OVERRIDE_DECISIONS)).alias("overrides"),
+        F.avg("quality_score").alias("avg_quality"),
+    ]
+
+
 def statistics_of(sums: DataFrame) -> DataFrame:
     """Count, overrides and mean quality; the mean is null where no quality was given."""
     mean = F.try_divide("quality", "n_quality").alias("avg_quality")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tierglass.functions import pages as P
 from tierglass.functions.once import with_once
@@ -48,6 +49,46 @@ def assemble_pages(
     )
 
 
+#: Characters of the bins in which offsets meet spans.
+BIN_CHARS = 1 << 16
+
+
+def pages_of_offsets(
+    offsets: DataFrame, spans: DataFrame, key: str = "doc_id", offset: str = "offset", bin_chars: int = BIN_CHARS
+) -> DataFrame:
+    """Add ``page`` to a table of offsets, from a table of spans (``key``, page, start, end).
+
+    The form of :func:`~tierglass.functions.pages.page_of` for tables. Spans lie in the bins that they
+    touch and offsets in theirs; in the order of a bin, the last span that starts at or before an offset
+    is the only one that can cover it, as spans of a document do not overlap. A bin has at most
+    ``bin_chars`` spans and as many different offsets, so a document of any number of pages is many
+    tasks, and offsets that are asked for often are looked up once.
+
+    An offset that no span covers, or a null one, has no page.
+    """
+    at = F.col(offset)
+    asked = offsets.where(at >= 0).select(key, at.cast("long").alias("_at")).distinct()
+    bins = F.sequence(F.expr(f"start div {bin_chars}"), F.expr(f"(end - 1) div {bin_chars}"))
+    covering = spans.where("end > start").select(
+        key,
+        F.explode(bins).alias("_bin"),
+        F.col("start").cast("long").alias("_at"),
+        F.struct("page", F.col("end").cast("long").alias("end")).alias("_span"),
+    )
+    events = covering.unionByName(
+        asked.withColumn("_bin", F.expr(f"_at div {bin_chars}")), allowMissingColumns=True
+    )
+    in_bin = W.partitionBy(key, "_bin").orderBy("_at", F.col("_span").isNull())
+    last = F.last("_span", ignorenulls=True).over(in_bin.rowsBetween(W.unboundedPreceding, W.currentRow))
+    found = (
+        events.withColumn("_last", last)
+        .where(F.col("_span").isNull())
+        .select(key, "_at", F.when(F.col("_at") < F.col("_last.end"), F.col("_last.page")).alias("page"))
+    )
+    joined = offsets.withColumn("_at", at.cast("long")).join(found, [key, "_at"], "left")
+    return joined.select(*offsets.columns, "page")
+
+
 def image_rollup(images: DataFrame, key: str = "doc_id") -> DataFrame:
     """Per document the number of images and the sorted distinct pages they are on."""
     return images.groupBy(key).agg(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from tierglass.functions import labels as L
 from tierglass.functions import pages as P
+from tierglass.functions.membership import filter_of, with_probable
 from tierglass.functions.once import with_once
 from tierglass.functions.text import bind, collapse_whitespace, is_blank, strip
 from tierglass.lexicon import EVIDENCE_CHARS, EVIDENCE_ENTRIES, HISTORY_ENTRIES, HISTORY_TABLE_ROWS
@@ -94,13 +95,17 @@ def fallback_chunks(stripped: Column, spans: Column, needed: Column) -> Column:
     return F.when((needed > 0) & (F.coalesce(stripped, F.lit("")) != ""), made).otherwise(none)
 
 
+def usable_images(images: DataFrame) -> DataFrame:
+    return images.filter(P.is_relevant_image(F.col("metadata")) & F.col("content").isNotNull())
+
+
 def image_evidence(images: DataFrame, key: str = "doc_id", n: int = 2) -> DataFrame:
     """The first ``n`` relevant images of each document as entries.
 
     The row limit is applied before the shuffle as well, so a document with very
     many images sends only ``n`` of them per input partition.
     """
-    usable = images.filter(P.is_relevant_image(F.col("metadata")) & F.col("content").isNotNull())
+    usable = usable_images(images)
     order = W.partitionBy(key).orderBy("image_idx")
     first = usable.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= n)
     meta = F.col("metadata")
@@ -133,7 +138,7 @@ def evidence_entries(
     Cited text comes first, then images, then text chunks until there are three
     entries. Rows that still need chunks, which are those with fewer than three
     citations, carry their text into the join with images; without images nothing
-    is joined.
+    is joined. :func:`evidence_by_images` keeps texts of documents without images out of it.
     """
     cited = results.withColumn("_cited", cited_entries(F.col("citations"), chars)).withColumn(
         "_text", F.when(F.size("_cited") < WANTED_ENTRIES, strip(F.coalesce(text, F.lit(""))))
@@ -173,6 +178,28 @@ def evidence_entries(
     return with_once(shown, {"evidence": entries}).drop("_cited", "_text", "_images", "_given")
 
 
+def evidence_by_images(
+    docs: DataFrame,
+    images: DataFrame,
+    results_of: Callable[[DataFrame], DataFrame],
+    key: str = "doc_id",
+    **options,
+) -> DataFrame:
+    """:func:`evidence_entries` of ``results_of(docs)``, moving only texts of documents with images.
+
+    A Bloom filter of the documents with a usable image, of at most 2^20 cells, parts the documents where
+    they are scanned, so each is classified once; the scan runs for both parts. Those that the filter
+    doesn't hold have no image and are joined with nothing.
+    """
+    with_images = filter_of(usable_images(images).select(key), [key])
+    marked = with_probable(docs, with_images, [key], "_may")
+    parts = [
+        evidence_entries(results_of(marked.where(part).drop("_may")), shown, key, **options)
+        for part, shown in (("NOT _may", None), ("_may", images))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 def document_results(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """The API's 15-column result row.
 
@@ -198,13 +225,19 @@ def document_results(df: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
+def report_name(task: Column, document: Column) -> Column:
+    """Where the report of a document lies below the folder of all reports."""
+
+    def safe(name: Column) -> Column:
+        encoded = F.replace(F.url_encode(name), F.lit("+"), F.lit("%20"))
+        return F.when(encoded.isin(".", ".."), F.regexp_replace(encoded, r"\.", "%2E")).otherwise(encoded)
+
+    return F.concat_ws("/", safe(task), safe(document), F.lit("report.json"))
+
+
 def report_paths(folder: str, task: Column, document: Column) -> Column:
-    """Where the reports of a document are, as a map."""
-    base = F.concat_ws("/", F.lit(folder), task, document)
-    return F.create_map(
-        F.lit("json"), F.concat(base, F.lit("/report.json")),
-        F.lit("pdf"), F.concat(base, F.lit("/report.pdf")),
-    )
+    """Where the report of a document is, as a map; ``write_report_files`` writes these files."""
+    return F.create_map(F.lit("json"), F.concat(F.lit(f"{folder}/"), report_name(task, document)))
 
 
 def with_bucket(results: DataFrame) -> DataFrame:

@@ -226,7 +226,7 @@ CTES = {
     "case_rows": """SELECT c.*, r.label AS predicted_label, r.raw_score AS score, coalesce(r.flags, '') AS flags,
       coalesce(r.n_flags, 0) AS n_flags, r.doc_id IS NOT NULL AS answered,
       CASE WHEN r.doc_id IS NOT NULL THEN o.latency_ms END AS latency_ms FROM cases c
-      LEFT JOIN (SELECT * FROM f8 WHERE doc_id % 7 <> 3) r ON r.doc_id = c.doc_id
+      LEFT JOIN f8 r ON r.doc_id = c.doc_id
       LEFT JOIN outcomes o ON o.doc_id = c.doc_id""",
     "image_rows": "SELECT doc_id, unnest(range(0, doc_id % 4)) AS image_idx FROM documents",
     "images": """SELECT doc_id, image_idx, CASE WHEN image_idx < 2 THEN image_idx + 1 END AS page,

@@ -301,7 +301,7 @@ _add("m18_fallback", "SELECT doc_id, role, label, score, fallback, reason FROM c
 _add("m19_last_node", "SELECT doc_id, role, node_ord, label, score FROM last_answers")
 _add("m20_debug", """SELECT doc_id, p_model AS model, p_fallback AS fallback, p_reason AS reason,
   p_score AS last_confidence FROM paired""")
-_body = "lower(substr(st, 1, 8000))"
+_body = "lower(st)"
 _add("u1_inference", f"""SELECT doc_id,
   CASE WHEN contains({_body}, 'malware') THEN NULL WHEN contains({_body}, 'nda') THEN 'Confidential' ELSE 'Public' END AS label,
   CASE WHEN contains({_body}, 'malware') THEN NULL WHEN contains({_body}, 'nda') THEN 0.7 ELSE 0.6 END::DOUBLE AS score,
@@ -501,3 +501,19 @@ _add("f10_api_results_with_images", f"""SELECT f.doc_id::VARCHAR AS document_id,
   CASE WHEN f.doc_id % 5 = 0 THEN 7 ELSE coalesce(i.image_count, 0) END AS image_count,
   coalesce(e.n, 0) AS n_images FROM f8 f LEFT JOIN image_stats i USING (doc_id)
   LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE type = 'image' AND pos < 10) AS n FROM {SHOWN} GROUP BY doc_id) e USING (doc_id)""")
+_add("m10_stored_cache", f"""SELECT 'alpha' AS model, prompt_hash, CASE WHEN toxic THEN 'Unsafe' ELSE 'Public' END AS label,
+  CASE WHEN toxic THEN 'stored 2' ELSE 'stored 1' END AS reasoning, CASE WHEN toxic THEN 0.52 ELSE 0.51 END::DOUBLE AS score
+  FROM (SELECT prompt_hash, bool_or(toxic = 1) AS toxic FROM {HASHED} JOIN labels USING (doc_id) GROUP BY prompt_hash)""")
+_add("m9_stored_lookup", f"""SELECT doc_id, node_ord, CASE WHEN c.prompt_hash IS NOT NULL THEN 0.51 END::DOUBLE AS score,
+  CASE WHEN c.prompt_hash IS NULL THEN 'model' ELSE 'cache' END AS backend FROM {HASHED} h LEFT JOIN {CACHED} c USING (prompt_hash)""")
+ORACLES["m9_m10_ask_stored"] = ORACLES["m9_m10_ask"]
+_add("q1_missing_results", """SELECT id, predicted_label, answered, safety_flags, count(*) OVER () AS total_cases, count(*) FILTER (WHERE NOT answered) OVER () AS missing_results,
+  (count(*) FILTER (WHERE right_) OVER () / count(*) OVER ())::DOUBLE AS accuracy,
+  coalesce(count(*) FILTER (WHERE critical AND safety_flags <> '') OVER () / nullif(count(*) FILTER (WHERE critical) OVER (), 0), 1)::DOUBLE
+    AS critical_detection_rate
+  FROM (SELECT case_id AS id, predicted_label, answered, flags AS safety_flags, critical, predicted_label IS NOT DISTINCT FROM expected_label AS right_
+    FROM case_rows UNION ALL
+    SELECT concat('unknown-', case_id), NULL, false, '', critical, false FROM cases)""")
+ORACLES["p9_offset_table"] = ORACLES["p9_offset_page"]
+_add("f10_followed_reports", """SELECT f.doc_id, concat('/task/', f.doc_id, '/report.json') AS "name", f.label, c.snippet AS citations_snippet,
+  raw_score AS score FROM f8 f JOIN cites c ON c.doc_id = f.doc_id AND c.ord = 1""")

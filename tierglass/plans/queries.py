@@ -29,7 +29,9 @@ from tierglass.operators import prompts as pm
 from tierglass.operators import views as vw
 from tierglass.plans import seeds
 from tierglass.session import work_folder
+from tierglass.sources import answer_cache as store
 from tierglass.sources import documents as src
+from tierglass.sources import report_files as rf
 from tierglass.sources import sinks
 from tierglass.streaming import continuous as st
 
@@ -318,9 +320,10 @@ def s11_prompt_trace(spark, sf):
 
 @query
 def s11_written_trace(spark, sf):
-    """The trace as it stands on disk, line by line."""
+    """The trace as it stands on disk, line by line, after the run was written twice."""
     folder = work_folder(spark)
-    sinks.write_trace(pm.expand_prompts(seeds.documents(spark, sf).select("doc_id"), NODES), folder)
+    for _ in range(2):
+        sinks.write_trace(pm.expand_prompts(seeds.documents(spark, sf).select("doc_id"), NODES), folder, "traced")
     return spark.read.text(folder).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
 
 
@@ -434,6 +437,17 @@ def p9_offset_page(spark, sf):
     return spanned.select("doc_id", "offset", P.page_of(F.col("page_spans"), F.col("offset")).alias("page"))
 
 
+@query
+def p9_offset_table(spark, sf):
+    """The same offsets as a table of their own, met with a table of page spans."""
+    pages = pr.split_pages(seeds.seeded(spark, sf))
+    offsets = pages.select(
+        "doc_id", F.explode(F.array(F.lit(0), F.lit(99), F.lit(100), F.lit(101), F.length("text"))).alias("offset")
+    )
+    spans = pages.select("doc_id", F.inline("page_spans"))
+    return pr.pages_of_offsets(offsets, spans).select("doc_id", "offset", "page")
+
+
 @query
 def p11_image_relevance(spark, sf):
     return seeds.images(spark, sf).select(
@@ -753,6 +767,28 @@ def m10_cache_entries(spark, sf):
     return merged.select("model", "prompt_hash", "reasoning", "score")
 
 
+@query
+def m10_stored_cache(spark, sf):
+    """A stored cache after an upsert of the answers that were toxic; every entry."""
+    folder = work_folder(spark)
+    store.store_answers(cache_writes(spark, sf, 1), folder)
+    store.store_answers(cache_writes(spark, sf, 2).where("label = 'Unsafe'"), folder)
+    return store.stored_answers(spark, folder).select("model", "prompt_hash", "label", "reasoning", "score")
+
+
+@query
+def m9_stored_lookup(spark, sf):
+    """Requests met with the entries that the stored cache gives for them."""
+    folder = work_folder(spark)
+    store.store_answers(cache_writes(spark, sf, 1), folder)
+    asked = sinks.cut_lineage(requests(spark, sf))
+    hits, misses = ans.cache_split(asked, store.stored_answers(spark, folder, asked))
+    found = hits.select("doc_id", "node_ord", "score", F.lit("cache").alias("backend"))
+    return found.unionByName(
+        misses.select("doc_id", "node_ord", F.lit(None).cast("double").alias("score"), F.lit("model").alias("backend"))
+    )
+
+
 @query
 def m10_cache_without_fallbacks(spark, sf):
     merged = ans.cache_upsert(
@@ -850,7 +886,7 @@ def u1_inference(spark, sf):
         return '{"label": "Confidential", "score": 0.7}' if "nda" in body else "Public"
 
     docs = seeds.seeded(spark, sf)
-    full = pm.compose_prompt(F.lit("Classify."), F.col("text"), F.lit(None).cast("string"), F.lit("none"))
+    full = pm.compose_prompt(F.lit("Classify."), F.col("text"), F.lit(None).cast("string"), F.lit("none"), max_chars=None)
     prompts = docs.select("doc_id", F.lit("primary").alias("role"), F.lit("stub").alias("model"),
                           F.lit(0).alias("node_ord"), full.alias("full_prompt"))
     answers = ans.parse_responses(ans.infer(prompts, stub))
@@ -884,6 +920,18 @@ def m9_m10_ask(spark, sf):
     )
 
 
+@query
+def m9_m10_ask_stored(spark, sf):
+    """Every node asked twice over one stored cache: by inference, then without any."""
+    docs, models, folder = seeds.seeded(spark, sf), {"primary": "stub"}, work_folder(spark)
+    first = asking.ask_stored(docs, NODES, folder, stub_model, models, max_chars=None)
+    second = asking.ask_stored(docs, NODES, folder, no_model, models, max_chars=None)
+    again = second.select("doc_id", "node_ord", F.col("label").alias("stored_label"), F.col("backend").alias("then"), F.col("error").alias("later_error"))
+    return first.join(again, ["doc_id", "node_ord"]).select(
+        "doc_id", "node_ord", "label", "score", "error", "backend", "stored_label", "then", "later_error"
+    )
+
+
 def no_model(model: str, prompt: str) -> str:
     raise RuntimeError("nothing should be asked")
 
@@ -1001,9 +1049,13 @@ def f9_engine(spark, sf):
 
 
 def evidence_rows(spark: SparkSession, sf: str, images: bool = False) -> DataFrame:
-    docs = pr.split_pages(seeds.seeded(spark, sf))
-    results = fu.classify(docs, keep=("text", "page_spans", "page_count"), spans="page_spans")
-    return vw.evidence_entries(results, seeds.images(spark, sf) if images else None)
+    def results_of(docs: DataFrame) -> DataFrame:
+        return fu.classify(pr.split_pages(docs), keep=("text", "page_spans", "page_count"), spans="page_spans")
+
+    docs = seeds.seeded(spark, sf)
+    if images:
+        return vw.evidence_by_images(docs, seeds.images(spark, sf), results_of)
+    return vw.evidence_entries(results_of(docs))
 
 
 def api_results(spark: SparkSession, sf: str, images: bool = False) -> DataFrame:
@@ -1034,6 +1086,22 @@ def f10_api_results(spark, sf):
     )
 
 
+@query
+def f10_followed_reports(spark, sf):
+    """Every report file that the API results name, read back."""
+    folder = work_folder(spark)
+    results = classified(spark, sf).withColumns({"classification_id": F.col("doc_id"), "task_id": F.lit("task")})
+    written = rf.write_report_files(results, folder)
+    read = rf.read_report_files(spark, folder).withColumn("path", F.concat(F.lit(f"{folder}/"), "name"))
+    followed = written.select("doc_id", F.col("reports")["json"].alias("path")).join(read, "path", "full")
+    return followed.select(
+        "doc_id",
+        F.expr(f"substring(path, {len(folder) + 1})").alias("name"),
+        *get("content", "label", "citations[0].snippet"),
+        F.get_json_object("content", "$.score").cast("double").alias("score"),
+    )
+
+
 # --- views ---------------------------------------------------------------------------------------
 
 
@@ -1170,8 +1238,8 @@ def h1_appended_feedback(spark, sf):
     for run in ("first", "second", "first"):
         part = given.filter("key % 2 = 0" if run == "first" else "key % 2 <> 0")
         sinks.append_feedback(part, known, folder, run, "key", record_time_of("classification_id"))
-    stored = spark.read.parquet(f"{folder}/feedback")
-    wrong = spark.read.parquet(f"{folder}/misclassifications").select("run", "id", "expected_label")
+    stored = sinks.stored_feedback(spark, folder)
+    wrong = sinks.stored_misclassifications(spark, folder).select("run", "id", "expected_label")
     return stored.join(wrong, ["run", "id"], "left").select(
         "run", "id", "classification_id", "reviewer", "decision", "expected_label",
         fb.iso_time(F.col("created_at")).alias("created_at"),
@@ -1263,8 +1331,8 @@ def h10_old_feedback(spark, sf):
 
 
 def case_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Cases of which every seventh document has no result."""
-    timed = classified(spark, sf).filter("doc_id % 7 <> 3").join(
+    """Every case with the result and the latency of its document."""
+    timed = classified(spark, sf).join(
         seeds.outcomes(spark, sf).select("doc_id", "latency_ms"), "doc_id", "left"
     )
     return ev.case_report(seeds.cases(spark, sf), timed)
@@ -1278,6 +1346,21 @@ def q1_case_report(spark, sf):
     )
 
 
+@query
+def q1_missing_results(spark, sf):
+    """Cases that name a document, next to cases that name none: the latter have no result."""
+    unknown = seeds.cases(spark, sf).withColumns(
+        {"case_id": F.concat(F.lit("unknown-"), "case_id"), "doc_id": F.col("doc_id") + F.lit(9_000_000_000)}
+    )
+    results = classified(spark, sf)
+    report = ev.case_report(seeds.cases(spark, sf).unionByName(unknown), results)
+    metrics = ev.evaluate(report).select("total_cases", "missing_results", "accuracy", "critical_detection_rate")
+    return report.join(F.broadcast(metrics)).select(
+        "id", "predicted_label", "answered", joined("safety_flags").alias("safety_flags"),
+        "total_cases", "missing_results", "accuracy", "critical_detection_rate",
+    )
+
+
 def metric(*names: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         return ev.evaluate(case_rows(spark, sf)).select(*names)
@@ -1387,11 +1470,11 @@ def j5_streamed_statistics(spark, sf):
 @query
 def j6_streamed_recalibration(spark, sf):
     folder = work_folder(spark)
-    stats = stream_statistics(spark, sf, folder)
+    stream_statistics(spark, sf, folder)
     results = classified(spark, sf).select("doc_id", "label", "raw_score")
     results.repartition(4, "doc_id").write.parquet(f"{folder}/results")
     arriving = st.arriving(spark, f"{folder}/results", results.schema, 2)
     st.recalibrating_stream(
-        arriving, lambda _: stats, f"{folder}/scored", f"{folder}/checkpoint-scored", once=True
+        arriving, lambda s: st.latest_statistics(s, f"{folder}/stats"), f"{folder}/scored", f"{folder}/checkpoint-scored", once=True
     ).awaitTermination()
     return spark.read.parquet(f"{folder}/scored").select("doc_id", "label", "raw_score", "score")

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.types import StructType
 
-from tierglass.operators.feedback import label_sums, recalibrate, statistics_of
+from tierglass.operators.feedback import recalibrate, statistics_columns
 from tierglass.operators.fusion import classify
 from tierglass.schema import DOCUMENTS
+from tierglass.sources import files
 
 
 def arriving(
@@ -45,51 +46,68 @@ def classify_stream(
     return _start(writer, checkpoint, once)
 
 
+#: Micro-batches of a query whose statistics are kept, so that a reader finds what it has planned to read.
 SLOTS = 4
-SUMS = "label string, total long, overrides long, quality double, n_quality long, batch long"
+STATISTICS = (
+    "label string, total long, overrides long, avg_quality double, query string, batch long, written timestamp"
+)
+
+
+def running_statistics(feedback: DataFrame, records: DataFrame) -> DataFrame:
+    """Statistics per label of all feedback that has arrived, as a streaming aggregate.
+
+    Sums, counts and means lie in Spark's state store, a row for each label. The records are the static
+    side of the join and are read anew for every micro-batch. Partial sums are made before rows meet
+    at their label.
+    """
+    known = records.select(F.col("id").alias("classification_id"), F.col("classification").alias("label"))
+    return feedback.join(known, "classification_id").groupBy("label").agg(*statistics_columns())
 
 
 def keep_statistics(
     feedback: DataFrame, records: DataFrame, folder: str, checkpoint: str, once: bool = False
 ) -> StreamingQuery:
-    """Running label sums of arriving feedback, a few rows per micro-batch.
+    """Keep :func:`running_statistics` of arriving feedback in a folder, a row for each label.
 
-    Each batch is reduced to a row per classification before it meets the records, so a hot
-    classification is one row there, and its sums are added to those of the batch before. The folder
-    has a fixed number of slots that later batches overwrite; a batch that is run again after a
-    failure reads the same predecessor and replaces its own slot.
+    Every micro-batch writes all labels under the query and the batch it belongs to; one that is run
+    again replaces its own rows. Only the last few are kept. A query keeps its name over restarts from
+    its checkpoint.
     """
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        new = label_sums(batch, records)
-        kept = _kept_sums(batch.sparkSession, folder).filter(F.col("batch") == batch_id - 1)
-        both = new.unionByName(kept.select(new.columns)).groupBy("label")
-        total = both.agg(*[F.sum(c).alias(c) for c in new.columns if c != "label"])
+    def write(statistics: DataFrame, batch_id: int) -> None:
+        spark = statistics.sparkSession
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        own = {"query": F.lit(query), "batch": F.lit(batch_id).cast("long"), "written": F.current_timestamp()}
         (
-            total.withColumn("batch", F.lit(batch_id).cast("long"))
-            .coalesce(1)
+            statistics.withColumns(own)
             .write.mode("overwrite")
-            .parquet(f"{folder}/slot={batch_id % SLOTS}")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("query", "batch")
+            .parquet(folder)
         )
+        batches = [int(n.partition("=")[2]) for n in files.names(spark, f"{folder}/query={query}")]
+        for old in sorted(batches)[:-SLOTS]:
+            files.delete(spark, f"{folder}/query={query}/batch={old}")
 
-    return _start(feedback.writeStream.foreachBatch(write), checkpoint, once)
+    stream = running_statistics(feedback, records).writeStream.outputMode("complete").foreachBatch(write)
+    return _start(stream, checkpoint, once)
 
 
-def _kept_sums(spark: SparkSession, folder: str) -> DataFrame:
-    """All slots of the folder; none before the first batch."""
+def latest_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """The statistics that :func:`keep_statistics` has written last.
+
+    Of several queries over one folder the one that wrote last counts, alone: a query with a new
+    checkpoint reads all its input again, so rows of the one before would be stale.
+    """
     try:
-        return spark.read.schema(SUMS).parquet(folder)
+        kept = spark.read.schema(STATISTICS).parquet(folder)
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], SUMS)
-
-
-def latest_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    """The statistics written last by :func:`keep_statistics`."""
-    kept = _kept_sums(spark, folder)
-    newest = kept.agg(F.max("batch").alias("b")).scalar()
-    return statistics_of(kept.filter(F.col("batch") == newest))
+        kept = spark.createDataFrame([], STATISTICS)
+    newest = kept.agg(F.max_by(F.struct("query", "batch"), "written").alias("n")).select("n.*").first()
+    own = (F.col("query") == newest["query"]) & (F.col("batch") == newest["batch"])
+    return kept.where(own).select("label", "total", "overrides", "avg_quality")
 
 
 def recalibrating_stream(
