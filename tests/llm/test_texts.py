@@ -299,7 +299,7 @@ def test_pieces_without_dropout_are_the_model_s():
     model = sentencepiece.SentencePieceProcessor(model_file=piece_tokens.model_path())
     texts = [t for t in odd_texts() if t and piece_tokens.BLANK not in t]
     own = piece_tokens.Pieces(piece_tokens.model_path(), 0.0, 1)
-    ids, offsets = own.encode(pa.array(texts), np.zeros(len(texts), np.uint64), 1)
+    ids, offsets = own.encode(pa.array(texts), np.zeros(len(texts), np.uint64))
     for text, a, b in zip(texts, offsets, offsets[1:]):
         assert ids[a:b].tolist() == model.encode(text)
 
@@ -330,6 +330,53 @@ def test_every_occurrence_draws_for_itself():
     assert len(met) == 1 and abs(kept - 0.9) < 0.02
 
 
+def plain_agenda(own, chunk, draw):
+    """Ids of one chunk: the best pair that no draw has ruled out is merged, one after the other."""
+    mix = lambda x: int(W.mix(np.array([x % 2**64], np.uint64))[0])
+    symbols = [(i, c) for i, c in enumerate(chunk.replace(" ", piece_tokens.BLANK))]
+    skipped = set()
+    while True:
+        pairs = [(own.ranks.get(a[1] + b[1]), a[0], k) for k, (a, b) in enumerate(zip(symbols, symbols[1:]))]
+        pairs = [p for p in pairs if p[0] is not None and p[:2] not in skipped]
+        if not pairs:
+            break
+        rank, place, k = min(pairs)
+        if mix(draw + mix((rank << 32 | place) + 1)) >> 32 < own.threshold:
+            skipped.add((rank, place))
+        else:
+            symbols[k : k + 2] = [(place, symbols[k][1] + symbols[k + 1][1])]
+    return [i for _, s in symbols for i in ([own.ids[s]] if s in own.ids else own.bytes[list(s.encode())].tolist())]
+
+
+@pytest.mark.parametrize("rate", [0.1, 0.9])
+def test_dropout_is_a_plain_agenda_that_draws_as_it_pops(rate):
+    """Runs of one letter give many candidates of equal score, which go by place."""
+    own = piece_tokens.Pieces(piece_tokens.model_path(), rate, 5)
+    chunks = ["a" * k for k in range(1, 40)] + ["ab" * 20, "internationalization", "Übergrößenträger", "中文字", "x" * 70, "\x00é!?", "tttttheee"]
+    texts = [" ".join(chunks[k:]) for k in range(len(chunks))]
+    keys = W.mix(np.arange(len(texts), dtype=np.uint64))
+    ids, offsets = own.encode(pa.array(texts), keys)
+    for k, text in enumerate(texts):
+        want, at = [], 0
+        for chunk in text.split(" "):
+            draw = int(W.mix(np.array([(int(keys[k]) + at * 0x9E3779B97F4A7C15 + 5) % 2**64], np.uint64))[0])
+            want += plain_agenda(own, " " + chunk, draw)
+            at += len(chunk.encode()) + 1
+        assert ids[offsets[k] : offsets[k + 1]].tolist() == want
+
+
+def test_pairs_of_symbols_are_found_and_others_are_not():
+    own = piece_tokens.Pieces(piece_tokens.model_path(), 0.1, 5)
+    symbols = {s: c for c, s in own.pairs.symbols.items()}
+    rng = np.random.default_rng(0)
+    left, right = (rng.integers(0, own.pairs.size + 50, 20_000, dtype=np.int32) for _ in range(2))
+    pieces = [p for p in list(own.ranks)[:4000] if len(p) > 1]
+    left = np.append(left, [own.pairs.symbols[p[:1]] for p in pieces]).astype(np.int32)
+    right = np.append(right, [own.pairs.symbols.get(p[1:], own.pairs.size) for p in pieces]).astype(np.int32)
+    want = [own.ranks.get(symbols[a] + symbols[b], -1) if a in symbols and b in symbols else -1 for a, b in zip(left.tolist(), right.tolist())]
+    assert own.pairs.rank(left, right).tolist() == want and max(want) > 0
+
+
 def test_piece_query_is_lossless(spark):
     rows = QUERIES["op10_piece_tokens"](spark, SF).collect()
     assert all(r["lossless"] for r in rows) and len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
