@@ -208,6 +208,123 @@ def test_every_repeated_word_has_the_class_of_its_contexts(spark, monkeypatch, h
     assert not first & second and None not in first | second
 
 
+def small_corpus(spark, seed, n=200):
+    rng = np.random.default_rng(seed)
+    words = [f"w{i}" for i in range(60)] + [f"rare{i}" for i in range(2000)]
+    texts = [" ".join(words[int(i)] for i in np.minimum(rng.zipf(1.3, rng.integers(0, 30)) - 1, len(words) - 1)) for _ in range(n)]
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), texts
+
+
+def neighbours(texts):
+    """(word before, word) of all texts, None for the text end."""
+    return [p for t in texts for p in zip([None, *t.split()], [*t.split(), None])]
+
+
+@pytest.mark.parametrize("head", [1 << 20, 30, 0])
+def test_contexts_pairs_and_moves_match_brute_force(spark, monkeypatch, head):
+    monkeypatch.setattr(class_model, "HEAD", head)
+    docs, texts = small_corpus(spark, 1)
+    counts = class_model.word_counts(docs)
+    frame = class_model.Head(class_model._head(counts).sort_values("h"))
+    hashes = {w: int(class_model.tokens(pa.array([w]))[0][0]) for t in texts for w in t.split()}
+    ends = {w: int(class_model.tokens(pa.array([w]))[1][0]) for w in hashes}
+    seen = collections.Counter(w for t in texts for w in t.split())
+    rng = np.random.default_rng(2)
+    endings = rng.integers(0, class_model.CLASSES, class_model.ENDINGS)
+    of = {w: int(rng.integers(class_model.CLASSES)) if seen[w] > 1 else int(endings[ends[w]]) for w in hashes} | {None: class_model.END}
+    by_hash = {hashes[w]: w for w in hashes}
+    own = np.array([of[by_hash[h]] for h in frame.words.tolist()], np.int64)
+    classes = spark.createDataFrame([(hashes[w], of[w]) for w in hashes if seen[w] > 1], "h long, c int")
+    state = class_model._Round(docs, frame, own, endings, classes, counts)
+    size = class_model.END + 1
+    pairs, want = np.zeros((size, size)), collections.defaultdict(collections.Counter)
+    for b, a in neighbours(texts):
+        pairs[of[b], of[a]] += 1
+        for w, k in ((a, of[b]), (b, of[a] + size)):
+            if w is not None and seen[w] > 1:
+                want[w][k] += 1
+    assert (state.pairs() == pairs).all()
+    rows = state.contexts().orderBy("h").toArrow().to_batches()
+    if not head:
+        assert len(frame.words) == 0
+    got = collections.defaultdict(collections.Counter)
+    for h, c, row, k, n in class_model._summed(iter(rows)):
+        assert [of[by_hash[x]] for x in h.tolist()] == c.tolist()
+        for r, x, m in zip(row.tolist(), k.tolist(), n.tolist()):
+            got[by_hash[int(h[r])]][x] += m
+    assert got == want
+
+    def likelihood(table):
+        x = lambda v: float(sum(t * math.log(t) for t in np.ravel(v) if t > 0))
+        return x(table) - x(table.sum(0)) - x(table.sum(1))
+
+    moved = {}
+    for b in class_model._moves(pairs)(iter(rows)):
+        moved |= dict(zip(b.column("h").to_pylist(), b.column("c").to_pylist()))
+    for w, near in want.items():
+
+        def with_class(c):  # neighbours held: each side's counts go to another column or row
+            total = 0.0
+            for table, axis in ((pairs[:, :-1], 0), (pairs.T[:, :-1], size)):
+                table, margin = table.copy(), table.sum(0)
+                here = np.zeros(size)
+                for k, n in near.items():
+                    if axis <= k < axis + size:
+                        here[k - axis] = n
+                table[:, of[w]] -= here
+                table[:, c] += here
+                margin[of[w]] -= here.sum()
+                margin[c] += here.sum()
+                x = lambda v: float(sum(t * math.log(t) for t in np.ravel(v) if t > 0))
+                total += x(table) - x(margin)
+            return total
+
+        gains = [with_class(c) for c in range(class_model.CLASSES)]
+        assert gains[moved[hashes[w]]] == pytest.approx(max(gains), abs=1e-4)
+
+
+def test_class_scores_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(class_model, "UNITS", 20)
+    docs, texts = small_corpus(spark, 3)
+    train = docs.where("doc_id % 3 > 0")
+    model, counts = class_model.fit(train)
+    known = {r["h"]: (r["n"], r["c"]) for r in counts.collect()}
+    size = class_model.END + 1
+
+    def of(word):
+        h, ending, _ = class_model.tokens(pa.array([word]))
+        n, c = known.get(int(h[0]), (0, None))
+        return n, int(model["endings"][ending[0]]) if c is None else c
+
+    pairs, tokens_of, words_of = np.zeros((size, size)), np.zeros(size), np.zeros(size)
+    learned = [t for i, t in enumerate(texts) if i % 3]
+    for b, a in neighbours(learned):
+        pairs[class_model.END if b is None else of(b)[1], class_model.END if a is None else of(a)[1]] += 1
+    for word, n in collections.Counter(w for t in learned for w in [*t.split(), None]).items():
+        c = class_model.END if word is None else of(word)[1]
+        tokens_of[c] += n
+        words_of[c] += 1
+    share = (pairs.sum(0) + 0.5) / (pairs.sum() + 0.5 * size)
+    move = (pairs + class_model.PRIOR * share) / (pairs.sum(1, keepdims=True) + class_model.PRIOR)
+    got = {r["doc_id"]: r["score"] for r in class_model.score(docs, model, counts).collect()}
+    for i, text in enumerate(texts):
+        want = 0.0
+        for b, a in neighbours([text]):
+            n, c = (len(learned), class_model.END) if a is None else of(a)
+            before = class_model.END if b is None else of(b)[1]
+            want += math.log10(move[before, c] * (n + 0.5) / (tokens_of[c] + 0.5 * (words_of[c] + 1)))
+        assert got[i] == pytest.approx(want, rel=1e-9)
+
+
+def test_lookup_finds_every_word_and_no_other():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 2, 5000):
+        words = np.unique(np.append(rng.integers(-(2**63), 2**63 - 1, n), np.arange(n // 10)))
+        found = class_model.Lookup(words)
+        assert found.find(words).tolist() == list(range(len(words)))
+        assert (found.find(rng.integers(-(2**63), 2**63 - 1, 1000)) == -1).all()
+
+
 def test_class_model_of_no_texts(spark, odd_docs, no_docs):
     model, counts = class_model.fit(no_docs)
     for r in class_model.score(odd_docs, model, counts).collect():

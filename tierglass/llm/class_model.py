@@ -16,6 +16,10 @@ with one share of 0.5 for all unseen words of a class. Transitions are mixed wit
 frequencies. Word counts and classes are Spark tables. The most frequent words (at most ``HEAD``) are
 broadcast; all others are looked up by a join, so the scores do not depend on ``HEAD`` where it holds the
 units.
+
+A round sums the contexts of a word in each task before it moves them: one row for a word and a task, a
+byte for every neighbour class met once and a number for the others. So no word, however frequent, has
+more rows than there are tasks.
 """
 
 from __future__ import annotations
@@ -33,13 +37,15 @@ from tierglass.llm.common import cut, is_remainder, table
 UNITS = 500
 ENDINGS = 128
 CLASSES = 32
-HEAD = 1 << 18
+HEAD = 1 << 21
 FLUSH_WORDS = 1 << 22
+SIDES = 2 * (CLASSES + 1)
 ROUNDS = 12
 WORD_ROUNDS = 3
 END = CLASSES
 BLOCK = 4096
-_CLASSES = "h long, ending int, n long, c int"
+_CLASSES = "h long, c int"
+_CONTEXTS = "h long, own int, ones binary, more array<long>"
 PRIOR = 2.0
 
 
@@ -91,16 +97,15 @@ def fit(docs: DataFrame) -> tuple[dict, DataFrame]:
     k = len(unit_words)
     endings = start[k : k + ENDINGS]
     head = head.sort_values("h")
-    level = None if not len(head) else int(np.floor(np.log2(head["n"].min()) * 4))
-    classes, own, pairs = _word_classes(docs, counts, head, level, unit_words, start, bigrams)
+    classes, own, pairs = _word_classes(docs, counts, Head(head), unit_words, start, bigrams)
+    known = cut(counts.join(classes, "h", "left"))
     # tokens and distinct words of every class
     size, members = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
-    for r in classes.groupBy("c").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
-        size[r["c"]] += r["n"]
-        members[r["c"]] += r["v"]
-    for r in counts.where("n = 1").groupBy("ending").count().collect():
-        size[endings[r["ending"]]] += r["count"]
-        members[endings[r["ending"]]] += r["count"]
+    by_ending = F.when(F.col("c").isNull(), F.col("ending")).alias("ending")
+    for r in known.groupBy("c", by_ending).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        c = endings[r["ending"]] if r["c"] is None else r["c"]
+        size[c] += r["n"]
+        members[c] += r["v"]
     size[END], members[END] = texts, int(texts > 0)
     seen = pairs.sum(0)
     share = (seen + 0.5) / (seen.sum() + 0.5 * len(seen))
@@ -108,7 +113,7 @@ def fit(docs: DataFrame) -> tuple[dict, DataFrame]:
     words = head["h"].to_numpy(np.int64)
     return {
         "unit_words": Units(words, k),
-        "classes": np.concatenate([start, own]),
+        "classes": np.concatenate([start, own]).astype(np.int8),
         "endings": endings,
         # log10 of a transition to a class and of the emission's denominator there
         "step": np.log10(moves) - np.log10(size + 0.5 * (members + 1)),
@@ -117,7 +122,7 @@ def fit(docs: DataFrame) -> tuple[dict, DataFrame]:
         "texts": texts,
         "tokens": int(total) + texts,
         "distinct": int(distinct) + int(texts > 0),
-    }, counts.join(classes.select("h", "c"), "h", "left")
+    }, known
 
 
 class Units:
@@ -130,131 +135,280 @@ class Units:
         return self.seeds
 
 
+class Head:
+    """The broadcast words, found by the leading bits of their hash, and whether they repeat."""
+
+    def __init__(self, head):
+        self.words = head["h"].to_numpy(np.int64)
+        self.repeats = head["n"].to_numpy() > 1
+        self.endings = head["ending"].to_numpy(np.int64)
+        #: Words are taken by whole levels of frequency, so a level with words seen twice holds all such.
+        self.level = None if not len(head) else int(np.floor(np.log2(head["n"].min()) * 4))
+        self.whole = self.level is not None and self.level <= 4
+
+    def of_tail(self, rows: DataFrame) -> DataFrame:
+        """Rows with an ``n`` whose words are not broadcast."""
+        return rows if self.level is None else rows.where(_level() < self.level)
+
+
+class Lookup:
+    """Place of a hash in a sorted array, about two reads each."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+        self.bits = max(1, len(words).bit_length())
+        self.starts = np.searchsorted(self._leading(words), np.arange((1 << self.bits) + 1)).astype(np.int32)
+
+    def _leading(self, h: np.ndarray) -> np.ndarray:
+        return ((h.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Places, -1 for what is not there."""
+        leading = self._leading(h)
+        at, end = self.starts[leading], self.starts[leading + 1]
+        out = np.full(len(h), -1)
+        going = np.flatnonzero(at < end)
+        at, end, h = at[going], end[going], h[going]
+        while len(going):
+            found = self.words[at]
+            hit = found == h
+            out[going[hit]] = at[hit]
+            more = (found < h) & (at + 1 < end)
+            going, at, end, h = going[more], at[more] + 1, end[more], h[more]
+        return out
+
+
+_lookups: dict[tuple, Lookup] = {}
+
+
+def _lookup(words: np.ndarray) -> Lookup:
+    """One per worker process and set of words."""
+    key = (len(words), *words[:: max(1, len(words) // 8)].tolist())
+    if key not in _lookups:
+        _lookups.clear()
+        _lookups[key] = Lookup(words)
+    return _lookups[key]
+
+
 def _word_classes(
-    docs: DataFrame, counts: DataFrame, head, level: int | None, unit_words: np.ndarray, start: np.ndarray, bigrams: np.ndarray
+    docs: DataFrame, counts: DataFrame, head: Head, unit_words: np.ndarray, start: np.ndarray, bigrams: np.ndarray
 ) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """(h, ending, n, c) of the words that repeat, the class of each word of ``head``, and the class bigrams."""
+    """(h, c) of the words that repeat, the class of each word of ``head``, and the class bigrams."""
     k = len(unit_words)
     endings = start[k : k + ENDINGS]
-    words, by_ending = head["h"].to_numpy(np.int64), endings[head["ending"].to_numpy(np.int64)]
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h, ending = (b.column(c).to_numpy().astype(np.int64) for c in ("h", "ending"))
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(start[_units(unit_words, h, ending)], pa.int32())], [*b.schema.names, "c"]
+                [b.column("h"), pa.array(start[_units(unit_words, h, ending)], pa.int32())], ["h", "c"]
             )
 
     def of_head(classes: DataFrame) -> np.ndarray:
-        found = classes.where(_level() >= level).select("h", "c").toPandas() if len(words) else None
-        own = by_ending.copy()
-        if found is not None:
-            own[np.searchsorted(words, found["h"].to_numpy(np.int64))] = found["c"].to_numpy(np.int64)
+        """Classes of the broadcast words; those seen once have the class of their ending."""
+        own = endings[head.endings]
+        own[head.repeats] = -1
+        for b in classes.toArrow().to_batches() if head.whole else _of_head(classes, head).toArrow().to_batches():
+            at = Lookup(head.words).find(b.column("h").to_numpy()) if len(head.words) else np.zeros(0, np.int64)
+            own[at[at >= 0]] = b.column("c").to_numpy()[at >= 0]
         return own
 
-    classes = counts.where("n > 1").select("h", "ending", "n").mapInArrow(W.task(first), _CLASSES)
-    own = of_head(classes)
+    classes = counts.where("n > 1").select("h", "ending").mapInArrow(W.task(first), _CLASSES)
     pairs = np.zeros((CLASSES + 1, CLASSES + 1))
     np.add.at(pairs, (start[:, None], start[None, :]), bigrams)
-    rounds = WORD_ROUNDS if len(words) else 0
-    near = _contexts(docs, classes, level, words, own, endings)
-    for left in range(rounds - 1, -1, -1):
-        moved = cut(near.mapInArrow(W.task(_moves(pairs)), _CLASSES))
+    own = start[_units(unit_words, head.words, head.endings)]
+    own = np.where(head.repeats, own, endings[head.endings])
+    round_ = _Round(docs, head, own, endings, classes, counts)
+    for _ in range(WORD_ROUNDS if len(head.words) else 0):
+        moved = cut(round_.contexts().repartition("h").sortWithinPartitions("h").mapInArrow(W.task(_moves(pairs)), _CLASSES))
         own_moved = of_head(moved)
-        near = _contexts(docs, moved, level, words, own_moved, endings)
-        near = cut(near) if left else near
-        after = _class_pairs(near, endings)
+        after_round = _Round(docs, head, own_moved, endings, moved, counts)
+        after = after_round.pairs()
         after[END, END] = pairs[END, END]
         if _likelihood(after) <= _likelihood(pairs):
             break
-        classes, own, pairs = moved, own_moved, after
+        classes, own, pairs, round_ = moved, own_moved, after, after_round
     return classes, own, pairs
 
 
+def _of_head(classes: DataFrame, head: Head) -> DataFrame:
+    """The classes of broadcast words, few enough to be collected as these were."""
+    spark = classes.sparkSession
+    words = spark.createDataFrame(pa.table({"h": head.words}))
+    return classes.join(words, "h", "left_semi")
+
+
 def _level():
     return F.floor(F.log2("n") * 4)
 
 
-def _contexts(
-    docs: DataFrame, classes: DataFrame, level: int | None, words: np.ndarray, own: np.ndarray, endings: np.ndarray
-) -> DataFrame:
-    """(h, ending, k, n) of every word: how often class k stands before it, or class k - END - 1 after it.
+class _Round:
+    """What the texts hold under one assignment of classes."""
+
+    def __init__(self, docs: DataFrame, head: Head, own: np.ndarray, endings: np.ndarray, classes: DataFrame, counts: DataFrame):
+        self.docs, self.head, self.endings, self.far = docs.select("text"), head, endings, None
+        self.shared = docs.sparkSession.sparkContext.broadcast((head.words, own.astype(np.int8), head.repeats))
+        if not head.whole:
+            # Words that are not broadcast, and so the pairs with one, are few; they are joined with their classes.
+            tail = head.of_tail(counts.where("n > 1")).select("h").join(classes, "h")
+            self.far = cut(_unknown_pairs(self.docs, self.shared, tail, endings))
+
+    def _classes(self):
+        """Function from a batch of texts to place among the broadcast words, class, hash and ending of each token."""
+        shared, endings, whole = self.shared, self.endings, self.head.whole
+
+        def read(part: pa.RecordBatch):
+            words, own, _ = shared.value
+            h, ending, word_offsets = tokens(part.column("text"))
+            at = _lookup(words).find(h) if len(words) else np.full(len(h), -1)
+            other = endings[ending] if whole else -1
+            c = np.where(at >= 0, own[np.maximum(at, 0)] if len(words) else -1, other)
+            before, after = _sequence(np.arange(len(h)), word_offsets, len(h))
+            return np.append(at, -1), np.append(c, END), h, ending, before, after
+
+        return read
+
+    def contexts(self) -> DataFrame:
+        """Rows (h, own, ones, more) of repeated words, one for each word and task, or few.
+
+        ``ones`` has a byte for each class that stands once before the word, or (plus ``END`` + 1) once
+        after it; ``more`` has these for all other classes in the low seven bits, and how often above.
+        """
+        read, shared = self._classes(), self.shared
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words, own, repeats = shared.value
+            held, size = [], 0
+            for part in (part for b in batches for part in W.slices(b)):
+                at, c, _, _, before, after = read(part)
+                for word, other, shift in ((after, before, 0), (before, after, END + 1)):
+                    place, k = at[word], c[other]
+                    use = (place >= 0) & (k >= 0)
+                    place, k = place[use], k[use]
+                    use = repeats[place]
+                    held.append((place[use] * SIDES + k[use] + shift).astype(np.int64))
+                    size += len(held[-1])
+                if size >= FLUSH_WORDS:
+                    yield _packed(words, own, held)
+                    held, size = [], 0
+            if size:
+                yield _packed(words, own, held)
+
+        rows = self.docs.mapInArrow(W.task(near), _CONTEXTS)
+        if self.far is None:
+            return rows
+        sides = F.array(
+            F.struct(F.col("a").alias("h"), F.col("a_c").alias("own"), F.col("a_moves").alias("moves"), F.col("b_c").alias("k")),
+            F.struct(F.col("b").alias("h"), F.col("b_c").alias("own"), F.col("b_moves").alias("moves"), (F.col("a_c") + END + 1).alias("k")),
+        )
+        code = F.shiftleft(F.col("n"), 7).bitwiseOR(F.col("k").cast("long"))
+        more = (
+            self.far.select(F.explode(sides).alias("s"), "n")
+            .select("s.*", "n")
+            .where("moves")
+            .groupBy("h", "own", "k")
+            .agg(F.sum("n").alias("n"))
+            .groupBy("h", "own")
+            .agg(F.collect_list(code).alias("more"))
+        )
+        return rows.unionByName(more.select("h", F.col("own").cast("int").alias("own"), F.lit(b"").alias("ones"), "more"))
+
+    def pairs(self) -> np.ndarray:
+        """How often each class follows each; the pair of two ends is left out."""
+        read, size = self._classes(), END + 1
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(size * size, np.int64)
+            for part in (part for b in batches for part in W.slices(b)):
+                _, c, _, _, before, after = read(part)
+                b, a = c[before], c[after]
+                known = (b >= 0) & (a >= 0)
+                total += np.bincount(b[known] * size + a[known], minlength=size * size)
+            pair = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int32()), pa.array(total[pair])], ["pair", "n"])
+
+        rows = self.docs.mapInArrow(W.task(run), "pair int, n long")
+        if self.far is not None:
+            rows = rows.unionByName(self.far.select((F.col("b_c") * size + F.col("a_c")).cast("int").alias("pair"), "n"))
+        out = np.zeros(size * size)
+        for r in rows.groupBy("pair").agg(F.sum("n").alias("n")).collect():
+            out[r["pair"]] = r["n"]
+        return out.reshape(size, size)
+
+
+def _packed(words: np.ndarray, own: np.ndarray, held: list[np.ndarray]) -> pa.RecordBatch:
+    """Counted contexts, a row for each word."""
+    keys = np.concatenate(held)
+    keys.sort()
+    new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    n, keys = np.diff(np.append(new, len(keys))), keys[new]
+    place, k = keys // SIDES, keys % SIDES
+    first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    one = n == 1
+    starts = np.append(first, len(keys))
+    ones_at = np.concatenate([[0], np.cumsum(one)])[starts].astype(np.int32)
+    more_at = np.concatenate([[0], np.cumsum(~one)])[starts].astype(np.int32)
+    ones = k[one].astype(np.uint8).tobytes()
+    code = n[~one].astype(np.int64) << 7 | k[~one]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(words[place[first]]),
+            pa.array(own[place[first]].astype(np.int32)),
+            pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ones_at), pa.py_buffer(ones)]),
+            pa.ListArray.from_arrays(pa.array(more_at), pa.array(code)),
+        ],
+        ["h", "own", "ones", "more"],
+    )
 
-    A first k of -1 gives the word's own class as its n; a word that does not repeat has none.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast((words, own))
-
-    def sides(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-        """Hash, ending and class (-1: not broadcast) of each token, and the pairs of tokens by place."""
-        h, ending, word_offsets = tokens(part.column("text"))
-        known = _broadcast_classes(*shared.value, h)
-        n = len(h)
-        before, after = _sequence(np.arange(n), word_offsets, n)
-        return np.append(h, 0), np.append(ending, 0), np.append(known, END), before, after
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for part in (part for b in batches for part in W.slices(b)):
-            h, ending, c, before, after = sides(part)
-            for word, other, shift in ((after, before, 0), (before, after, END + 1)):
-                use = (word < len(h) - 1) & (c[other] >= 0)
-                held.append((h[word[use]], ending[word[use]], c[other[use]] + shift))
-                size += int(use.sum())
-            if size >= FLUSH_WORDS:
-                yield _near(held)
-                held, size = [], 0
-        if size:
-            yield _near(held)
+
+def _unknown_pairs(texts: DataFrame, shared, tail: DataFrame, endings: np.ndarray) -> DataFrame:
+    """Pairs of neighbours with a word that is not broadcast: hash, class, and whether the word moves; how often."""
 
     def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, own, repeats = shared.value
         for part in (part for b in batches for part in W.slices(b)):
-            h, ending, c, before, after = sides(part)
-            made = []
-            for word, other, shift in ((after, before, 0), (before, after, END + 1)):
-                use = (word < len(h) - 1) & (c[other] < 0)
-                word, other = word[use], other[use]
-                made.append((h[word], ending[word], np.full(len(word), shift), h[other], ending[other]))
-            h, ending, shift, other, other_ending = map(np.concatenate, zip(*made))
-            first, n = _distinct((h, other, shift))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(h[first]), pa.array(ending[first], pa.int32()), pa.array(shift[first], pa.int32()),
-                    pa.array(other[first]), pa.array(endings[other_ending[first]], pa.int32()), pa.array(n),
-                ],
-                ["h", "ending", "shift", "other", "by_ending", "n"],
-            )
-
-    tail = (classes if level is None else classes.where(_level() < level)).select(F.col("h").alias("_h"), "c")
-    key = ["h", "ending", "k"]
-    text = docs.select("text")
-    unknown = (
-        text.mapInArrow(W.task(far), "h long, ending int, shift int, other long, by_ending int, n long")
-        .join(tail, F.col("other") == F.col("_h"), "left")
-        .select("h", "ending", (F.col("shift") + F.coalesce("c", "by_ending")).alias("k"), "n")
-        .groupBy(*key)
-        .agg(F.sum("n").alias("n"))
+            h, ending, word_offsets = tokens(part.column("text"))
+            n = len(h)
+            at = np.append(_lookup(words).find(h) if len(words) else np.full(n, -1), -1)
+            c = np.where(at >= 0, own[np.maximum(at, 0)] if len(words) else -1, -1)
+            c[n] = END
+            moves = np.where(at >= 0, repeats[np.maximum(at, 0)] if len(words) else False, False)
+            before, after = _sequence(np.arange(n), word_offsets, n)
+            use = (c[before] < 0) | (c[after] < 0)
+            before, after = before[use], after[use]
+            h, ending = np.append(h, 0), np.append(ending, 0)
+            first, times = _distinct((h[before], before == n, h[after], after == n))
+            before, after = before[first], after[first]
+            # A known side is spread over all keys, so that no frequent word is one in the join.
+            spread = W.mix(h[before].view(np.uint64) + W.mix(h[after].view(np.uint64))).view(np.int64)
+            columns = []
+            for side in (before, after):
+                known = c[side] >= 0
+                columns += [
+                    pa.array(h[side]),
+                    pa.array(np.where(known, spread, h[side])),
+                    pa.array(c[side], pa.int32(), mask=~known),
+                    pa.array(endings[ending[side]], pa.int32()),
+                    pa.array(moves[side]),
+                ]
+            names = [f"{s}{x}" for s in "ba" for x in ("", "_key", "_known", "_ending", "_head")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(times, pa.int64())], [*names, "n"])
+
+    schema = ", ".join(
+        f"{s} long, {s}_key long, {s}_known int, {s}_ending int, {s}_head boolean" for s in ("b", "a")
     )
-    mark = classes.select("h", "ending", F.lit(-1).alias("k"), F.col("c").cast("long").alias("n"))
-    rows = text.mapInArrow(W.task(near), "h long, ending int, k int, n long").unionAll(unknown).unionAll(mark)
-    found = F.array_sort(F.collect_list(F.struct("k", "n")))
-    return (
-        rows.repartition("h")
-        .groupBy(*key)
-        .agg(F.sum("n").alias("n"))
-        .groupBy("h", "ending")
-        .agg(found.alias("near"))
-        .select("h", "ending", F.col("near.k").cast("array<tinyint>").alias("k"), F.col("near.n").alias("n"))
+    rows = texts.mapInArrow(W.task(far), f"{schema}, n long")
+    for s in ("b", "a"):
+        rows = rows.join(tail.select(F.col("h").alias(f"{s}_key"), F.col("c").alias(f"{s}_found")), f"{s}_key", "left")
+    unknown = {s: F.col(f"{s}_known").isNull() for s in ("b", "a")}
+    return rows.select(
+        *[F.col(s) for s in ("b", "a")],
+        *[F.coalesce(f"{s}_known", f"{s}_found", f"{s}_ending").alias(f"{s}_c") for s in ("b", "a")],
+        *[(F.col(f"{s}_head") | (unknown[s] & F.col(f"{s}_found").isNotNull())).alias(f"{s}_moves") for s in ("b", "a")],
+        "n",
     )
 
 
-def _broadcast_classes(words: np.ndarray, own: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Class of each word; -1 for those that are not broadcast."""
-    if not len(words):
-        return np.full(len(h), -1)
-    at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-    return np.where(words[at] == h, own[at], -1)
-
-
 def _distinct(columns: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Place of the first of each distinct row, and how many there are of it."""
     mixed = np.zeros(len(columns[0]), np.uint64)
@@ -264,40 +418,41 @@ def _distinct(columns: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
     return first, n
 
 
-def _near(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    h, ending, k = map(np.concatenate, zip(*held))
-    first, n = _distinct((h, k))
-    columns = [pa.array(h[first]), pa.array(ending[first], pa.int32()), pa.array(k[first], pa.int32()), pa.array(n)]
-    return pa.RecordBatch.from_arrays(columns, ["h", "ending", "k", "n"])
-
-
-def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """Row, k and n of every entry of a batch of ``_contexts``."""
-    k, n = batch.column("k"), batch.column("n")
-    row = np.repeat(np.arange(len(batch)), np.diff(k.offsets.to_numpy()))
-    return row, k.flatten().to_numpy().astype(np.int64), n.flatten().to_numpy()
-
-
-def _class_pairs(near: DataFrame, endings: np.ndarray) -> np.ndarray:
-    """How often each class follows each; texts without a word are left out."""
-    size = END + 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size * size, np.int64)
-        for b in batches:
-            row, k, n = _entries(b)
-            c = endings[b.column("ending").to_numpy()]
-            c[row[k < 0]] = n[k < 0]
-            before, last = (k >= 0) & (k < size), k == size + END
-            np.add.at(total, k[before] * size + c[row[before]], n[before])
-            np.add.at(total, c[row[last]] * size + END, n[last])
-        pair = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int32()), pa.array(total[pair])], ["pair", "n"])
-
-    out = np.zeros(size * size)
-    for r in near.mapInArrow(W.task(run), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
-        out[r["pair"]] = r["n"]
-    return out.reshape(size, size)
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Contexts of whole words from rows ordered by word: hash, own class, and (row, k, n) of what is there."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def block(table: pa.Table):
+        table = table.combine_chunks()
+        h = table.column("h").to_numpy()
+        word = np.cumsum(np.append(False, h[1:] != h[:-1]))
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        ones, more = (table.column(c).chunk(0) for c in ("ones", "more"))
+        ends = np.frombuffer(ones.buffers()[1], np.int32)[ones.offset : ones.offset + len(ones) + 1]
+        data = np.frombuffer(ones.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        code = more.flatten().to_numpy()
+        total = np.zeros((int(word[-1]) + 1) * SIDES, np.int64)
+        total += np.bincount(np.repeat(word, np.diff(ends)) * SIDES + data, minlength=len(total))
+        np.add.at(total, np.repeat(word, np.diff(more.offsets.to_numpy())) * SIDES + (code & 127), code >> 7)
+        row, k = np.nonzero(total.reshape(-1, SIDES))
+        return h[first], table.column("own").to_numpy()[first].astype(np.int64), row, k, total[row * SIDES + k]
+
+    for b in batches:
+        if not len(b):
+            continue
+        held.append(b)
+        size += len(b)
+        if size < BLOCK:
+            continue
+        table = pa.Table.from_batches(held)
+        h = table.column("h").to_numpy()
+        last = int(np.searchsorted(h, h[-1]))
+        if last:
+            yield block(table.slice(0, last))
+        held, size = table.slice(last).combine_chunks().to_batches(), len(h) - last
+    if held:
+        yield block(pa.Table.from_batches(held))
 
 
 def _moves(pairs: np.ndarray):
@@ -311,39 +466,29 @@ def _moves(pairs: np.ndarray):
     margins = np.stack([pairs.sum(0)[:END], pairs.sum(1)[:END]])
     table_info, margins_info = info(table), info(margins)
 
-    def block(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, k, n = _entries(batch)
-        own = np.full(len(batch), -1)
-        own[row[k < 0]] = n[k < 0]
-        use = (k >= 0) & (own[row] >= 0)
-        row, k, n = row[use], k[use], n[use].astype(np.float64)
-        gain = np.zeros((len(batch), END))
+    def best(own: np.ndarray, row: np.ndarray, k: np.ndarray, n: np.ndarray) -> np.ndarray:
         step = info(table[k] + n[:, None]) - table_info[k]
-        c = own[row]
-        at = np.arange(len(row))
+        c, at = own[row], np.arange(len(row))
         step[at, c] = table_info[k, c] - info(np.maximum(table[k, c] - n, 0))
-        if len(row):
-            begin = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-            gain[row[begin]] = np.add.reduceat(step, begin, axis=0)
-        rows = np.flatnonzero(own >= 0)
+        gain = np.zeros((len(own), END))
+        begin = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        gain[row[begin]] = np.add.reduceat(step, begin, axis=0)
+        at = np.arange(len(own))
         for side in (0, 1):
-            total = np.bincount(row, n * (k // size == side), len(batch))[rows, None]
+            total = np.bincount(row, n * (k // size == side), len(own))[:, None]
             moved = info(margins[side] + total) - margins_info[side]
-            c = own[rows]
-            moved[np.arange(len(rows)), c] = margins_info[side, c] - info(np.maximum(margins[side, c] - total[:, 0], 0))
-            gain[rows] -= moved
-        best, c = gain[rows].argmax(1), own[rows]
-        best = np.where(gain[rows, best] > gain[rows, c] + 1e-6, best, c)
-        tokens = np.bincount(row, n * (k < size), len(batch))[rows].astype(np.int64)
-        return pa.RecordBatch.from_arrays(
-            [batch.column("h").take(pa.array(rows)), batch.column("ending").take(pa.array(rows)), pa.array(tokens), pa.array(best, pa.int32())],
-            ["h", "ending", "n", "c"],
-        )
+            moved[at, own] = margins_info[side, own] - info(np.maximum(margins[side, own] - total[:, 0], 0))
+            gain -= moved
+        found = gain.argmax(1)
+        return np.where(gain[at, found] > gain[at, own] + 1e-6, found, own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, len(b), BLOCK):
-                yield block(b.slice(at, BLOCK))
+        for h, own, row, k, n in _summed(batches):
+            for a in range(0, len(h), BLOCK):
+                b = min(len(h), a + BLOCK)
+                lo, hi = np.searchsorted(row, [a, b])
+                c = best(own[a:b], row[lo:hi] - a, k[lo:hi], n[lo:hi].astype(np.float64))
+                yield pa.RecordBatch.from_arrays([pa.array(h[a:b]), pa.array(c, pa.int32())], ["h", "c"])
 
     return run
 
@@ -536,21 +681,21 @@ def _text_hashes(part: pa.RecordBatch) -> np.ndarray:
     return W.hashes(data, offsets[:-1], offsets[1:]).view(np.int64)
 
 
-def _in_head(model: dict, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    head = model["head"]
-    if not len(head):
-        return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
-    at = np.minimum(np.searchsorted(head, h), len(head) - 1)
-    return head[at] == h, model["head_n"][at]
+def _in_head(model: dict, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether words at these places of the broadcast ones are there, and their counts."""
+    if not len(model["head"]):
+        return np.zeros(len(at), bool), np.zeros(len(at), np.int64)
+    return at >= 0, model["head_n"][np.maximum(at, 0)]
 
 
 def _known(model: dict, part: pa.RecordBatch) -> pa.RecordBatch:
     h, _, word_offsets = tokens(part.column("text"))
     n = len(part)
-    before, after = _sequence(_model_classes(model, h), word_offsets, END)
+    at, c = _model_classes(model, h)
+    before, after = _sequence(c, word_offsets, END)
     step = np.where((before < 0) | (after < 0), 0, model["step"][before, after])
     text = np.repeat(np.arange(n), np.diff(word_offsets) + 1)
-    found, count = _in_head(model, h)
+    found, count = _in_head(model, at)
     words = np.repeat(np.arange(n), np.diff(word_offsets))
     emitted = np.bincount(words, np.where(found, np.log10(count + 0.5), 0), n)
     return pa.RecordBatch.from_arrays(
@@ -568,7 +713,7 @@ def _known(model: dict, part: pa.RecordBatch) -> pa.RecordBatch:
 
 def _tail(model: dict, part: pa.RecordBatch) -> pa.RecordBatch:
     h, ending, word_offsets = tokens(part.column("text"))
-    c = np.append(_model_classes(model, h), END)
+    c = np.append(_model_classes(model, h)[1], END)
     n = len(h)
     before, after = _sequence(np.arange(n), word_offsets, n)
     text = np.repeat(np.arange(len(part)), np.diff(word_offsets) + 1)
@@ -593,9 +738,13 @@ def _tail(model: dict, part: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names)
 
 
-def _model_classes(model: dict, h: np.ndarray) -> np.ndarray:
-    """Class of each word; -1 for those that are not broadcast."""
-    return _broadcast_classes(model["head"], model["classes"][len(model["unit_words"]) + ENDINGS + 1 :], h)
+def _model_classes(model: dict, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each word among the broadcast ones and its class; -1 for those that are not."""
+    if not len(model["head"]):
+        return np.full(len(h), -1), np.full(len(h), -1)
+    at = _lookup(model["head"]).find(h)
+    own = model["classes"][len(model["unit_words"]) + ENDINGS + 1 :]
+    return at, np.where(at >= 0, own[np.maximum(at, 0)], -1)
 
 
 def op6_class_model(spark, sf_dir: str) -> DataFrame:
