@@ -40,6 +40,7 @@ CLASSES = 32
 HEAD = 1 << 21
 FLUSH_WORDS = 1 << 22
 SIDES = 2 * (CLASSES + 1)
+PARTS = 8
 ROUNDS = 12
 WORD_ROUNDS = 3
 END = CLASSES
@@ -90,14 +91,13 @@ def fit(docs: DataFrame) -> tuple[dict, DataFrame]:
     texts = docs.count()
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     head = _head(counts)
-    units = head.sort_values(["n", "h"], ascending=[False, True]).head(UNITS)
-    unit_words = np.sort(units["h"].to_numpy(np.int64))
+    units = np.lexsort((head.words, -head.n))[:UNITS]
+    unit_words = np.sort(head.words[units])
     bigrams = _bigrams(docs, unit_words)
     start = exchange(bigrams, CLASSES)
     k = len(unit_words)
     endings = start[k : k + ENDINGS]
-    head = head.sort_values("h")
-    classes, own, pairs = _word_classes(docs, counts, Head(head), unit_words, start, bigrams)
+    classes, own, pairs = _word_classes(docs, counts, head, unit_words, start, bigrams)
     known = cut(counts.join(classes, "h", "left"))
     # tokens and distinct words of every class
     size, members = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
@@ -110,15 +110,14 @@ def fit(docs: DataFrame) -> tuple[dict, DataFrame]:
     seen = pairs.sum(0)
     share = (seen + 0.5) / (seen.sum() + 0.5 * len(seen))
     moves = (pairs + PRIOR * share) / (pairs.sum(1, keepdims=True) + PRIOR)
-    words = head["h"].to_numpy(np.int64)
     return {
-        "unit_words": Units(words, k),
+        "unit_words": Units(head.words, k),
         "classes": np.concatenate([start, own]).astype(np.int8),
         "endings": endings,
         # log10 of a transition to a class and of the emission's denominator there
         "step": np.log10(moves) - np.log10(size + 0.5 * (members + 1)),
-        "head": words,
-        "head_n": head["n"].to_numpy(np.int64),
+        "head": head.words,
+        "head_n": head.n,
         "texts": texts,
         "tokens": int(total) + texts,
         "distinct": int(distinct) + int(texts > 0),
@@ -136,14 +135,13 @@ class Units:
 
 
 class Head:
-    """The broadcast words, found by the leading bits of their hash, and whether they repeat."""
+    """The broadcast words by hash, with how often they come and their ending."""
 
-    def __init__(self, head):
-        self.words = head["h"].to_numpy(np.int64)
-        self.repeats = head["n"].to_numpy() > 1
-        self.endings = head["ending"].to_numpy(np.int64)
+    def __init__(self, words: np.ndarray, n: np.ndarray, endings: np.ndarray):
+        order = np.argsort(words)
+        self.words, self.n, self.endings = words[order], n[order], endings[order]
         #: Words are taken by whole levels of frequency, so a level with words seen twice holds all such.
-        self.level = None if not len(head) else int(np.floor(np.log2(head["n"].min()) * 4))
+        self.level = None if not len(n) else int(np.floor(np.log2(n.min()) * 4))
         self.whole = self.level is not None and self.level <= 4
 
     def of_tail(self, rows: DataFrame) -> DataFrame:
@@ -151,6 +149,12 @@ class Head:
         return rows if self.level is None else rows.where(_level() < self.level)
 
 
+def _collected(rows: DataFrame) -> Iterator[pa.RecordBatch]:
+    """Rows of broadcast words, a part of the hashes at a time, so that the driver holds little beside them."""
+    for part in range(PARTS):
+        yield from rows.where(F.pmod(F.col("h"), F.lit(PARTS)) == part).toArrow().to_batches()
+
+
 class Lookup:
     """Place of a hash in a sorted array, about two reads each."""
 
@@ -205,19 +209,17 @@ def _word_classes(
             )
 
     def of_head(classes: DataFrame) -> np.ndarray:
-        """Classes of the broadcast words; those seen once have the class of their ending."""
-        own = endings[head.endings]
-        own[head.repeats] = -1
-        for b in classes.toArrow().to_batches() if head.whole else _of_head(classes, head).toArrow().to_batches():
-            at = Lookup(head.words).find(b.column("h").to_numpy()) if len(head.words) else np.zeros(0, np.int64)
-            own[at[at >= 0]] = b.column("c").to_numpy()[at >= 0]
+        """Classes of the broadcast words."""
+        own = np.zeros(len(head.words), np.int8)
+        find = Lookup(head.words).find
+        for b in _collected(classes if head.whole else _of_head(classes, counts, head)):
+            own[find(b.column("h").to_numpy())] = b.column("c").to_numpy()
         return own
 
     classes = counts.where("n > 1").select("h", "ending").mapInArrow(W.task(first), _CLASSES)
     pairs = np.zeros((CLASSES + 1, CLASSES + 1))
     np.add.at(pairs, (start[:, None], start[None, :]), bigrams)
-    own = start[_units(unit_words, head.words, head.endings)]
-    own = np.where(head.repeats, own, endings[head.endings])
+    own = start[_units(unit_words, head.words, head.endings.astype(np.int64))].astype(np.int8)
     round_ = _Round(docs, head, own, endings, classes, counts)
     for _ in range(WORD_ROUNDS if len(head.words) else 0):
         moved = cut(round_.contexts().repartition("h").sortWithinPartitions("h").mapInArrow(W.task(_moves(pairs)), _CLASSES))
@@ -231,10 +233,9 @@ def _word_classes(
     return classes, own, pairs
 
 
-def _of_head(classes: DataFrame, head: Head) -> DataFrame:
-    """The classes of broadcast words, few enough to be collected as these were."""
-    spark = classes.sparkSession
-    words = spark.createDataFrame(pa.table({"h": head.words}))
+def _of_head(classes: DataFrame, counts: DataFrame, head: Head) -> DataFrame:
+    """The classes of broadcast words, as few as these."""
+    words = counts.where(_level() >= head.level).select("h")
     return classes.join(words, "h", "left_semi")
 
 
@@ -247,7 +248,7 @@ class _Round:
 
     def __init__(self, docs: DataFrame, head: Head, own: np.ndarray, endings: np.ndarray, classes: DataFrame, counts: DataFrame):
         self.docs, self.head, self.endings, self.far = docs.select("text"), head, endings, None
-        self.shared = docs.sparkSession.sparkContext.broadcast((head.words, own.astype(np.int8), head.repeats))
+        self.shared = docs.sparkSession.sparkContext.broadcast((head.words, own))
         if not head.whole:
             # Words that are not broadcast, and so the pairs with one, are few; they are joined with their classes.
             tail = head.of_tail(counts.where("n > 1")).select("h").join(classes, "h")
@@ -258,7 +259,7 @@ class _Round:
         shared, endings, whole = self.shared, self.endings, self.head.whole
 
         def read(part: pa.RecordBatch):
-            words, own, _ = shared.value
+            words, own = shared.value
             h, ending, word_offsets = tokens(part.column("text"))
             at = _lookup(words).find(h) if len(words) else np.full(len(h), -1)
             other = endings[ending] if whole else -1
@@ -277,16 +278,14 @@ class _Round:
         read, shared = self._classes(), self.shared
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words, own, repeats = shared.value
+            words, own = shared.value
             held, size = [], 0
             for part in (part for b in batches for part in W.slices(b)):
                 at, c, _, _, before, after = read(part)
                 for word, other, shift in ((after, before, 0), (before, after, END + 1)):
                     place, k = at[word], c[other]
                     use = (place >= 0) & (k >= 0)
-                    place, k = place[use], k[use]
-                    use = repeats[place]
-                    held.append((place[use] * SIDES + k[use] + shift).astype(np.int64))
+                    held.append(place[use] * SIDES + k[use] + shift)
                     size += len(held[-1])
                 if size >= FLUSH_WORDS:
                     yield _packed(words, own, held)
@@ -365,14 +364,13 @@ def _unknown_pairs(texts: DataFrame, shared, tail: DataFrame, endings: np.ndarra
     """Pairs of neighbours with a word that is not broadcast: hash, class, and whether the word moves; how often."""
 
     def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, own, repeats = shared.value
+        words, own = shared.value
         for part in (part for b in batches for part in W.slices(b)):
             h, ending, word_offsets = tokens(part.column("text"))
             n = len(h)
             at = np.append(_lookup(words).find(h) if len(words) else np.full(n, -1), -1)
             c = np.where(at >= 0, own[np.maximum(at, 0)] if len(words) else -1, -1)
             c[n] = END
-            moves = np.where(at >= 0, repeats[np.maximum(at, 0)] if len(words) else False, False)
             before, after = _sequence(np.arange(n), word_offsets, n)
             use = (c[before] < 0) | (c[after] < 0)
             before, after = before[use], after[use]
@@ -389,7 +387,7 @@ def _unknown_pairs(texts: DataFrame, shared, tail: DataFrame, endings: np.ndarra
                     pa.array(np.where(known, spread, h[side])),
                     pa.array(c[side], pa.int32(), mask=~known),
                     pa.array(endings[ending[side]], pa.int32()),
-                    pa.array(moves[side]),
+                    pa.array(at[side] >= 0),
                 ]
             names = [f"{s}{x}" for s in "ba" for x in ("", "_key", "_known", "_ending", "_head")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(times, pa.int64())], [*names, "n"])
@@ -502,17 +500,21 @@ def _likelihood(pairs: np.ndarray) -> float:
     return info(pairs) - info(pairs.sum(0)) - info(pairs.sum(1))
 
 
-def _head(counts: DataFrame):
-    """The most frequent words as pandas, as many whole levels of frequency as HEAD holds."""
-    level = F.floor(F.log2("n") * 4).cast("int").alias("level")
+def _head(counts: DataFrame) -> Head:
+    """The most frequent words that repeat, as many whole levels of frequency as HEAD holds."""
+    repeated = counts.where("n > 1")
     chosen, room = None, HEAD
-    for r in counts.groupBy(level).count().orderBy(F.desc("level")).collect():
+    for r in repeated.groupBy(_level().cast("int").alias("level")).count().orderBy(F.desc("level")).collect():
         room -= r["count"]
         if room < 0:
             break
         chosen = r["level"]
-    rows = counts.where(F.lit(False) if chosen is None else F.floor(F.log2("n") * 4) >= chosen)
-    return rows.toPandas().astype({"h": "int64", "ending": "int64", "n": "int64"})
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8))]
+    if chosen is not None:
+        for b in _collected(repeated.where(_level() >= chosen).select("h", "n", "ending")):
+            h, n, ending = (b.column(c).to_numpy() for c in ("h", "n", "ending"))
+            found.append((h, n, ending.astype(np.uint8)))
+    return Head(*(np.concatenate(x) for x in zip(*found)))
 
 
 def _units(unit_words: np.ndarray | Units, h: np.ndarray, ending: np.ndarray) -> np.ndarray:
