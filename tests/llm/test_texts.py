@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tierglass.llm import words as W
 from tierglass.llm import class_model, language_id, packing, piece_tokens, quality_classifier, quality_rules
 from tierglass.llm.registry import QUERIES
+from tierglass.session import work_folder
 
 SF = "/root/testdata/sf0.001"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -235,7 +236,8 @@ def test_contexts_pairs_and_moves_match_brute_force(spark, monkeypatch, head):
     by_hash = {hashes[w]: w for w in hashes}
     own = np.array([of[by_hash[h]] for h in frame.words.tolist()], np.int64)
     classes = spark.createDataFrame([(hashes[w], of[w]) for w in hashes if seen[w] > 1], "h long, c int")
-    state = class_model._Round(docs, frame, own, endings, classes, counts)
+    coded = class_model._coded(docs, frame, work_folder(spark))
+    state = class_model._Round(docs, coded, frame, own.astype(np.int8), endings, classes, counts)
     size = class_model.END + 1
     pairs, want = np.zeros((size, size)), collections.defaultdict(collections.Counter)
     for b, a in neighbours(texts):

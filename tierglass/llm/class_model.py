@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 
 from tierglass.llm import words as W
 from tierglass.llm.common import cut, is_remainder, table
+from tierglass.session import work_folder
+from tierglass.sources import files
 
 UNITS = 500
 ENDINGS = 128
@@ -41,6 +43,7 @@ HEAD = 1 << 21
 FLUSH_WORDS = 1 << 22
 SIDES = 2 * (CLASSES + 1)
 PARTS = 8
+CODED_WORDS = 1 << 18
 ROUNDS = 12
 WORD_ROUNDS = 3
 END = CLASSES
@@ -93,12 +96,15 @@ def fit(docs: DataFrame) -> tuple[dict, DataFrame]:
     head = _head(counts)
     units = np.lexsort((head.words, -head.n))[:UNITS]
     unit_words = np.sort(head.words[units])
-    bigrams = _bigrams(docs, unit_words)
+    folder = work_folder(docs.sparkSession)
+    coded = _coded(docs, head, folder)
+    bigrams = _bigrams(coded, head, unit_words)
     start = exchange(bigrams, CLASSES)
     k = len(unit_words)
     endings = start[k : k + ENDINGS]
-    classes, own, pairs = _word_classes(docs, counts, head, unit_words, start, bigrams)
+    classes, own, pairs = _word_classes(docs, coded, counts, head, unit_words, start, bigrams)
     known = cut(counts.join(classes, "h", "left"))
+    files.delete(docs.sparkSession, folder)
     # tokens and distinct words of every class
     size, members = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
     by_ending = F.when(F.col("c").isNull(), F.col("ending")).alias("ending")
@@ -194,8 +200,42 @@ def _lookup(words: np.ndarray) -> Lookup:
     return _lookups[key]
 
 
+def _coded(docs: DataFrame, head: Head, folder: str) -> DataFrame:
+    """Texts as numbers, written once for all rounds: the place of a broadcast word, or -1 - ending of another."""
+    shared = docs.sparkSession.sparkContext.broadcast(head.words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (part for b in batches for part in W.slices(b)):
+            h, ending, word_offsets = tokens(part.column("text"))
+            at = _find(shared.value, h)
+            ids = np.where(at >= 0, at, -1 - ending).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.ListArray.from_arrays(pa.array(word_offsets.astype(np.int32)), pa.array(ids))], ["ids"]
+            )
+
+    docs.select("text").mapInArrow(W.task(run), "ids array<int>").write.option("compression", "zstd").parquet(folder)
+    return docs.sparkSession.read.schema("ids array<int>").parquet(folder)
+
+
+def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of all words of some texts, and the n + 1 offsets of the texts; memory is bounded by a text."""
+    for b in batches:
+        ids = b.column("ids")
+        offsets = ids.offsets.to_numpy().astype(np.int64)
+        flat, start = ids.values.to_numpy(), 0
+        while start < len(b):
+            end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + CODED_WORDS, "right")) - 1)
+            yield flat[offsets[start] : offsets[end]].astype(np.int64), offsets[start : end + 1] - offsets[start]
+            start = end
+
+
+def _find(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places of hashes among broadcast words, -1 for others."""
+    return _lookup(words).find(h) if len(words) else np.full(len(h), -1)
+
+
 def _word_classes(
-    docs: DataFrame, counts: DataFrame, head: Head, unit_words: np.ndarray, start: np.ndarray, bigrams: np.ndarray
+    docs: DataFrame, coded: DataFrame, counts: DataFrame, head: Head, unit_words: np.ndarray, start: np.ndarray, bigrams: np.ndarray
 ) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """(h, c) of the words that repeat, the class of each word of ``head``, and the class bigrams."""
     k = len(unit_words)
@@ -220,11 +260,11 @@ def _word_classes(
     pairs = np.zeros((CLASSES + 1, CLASSES + 1))
     np.add.at(pairs, (start[:, None], start[None, :]), bigrams)
     own = start[_units(unit_words, head.words, head.endings.astype(np.int64))].astype(np.int8)
-    round_ = _Round(docs, head, own, endings, classes, counts)
+    round_ = _Round(docs, coded, head, own, endings, classes, counts)
     for _ in range(WORD_ROUNDS if len(head.words) else 0):
         moved = cut(round_.contexts().repartition("h").sortWithinPartitions("h").mapInArrow(W.task(_moves(pairs)), _CLASSES))
         own_moved = of_head(moved)
-        after_round = _Round(docs, head, own_moved, endings, moved, counts)
+        after_round = _Round(docs, coded, head, own_moved, endings, moved, counts)
         after = after_round.pairs()
         after[END, END] = pairs[END, END]
         if _likelihood(after) <= _likelihood(pairs):
@@ -246,26 +286,28 @@ def _level():
 class _Round:
     """What the texts hold under one assignment of classes."""
 
-    def __init__(self, docs: DataFrame, head: Head, own: np.ndarray, endings: np.ndarray, classes: DataFrame, counts: DataFrame):
-        self.docs, self.head, self.endings, self.far = docs.select("text"), head, endings, None
-        self.shared = docs.sparkSession.sparkContext.broadcast((head.words, own))
+    def __init__(
+        self, docs: DataFrame, coded: DataFrame, head: Head, own: np.ndarray, endings: np.ndarray, classes: DataFrame, counts: DataFrame
+    ):
+        self.coded, self.head, self.endings, self.far = coded, head, endings, None
+        context = docs.sparkSession.sparkContext
+        self.words, self.own = context.broadcast(head.words), context.broadcast(own)
         if not head.whole:
             # Words that are not broadcast, and so the pairs with one, are few; they are joined with their classes.
             tail = head.of_tail(counts.where("n > 1")).select("h").join(classes, "h")
-            self.far = cut(_unknown_pairs(self.docs, self.shared, tail, endings))
+            self.far = cut(_unknown_pairs(docs.select("text"), self.words, self.own, tail, endings))
 
     def _classes(self):
-        """Function from a batch of texts to place among the broadcast words, class, hash and ending of each token."""
-        shared, endings, whole = self.shared, self.endings, self.head.whole
+        """Function from numbers of texts to number and class of each word, the text end behind, and its pairs."""
+        shared, endings, whole = self.own, self.endings, self.head.whole
 
-        def read(part: pa.RecordBatch):
-            words, own = shared.value
-            h, ending, word_offsets = tokens(part.column("text"))
-            at = _lookup(words).find(h) if len(words) else np.full(len(h), -1)
-            other = endings[ending] if whole else -1
-            c = np.where(at >= 0, own[np.maximum(at, 0)] if len(words) else -1, other)
-            before, after = _sequence(np.arange(len(h)), word_offsets, len(h))
-            return np.append(at, -1), np.append(c, END), h, ending, before, after
+        def read(ids: np.ndarray, word_offsets: np.ndarray):
+            own = shared.value
+            c = np.full(len(ids) + 1, END)
+            known = own[np.maximum(ids, 0)] if len(own) else -1
+            c[:-1] = np.where(ids >= 0, known, endings[np.maximum(-1 - ids, 0)] if whole else -1)
+            before, after = _sequence(np.arange(len(ids)), word_offsets, len(ids))
+            return np.append(ids, -1), c, before, after
 
         return read
 
@@ -275,17 +317,17 @@ class _Round:
         ``ones`` has a byte for each class that stands once before the word, or (plus ``END`` + 1) once
         after it; ``more`` has these for all other classes in the low seven bits, and how often above.
         """
-        read, shared = self._classes(), self.shared
+        read, words_of, own_of = self._classes(), self.words, self.own
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words, own = shared.value
+            words, own = words_of.value, own_of.value
             held, size = [], 0
-            for part in (part for b in batches for part in W.slices(b)):
-                at, c, _, _, before, after = read(part)
+            for ids, word_offsets in _numbers(batches):
+                at, c, before, after = read(ids, word_offsets)
                 for word, other, shift in ((after, before, 0), (before, after, END + 1)):
                     place, k = at[word], c[other]
                     use = (place >= 0) & (k >= 0)
-                    held.append(place[use] * SIDES + k[use] + shift)
+                    held.append((place[use] * SIDES + k[use] + shift).astype(np.int32))
                     size += len(held[-1])
                 if size >= FLUSH_WORDS:
                     yield _packed(words, own, held)
@@ -293,7 +335,7 @@ class _Round:
             if size:
                 yield _packed(words, own, held)
 
-        rows = self.docs.mapInArrow(W.task(near), _CONTEXTS)
+        rows = self.coded.mapInArrow(W.task(near), _CONTEXTS)
         if self.far is None:
             return rows
         sides = F.array(
@@ -318,15 +360,15 @@ class _Round:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(size * size, np.int64)
-            for part in (part for b in batches for part in W.slices(b)):
-                _, c, _, _, before, after = read(part)
+            for ids, word_offsets in _numbers(batches):
+                _, c, before, after = read(ids, word_offsets)
                 b, a = c[before], c[after]
                 known = (b >= 0) & (a >= 0)
                 total += np.bincount(b[known] * size + a[known], minlength=size * size)
             pair = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int32()), pa.array(total[pair])], ["pair", "n"])
 
-        rows = self.docs.mapInArrow(W.task(run), "pair int, n long")
+        rows = self.coded.mapInArrow(W.task(run), "pair int, n long")
         if self.far is not None:
             rows = rows.unionByName(self.far.select((F.col("b_c") * size + F.col("a_c")).cast("int").alias("pair"), "n"))
         out = np.zeros(size * size)
@@ -360,15 +402,15 @@ def _packed(words: np.ndarray, own: np.ndarray, held: list[np.ndarray]) -> pa.Re
     )
 
 
-def _unknown_pairs(texts: DataFrame, shared, tail: DataFrame, endings: np.ndarray) -> DataFrame:
+def _unknown_pairs(texts: DataFrame, words_of, own_of, tail: DataFrame, endings: np.ndarray) -> DataFrame:
     """Pairs of neighbours with a word that is not broadcast: hash, class, and whether the word moves; how often."""
 
     def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, own = shared.value
+        words, own = words_of.value, own_of.value
         for part in (part for b in batches for part in W.slices(b)):
             h, ending, word_offsets = tokens(part.column("text"))
             n = len(h)
-            at = np.append(_lookup(words).find(h) if len(words) else np.full(n, -1), -1)
+            at = np.append(_find(words, h), -1)
             c = np.where(at >= 0, own[np.maximum(at, 0)] if len(words) else -1, -1)
             c[n] = END
             before, after = _sequence(np.arange(n), word_offsets, n)
@@ -542,21 +584,23 @@ def _sequence(units: np.ndarray, word_offsets: np.ndarray, end: int) -> tuple[np
     return before, after
 
 
-def _bigrams(docs: DataFrame, unit_words: np.ndarray) -> np.ndarray:
+def _bigrams(coded: DataFrame, head: Head, unit_words: np.ndarray) -> np.ndarray:
     """How often each unit follows each; a dense matrix of fixed size."""
-    n = len(unit_words) + ENDINGS + 1
-    shared = docs.sparkSession.sparkContext.broadcast(unit_words)
+    k = len(unit_words)
+    n = k + ENDINGS + 1
+    units = _units(unit_words, head.words, head.endings.astype(np.int64)).astype(np.int16)
+    shared = coded.sparkSession.sparkContext.broadcast(units)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n * n, np.int64)
-        for part in (part for b in batches for part in W.slices(b)):
-            h, ending, word_offsets = tokens(part.column("text"))
-            before, after = _sequence(_units(shared.value, h, ending), word_offsets, n - 1)
+        for ids, word_offsets in _numbers(batches):
+            own = shared.value[np.maximum(ids, 0)] if k else 0
+            before, after = _sequence(np.where(ids >= 0, own, k - 1 - ids), word_offsets, n - 1)
             total += np.bincount(before * n + after, minlength=n * n)
         pair = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int32()), pa.array(total[pair])], ["pair", "n"])
 
-    found = docs.select("text").mapInArrow(W.task(run), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    found = coded.mapInArrow(W.task(run), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(n * n)
     out[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy(np.float64)
     return out.reshape(n, n)
@@ -616,53 +660,42 @@ def score(docs: DataFrame, model: dict, counts: DataFrame) -> DataFrame:
     no texts gives every token the base score 0 and spreads its score over the classes. Logarithms
     have base 10.
     """
-    docs = docs.select("doc_id", "text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (part for b in batches for part in W.slices(b)):
-            yield _known(shared.value, part)
-
-    def unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (part for b in batches for part in W.slices(b)):
-            yield _tail(shared.value, part)
-
-    main = docs.mapInArrow(
-        W.task(known), "doc_id long, text_hash long, n_tokens long, head_known long, head_sum double, steps double"
+            yield _scored(shared.value, part)
+
+    # Texts are read once: what broadcast words give is summed there, and the pairs with another word,
+    # each distinct pair of a text once, are set aside to meet the counts and classes.
+    scanned = cut(
+        docs.select("doc_id", "text")
+        .mapInArrow(
+            W.task(run),
+            "doc_id long, n_tokens long, head_known long, head_sum double, steps double, "
+            "pairs array<struct<b:long,b_ending:int,b_known:int,a:long,a_ending:int,a_known:int,times:int>>",
+        )
+        .withColumn("_row", F.monotonically_increasing_id())
     )
-    # Pairs with a word that is not broadcast: each text's distinct ones meet the counts and classes.
-    # Repeated rows of one document give each pair as often, which the number of rows over their
-    # distinct pairs undoes. A word that is broadcast has a key that no word has.
     by_ending = F.lit([int(c) for c in model["endings"]])
     steps = F.lit([float(x) for x in model["step"].ravel()])
     first, second = (counts.select(F.col("h").alias(k), F.col("n").alias(f"{k}_n"), F.col("c").alias(f"{k}_c")) for k in ("b", "a"))
     before, after = (
         F.coalesce(f"{k}_known", f"{k}_c", F.element_at(by_ending, F.col(f"{k}_ending") + 1)) for k in ("b", "a")
     )
-    rare = F.col("a_known").isNull()
+    found = F.col("a_known").isNull() & (F.col("a_n") > 0)
     tail = (
-        docs.mapInArrow(
-            W.task(unknown),
-            "doc_id long, text_hash long, b long, b_ending int, b_known int, a long, a_ending int, a_known int, times int, pairs int",
-        )
+        scanned.select("_row", F.inline("pairs"))
         .join(first, "b", "left")
         .join(second, "a", "left")
-        .groupBy("doc_id", "text_hash")
+        .groupBy("_row")
         .agg(
-            F.sum(F.when(rare & (F.col("a_n") > 0), F.col("times") * F.log10(F.col("a_n") + 0.5)).otherwise(0.0)).alias("tail_sum"),
-            F.sum(F.when(rare & (F.col("a_n") > 0), F.col("times")).otherwise(0)).alias("tail_known"),
+            F.sum(F.when(found, F.col("times") * F.log10(F.col("a_n") + 0.5)).otherwise(0.0)).alias("tail_sum"),
+            F.sum(F.when(found, F.col("times")).otherwise(0)).alias("tail_known"),
             F.sum(F.col("times") * F.element_at(steps, before * (END + 1) + after + 1)).alias("tail_steps"),
-            (F.count("*") / F.max("pairs")).alias("copies"),
-        )
-        .select(
-            F.col("doc_id").alias("_doc"),
-            F.col("text_hash").alias("_text"),
-            (F.col("tail_sum") / F.col("copies")).alias("tail_sum"),
-            (F.col("tail_steps") / F.col("copies")).alias("tail_steps"),
-            (F.col("tail_known") / F.col("copies")).cast("long").alias("tail_known"),
         )
     )
-    both = main.join(tail, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_text")), "left")
+    both = scanned.drop("pairs").join(tail, "_row", "left")
     known = F.col("head_known") + F.coalesce("tail_known", F.lit(0))
     # Unseen words all have one emission, so they are a product and not a sum that rounds.
     unseen = F.col("n_tokens") - known - int(not model["texts"])
@@ -678,11 +711,6 @@ def score(docs: DataFrame, model: dict, counts: DataFrame) -> DataFrame:
     )
 
 
-def _text_hashes(part: pa.RecordBatch) -> np.ndarray:
-    data, offsets = W.buffers(part.column("text"))
-    return W.hashes(data, offsets[:-1], offsets[1:]).view(np.int64)
-
-
 def _in_head(model: dict, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether words at these places of the broadcast ones are there, and their counts."""
     if not len(model["head"]):
@@ -690,61 +718,59 @@ def _in_head(model: dict, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at >= 0, model["head_n"][np.maximum(at, 0)]
 
 
-def _known(model: dict, part: pa.RecordBatch) -> pa.RecordBatch:
-    h, _, word_offsets = tokens(part.column("text"))
-    n = len(part)
+def _scored(model: dict, part: pa.RecordBatch) -> pa.RecordBatch:
+    """What broadcast words give of each text, and its pairs with another word."""
+    h, ending, word_offsets = tokens(part.column("text"))
+    n_texts, n = len(part), len(h)
     at, c = _model_classes(model, h)
-    before, after = _sequence(c, word_offsets, END)
-    step = np.where((before < 0) | (after < 0), 0, model["step"][before, after])
-    text = np.repeat(np.arange(n), np.diff(word_offsets) + 1)
+    c = np.append(c, END)
+    before, after = _sequence(np.arange(n), word_offsets, n)
+    text = np.repeat(np.arange(n_texts), np.diff(word_offsets) + 1)
+    unknown = (c[before] < 0) | (c[after] < 0)
+    step = np.where(unknown, 0, model["step"][c[before], c[after]])
     found, count = _in_head(model, at)
-    words = np.repeat(np.arange(n), np.diff(word_offsets))
-    emitted = np.bincount(words, np.where(found, np.log10(count + 0.5), 0), n)
-    return pa.RecordBatch.from_arrays(
-        [
-            part.column("doc_id"),
-            pa.array(_text_hashes(part)),
-            pa.array(np.diff(word_offsets) + 1, pa.int64()),
-            pa.array(np.bincount(words, found, n).astype(np.int64) + int(model["texts"] > 0)),
-            pa.array(emitted + np.log10(model["texts"] + 0.5)),
-            pa.array(np.bincount(text, step, n)),
-        ],
-        ["doc_id", "text_hash", "n_tokens", "head_known", "head_sum", "steps"],
-    )
-
+    words = np.repeat(np.arange(n_texts), np.diff(word_offsets))
+    emitted = np.bincount(words, np.where(found, np.log10(count + 0.5), 0), n_texts)
+    known = np.bincount(words, found, n_texts).astype(np.int64) + int(model["texts"] > 0)
+    steps = np.bincount(text, step, n_texts)
 
-def _tail(model: dict, part: pa.RecordBatch) -> pa.RecordBatch:
-    h, ending, word_offsets = tokens(part.column("text"))
-    c = np.append(_model_classes(model, h)[1], END)
-    n = len(h)
-    before, after = _sequence(np.arange(n), word_offsets, n)
-    text = np.repeat(np.arange(len(part)), np.diff(word_offsets) + 1)
-    use = (c[before] < 0) | (c[after] < 0)
-    before, after, text = before[use], after[use], text[use]
+    before, after, text = before[unknown], after[unknown], text[unknown]
     h, ending = np.append(h, 0), np.append(ending, 0)
     first, times = _distinct((h[before], before == n, h[after], after == n, text))
+    order = np.argsort(text[first], kind="stable")
+    first, times = first[order], times[order]
     before, after, text = before[first], after[first], text[first]
-    row = _text_hashes(part)[text]
     # the key of a word that is broadcast is spread over all values, so that it is not a hot one
-    other = W.mix(h[before].view(np.uint64) + W.mix(h[after].view(np.uint64)) + row.view(np.uint64)).view(np.int64)
-    columns = [part.column("doc_id").take(pa.array(text, pa.int64())), pa.array(row)]
+    other = W.mix(h[before].view(np.uint64) + W.mix(h[after].view(np.uint64)) + text.view(np.uint64)).view(np.int64)
+    columns = []
     for word in (before, after):
-        known = c[word] >= 0
+        own = c[word] >= 0
         columns += [
-            pa.array(np.where(known, other, h[word])),
+            pa.array(np.where(own, other, h[word])),
             pa.array(ending[word], pa.int32()),
-            pa.array(c[word], pa.int32(), mask=~known),
+            pa.array(c[word], pa.int32(), mask=~own),
         ]
-    columns += [pa.array(times, pa.int32()), pa.array(np.bincount(text, minlength=len(part))[text], pa.int32())]
-    names = ["doc_id", "text_hash", "b", "b_ending", "b_known", "a", "a_ending", "a_known", "times", "pairs"]
-    return pa.RecordBatch.from_arrays(columns, names)
+    names = ["b", "b_ending", "b_known", "a", "a_ending", "a_known", "times"]
+    pairs = pa.StructArray.from_arrays([*columns, pa.array(times, pa.int32())], names)
+    each = np.searchsorted(text, np.arange(n_texts + 1)).astype(np.int32)
+    return pa.RecordBatch.from_arrays(
+        [
+            part.column("doc_id"),
+            pa.array(np.diff(word_offsets) + 1, pa.int64()),
+            pa.array(known),
+            pa.array(emitted + np.log10(model["texts"] + 0.5)),
+            pa.array(steps),
+            pa.ListArray.from_arrays(pa.array(each), pairs),
+        ],
+        ["doc_id", "n_tokens", "head_known", "head_sum", "steps", "pairs"],
+    )
 
 
 def _model_classes(model: dict, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Place of each word among the broadcast ones and its class; -1 for those that are not."""
     if not len(model["head"]):
         return np.full(len(h), -1), np.full(len(h), -1)
-    at = _lookup(model["head"]).find(h)
+    at = _find(model["head"], h)
     own = model["classes"][len(model["unit_words"]) + ENDINGS + 1 :]
     return at, np.where(at >= 0, own[np.maximum(at, 0)], -1)
 
