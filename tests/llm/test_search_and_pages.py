@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import time
 
 import numpy as np
 import pytest
@@ -77,6 +78,35 @@ def test_blocks_and_kinds():
     assert [t for k, _, t in found if k == "open"] == ["out"]
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<div class='layout has-sidebar'><article><p>One</p></article></div>", ["One"]),
+        ("<div class='post no-comments'><article>One<p>Two</article></div>", ["One", "Two"]),
+        ("<article><p class='social-science'>One</p><section class='search-algorithms'>Two</section></article>", ["One", "Two"]),
+        ("<article><p>One</p><iframe src=x /><p>Two</p><svg/><p>Three</article>", ["One", "Two", "Three"]),
+        ('<article><p class="x"">First</p><p title=it\'s>Second</p></article>', ["First", "Second"]),
+        ("<article><p>One<script>never closed<p>Two</article>", ["Onenever closed", "Two"]),
+        ("<form><article>One<form>Send</form></article></form>", ["One"]),
+        ("<aside><article>Teaser</article></aside><main>One</main>", ["One"]),
+        ("<article>One<section class='comments'><article>Reader</article></section></article>", ["One"]),
+        ("<article><a href='x\">One</a> &lt;2 < 3 </article><p title=\"open>rest", ["One <2 < 3"]),
+        ("<article><p>One<textarea>x</textarea\n>two</p><STYLE>p</Style>three</article>", ["Onetwo", "three"]),
+        ("<article>One <b data-x='a>b' data-y=c/d>two</b></article>", ["One two"]),
+    ],
+)
+def test_malformed_pages_keep_their_article(page, want):
+    assert [t for k, _, t in html_text.blocks(page) if k == "main"] == want
+
+
+@pytest.mark.parametrize("part", ['<a "', "<a x='", "<script>", "<!-", "<p class=\"", "</", "<svg><", "<b x=", "<![CDATA[", "&#"])
+def test_hostile_pages_take_linear_time(part):
+    page = part * (2_000_000 // len(part))
+    started = time.process_time()
+    html_text.blocks(page)
+    assert time.process_time() - started < 6
+
+
 def test_repeated_runs_match_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(20):
