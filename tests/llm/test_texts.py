@@ -80,6 +80,32 @@ def test_cutoffs_reject_bad_texts_and_keep_good_ones(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in rows if r["kept"]}
 
 
+def test_verdict_rejects_few_good_documents_in_nearly_all_draws(spark):
+    """Strata whose good documents are hit by every rule a little: what all rules reject together stays within the risk."""
+    rng = np.random.default_rng(11)
+    strata, n, good, population, rows = 150, 1600, 0.8, {}, []
+    shares = {"symbols": "n_symbols", "marks": "n_marks", "capitals": "n_capitals", "dup_lines": "n_dup_lines"}
+    doc = 0
+    for s in range(strata):
+        rate = rng.uniform(0, 0.02, len(shares))  # of good documents that a rule hits, each on its own
+        population[f"s{s}"] = rate
+        for _ in range(n):
+            is_good = rng.random() < good
+            hit = rng.random(len(shares)) < (rate if is_good else 0.5)
+            rows.append((doc, f"s{s}", int(is_good), *[1000 if h else 0 for h in hit]))
+            doc += 1
+    made = spark.createDataFrame(pa.table([pa.array(c) for c in zip(*rows)], ["doc_id", "stratum", "quality", *shares.values()]))
+    fixed = {"n_words": 1000, "word_chars": 1000, "n_repeat_words": 0, "n_distinct_words": 1000, "n_lines": 1000}
+    measured = made.withColumns({**{k: F.lit(v) for k, v in fixed.items()}, "base_failed": F.lit(False)})
+    chosen = quality_rules.calibrate(measured, made.select("doc_id", "quality"), "stratum").collect()
+    wrong, used = 0, 0
+    for r in chosen:
+        on = [k for k, rule in enumerate(shares) if r[f"cut_{rule}"] is not None]
+        used += bool(on)
+        wrong += 1 - np.prod(1 - population[r["stratum"]][on]) > quality_rules.RISK
+    assert len(chosen) == strata and wrong <= 0.05 * strata and used > 5
+
+
 def test_rules_take_odd_labels_and_empty_tables(spark, odd_docs, no_docs, no_labels):
     odd = spark.createDataFrame([(1, 0), (1, 1), (2, None), (None, 1), (6, 1), (6, 1)], "doc_id long, quality int")
     for labels in (odd, no_labels):

@@ -1,14 +1,16 @@
 """Quality rules with risk-controlled cutoffs, in Spark's own functions only.
 
 Base rules are fixed. Further rules compare a share of the text with a cutoff that labelled documents
-justify: for a rule, a stratum and a cutoff, k of the n documents of good quality there would be
-rejected, and the cutoff is admissible if the exact binomial (Clopper-Pearson) upper bound of the
-false rejection rate is at most ``risk``. That bound is at most ``risk`` just where
-P(Binomial(n, risk) <= k) is at most the error level. Cutoffs of a rule are tested from the laxest
-on and testing stops at the first failure (fixed sequence), and the error level ``delta`` is split
-over all rules and strata (Bonferroni), so all chosen cutoffs hold together with 1 - ``delta``.
-Among admissible cutoffs the one that rejects most bad documents net of ``penalty`` times the good
-ones is used, the laxest of equals; if none gains, the rule does not apply in that stratum.
+justify. The labelled documents of a stratum are halved by a hash of their id. On one half each rule gets
+the laxest cutoff that has ``MOST_PERCENT`` of the largest gain, the bad documents rejected net of
+``penalty`` times the good ones, and rules that gain are put in order of their gain. On the other half, held out from that choice, the
+first rule, the first two, and so on are tested as they would be used, together: k of the n good
+documents would be rejected by any of them, and they are admissible if the exact binomial
+(Clopper-Pearson) upper bound of that rate is at most ``risk``. The bound is at most ``risk`` just where
+P(Binomial(n, risk) <= k) is at most the error level. Testing stops at the first failure (fixed
+sequence), so no level is lost on the number of rules; ``delta`` is split over the strata (Bonferroni).
+With 1 - ``delta``, what the verdict rejects beyond the base rules is at most ``risk`` of the good
+documents in every stratum at once.
 """
 
 from __future__ import annotations
@@ -16,12 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tierglass.functions.membership import filter_of, probable
 from tierglass.functions.once import with_once
 from tierglass.llm.common import cut, table
 
 RISK = 0.02
 DELTA = 0.05
-PENALTY = 10
+PENALTY = 50
+MOST_PERCENT = 90
 CUTOFFS = (0.95, 0.8, 0.65, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.05)
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -119,6 +123,11 @@ def admissible(k: Column, n: Column, risk: float, level: float) -> Column:
     return F.when((n > 0) & (k < n * risk), terms["sum"] <= level).otherwise(False)
 
 
+def _tuning(key: Column) -> Column:
+    """Half of the documents, by a hash that other engines have."""
+    return F.substring(F.md5(key.cast("string")), 1, 1) < "8"
+
+
 def calibrate(
     measured: DataFrame, labels: DataFrame, stratum: str, risk: float = RISK, delta: float = DELTA, penalty: int = PENALTY
 ) -> DataFrame:
@@ -136,40 +145,60 @@ def calibrate(
     )
     shares = [share(r).alias(f"share_{r}") for r in RULES]
     known = measured.where("not base_failed").select("doc_id", F.col(stratum).alias("stratum"), *shares).join(agreed, "doc_id")
-    counts = [F.count_if(F.col("quality") == 1).alias("n")]
+    known = known.withColumn("tuning", _tuning(F.col("doc_id")))
+    counts = []
     for r in RULES:
         for j, c in enumerate(CUTOFFS):
             for q, side in ((1, "good"), (0, "bad")):
-                counts.append(F.count_if((F.col("quality") == q) & (F.col(f"share_{r}") > c)).alias(f"{r}_{j}_{side}"))
-    counted = known.groupBy("stratum").agg(*counts)
-    tests = F.array(
-        *[
-            F.struct(
-                F.lit(r).alias("rule"),
-                F.lit(j).alias("ord"),
-                F.lit(float(c)).alias("cutoff"),
-                F.col(f"{r}_{j}_good").alias("good"),
-                F.col(f"{r}_{j}_bad").alias("bad"),
-            )
-            for r in RULES
-            for j, c in enumerate(CUTOFFS)
-        ]
+                counts.append(F.count_if(F.col("tuning") & (F.col("quality") == q) & (F.col(f"share_{r}") > c)).alias(f"{r}_{j}_{side}"))
+
+    def best(number: int, rule: str) -> Column:
+        """The laxest cutoff that has most of the largest gain; null where none gains."""
+        tried = F.array(
+            *[
+                F.struct(
+                    (F.col(f"{rule}_{j}_bad") - penalty * F.col(f"{rule}_{j}_good")).alias("gain"),
+                    F.lit(-number).alias("first"),
+                    F.lit(rule).alias("rule"),
+                    F.lit(float(c)).alias("cutoff"),
+                )
+                for j, c in enumerate(CUTOFFS)
+            ]
+        )
+        most = F.array_max(F.transform(tried, lambda t: t["gain"]))
+        return F.get(F.filter(tried, lambda t: (t["gain"] > 0) & (100 * t["gain"] >= MOST_PERCENT * most)), 0)
+
+    # Best gain first; the rules' own order decides between equals.
+    by_gain = F.reverse(F.array_sort(F.array_compact(F.array(*[best(k, r) for k, r in enumerate(RULES)]))))
+    # A row per stratum, also where there is nothing to tune by.
+    tuned = known.groupBy("stratum").agg(*counts).select("stratum", by_gain.alias("ordered"))
+    tuned = tuned.select(
+        F.col("stratum").alias("_stratum"),
+        *[F.expr(f"get(filter(ordered, t -> t.rule = '{r}'), 0).cutoff").alias(f"cut_{r}") for r in RULES],
+        *[F.expr(f"array_position(transform(ordered, t -> t.rule), '{r}')").alias(f"place_{r}") for r in RULES],
     )
-    # Counts are a row per stratum; they are kept, so that counting strata does not repeat them.
-    counted = cut(counted.select("stratum", "n", tests.alias("tests")))
-    strata = max(1, counted.count())
-    level = delta / (len(RULES) * strata)
-    rows = counted.select("stratum", "n", F.inline("tests")).withColumn("ok", admissible(F.col("good"), F.col("n"), risk, level))
-    first_bad = F.coalesce(F.min(F.when(~F.col("ok"), F.col("ord"))), F.lit(len(CUTOFFS))).alias("stop")
-    stops = rows.groupBy("stratum", "rule").agg(
-        first_bad,
-        F.array_agg(F.struct((F.col("bad") - penalty * F.col("good")).alias("gain"), (-F.col("ord")).alias("lax"), "cutoff")).alias("all"),
+    tuned = cut(tuned)
+    strata = tuned.count()
+    side = F.broadcast(tuned) if strata <= BROADCAST_STRATA else tuned
+    held = known.where("not tuning and quality = 1").join(side, F.col("stratum").eqNullSafe(F.col("_stratum")))
+    first = F.least(
+        F.lit(len(RULES) + 1),
+        *[F.when(F.col(f"share_{r}") > F.col(f"cut_{r}"), F.col(f"place_{r}")).cast("int") for r in RULES],
     )
-    best = F.array_max(F.filter("all", lambda t: (-t["lax"] < F.col("stop")) & (t["gain"] > 0)))
-    return (
-        stops.select("stratum", "rule", best["cutoff"].alias("cutoff"))
-        .groupBy("stratum")
-        .agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
+    rejected = [F.count_if(F.col("first") <= m).alias(f"k_{m}") for m in range(1, len(RULES) + 1)]
+    tested = (
+        held.withColumn("first", first).groupBy(F.col("_stratum").alias("_held")).agg(F.count("*").alias("n"), *rejected)
+    )
+    level = delta / max(1, strata)
+    stop = F.least(
+        F.lit(len(RULES) + 1),
+        *[F.when(~admissible(F.col(f"k_{m}"), F.col("n"), risk, level), F.lit(m)) for m in range(1, len(RULES) + 1)],
+    )
+    # Without held-out good documents nothing is proven.
+    proven = tested.select("_held", stop.alias("stop"))
+    return tuned.join(proven, F.col("_stratum").eqNullSafe(F.col("_held")), "left").select(
+        F.col("_stratum").alias("stratum"),
+        *[F.when(F.col(f"place_{r}") < F.col("stop"), F.col(f"cut_{r}")).alias(f"cut_{r}") for r in RULES],
     )
 
 
@@ -199,8 +228,13 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang") ->
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
-    """Rows of ``docs`` that pass, with their own columns. Texts are measured twice, not shuffled."""
-    measured = cut(signals(docs.select("doc_id", "text", stratum)))
+    """Rows of ``docs`` that pass, with their own columns.
+
+    Texts are not shuffled. To calibrate, only documents are measured that a Bloom filter of the labelled
+    ids holds, which has at most 2^20 cells.
+    """
+    narrow = docs.select("doc_id", "text", stratum)
+    measured = cut(signals(probable(narrow, filter_of(labels.select("doc_id"), ["doc_id"]), ["doc_id"])))
     cutoffs = cut(calibrate(measured, labels, stratum))
     whole = docs.select(F.struct("*").alias("_row"), "doc_id", "text", stratum)
     return judge(signals(whole), cutoffs, stratum).where("kept").select("_row.*")
@@ -246,20 +280,31 @@ long AS ({_LONG}),
 agreed AS (
   SELECT doc_id, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IN (0, 1)
   GROUP BY doc_id HAVING min(quality) = max(quality)),
+known AS (
+  SELECT l.*, quality, substr(md5(doc_id::VARCHAR), 1, 1) < '8' AS tuning FROM long l JOIN agreed USING (doc_id) WHERE NOT base_failed),
+tuned AS (
+  SELECT lang, rule, cutoff, ord, count(*) FILTER (WHERE quality = 0 AND share > cutoff)
+    - {PENALTY} * count(*) FILTER (WHERE quality = 1 AND share > cutoff) AS gain
+  FROM known, (VALUES {_CUTOFFS}) c(ord, cutoff) WHERE tuning GROUP BY ALL),
+best AS (
+  SELECT * FROM (SELECT *, max(gain) OVER (PARTITION BY lang, rule) AS most FROM tuned)
+  WHERE gain > 0 AND 100 * gain >= {MOST_PERCENT} * most QUALIFY row_number() OVER (PARTITION BY lang, rule ORDER BY ord) = 1),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY gain DESC, list_position({list(RULES)}, rule)) AS place FROM best),
+firsts AS (
+  SELECT k.lang, k.rid, min(CASE WHEN share > cutoff THEN place END) AS first
+  FROM known k LEFT JOIN placed p ON p.rule = k.rule AND p.lang IS NOT DISTINCT FROM k.lang
+  WHERE NOT tuning AND quality = 1 GROUP BY ALL),
 tested AS (
-  SELECT lang, rule, ord, cutoff, count(*) FILTER (WHERE quality = 1) AS n,
-    count(*) FILTER (WHERE quality = 1 AND share > cutoff) AS k, count(*) FILTER (WHERE quality = 0 AND share > cutoff) AS bad
-  FROM long JOIN agreed USING (doc_id), (VALUES {_CUTOFFS}) c(ord, cutoff) WHERE NOT base_failed GROUP BY ALL),
+  SELECT lang, m, count(*) AS n, count(*) FILTER (WHERE first <= m) AS k FROM firsts, range(1, {len(RULES) + 1}) t(m) GROUP BY ALL),
 bounded AS (
   SELECT *, CASE WHEN n > 0 AND k < n * {RISK} THEN list_sum(list_transform(range(k + 1), lambda i:
       exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK}) + (n - i) * ln(1 - {RISK}))))
-    <= {DELTA} / ({len(RULES)} * (SELECT count(*) FROM (SELECT DISTINCT lang FROM tested))) ELSE false END AS ok FROM tested),
-stopped AS (
-  SELECT *, bad - {PENALTY} * k AS gain,
-    coalesce(min(CASE WHEN NOT ok THEN ord END) OVER (PARTITION BY lang, rule), {len(CUTOFFS)}) AS stop FROM bounded),
+    <= {DELTA} / (SELECT count(*) FROM (SELECT DISTINCT lang FROM known)) ELSE false END AS ok FROM tested),
+proven AS (
+  SELECT lang, coalesce(min(CASE WHEN NOT ok THEN m END), {len(RULES) + 1}) AS stop FROM bounded GROUP BY lang),
 chosen AS (
-  SELECT lang, rule, cutoff FROM stopped WHERE ord < stop AND gain > 0
-  QUALIFY row_number() OVER (PARTITION BY lang, rule ORDER BY gain DESC, ord) = 1),
+  SELECT p.lang, rule, cutoff FROM placed p JOIN proven q ON q.lang IS NOT DISTINCT FROM p.lang WHERE place < stop),
 fired AS (
   SELECT DISTINCT rid FROM long l JOIN chosen c ON l.rule = c.rule AND l.lang IS NOT DISTINCT FROM c.lang AND share > cutoff)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
