@@ -23,9 +23,8 @@ from tierglass.llm.common import is_remainder, table
 
 SIZES = (1, 2, 3, 4)
 WIDTH = 16384
-LANDMARKS = 128
+LANDMARKS = 32
 PER_LANGUAGE = 512
-LANGUAGES = 256
 RIDGE = 1e-2
 UNKNOWN = "und"
 _LETTER = r"\p{L}"
@@ -35,10 +34,11 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LAND
     """Model from rows (doc_id, text, lang) with text, lang and a doc_id.
 
     Every language is sampled by the hash of doc_id at the share that yields about ``per_language``
-    texts, never more than twice that. Up to ``LANGUAGES`` most frequent languages are learned.
+    texts, never more than twice that, and gives up to ``landmarks`` landmarks. Every value of ``lang``
+    is learned; the sample grows with their number alone.
     """
     rows = docs.where("text is not null and lang is not null and doc_id is not null")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not sizes:
         return {"languages": []}
     share = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], per_language / r["count"])])
@@ -66,8 +66,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LAND
     languages = sorted(by_lang)
     if not languages:
         return {"languages": []}
-    each = max(1, landmarks // len(languages))
-    marks = _rows([b for lang in languages for b in by_lang[lang][:each]])
+    marks = _rows([b for lang in languages for b in by_lang[lang][:landmarks]])
     root = np.sqrt(np.maximum(marks.sum(1), 1))
     marks = marks / root[:, None]
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
