@@ -43,7 +43,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, rank: in
         .where("quality = other")
         .select("doc_id", "quality")
     )
-    share = agreed.agg(F.avg("quality")).first()[0]
+    share, *totals = agreed.agg(
+        F.avg("quality"), F.count_if(F.col("quality") == 0), F.count_if(F.col("quality") == 1)
+    ).first()
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = agreed.where("quality = 0").orderBy(*by_hash).limit(per_class)
     sample = sample.unionAll(agreed.where("quality = 1").orderBy(*by_hash).limit(per_class))
@@ -78,6 +80,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, rank: in
         "basis": basis,
         "vectors": _unit(x @ basis),
         "labels": y,
+        # Labels that a vector stands for, so that votes weigh the classes as the labels do.
+        "stands": np.array([totals[int(q)] / max(1, (y == q).sum()) for q in y], np.float32),
         "share": 0.5 if share is None else float(share),
     }
 
@@ -100,7 +104,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def votes(model: dict, texts: pa.Array, neighbours: int = NEIGHBOURS) -> np.ndarray:
     """Score of each text: weighted share of label 1 among its nearest labelled vectors.
 
-    Equal cosines count the earlier vector first. Without any neighbour of positive cosine (no text,
+    A vote weighs its cosine times the labels its vector stands for: the classes are sampled at
+    different rates, and a score means the same however many labels there are. Equal cosines count the earlier vector first. Without any neighbour of positive cosine (no text,
     no model) the score is the share of label 1 among all labels.
     """
     refs, k = model["vectors"], min(neighbours, len(model["vectors"]))
@@ -110,6 +115,8 @@ def votes(model: dict, texts: pa.Array, neighbours: int = NEIGHBOURS) -> np.ndar
     cosine = _unit(_weighted(terms(texts), model["idf"]) @ model["basis"]) @ refs.T
     near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
     weight = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64)
+    if "stands" in model:
+        weight *= model["stands"][near]
     total = weight.sum(1)
     some = total > 0
     out[some] = (weight * model["labels"][near]).sum(1)[some] / total[some]
