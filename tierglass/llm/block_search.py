@@ -2,8 +2,8 @@
 
 Vectors are dealt into blocks; a block of queries meets every block of candidates, one tile a row.
 Each block also holds int8 vectors with a scale, the length of what rounding lost and the length of
-what it kept. A tile multiplies the int8 blocks (exactly: the products fit a float32 mantissa) and
-bounds the true inner product on both sides. Pairs whose upper bound reaches the k-th best lower
+what it kept. A tile multiplies the int8 blocks (exactly: ``EXACT_DIM`` dimensions at a time fit a float32
+mantissa, and these sums are added in double precision) and bounds the true inner product on both sides. Pairs whose upper bound reaches the k-th best lower
 bound of their query are recomputed in double precision, so nothing is lost; per-tile heaps keep the
 k best, and the tiles' lists are merged by a ranked window with a limit before its shuffle.
 """
@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from tierglass.llm import words as W
 from tierglass.llm.common import table
@@ -24,13 +25,20 @@ from tierglass.llm.common import table
 NEIGHBOURS = 20
 QUERY_BLOCK = 256
 CANDIDATE_BLOCK = 8192
-_BLOCK = "block int, dim int, ids binary, quantised binary, scale binary, lost binary, kept binary, exact binary"
+_BLOCK = (
+    "block int, dim int, ids binary, quantised binary, scale binary, lost binary, kept binary, exact binary, kind string"
+)
+#: Longest sum of products of int8 values that float32 holds exactly: 127 * 127 * 1024 < 2^24.
+EXACT_DIM = 1024
 
 
 def usable(vectors: DataFrame) -> DataFrame:
     """Rows (vec_id, embedding) that take part: an id, and finite components that are not all zero."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")).where(
+    vectors = vectors.select("vec_id", "embedding")
+    if vectors.schema["embedding"].dataType.elementType != FloatType():
+        vectors = vectors.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    return vectors.where(
         F.col("vec_id").isNotNull() & finite & F.exists("embedding", lambda x: x != 0)
     )
 
@@ -38,21 +46,25 @@ def usable(vectors: DataFrame) -> DataFrame:
 def _blocks(vectors: DataFrame, per_block: int, rows: int) -> tuple[DataFrame, int]:
     """Packed blocks, one row for each block and vector length."""
     n = max(1, -(-rows // per_block))
+    wide = vectors.schema["embedding"].dataType.elementType != FloatType()
+    kind = np.float64 if wide else np.float32
 
     def pack(group: pa.Table) -> pa.Table:
         ids = group.column("vec_id").to_numpy()
-        x = np.array(group.column("embedding").combine_chunks().flatten(), np.float32).reshape(len(ids), -1)
+        x = np.array(group.column("embedding").combine_chunks().flatten(), kind).reshape(len(ids), -1)
         order = np.lexsort((*x.T[::-1], ids))
         order = order[np.append(True, ids[order][1:] != ids[order][:-1])]
         ids, x = ids[order], x[order]
         exact = x.astype(np.float64)
-        scale = np.abs(exact).max(1) / 127
-        q = np.rint(exact / scale[:, None]).astype(np.int8)
-        near = q * scale[:, None]
-        lost = np.linalg.norm(exact - near, axis=1)
-        kept = np.linalg.norm(near, axis=1)
+        # Norms are taken of rows within 127, so that tiny and huge components neither vanish nor overflow.
+        scale = np.maximum(np.abs(exact).max(1) / 127, np.finfo(np.float64).tiny)
+        even = exact / scale[:, None]
+        q = np.rint(even).astype(np.int8)
+        lost = np.linalg.norm(even - q, axis=1) * scale
+        kept = np.linalg.norm(q.astype(np.float64), axis=1) * scale
         row = [group.column("block")[0].as_py(), x.shape[1]]
         row += [a.tobytes() for a in (ids.astype(np.int64), q, scale, lost, kept, x)]
+        row.append(x.dtype.name)
         return pa.table([[v] for v in row], schema=_SCHEMA)
 
     block = F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
@@ -66,6 +78,7 @@ def _blocks(vectors: DataFrame, per_block: int, rows: int) -> tuple[DataFrame, i
 _SCHEMA = pa.schema(
     [("block", pa.int32()), ("dim", pa.int32())]
     + [(c, pa.binary()) for c in ("ids", "quantised", "scale", "lost", "kept", "exact")]
+    + [("kind", pa.string())]
 )
 
 
@@ -104,11 +117,14 @@ def _tile(t: dict, k: int) -> pa.RecordBatch:
         side[p] = {
             "ids": np.frombuffer(t[p + "ids"], np.int64),
             "quantised": np.frombuffer(t[p + "quantised"], np.int8).reshape(-1, dim).astype(np.float32),
-            "exact": np.frombuffer(t[p + "exact"], np.float32).reshape(-1, dim),
+            "exact": np.frombuffer(t[p + "exact"], np.dtype(t[p + "kind"])).reshape(-1, dim),
             **{c: np.frombuffer(t[p + c], np.float64) for c in ("scale", "lost", "kept")},
         }
     q, c = side["q_"], side[""]
-    near = (q["quantised"] @ c["quantised"].T).astype(np.float64) * q["scale"][:, None] * c["scale"]
+    near = np.zeros((len(q["ids"]), len(c["ids"])))
+    for d in range(0, dim, EXACT_DIM):
+        near += q["quantised"][:, d : d + EXACT_DIM] @ c["quantised"][:, d : d + EXACT_DIM].T
+    near *= q["scale"][:, None] * c["scale"]
     # |<x, y> - <x', y'>| <= |x - x'| |y| + |x'| |y - y'|, and |y| <= |y'| + |y - y'|
     error = q["lost"][:, None] * (c["kept"] + c["lost"]) + q["kept"][:, None] * c["lost"]
     error += 1e-9 * (np.abs(near) + error)
