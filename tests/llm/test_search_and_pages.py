@@ -58,6 +58,32 @@ def article_text(page):
     return "\n".join(p for p in made if p)
 
 
+def nearest_by_hand(rows, k, every):
+    out = []
+    for q, x in rows:
+        if q % every == 0:
+            scored = sorted((-float(np.dot(np.array(x, np.float64), np.array(y, np.float64))), v) for v, y in rows if v != q)
+            out += [(q, r + 1, v, -s) for r, (s, v) in enumerate(scored[:k])]
+    return out
+
+
+def test_double_vectors_are_not_rounded(spark):
+    rows = [(i, [1.0 + i * 1e-12, 1.0 - (i % 7) * 1e-13, 0.5]) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = block_search.nearest(vectors.where("vec_id % 20 = 0"), vectors, 5).collect()
+    assert [tuple(r)[:3] for r in sorted(got)] == [r[:3] for r in sorted(nearest_by_hand(rows, 5, 20))]
+
+
+def test_long_vectors_lose_no_neighbour(spark):
+    """Over 1,040 dimensions the products of int8 rows no longer fit a float32 mantissa."""
+    rng = np.random.default_rng(5)
+    base = np.full(3000, 1.0)
+    rows = [(i, (base + rng.choice([0, 1e-7], 3000)).tolist()) for i in range(45)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = block_search.nearest(vectors.where("vec_id % 20 = 0"), vectors, 5).collect()
+    assert [tuple(r)[:3] for r in sorted(got)] == [r[:3] for r in sorted(nearest_by_hand(rows, 5, 20))]
+
+
 def test_page_query_gives_the_articles(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
     got = {r["page_id"]: r for r in QUERIES["op2_html_extraction"](spark, SF).collect()}

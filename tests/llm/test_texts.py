@@ -141,6 +141,32 @@ def test_votes_match_plain_cosines():
         assert got == pytest.approx(want, abs=1e-5)
 
 
+def test_votes_weigh_classes_as_the_labels_do(spark):
+    """Of many labels of one kind few are sampled; each then stands for more. Ties of cosines go to the earlier vector."""
+    rows = [(i, "good words of a text" if i % 10 else "bad words of a text") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 10 <> 0 AS INT) AS quality")
+    model = quality_classifier.fit(docs, labels, per_class=20)
+    of = dict(zip(model["labels"].tolist(), model["stands"].tolist()))
+    assert of == {0.0: 1.0, 1.0: 9.0} and len(model["labels"]) == 40
+    even = {**model, "vectors": np.tile(model["vectors"][:1], (40, 1))}
+    text = pa.array(["good words of a text"])
+    some = quality_classifier.votes(even, text, 40)[0]
+    assert some == pytest.approx(20 * 9 / (20 * 9 + 20 * 1))
+
+
+def test_latent_space_matches_a_plain_decomposition(spark):
+    texts = ["one two three", "two three four", "a b c d", "b c d e", "x!x!x!", "two two two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS quality")
+    model = quality_classifier.fit(docs, labels, rank=3)
+    x = quality_classifier._weighted(quality_classifier.terms(pa.array(texts)), model["idf"]).astype(np.float64)
+    _, _, right = np.linalg.svd(x, full_matrices=False)
+    plain = x @ right[:3].T
+    plain /= np.linalg.norm(plain, axis=1, keepdims=True)
+    assert model["vectors"] @ model["vectors"].T == pytest.approx(plain @ plain.T, abs=1e-4)
+
+
 def test_quality_takes_odd_rows(spark, odd_docs, no_docs, no_labels):
     model = quality_classifier.fit(odd_docs, no_labels)
     got = quality_classifier.score(odd_docs, model)
@@ -165,6 +191,36 @@ def test_language_takes_odd_rows(spark, odd_docs, no_docs):
     assert {r["lang_pred"] for r in language_id.identify(odd_docs, language_id.fit(no_docs)).collect()} == {"und"}
 
 
+def test_language_scores_match_plain_ridge_regression(spark):
+    from tierglass.llm import grams
+
+    texts = {"en": ["the cat sat", "a dog ran off", "the end of it"], "de": ["die katze saß", "ein hund lief"], "fr": ["le chat dort ici"]}
+    rows = [(i, t, lang) for i, (t, lang) in enumerate((t, lang) for lang in texts for t in texts[lang])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, per_language=100)
+    assert model["languages"] == ["de", "en", "fr"] and len(model["marks"]) == 6
+    asked = [t for _, t, _ in rows] + ["the dog", "xyz", "Ünd"]
+    sets = [{int(k) for k in np.flatnonzero(r)} for r in grams.presence(pa.array(asked), language_id.SIZES, language_id.WIDTH)]
+    kernel = np.array([[len(a & b) / max(1, len(a) * len(b)) ** 0.5 for b in sets[:6]] for a in sets])
+    values, vectors = np.linalg.eigh(kernel[:6])
+    x = np.hstack([kernel @ vectors / np.sqrt(values), np.ones((len(sets), 1))])
+    y = np.array([[lang == m for m in model["languages"]] for _, _, lang in rows], float)
+    weight = (y / y.sum(0)).sum(1)
+    ridge = language_id.RIDGE * np.eye(7) / 7
+    ridge[-1, -1] = 1e-9
+    solved = np.linalg.solve((x[:6].T * weight) @ x[:6] + ridge, (x[:6].T * weight) @ y)
+    want = x @ solved
+    names, score = language_id.classify(model, pa.array(asked))
+    assert names == [model["languages"][i] for i in want.argmax(1)]
+    assert score == pytest.approx(np.clip(want.max(1), 0, 1), abs=2e-3)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"{chr(97 + i // 26)}{chr(97 + i % 26)} " * 3, f"l{i:03d}") for i in range(300)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=2, landmarks=1)
+    assert len(model["languages"]) == 300
+
+
 def test_kernel_counts_common_grams():
     from tierglass.llm import grams
 
