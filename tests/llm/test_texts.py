@@ -494,6 +494,16 @@ def test_local_search_saves_bins():
     assert np.square(np.bincount(bins, weights=sizes)).sum() > before
 
 
+def test_more_effort_never_gives_more_bins():
+    for seed in range(4):
+        sizes = np.random.default_rng(seed).integers(300, 1500, 400)
+        bins = [
+            packing.pack_sizes(sizes, effort=e).max()
+            for e in (packing.Effort(1, 0, 0), packing.Effort(8, 4, 8), packing.Effort(), packing.Effort(1000, 64, 1000))
+        ]
+        assert bins == sorted(bins, reverse=True)
+
+
 def test_pieces_without_dropout_are_the_model_s():
     import sentencepiece
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,20 @@ CACHE = 300_000
 KEPT = 50_000
 JOINED = 512
 UNDERFULL = 0.98
+
+
+class Effort(NamedTuple):
+    """How far the local search of a shard looks. No piece is left out: what it bounds is the trying.
+
+    Of an emptying bin the ``pieces`` largest are tried for moves and exchanges, and pairs of the
+    ``paired`` largest; after ``stuck`` bins that could not be emptied the search of the shard ends.
+    """
+
+    pieces: int = 64
+    paired: int = 16
+    stuck: int = 64
+
+
 #: White space beyond ASCII; texts with any are encoded whole.
 _WIDE_SPACE = r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -188,10 +203,10 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, w
     return docs.select("doc_id", "text").mapInArrow(W.task(run, lambda: encoder(path or vocabulary_path()).cache.prune(KEPT)), schema)
 
 
-def pack_sizes(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
+def pack_sizes(sizes: np.ndarray, capacity: int = CAPACITY, effort: Effort = Effort()) -> np.ndarray:
     """The bin of each size, bins numbered from 0 without gaps."""
     fit = _best_fit(sizes, capacity)
-    _search(sizes, fit, capacity)
+    _search(sizes, fit, capacity, effort)
     return np.unique(fit, return_inverse=True)[1]
 
 
@@ -217,7 +232,7 @@ def _best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
-def _search(sizes: np.ndarray, bins: np.ndarray, capacity: int) -> None:
+def _search(sizes: np.ndarray, bins: np.ndarray, capacity: int, effort: Effort) -> None:
     """Empty bins in place, the emptiest first, while no fewer bins are possible."""
     fill = np.bincount(bins, weights=sizes).astype(np.int64) if len(bins) else np.zeros(0, np.int64)
     least = -(-int(sizes.sum()) // capacity)
@@ -227,15 +242,17 @@ def _search(sizes: np.ndarray, bins: np.ndarray, capacity: int) -> None:
         if len(under) < 2:
             break
         source = under[0]
-        while fill[source] and _step(sizes, bins, fill, source, capacity):
+        while fill[source] and _step(sizes, bins, fill, source, capacity, effort):
             pass
         if fill[source]:
             stuck.add(source)
-        if len(stuck) > 64:
+        if len(stuck) > effort.stuck:
             break
 
 
-def _step(sizes: np.ndarray, bins: np.ndarray, fill: np.ndarray, source: int, capacity: int) -> bool:
+def _step(
+    sizes: np.ndarray, bins: np.ndarray, fill: np.ndarray, source: int, capacity: int, effort: Effort
+) -> bool:
     """One exchange that takes most from ``source``; False if none takes anything.
 
     Targets are underfull bins at least as full as the source, so squared fill grows.
@@ -245,7 +262,7 @@ def _step(sizes: np.ndarray, bins: np.ndarray, fill: np.ndarray, source: int, ca
     others = np.flatnonzero((room[bins] > 0) & (fill[bins] >= fill[source]) & (bins != source))
     if not len(others):
         return False
-    own = own[np.argsort(-sizes[own], kind="stable")][:64]
+    own = own[np.argsort(-sizes[own], kind="stable")][: effort.pieces]
     # A move: the largest piece that fits anywhere, into the tightest bin.
     targets = np.flatnonzero((room > 0) & (fill >= fill[source]))
     targets = targets[targets != source]
@@ -256,7 +273,8 @@ def _step(sizes: np.ndarray, bins: np.ndarray, fill: np.ndarray, source: int, ca
             return True
     best, chosen = 0, None
     spare = room[bins[others]]
-    sets = [(i,) for i in own.tolist()] + [(i, j) for a, i in enumerate(own[:16].tolist()) for j in own[a + 1 : 16].tolist()]
+    paired = own[: effort.paired].tolist()
+    sets = [(i,) for i in own.tolist()] + [(i, j) for a, i in enumerate(paired) for j in paired[a + 1 :]]
     for leaving in sets:
         gain = int(sizes[list(leaving)].sum()) - sizes[others]
         gain = np.where((gain > 0) & (gain <= spare), gain, 0)
@@ -279,10 +297,10 @@ def _move(sizes: np.ndarray, bins: np.ndarray, fill: np.ndarray, piece: int, tar
     bins[piece] = target
 
 
-def _shard_packer(keys: list[str], capacity: int, level: int, last: bool):
+def _shard_packer(keys: list[str], capacity: int, level: int, last: bool, effort: Effort):
     def run(shard: pa.Table) -> pa.Table:
         sizes = shard.column("length").to_numpy()
-        bins = pack_sizes(sizes, capacity)
+        bins = pack_sizes(sizes, capacity, effort)
         order = np.argsort(bins, kind="stable")
         bins, sizes = bins[order], sizes[order]
         ends = np.cumsum(sizes)
@@ -297,7 +315,13 @@ def _shard_packer(keys: list[str], capacity: int, level: int, last: bool):
     return run
 
 
-def pack(rows: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, rounds: int = 3) -> DataFrame:
+def pack(
+    rows: DataFrame,
+    capacity: int = CAPACITY,
+    shard_pieces: int = SHARD_PIECES,
+    rounds: int = 3,
+    effort: Effort = Effort(),
+) -> DataFrame:
     """Adds sequence_id and offset to rows with a ``length`` of at most ``capacity``.
 
     Sequences are gapless from 0. Repeated rows are packed one by one. An empty table gives none.
@@ -313,7 +337,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PI
 
         shard = F.pmod(F.xxhash64(*keys, F.lit(level)), F.lit(shards))
         packed = todo.withColumn("shard", shard).groupBy("shard").applyInArrow(
-            _shard_packer(keys, capacity, level, last), schema
+            _shard_packer(keys, capacity, level, last, effort), schema
         )
         if not last:
             packed = cut(packed)
