@@ -27,8 +27,8 @@ from tierglass.llm.common import cut, table
 CAPACITY = 2048
 END = 0
 SHARD_PIECES = 20_000
-CACHE = 300_000
-KEPT = 50_000
+CACHE = 500_000
+KEPT = 200_000
 JOINED = 512
 UNDERFULL = 0.98
 
