@@ -51,6 +51,41 @@ def test_substring_intervals_are_maximal(spark):
         assert all(a[1] < b[0] for a, b in zip(spans, spans[1:])) and all(b - a >= 13 for a, b in spans)
 
 
+def test_substring_hot_passage_is_spread_and_rows_without_id_stay_out(spark):
+    from pyspark.sql import functions as F
+
+    hot = " ".join(f"hot{i}" for i in range(30))
+    text = F.concat(F.when(F.col("id") % 3 == 0, hot + " ").otherwise(""), F.lit("own"), F.col("id").cast("string"))
+    docs = spark.range(3000, numPartitions=4).select(
+        F.when(F.col("id") % 50 != 0, F.pmod(F.col("id") * 7919, F.lit(3001))).alias("doc_id"), text.alias("text")
+    )
+    assert digests(substring_dedup.remove_repeats(docs)) == ordered(substring_dedup.brute_force(pairs(docs)))
+
+
+@pytest.mark.parametrize("smaller", [False, True])
+@pytest.mark.parametrize("limit", [0, 1, 1000])
+def test_decided_rows_do_not_change_the_answer(smaller, limit):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(limit)
+    decided, sent, asked = substring_dedup._Decided(smaller, limit), [], set()
+    for _ in range(30):
+        docs = rng.integers(-50, 50, 40)
+        text, values = rng.integers(0, 40, 200), rng.integers(1, 30, 200) ** 2 * 2
+        asked |= {(int(v), int(docs[t])) for v, t in zip(values, text)}
+        rows = decided.rows(pa.array(docs), text, values)
+        sent += zip(rows.column("h").to_pylist(), rows.column("doc_id").to_pylist())
+    salts = {d: int(substring_dedup._salts(np.array([d]))[0]) for _, d in sent}
+    counted = [(h, d) for h, d in sent if h % 2 == 0]
+    of = {h: [d for g, d in counted if g == h] for h, _ in counted}
+    found = {((h ^ salts[d]) & -2, d) for h, d in sent if h % 2}
+    found |= {(h, d) for h, d in counted if (min(of[h]) < d if smaller else len(set(of[h])) > 1)}
+    all_of = {h: {d for g, d in asked if g == h} for h, _ in asked}
+    assert found == {(h, d) for h, d in asked if (min(all_of[h]) < d if smaller else len(all_of[h]) > 1)}
+    if limit == 1000:
+        assert max(map(len, of.values())) <= (30 if smaller else 4)
+
+
 def test_substring_carries_columns_and_takes_empty_tables(spark, odd_docs, no_docs):
     carried = substring_dedup.remove_repeats(odd_docs, carry=("text", "lang", "source"))
     assert carried.columns[:4] == ["doc_id", "text", "lang", "source"] and carried.count() == odd_docs.count()

@@ -7,6 +7,11 @@ A 13-word window repeated in two documents has the same words, so its smallest-h
 (its anchor) is the same in both. Anchors are one in five grams. They are counted first, and only
 windows whose anchor occurs in two documents are hashed, shuffled and counted in full. This loses no
 window and moves a fraction of the rows; no group is ever gathered.
+
+Hot hashes: a task that has met a hash in two documents knows the answer for all further ones. It sends
+one or two rows of a hash to the count and marks the rest as decided; those go by hash *and* document, so a
+passage that a third of all documents share is spread over all tasks. The mark is the lowest bit of
+the hash, which therefore has 63 bits.
 """
 
 from __future__ import annotations
@@ -24,6 +29,9 @@ from tierglass.llm.common import extended, table
 
 WINDOW = 13
 GRAM = 5
+#: Hashes that a task remembers as met in two documents. Beyond them rows are counted in the shuffle.
+REMEMBERED = 1 << 18
+_EVEN = np.uint64((1 << 64) - 2)
 
 
 def window_hashes(h: np.ndarray, word_offsets: np.ndarray, window: int, gram: int):
@@ -37,7 +45,7 @@ def window_hashes(h: np.ndarray, word_offsets: np.ndarray, window: int, gram: in
     anchor = grams[: len(full)].copy()
     for step in range(1, window - gram + 1):
         np.minimum(anchor, grams[step : step + len(full)], out=anchor)
-    return first, full[first], anchor[first]
+    return first, full[first] & _EVEN, anchor[first] & _EVEN
 
 
 def _scan(batch: pa.RecordBatch, window: int, gram: int):
@@ -48,15 +56,53 @@ def _scan(batch: pa.RecordBatch, window: int, gram: int):
     return data, offsets, starts, ends, word_offsets, first, full.view(np.int64), anchor.view(np.int64), text
 
 
-def _pairs(ids: pa.Array, text: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-    """Distinct (value, document) rows."""
-    if len(values):
-        order = np.lexsort((values, text))
-        text, values = text[order], values[order]
-        keep = np.ones(len(values), bool)
-        keep[1:] = (text[1:] != text[:-1]) | (values[1:] != values[:-1])
-        text, values = text[keep], values[keep]
-    return pa.RecordBatch.from_arrays([pa.array(values, pa.int64()), ids.take(pa.array(text))], ["h", "doc_id"])
+class _Decided:
+    """Marks the rows of a task whose answer its earlier rows give, so that they need no count.
+
+    With ``smaller`` the question is whether a hash is in a document with a smaller id, else whether it is
+    in two documents. What is not marked goes to the count, which then gives the same answer.
+    """
+
+    def __init__(self, smaller: bool, limit: int = REMEMBERED):
+        self.smaller, self.limit = smaller, limit
+        self.hashes, self.least = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def rows(self, ids: pa.Array, text: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+        """Distinct (h, doc_id) rows of a batch; ``h`` of a decided row is odd."""
+        docs = ids.take(pa.array(text)).to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.lexsort((docs, values))
+        docs, values = docs[order], values[order]
+        fresh = np.append(True, values[1:] != values[:-1]) if len(values) else np.zeros(0, bool)
+        keep = fresh.copy()
+        keep[1:] |= docs[1:] != docs[:-1]
+        docs, values, fresh = docs[keep], values[keep], fresh[keep]
+        group = np.flatnonzero(fresh)
+        size = np.diff(np.append(group, len(values)))
+        place = np.minimum(np.searchsorted(self.hashes, values[group]), max(len(self.hashes) - 1, 0))
+        old = self.hashes[place] == values[group] if len(self.hashes) else np.zeros(len(group), bool)
+        least = docs[group].copy()
+        if self.smaller:
+            least[old] = np.minimum(least[old], self.least[place[old]])
+            decided = docs > np.repeat(least, size)
+        else:
+            last = np.append(fresh[1:], True)[: len(values)]
+            decided = np.repeat(old, size) | ~(fresh | last)
+        if len(self.hashes):
+            self.least[place[old]] = least[old]
+        self._remember(values[group][new := ~old & (size > 1)], least[new])
+        sent = np.where(decided, (values ^ _salts(docs)) | 1, values)
+        return pa.RecordBatch.from_arrays([pa.array(sent, pa.int64()), pa.array(docs, pa.int64())], ["h", "doc_id"])
+
+    def _remember(self, hashes: np.ndarray, least: np.ndarray) -> None:
+        room = self.limit - len(self.hashes)
+        if room > 0 and len(hashes):
+            joined = np.concatenate([self.hashes, hashes[:room]])
+            order = np.argsort(joined, kind="stable")
+            self.hashes, self.least = joined[order], np.concatenate([self.least, least[:room]])[order]
+
+
+def _salts(docs: np.ndarray) -> np.ndarray:
+    return W.mix(docs.astype(np.int64).view(np.uint64).copy()).view(np.int64)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -75,34 +121,42 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carr
         "n_words long, n_removed long, kept_text string, removed array<struct<first:long,end:long>>",
     )
 
+    known = docs.select(*columns).where("doc_id is not null")
+
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decided = _Decided(smaller=False)
         for batch in (part for b in batches for part in W.slices(b)):
             *_, anchor, text = _scan(batch, window, gram)
-            yield _pairs(batch.column("doc_id"), text, anchor)
+            yield decided.rows(batch.column("doc_id"), text, anchor)
 
     # One exchange by anchor serves the count and the way back to the documents. Spark shares it only
     # if both sides read the very same plan, so the filters that joins would add are stated here.
     seen = (
-        docs.select("doc_id", "text")
-        .where("doc_id is not null")
+        known.select("doc_id", "text")
         .mapInArrow(W.task(anchors), "h long, doc_id long")
         .where("h is not null and doc_id is not null")
         .repartition("h")
     )
-    shared = _in_two_documents(seen).select("h")
+    marked = F.col("h").bitwiseAND(F.lit(1)) == 1
+    shared = _in_two_documents(seen).select("h", F.lit(True).alias("shared"))
     candidates = (
-        seen.join(shared.hint("merge"), "h", "left_semi").groupBy("doc_id").agg(F.collect_set("h").alias("candidates"))
+        seen.join(shared.hint("merge"), "h", "left")
+        .where(marked | F.col("shared"))
+        .groupBy("doc_id")
+        .agg(F.collect_set("h").alias("candidates"))
     )
-    # The same exchange of texts is used here and in the last join, hence two left joins.
-    texts = docs.select(*columns).repartition("doc_id")
+    # The same exchange of texts is used here and in the last join, hence two left joins. A task that is
+    # run again must mark the same rows, so rows of one id have an order, too.
+    texts = known.repartition("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decided = _Decided(smaller=True)
         for batch in (part for b in batches for part in W.slices(b)):
             if batch.column("candidates").null_count == len(batch):
                 continue
             *_, full, anchor, text = _scan(batch, window, gram)
-            keep = _among(batch.column("candidates"), text, anchor)
-            yield _pairs(batch.column("doc_id"), text[keep], full[keep])
+            keep = _among(batch, "candidates", text, anchor)
+            yield decided.rows(batch.column("doc_id"), text[keep], full[keep])
 
     windows = (
         texts.join(candidates.hint("merge"), "doc_id", "left")
@@ -112,8 +166,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carr
     )
     first = _in_two_documents(windows).select("h", F.col("first").alias("first_doc"))
     removed = (
-        windows.join(first.hint("merge"), "h")
-        .where("doc_id > first_doc")
+        windows.join(first.hint("merge"), "h", "left")
+        .where(marked | (F.col("doc_id") > F.col("first_doc")))
         .groupBy("doc_id")
         .agg(F.collect_set("h").alias("gone"))
     )
@@ -122,7 +176,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carr
         for batch in (part for b in batches for part in W.slices(b)):
             yield _kept(batch, window, gram, carry)
 
-    return texts.join(removed.hint("merge"), "doc_id", "left").mapInArrow(W.task(keep), out)
+    # Rows without an id have no order and meet nothing, so they are not shuffled.
+    unknown = docs.select(*columns).where("doc_id is null").withColumn("gone", F.lit(None).cast("array<long>"))
+    kept = texts.join(removed.hint("merge"), "doc_id", "left").mapInArrow(W.task(keep), out)
+    return kept.unionByName(unknown.mapInArrow(W.task(keep), out))
 
 
 def _in_two_documents(rows: DataFrame) -> DataFrame:
@@ -132,14 +189,16 @@ def _in_two_documents(rows: DataFrame) -> DataFrame:
     )
 
 
-def _among(sets: pa.Array, text: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Whether each value is in the set of its text."""
-    keep = np.zeros(len(values), bool)
+def _among(batch: pa.RecordBatch, name: str, text: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each value is in the set of its text, whose odd members are read by the text's id."""
+    sets, keep = batch.column(name), np.zeros(len(values), bool)
     borders = np.searchsorted(text, np.arange(len(sets) + 1))
     for i in range(len(sets)):
         if sets[i].is_valid and borders[i] < borders[i + 1]:
-            own = np.sort(np.asarray(sets[i].values, np.int64))
+            own = np.asarray(sets[i].values, np.int64)
             if len(own):
+                salt = _salts(np.array([batch.column("doc_id")[i].as_py()], np.int64))
+                own = np.sort(np.where(own & 1, (own ^ salt) & -2, own))
                 asked = values[borders[i] : borders[i + 1]]
                 found = np.minimum(np.searchsorted(own, asked), len(own) - 1)
                 keep[borders[i] : borders[i + 1]] = own[found] == asked
@@ -148,7 +207,7 @@ def _among(sets: pa.Array, text: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 def _kept(batch: pa.RecordBatch, window: int, gram: int, carry: tuple[str, ...]) -> pa.RecordBatch:
     data, offsets, starts, ends, word_offsets, first, full, _, text = _scan(batch, window, gram)
-    hit = first[_among(batch.column("gone"), text, full)]
+    hit = first[_among(batch, "gone", text, full)]
     change = np.zeros(len(starts) + 1, np.int64)
     np.add.at(change, hit, 1)
     np.add.at(change, hit + window, -1)
