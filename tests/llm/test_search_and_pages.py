@@ -161,8 +161,25 @@ def test_boilerplate_without_elements_is_what_a_host_repeats(spark):
     want += [(9, "http://b.example/", legal), (10, None, ""), (11, "http://c.example", ""), (12, "x", "plain < text")]
     want += [(None, "http://a.example/n", "Null id."), (None, None, ""), (12, "x", "plain < text")]
     assert ordered(got) == ordered(want)
-    split = html_text.extract(pages, group_pages=5)
-    assert split.count() == len(rows)
+
+
+@pytest.mark.parametrize("tasks", [1, 7])
+def test_a_run_on_two_pages_of_a_large_host_is_boilerplate(spark, tasks):
+    legal = "This passage stands on only two of all the pages of its host and on no other."
+    rows = [(i, f"//h.example/{i}", f"<div>Page {i} tells of day {i}.</div>") for i in range(2000)]
+    for i in (3, 1990):
+        rows[i] = (i, rows[i][1], rows[i][2] + f"<p>{legal}</p><article></article>")
+    rows.append((2000, "//other.example/", f"<p>{legal}</p>"))
+    rng = np.random.default_rng(5)
+    for i in range(2001, 2060):
+        words = [" ".join(f"w{w}" for w in rng.integers(0, 3, rng.integers(1, 25))) for _ in range(3)]
+        rows.append((i, "//words.example/", "".join(f"<p>{w}</p>" for w in words) + "<nav>menu</nav>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(tasks)
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
+    for part in (rows[:2000], rows[2000:2001], rows[2001:]):
+        want = html_text.main_texts([html_text.blocks(h) for *_, h in part], np.arange(len(part)))
+        assert [got[i] for i, *_ in part] == want
+    assert got[3] == "Page 3 tells of day 3." and got[2000] == legal
 
 
 def test_pages_of_an_empty_table(spark):
