@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bz2
+import gzip
 import os
 import random
 from concurrent.futures import ThreadPoolExecutor
@@ -16,7 +18,7 @@ from tierglass.operators import prepare as pr
 from tierglass.operators import views as vw
 from tierglass.operators.fusion import classify
 from tierglass.sources import answer_cache as store
-from tierglass.sources import files, report_files, sinks
+from tierglass.sources import files, report_files, sinks, trees
 from tierglass.streaming import continuous as st
 
 
@@ -352,3 +354,32 @@ def test_a_wrong_number_of_batched_answers_is_an_error_of_all(spark, said):
     keyword = classify(spark.range(4).selectExpr("id AS doc_id", "'/in' AS source", "'text' AS text"), given)
     shown = {r.doc_id: r.debug_info.primary for r in keyword.select("doc_id", "debug_info").collect()}
     assert all(shown[i].fallback and "answers to 3 prompts" in shown[i].reason for i in (0, 1, 3))
+
+
+def listed_by_spark(spark, path):
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    texts = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    return (
+        {r.path for r in files.select("path").collect()},
+        {(r.at, r.hex) for r in texts.select(F.col("_metadata.file_path").alias("at"), F.hex("value").alias("hex")).collect()},
+    )
+
+
+def test_folders_are_listed_and_read_by_tasks(spark, tmp_path):
+    """As Spark's readers list and read them, but the driver plans with none of the files."""
+    names = [
+        "a.txt", "b c/d%20.txt", "ü/é ß.txt", "k=v/_x=1/q.txt", "t.html.gz", "u.txt.bz2", "deep/er/est/z.csv", "plus+&;,'()!.txt",
+        "x.bin", "empty.txt", "_hidden/a.txt", ".dot/a.txt", "_SUCCESS", "y._COPYING_", "~#\"<>|^`.txt", "ende  .txt",
+    ]
+    for i, name in enumerate(names):
+        place = tmp_path / "in" / name
+        place.parent.mkdir(parents=True, exist_ok=True)
+        body = b"" if "empty" in name else f"Text {i}\nüber".encode() + (b"\xff" if i == 0 else b"")
+        place.write_bytes(gzip.compress(body) if name.endswith(".gz") else bz2.compress(body) if name.endswith(".bz2") else body)
+    (tmp_path / "in" / "none").mkdir()
+    paths, texts = listed_by_spark(spark, str(tmp_path / "in"))
+    for path in (str(tmp_path / "in"), f"{tmp_path}/in/", f"file:{tmp_path}/in", f"file://{tmp_path}/in"):
+        found = trees.tree(spark, path)
+        assert {f"file:{r.path}" for r in found.collect()} == paths
+        assert {(r.uri, r.hex) for r in trees.contents(found).select("uri", F.hex("value").alias("hex")).collect()} == texts
+    assert not report_files.read_report_files(spark, str(tmp_path / "in")).inputFiles()
