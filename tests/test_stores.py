@@ -19,6 +19,7 @@ from tierglass.operators import views as vw
 from tierglass.operators.fusion import classify
 from tierglass.sources import answer_cache as store
 from tierglass.sources import files, report_files, sinks, trees
+from tierglass.sources.documents import read_documents
 from tierglass.streaming import continuous as st
 
 
@@ -383,3 +384,13 @@ def test_folders_are_listed_and_read_by_tasks(spark, tmp_path):
         assert {f"file:{r.path}" for r in found.collect()} == paths
         assert {(r.uri, r.hex) for r in trees.contents(found).select("uri", F.hex("value").alias("hex")).collect()} == texts
     assert not report_files.read_report_files(spark, str(tmp_path / "in")).inputFiles()
+
+
+def test_rows_of_one_name_are_one_file(spark, tmp_path):
+    rows = [("b/1.txt", "x\n"), ("b/1.txt", "y\n"), ("a/2.txt", ""), ("a/3.txt", "ü")]
+    trees.write_texts(spark.createDataFrame(rows, "name string, content string").coalesce(1), str(tmp_path / "out"))
+    got = {str(p.relative_to(tmp_path / "out")): p.read_text() for p in (tmp_path / "out").rglob("*.txt")}
+    assert got == {"b/1.txt": "x\ny\n", "a/2.txt": "", "a/3.txt": "ü"}
+    read = read_documents(spark, str(tmp_path / "out"))
+    assert {r.source.rsplit("/out/", 1)[1]: r.text for r in read.collect()} == {"b/1.txt": "x\ny\n", "a/3.txt": "ü"}
+    assert not read.inputFiles()  # the driver holds no list of them
