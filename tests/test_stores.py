@@ -17,11 +17,14 @@ from tierglass.operators import answers as ans
 from tierglass.operators import prepare as pr
 from tierglass.operators import views as vw
 from tierglass.operators.fusion import classify
+from tierglass.plans import queries
 from tierglass.sources import answer_cache as store
 from tierglass.sources import files, report_files, sinks, trees
 from tierglass.sources.documents import read_documents
 from tierglass.streaming import continuous as st
 
+SF = "/root/testdata/sf0.001"
+
 
 def entries(spark, keys, minute, label="Public"):
     return spark.createDataFrame([(k,) for k in keys], "k string").select(
@@ -394,3 +397,10 @@ def test_rows_of_one_name_are_one_file(spark, tmp_path):
     read = read_documents(spark, str(tmp_path / "out"))
     assert {r.source.rsplit("/out/", 1)[1]: r.text for r in read.collect()} == {"b/1.txt": "x\ny\n", "a/3.txt": "ü"}
     assert not read.inputFiles()  # the driver holds no list of them
+
+
+def test_records_of_several_runs_are_classified_once(spark, monkeypatch):
+    given, append = [], sinks.append_records
+    monkeypatch.setattr(queries.sinks, "append_records", lambda results, *a: (given.append(results), append(results, *a)))
+    assert queries.QUERIES["s10_appended_records"](spark, SF).count() > 0
+    assert len(given) == 3 and not any(r.inputFiles() for r in given)
