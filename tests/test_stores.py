@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tierglass.functions import membership
 from tierglass.functions import pages as P
 from tierglass.operators import answers as ans
+from tierglass.operators import ask as asking
 from tierglass.operators import prepare as pr
 from tierglass.operators import views as vw
 from tierglass.operators.fusion import classify
@@ -404,3 +405,37 @@ def test_records_of_several_runs_are_classified_once(spark, monkeypatch):
     monkeypatch.setattr(queries.sinks, "append_records", lambda results, *a: (given.append(results), append(results, *a)))
     assert queries.QUERIES["s10_appended_records"](spark, SF).count() > 0
     assert len(given) == 3 and not any(r.inputFiles() for r in given)
+
+
+def test_a_folder_of_the_cache_gets_few_files(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store.store_answers(entries(spark, [f"k{i}" for i in range(4000)], 1), path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    folders = [*(tmp_path / "cache" / "entries").glob("prefix=*")]
+    assert len(folders) == 256 and all(len([*f.glob("part-*.parquet")]) == 1 for f in folders)
+    assert store.stored_answers(spark, path).count() == 4000
+
+
+def test_documents_with_nothing_to_ask_are_not_scanned(spark, tmp_path, monkeypatch):
+    seen, scan = spark.sparkContext.accumulator(0), asking.scan_text
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    monkeypatch.setattr(asking, "scan_text", lambda rows, rules: scan(rows.withColumn("text", counted("text")), rules))
+    docs = spark.createDataFrame([(i, f"text {i % 30}") for i in range(60)], "doc_id long, text string")
+
+    def ask(rows):
+        before = seen.value
+        answers = asking.ask_stored(rows, queries.NODES, str(tmp_path / "cache"), queries.stub_model, {"primary": "m"}, max_chars=None)
+        return seen.value - before, answers.groupBy("backend").count().collect()
+
+    scanned, answers = ask(docs)
+    assert 30 <= scanned < 60 and answers == [("model", 240)]
+    scanned, answers = ask(docs)
+    assert scanned == 0 and answers == [("cache", 240)]

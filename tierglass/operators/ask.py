@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierglass.functions.labels import keyword_class
+from tierglass.functions.membership import filter_of, probable
 from tierglass.lexicon import PROMPT_TEXT_CHARS
 from tierglass.operators import answers as A
 from tierglass.operators.evidence import RULES, scan_text
@@ -107,7 +108,10 @@ def _answers(
         .groupBy(F.col(f"_first.{key}").alias(key))
         .agg(F.collect_list(F.struct(*A.CACHE_KEY, "_first.prompt")).alias("_asked"))
     )
-    bodies = docs.select(key, "text", metadata.alias("_meta"), summary.alias("_images"))
+    # Documents with nothing to ask are dropped where they are scanned, as far as the filter can tell.
+    bodies = probable(
+        docs.select(key, "text", metadata.alias("_meta"), summary.alias("_images")), filter_of(missing, [key]), [key]
+    )
     heard = scan_text(bodies, RULES).withColumn("_keyword", keyword_class(F.col("hits")))
     prompts = heard.join(missing, key).select("text", "_meta", "_images", "_keyword", F.inline("_asked"))
     full = compose_prompt(F.col("prompt"), F.col("text"), F.col("_meta"), F.col("_images"), max_chars=max_chars)

@@ -77,8 +77,9 @@ def store_answers(new: DataFrame, path: str, cache_fallbacks: bool = True, digit
     stored = _entries(spark, path).where(F.col("prefix").isin(touched)).drop("prefix")
     merged = cache_upsert(stored, new, cache_fallbacks).withColumn("prefix", _prefix(digits))
     pending = f"{path}/pending/{uuid.uuid4().hex}"
-    # A plain write, as it marks success in its folder.
-    merged.write.partitionBy("prefix").parquet(pending)
+    # The rows of a folder meet first, so that it gets few files and not one from every task; Spark splits
+    # a folder that is large. A plain write, as it marks success in its folder.
+    merged.hint("rebalance", "prefix").write.partitionBy("prefix").parquet(pending)
     finish_upserts(spark, path)
     return sorted(touched)
 
