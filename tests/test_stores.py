@@ -439,3 +439,14 @@ def test_documents_with_nothing_to_ask_are_not_scanned(spark, tmp_path, monkeypa
     assert 30 <= scanned < 60 and answers == [("model", 240)]
     scanned, answers = ask(docs)
     assert scanned == 0 and answers == [("cache", 240)]
+
+
+@pytest.mark.parametrize("name, folder", [("j4_streamed_classification", "in"), ("j6_streamed_recalibration", "results")])
+def test_files_that_arrive_are_bounded(spark, tmp_path, monkeypatch, name, folder):
+    monkeypatch.setattr(queries, "work_folder", lambda _: str(tmp_path / "work"))
+    want = sorted(queries.QUERIES[name](spark, SF).collect())
+    assert len([*(tmp_path / "work" / folder).glob("part-*.parquet")]) == 4
+    monkeypatch.setattr(queries, "work_folder", lambda _: str(tmp_path / "small"))
+    monkeypatch.setattr(queries, "ARRIVING_BYTES", queries.size_of(queries.seeds.seeded(spark, SF)) // 7)
+    assert sorted(queries.QUERIES[name](spark, SF).collect()) == want
+    assert len([*(tmp_path / "small" / folder).glob("part-*.parquet")]) >= 7
