@@ -182,6 +182,53 @@ def test_a_run_on_two_pages_of_a_large_host_is_boilerplate(spark, tasks):
     assert got[3] == "Page 3 tells of day 3." and got[2000] == legal
 
 
+@pytest.mark.parametrize("tasks", [1, 7])
+def test_runs_decide_inside_articles_too(spark, tasks):
+    rng = np.random.default_rng(6)
+    notice = "Like this story? Tell your friends about it and read more every morning."
+    quoted = "Permission is granted to copy and share this text with anyone at no charge."
+
+    def story():
+        return " ".join(f"w{w}" for w in rng.integers(0, 10**6, 30))
+
+    copied, twice = story(), story()
+    own, rows = [story() for _ in range(12)], []
+    for i, text in enumerate(own):  # a notice in 9 of 12 articles, a quotation in 5, all different otherwise
+        rows.append(("//a/", text, [notice] * (i < 9), [quoted] * (i > 6)))
+    rows += [("//b/", copied, [notice], [])] * 5 + [("//b/", own[0], [], [])]  # one text on most pages of its host
+    rows += [("//c/", story(), [notice], []) for _ in range(3)]  # too few pages
+    rows += [("//d/", twice, [], []), ("//d/", twice, [], []), ("//d/", own[1], [], [])]
+    made = [
+        (i, f"{u}{i}", f"<nav>x</nav><article><p>{text}</p>" + "".join(f"<p>{x}</p>" for x in (*a, *b)) + "</article>")
+        for i, (u, text, a, b) in enumerate(rows)
+    ]
+    want = {i: "\n".join([text, *(a if u != "//a/" else []), *b]) for i, (u, text, a, b) in enumerate(rows)}
+    # Four rows of one page are one page: nothing is on several.
+    made += [(len(rows), "//e/", f"<article><p>{own[2]}</p><p>{notice}</p></article>")] * 4
+    want[len(rows)] = f"{own[2]}\n{notice}"
+    pages = spark.createDataFrame(made, "page_id long, url string, html string").repartition(tasks)
+    got = html_text.extract(pages).collect()
+    assert len(got) == len(made)
+    assert {r["page_id"]: r["text"] for r in got} == want
+    for host in "abcde":
+        part = [(i, h) for i, u, h in made if u.startswith(f"//{host}/")]
+        found = html_text.main_texts([html_text.blocks(h) for _, h in part], np.array([i for i, _ in part]))
+        assert found == [want[i] for i, _ in part]
+
+
+def test_suffixes_of_one_run_have_one_anchor():
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{w}" for w in rng.integers(0, 3, 200)) for _ in range(4)]
+    streams, hosts = html_text.pa.array(texts), html_text.pa.array([1, 1, 2, 2], html_text.pa.int64())
+    place, own, values, anchors, offsets = html_text._suffixes(streams, hosts, 8)
+    assert len(place) == 4 * 193 and offsets.tolist() == [0, 200, 400, 600, 800]
+    seen = {}
+    for p, o, v, a in zip(place - offsets[own], own, values, anchors):
+        run = (int(o) // 2, *texts[o].split()[p : p + 8])
+        assert seen.setdefault(run, (v, a)) == (v, a)
+    assert len({v for v, _ in seen.values()}) == len(seen)
+
+
 def test_pages_of_an_empty_table(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 

@@ -1,15 +1,20 @@
 """Main text of web pages by repeated runs within a host.
 
-Method: the suffixes of all token streams of a host are brought together by their first ``RUN`` tokens,
-which is as deep as the decision looks; runs that two distinct pages of the host have are boilerplate,
-what is unique is kept. Tokens are the words of text blocks and one mark for every block's chain of
-elements. A suffix is a row with the hash of host and tokens, of which Spark keeps the least and greatest
-page, so a host of any size is spread over all tasks and each of its pages counts.
-
-Elements come first. Menus, forms, adverts and the like go even where their words are unique, and blocks of
-an article or main element stay even where another page has the same run: an article that is published
-twice is still the article. On pages without such an element, what is unique stays. Only hosts that
-have a page of this kind need suffixes, and html is never shuffled.
+Method: the suffixes of the token streams of all pages of a host are brought together by their first ``RUN``
+tokens, which is as deep as the decision looks; runs that two distinct pages of the host have are
+boilerplate, what is unique is kept. Tokens are the words of text blocks and one mark for every block's
+chain of elements.
+
+Suffixes that begin alike have the same anchor, the least-hashed ``GRAM`` tokens among the ``RUN``. Anchors
+of every page are counted first, one in three suffixes has a new one; only suffixes on anchors that can
+decide something are then counted in full. Both are rows of a hash that holds the host, so a host of any
+size is spread over all tasks and each of its pages counts.
+
+Elements are checked afterwards. Menus, forms, adverts and the like go even where their words are unique.
+An article quotes, and is published twice, so inside an article or main element a run is boilerplate only if
+more than half of the pages of the host have it, ``SEVERAL`` at least: a block that such runs cover whole is
+a notice that the host puts in its articles. An article that is mostly such runs is one text published
+often, and stays. html is never shuffled.
 """
 
 from __future__ import annotations
@@ -23,12 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierglass.functions.membership import filter_of, probable
+from tierglass.functions.membership import filter_of, probable, with_probable
 from tierglass.llm import words as W
 from tierglass.llm.common import cut, table
 
 RUN = 8
+GRAM = 4
 COVERED = 0.5
+#: Pages that must have a run inside an article or main element, and more than half of the host's pages.
+SEVERAL = 4
+#: An anchor only picks suffixes to be counted in full, so fewer bits lose nothing and shuffle less.
+_ANCHOR = np.uint64((1 << 40) - 1)
 #: Stands for the missing id of a page, as all rows without one count as one page.
 _NO_ID = -(1 << 63)
 
@@ -213,8 +223,8 @@ def _unwanted(name: str, attributes: dict[str, str]) -> bool:
     return False
 
 
-def repeated_runs(tokens: np.ndarray, page: np.ndarray, run: int = RUN) -> np.ndarray:
-    """Which tokens lie in a run of ``run`` tokens that two distinct pages have.
+def repeated_runs(tokens: np.ndarray, page: np.ndarray, run: int = RUN, least: int = 2) -> np.ndarray:
+    """Which tokens lie in a run of ``run`` tokens that two distinct pages have, or as many as ``least`` says.
 
     ``page`` numbers the page of each token and does not fall. Runs do not cross pages.
     """
@@ -236,7 +246,8 @@ def repeated_runs(tokens: np.ndarray, page: np.ndarray, run: int = RUN) -> np.nd
     order = np.lexsort((own, rank))
     rank, own = rank[order], own[order]
     group = np.flatnonzero(np.append(True, rank[1:] != rank[:-1]))
-    several = np.minimum.reduceat(own, group) != np.maximum.reduceat(own, group)
+    fresh = np.append(True, (rank[1:] != rank[:-1]) | (own[1:] != own[:-1]))
+    several = np.add.reduceat(fresh.astype(np.int64), group) >= least
     hit = start[order][np.repeat(several, np.diff(np.append(group, len(rank))))]
     change = np.zeros(n + 1, np.int64)
     np.add.at(change, hit, 1)
@@ -259,44 +270,62 @@ def main_texts(pages: list[list[tuple[str, str, str]]], names: np.ndarray, run:
         spans.append(own)
     if not total:
         return [""] * len(pages)
-    numbers = np.concatenate(page_numbers)
-    covered = np.concatenate([[0], np.cumsum(repeated_runs(np.concatenate(page_tokens), numbers, run))])
+    tokens, numbers = np.concatenate(page_tokens), np.concatenate(page_numbers)
+    many = max(SEVERAL, len(set(names.tolist())) // 2 + 1)
+    by_least = {k: np.concatenate([[0], np.cumsum(repeated_runs(tokens, numbers, run, k))]) for k in (2, many)}
     out = []
     for own in spans:
-        article = any(kind == "main" for *_, kind, _ in own)
-        kept = []
-        for a, b, kind, text in own:
-            repeated = covered[b] - covered[a] > COVERED * (b - a)
-            if kind == "main" or (kind == "open" and not article and not repeated):
-                kept.append(text)
-        out.append("\n".join(kept))
+        kinds = "".join(kind[0] for *_, kind, _ in own)
+        covered = by_least[2 if _undecided(kinds) else many]
+        counts = [int(covered[b] - covered[a]) for a, b, *_ in own]
+        kept = _unique(kinds, [b - a for a, b, *_ in own], counts)
+        out.append("\n".join(text for keep, (*_, text) in zip(kept, own) if keep))
     return out
 
 
+def _undecided(kinds: str) -> bool:
+    """Whether a page has text that no element decides and no article or main element."""
+    return "o" in kinds and "m" not in kinds
+
+
+def _unique(kinds: str, sizes: list[int], covered: list[int]) -> list[bool]:
+    """Which blocks of a page stay, by their kinds, tokens, and tokens in runs of other pages."""
+    main = [(c, n) for kind, n, c in zip(kinds, sizes, covered) if kind == "m"]
+    if not main:
+        return [kind == "o" and c <= COVERED * n for kind, n, c in zip(kinds, sizes, covered)]
+    copy = sum(c for c, _ in main) > COVERED * sum(n for _, n in main)
+    return [kind == "m" and (copy or c < n) for kind, n, c in zip(kinds, sizes, covered)]
+
+
 def _stream(found: list[tuple[str, str, str]]) -> str:
     """A line for every block: its chain as one word, then its text."""
     return "\n".join(f"<{chain} {text}" for _, chain, text in found)
 
 
+def _parsed(batch: pa.RecordBatch) -> tuple[pa.Array, list[str]]:
+    """Token stream and kinds of blocks of each page."""
+    streams, kinds = [], []
+    for page in batch.column("html").to_pylist():
+        found = blocks(page or "")
+        streams.append(_stream(found))
+        kinds.append("".join(kind[0] for kind, _, _ in found))
+    return pa.array(streams, pa.string()), kinds
+
+
 def _suffixes(streams: pa.Array, hosts: pa.Array, run: int):
-    """Suffixes of ``run`` tokens or more: place, stream, hash of host and first tokens; offsets of the streams."""
+    """Suffixes of ``run`` tokens or more: place, stream, hash of host and first tokens, anchor; offsets of the streams."""
     data, offsets = W.buffers(streams)
     starts, ends, token_offsets = W.bounds(data, offsets)
-    h = W.windows(W.hashes(data, starts, ends), run)
+    words = W.hashes(data, starts, ends)
+    h, grams = W.windows(words, run), W.windows(words, min(GRAM, run))
+    anchor = grams[: len(h)].copy()
+    for step in range(1, run - min(GRAM, run) + 1):
+        np.minimum(anchor, grams[step : step + len(h)], out=anchor)
     stream = np.repeat(np.arange(len(streams)), np.diff(token_offsets))
     place = np.flatnonzero(stream[: len(h)] == stream[run - 1 :]) if len(h) else np.zeros(0, np.int64)
     own = stream[place]
     host = hosts.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)[own]
-    return place, own, W.mix(h[place] ^ host).view(np.int64), token_offsets
-
-
-def _rows(values: np.ndarray, keys: np.ndarray, name: str) -> pa.RecordBatch:
-    """Distinct (h, key) rows."""
-    order = np.lexsort((keys, values))
-    values, keys = values[order], keys[order]
-    keep = np.ones(len(values), bool)
-    keep[1:] = (values[1:] != values[:-1]) | (keys[1:] != keys[:-1])
-    return pa.RecordBatch.from_arrays([pa.array(values[keep], pa.int64()), pa.array(keys[keep], pa.int64())], ["h", name])
+    return place, own, W.mix(h[place] ^ host).view(np.int64), (anchor[place] & _ANCHOR).view(np.int64), token_offsets
 
 
 def extract(pages: DataFrame, run: int = RUN) -> DataFrame:
@@ -308,91 +337,129 @@ def extract(pages: DataFrame, run: int = RUN) -> DataFrame:
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit(""))
     pages = pages.select(
-        "page_id", "url", "html", F.xxhash64(host).alias("host"), F.xxhash64("page_id", "url", "html").alias("row")
+        "page_id",
+        "url",
+        "html",
+        F.coalesce(F.col("page_id").cast("long"), F.lit(_NO_ID)).alias("page"),
+        F.xxhash64(host).alias("host"),
+        F.xxhash64("page_id", "url", "html").alias("row"),
     )
     out = "page_id long, url string, text string"
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for b in batches for part in W.slices(b, "html")):
-            texts, streams, kinds = [], [], []
-            for page in batch.column("html").to_pylist():
-                found = blocks(page or "")
-                own = "".join(kind[0] for kind, _, _ in found)
-                undecided = "o" in own and "m" not in own
-                texts.append(None if undecided else "\n".join(text for kind, _, text in found if kind == "main"))
-                streams.append(_stream(found) if undecided else None)
-                kinds.append(own if undecided else None)
+            streams, kinds = _parsed(batch)
+            _, own, _, anchor, _ = _suffixes(streams, batch.column("host"), run)
+            # Neighbours share an anchor. Rows stay in page order, which shuffles in fewer bytes.
+            keep = np.ones(len(own), bool)
+            keep[1:] = (anchor[1:] != anchor[:-1]) | (own[1:] != own[:-1])
+            own = pa.array(own[keep])
+            undecided = pa.array(list(map(_undecided, kinds)), pa.bool_())
             yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(c) for c in ("page_id", "url", "host", "row")),
-                    *(pa.array(c, pa.string()) for c in (texts, streams, kinds)),
-                ],
-                ["page_id", "url", "host", "row", "text", "stream", "kinds"],
+                [pa.array(anchor[keep]), *(c.take(own) for c in (batch.column("page"), batch.column("host"), undecided))],
+                ["anchor", "page", "host", "undecided"],
             )
 
-    columns = "page_id long, url string, host long, row long, text string, stream string, kinds string"
-    found = cut(pages.mapInArrow(W.task(read), columns))
-    decided = found.where("stream is null").select("page_id", "url", "text")
-    rest = found.where("stream is not null")
-    if rest.isEmpty():
-        return decided
+    sizes = pages.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    met = (
+        pages.select("html", "page", "host")
+        .mapInArrow(W.task(anchors), "anchor long, page long, host long, undecided boolean")
+        .groupBy("anchor", "host")
+        .agg(
+            F.min("page").alias("first"),
+            F.max("page").alias("last"),
+            F.count("*").alias("n"),
+            F.max("undecided").alias("undecided"),
+        )
+        .where(F.expr(f"first < last and (undecided or n >= {SEVERAL})"))
+    )
+    # Rows are no fewer than pages, so this lets every anchor pass that a run below has.
+    shared = cut(met.join(sizes, "host").where("undecided or 2 * n > pages").select("anchor", "host"))
 
-    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for b in batches for part in W.slices(b, "html")):
-            streams = pa.array([_stream(blocks(page or "")) for page in batch.column("html").to_pylist()], pa.string())
-            _, own, values, _ = _suffixes(streams, batch.column("host"), run)
-            ids = batch.column("page_id").fill_null(_NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-            yield _rows(values, ids[own], "page")
-
-    # Hosts by a Bloom filter of bounded size: suffixes of other hosts cost time and change nothing.
-    hosts = filter_of(rest.select("host").distinct(), ["host"])
-    suffixes = probable(pages.select("page_id", "html", "host"), hosts, ["host"]).mapInArrow(W.task(every), "h long, page long")
-    ends = suffixes.groupBy("h").agg(F.min("page").alias("first"), F.max("page").alias("last"))
-    # Written, so that the join has an exchange on either side and Spark can split a frequent suffix.
-    repeated = cut(ends.where("first < last").select("h"))
+            yield _texts(batch, *_parsed(batch), run)
 
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for b in batches for part in W.slices(b, "stream")):
-            _, own, values, _ = _suffixes(batch.column("stream"), batch.column("host"), run)
-            rows = batch.column("row").to_numpy(zero_copy_only=False)
-            yield _rows(values, rows[own], "row")
-
-    hits = (
-        rest.select("stream", "host", "row")
-        .mapInArrow(W.task(asked), "h long, row long")
-        .join(repeated, "h", "left_semi")
+    if shared.isEmpty():
+        return pages.select("page_id", "url", "html", "host").mapInArrow(W.task(plain), out)
+
+    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for b in batches for part in W.slices(b, "html")):
+            streams, kinds = _parsed(batch)
+            _, own, values, anchor, _ = _suffixes(streams, batch.column("host"), run)
+            own = pa.array(own)
+            undecided = pa.array(list(map(_undecided, kinds)), pa.bool_())
+            columns = (*(batch.column(c) for c in ("page", "host", "row")), undecided)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(anchor), pa.array(values), *(c.take(own) for c in columns)],
+                ["anchor", "h", "page", "host", "row", "undecided"],
+            )
+
+    # Bloom filters of bounded size: suffixes on other anchors cost time and change nothing.
+    asked = probable(
+        probable(pages.select("html", "page", "host", "row"), filter_of(shared, ["host"]), ["host"]).mapInArrow(
+            W.task(suffixes), "anchor long, h long, page long, host long, row long, undecided boolean"
+        ),
+        filter_of(shared, ["host", "anchor"]),
+        ["host", "anchor"],
+    )
+    runs = (
+        asked.groupBy("h", "page")
+        .agg(F.min("host").alias("host"))
+        .groupBy("h")
+        .agg(F.count("*").alias("n"), F.min("host").alias("host"))
+        .where("n > 1")
+    )
+    # Written, so that the join has an exchange on either side and Spark can split a frequent suffix.
+    frequent = F.expr(f"n >= {SEVERAL} and 2 * n > pages").alias("frequent")
+    repeated = cut(runs.join(sizes, "host").select("h", frequent))
+    hits = cut(
+        asked.select("h", "row", "undecided")
+        .join(repeated, "h")
+        .where("undecided or frequent")
         .groupBy("row")
         .agg(F.collect_set("h").alias("repeated"))
     )
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for b in batches for part in W.slices(b, "html")):
+            streams, kinds = _parsed(batch)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("page_id", "url", "host", "row")), streams, pa.array(kinds, pa.string())],
+                ["page_id", "url", "host", "row", "stream", "kinds"],
+            )
+
     def unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for b in batches for part in W.slices(b, "stream")):
-            yield _unique(batch, run)
-
-    return decided.unionByName(rest.join(hits, "row", "left").mapInArrow(W.task(unique), out))
-
-
-def _unique(batch: pa.RecordBatch, run: int) -> pa.RecordBatch:
-    """Blocks of pages without article or main element that repeated runs do not cover."""
-    place, own, values, offsets = _suffixes(batch.column("stream"), batch.column("host"), run)
-    borders = np.searchsorted(own, np.arange(len(batch) + 1))
-    sets, kinds, texts = batch.column("repeated"), batch.column("kinds").to_pylist(), []
-    for i, stream in enumerate(batch.column("stream").to_pylist()):
-        change = np.zeros(offsets[i + 1] - offsets[i] + 1, np.int64)
-        if sets[i].is_valid:
+            yield _texts(batch, batch.column("stream"), batch.column("kinds").to_pylist(), run)
+
+    # Only pages that may have such runs meet them; the others are read where they lie.
+    split = with_probable(pages.drop("page"), filter_of(hits, ["row"]), ["row"], "asked")
+    without = split.where("not asked").select("page_id", "url", "html", "host").mapInArrow(W.task(plain), out)
+    columns = "page_id long, url string, host long, row long, stream string, kinds string"
+    some = split.where("asked").select("page_id", "url", "html", "host", "row").mapInArrow(W.task(read), columns)
+    return without.unionByName(some.join(hits, "row", "left").mapInArrow(W.task(unique), out))
+
+
+def _texts(batch: pa.RecordBatch, streams: pa.Array, kinds: list[str], run: int) -> pa.RecordBatch:
+    """Main texts of the pages of a batch, whose column ``repeated``, if any, has their runs of other pages."""
+    sets, texts = batch.column("repeated") if "repeated" in batch.schema.names else None, []
+    if sets is not None:
+        place, own, values, _, offsets = _suffixes(streams, batch.column("host"), run)
+        borders = np.searchsorted(own, np.arange(len(batch) + 1))
+    for i, stream in enumerate(streams.to_pylist()):
+        lines = stream.split("\n") if stream else []
+        ends = np.cumsum([0, *(line.count(" ") + 1 for line in lines)])
+        covered = np.zeros(ends[-1] + 1, np.int64)
+        if sets is not None and sets[i].is_valid:
             part = slice(borders[i], borders[i + 1])
             hit = place[part][np.isin(values[part], np.asarray(sets[i].values, np.int64))] - offsets[i]
+            change = np.zeros(ends[-1] + 1, np.int64)
             np.add.at(change, hit, 1)
             np.add.at(change, hit + run, -1)
-        covered = np.concatenate([[0], np.cumsum(np.cumsum(change[:-1]) > 0)])
-        kept, at = [], 0
-        for kind, line in zip(kinds[i], stream.split("\n")):
-            text = line.partition(" ")[2]
-            end = at + line.count(" ") + 1
-            if kind == "o" and covered[end] - covered[at] <= COVERED * (end - at):
-                kept.append(text)
-            at = end
-        texts.append("\n".join(kept))
+            covered[1:] = np.cumsum(np.cumsum(change[:-1]) > 0)
+        kept = _unique(kinds[i], np.diff(ends).tolist(), np.diff(covered[ends]).tolist())
+        texts.append("\n".join(line.partition(" ")[2] for keep, line in zip(kept, lines) if keep))
     return pa.RecordBatch.from_arrays(
         [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"]
     )
